@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import licences, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": licences.op1_license_scan,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_flow_resharding": sharding.op9_flow_resharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licences.ORACLE,
+}
