@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, packing, pieces, quality, sharding
+from . import licences, lines, packing, pieces, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licences.op1_license_scan,
     "op5_sampled_pieces": pieces.op5_sampled_pieces,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op10_line_dedup": lines.op10_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_flow_resharding": sharding.op9_flow_resharding,
 }
