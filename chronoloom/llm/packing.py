@@ -9,12 +9,14 @@ length, and looks up each piece's sequence and offset in the solved runs.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,57 +106,75 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
 
 
 class WordTokenizer:
-    """Token ids of texts, with each distinct word tokenised once a batch.
+    """Token ids of texts, with each distinct word tokenised once, as a rule.
 
     The tokenizer drops white space and joins nothing across it, so a text's
-    ids are those of its words in a row. A word of Latin letters with
-    full stops or commas behind it is tokenised as its lower-case letters, then
-    its punctuation; any other word goes to the tokenizer as it is. If a
-    vocabulary does not behave so on a probe text, whole texts are tokenised.
+    ids are those of its words in a row. A word of Latin letters with full
+    stops or commas behind it is tokenised as its lower-case letters, then its
+    punctuation; any other word goes to the tokenizer as it is. If a vocabulary
+    does not behave so on a probe text, whole texts are tokenised.
     """
 
+    #: Parts of words are remembered in two generations of at most so many each.
+    KEEP = 250_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
-        self.kept: dict[str, np.ndarray] = {}
-        # A special token's string may hold no white space, so it stays inside one word.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # A special token's string holds no white space, so it stays inside one word.
         probe = "It's  Éa,b. x1y22 ... naïve\tfoo_bar <|endoftext|>z\n你好 Word,. a.,"
-        self.by_word = self._ids([probe])[0].tolist() == np.concatenate(self._ids(re.findall(r"[^\x20\x09-\x0D]+", probe))).tolist() and self._ids(["Éa,."])[0].tolist() == np.concatenate(self._ids(["éa", ",."])).tolist()
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        parts: list[tuple[str, ...]] = []
-        for w in words:
-            core = w.rstrip(".,")
-            # below U+0250 lower() maps each letter by itself and nothing composes
-            parts.append((core.lower(), *([w[len(core) :]] if len(core) < len(w) else [])) if core.isalpha() and max(core) < "ɐ" and "İ" not in core else (w,))
-        new = [x for x in {x for p in parts for x in p} if x not in self.kept]
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            self.kept.update(zip(some, self._ids(some), strict=True))
-        out = [self.kept[p[0]] if len(p) == 1 else np.concatenate([self.kept[x] for x in p]) for p in parts]
-        if len(self.kept) > 150_000:  # keep memory bounded; frequent words come back at once
-            self.kept.clear()
+        whole = self._lists([probe])[0]
+        self.by_word = whole == [i for w in self._lists(re.findall(r"[^\x20\x09-\x0D]+", probe)) for i in w] and self._lists(["Éa,."])[0] == sum(self._lists(["éa", ",."]), [])
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each distinct part of a word, as little-endian 32-bit integers."""
+        young, old = self.young, self.old
+        out = [young.get(x) or old.get(x) for x in parts]
+        new = [k for k, x in enumerate(out) if x is None]
+        for low in range(0, len(new), 20_000):
+            some = new[low : low + 20_000]
+            for k, ids in zip(some, self._lists([parts[k] for k in some]), strict=True):
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        young.update(zip(parts, out, strict=True))
+        if len(young) > self.KEEP:
+            self.young, self.old = {}, young
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts; a null text has no ids."""
         if not self.by_word:
-            each = self._ids([x or "" for x in texts.to_pylist()])
+            each = [np.array(x, np.uint32) for x in self._lists([x or "" for x in texts.to_pylist()])]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-        codes, offsets, dictionary = common.words_of(texts)
-        table = self._words(dictionary.to_pylist())
-        sizes = np.array([len(x) for x in table], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *table])
+        codes, offsets, words = common.words_of(texts)
+        core = pc.ascii_rtrim(words, ".,")
+        # below U+0250 (two bytes up to C9 8F) lower() maps each letter by itself and nothing composes
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, "[^\x00-\u024f]|İ")))
+        first = pc.if_else(plain, pc.utf8_lower(core), words)
+        cut = pc.binary_length(core).to_numpy(zero_copy_only=False)
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        ends = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (cut < full))
+        rest = [w[len(c) :] for w, c in zip(words.take(pa.array(ends)).to_pylist(), core.take(pa.array(ends)).to_pylist(), strict=True)]
+        # each word is its first part, then its punctuation (part 0 is empty)
+        heads = first.dictionary_encode()
+        marks = sorted(set(rest))
+        number = {m: k + 1 for k, m in enumerate(marks)}
+        table = [b"", *self._parts(marks), *self._parts(heads.dictionary.to_pylist())]
+        second = np.zeros(len(words), np.int64)
+        second[ends] = [number[m] for m in rest]
+        both = np.stack([heads.indices.to_numpy().astype(np.int64) + len(marks) + 1, second], 1)[codes].ravel()
+        sizes = np.array([len(x) // 4 for x in table], np.int64)
+        flat = np.frombuffer(b"".join(table), "<u4")
         starts = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])
-        return flat[at], ends[offsets]
+        n = sizes[both]
+        stops = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(starts[both] - stops[:-1], n) + np.arange(stops[-1])
+        return flat[at], stops[2 * offsets]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
