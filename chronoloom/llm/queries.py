@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, packing, pieces, quality, sharding
+from . import licences, lines, packing, pieces, quality, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licences.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_line_dedup": lines.op10_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_flow_resharding": sharding.op9_flow_resharding,
 }
 ORACLES: dict[str, str] = {
