@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, packing, pieces, quality, sharding, suffixes
+from . import licences, lines, near, packing, pieces, quality, scoring, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licences.op1_license_scan,
+    "op2_deleted_interpolation": scoring.op2_deleted_interpolation,
+    "op3_probminhash_dedup": near.op3_probminhash_dedup,
     "op5_sampled_pieces": pieces.op5_sampled_pieces,
     "op6_quality_rules": quality.op6_quality_rules,
-    "op10_line_dedup": lines.op10_line_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_flow_resharding": sharding.op9_flow_resharding,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.ORACLE,
