@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, near, packing, pieces, quality, scoring, sharding, suffixes
+from . import licences, lines, near, packing, pieces, quality, scoring, sharding, suffixes, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licences.op1_license_scan,
     "op2_deleted_interpolation": scoring.op2_deleted_interpolation,
     "op3_probminhash_dedup": near.op3_probminhash_dedup,
+    "op4_anisotropic_search": vectors.op4_anisotropic_search,
     "op5_sampled_pieces": pieces.op5_sampled_pieces,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

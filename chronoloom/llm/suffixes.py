@@ -421,7 +421,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.monotonically_increasing_id())
 
 
-def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def _whole_characters(text: bytes, cut: list[dict]) -> list[dict]:
+    """Runs without the parts of UTF-8 characters at their ends."""
+    out = []
+    for s in cut:
+        a, b = s["start"], s["end"]
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append({"start": a, "end": b})
+    return out
+
+
+def dedup(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> DataFrame:
     """Removes each byte covered by a ``WINDOW``-byte string that starts at another place too, in any document.
 
     Returns ``docs`` (which must be read from files) with these columns added or
@@ -430,6 +444,8 @@ def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     texts shorter than a window lose none; of rows with equal texts each loses all
     that its copies hold too; no rows give no rows. Equal anchors and contexts are
     those with equal 64-bit hashes; where contexts differ, bytes are compared.
+    With ``characters``, characters of which only some bytes are covered stay, so
+    that what remains is valid UTF-8.
     """
     docs = docs.drop("row", "spans", "z", "kept", "n_bytes", "n_removed", "n_spans")
     found = numbered(docs)
@@ -446,6 +462,7 @@ def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
                 kept, total, gone, runs = [], [], [], []
                 for z, cut in zip(part.column("z").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     text = press.decompress(z)
+                    cut = _whole_characters(text, cut or []) if characters else cut
                     out, at = [], 0
                     for s in cut or ():
                         out.append(text[at : s["start"]])
