@@ -6,11 +6,12 @@ a random register, which keeps the earliest arrival's element. A process ends
 when its next arrival comes later than all registers hold. Two signatures agree
 in a register with the probability Jaccard similarity of the weighted sets.
 
-Equal texts are one node. Nodes that share a band meet in a bucket; a bucket's
-members are compared with its pivot, the member that meets most others, and pairs
-of 0.8 and more by the exact similarity become links. Only buckets whose members
-are then still in several components are looked at again: with a second pivot,
-then pair by pair between those outside the pivot's component and the others.
+Equal texts are one node. Nodes that share a band meet in a bucket. First each
+node is compared with the pivot (the bucket member that meets most others) that
+it shares most bands with; pairs of 0.8 and more by the exact similarity become
+links. Buckets whose members are then still in several components are looked at
+again, in blocks: there, members of different components whose signatures do not
+rule out the threshold are compared exactly, each pair in its first common band.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ WORDS, THRESHOLD = 5, 0.8
 #: 0.8 ** 5 of the bands of a pair at the threshold agree: none of 25 in one pair of 20,000.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Signatures that agree in a smaller share rule a pair out: six standard deviations under the threshold.
+FLOOR = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Members of a bucket that are compared with as many others in one step.
+BLOCK = 256
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,6 +101,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     both[inside] = hb[at[inside]] == ha[inside]
     if not both.any():
         return 0.0
+    if not (wa > 1).any() and not (wb > 1).any():
+        n = int(both.sum())
+        return n / (len(ha) + len(hb) - n)
     alone = np.ones(len(hb), bool)
     alone[at[both]] = False
     # elements with equal pairs of weights contribute alike
@@ -112,10 +120,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.sub_batches(batches, most=6_000_000):
+    for batch in common.sub_batches(batches, most=3_000_000):
         doc, key, count, whole = shingles(batch.column("text"))
         n = batch.num_rows
-        first = signatures(doc, key, weights(count), n).reshape(n, BANDS, ROWS)
+        first = signatures(doc, key, weights(count), n)
+        short = pa.array([row.tobytes() for row in first.astype("<u2")], pa.binary())
+        first = first.reshape(n, BANDS, ROWS)
         band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * common.MIX1, (n, BANDS))
         for r in range(ROWS):
             band = common.mixed(band * common.GOLD + first[:, :, r])
@@ -125,7 +135,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.searchsorted(doc, np.arange(n + 1))
         again = sums[ends[1:]] - sums[ends[:-1]]
         offsets = np.concatenate(([0], np.cumsum(np.where(filled, BANDS, 0))))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64())], names=["doc_id", "k1", "k2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64()), short], names=["doc_id", "k1", "k2", "bands", "sig"])
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,22 +145,23 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
 
 
+def _sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted hashes, weights) of compressed texts."""
+    press = zstandard.ZstdDecompressor()
+    doc, key, count, _ = shingles(pa.array([press.decompress(t).decode() for t in texts], pa.large_string()))
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(key[a:b], weights(count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _linked(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the pivot of the pairs at hand; pairs come sorted by it
-
-        def sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-            doc, key, count, _ = shingles(pa.array([press.decompress(t).decode() for t in texts], pa.large_string()))
-            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            return [(key[a:b], weights(count[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
         for whole in batches:
             for batch in common.sub_batches([whole], "zb", 500_000):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 places = {x: k for k, x in enumerate(a) if x not in held}  # each pivot is decoded once a batch
                 za, zb = batch.column("za"), batch.column("zb").to_pylist()
-                fresh = sets([*(za[k].as_py() for k in places.values()), *zb])
+                fresh = _sets([*(za[k].as_py() for k in places.values()), *zb])
                 pivots = held | dict(zip(places, fresh, strict=False))
                 rest = fresh[len(places) :]
                 sims = np.array([similarity(pivots[x], s) for x, s in zip(a, rest, strict=True)])
@@ -161,6 +172,70 @@ def _linked(threshold: float):
     return run
 
 
+def _compared(threshold: float, floor: float):
+    """Links between the members of blocks (band, left and right: lists of node, root, sig, z; no right: the left with itself).
+
+    Pairs of one component are skipped, also where a link just found made it one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r in range(batch.num_rows):
+                band, left, right = (batch.column(c)[r].as_py() for c in ("band", "left", "right"))
+                alone, right = right is None, right or left
+                roots = [np.array([x["root"] for x in side], np.int64) for side in (left, right)]
+                apart = roots[0][:, None] != roots[1][None, :]
+                if alone:
+                    apart = np.triu(apart, 1)
+                if not apart.any():
+                    continue
+                sigs = [np.frombuffer(b"".join(x["sig"] for x in side), "<u2").reshape(len(side), REGISTERS) for side in (left, right)]
+                pairs: list[np.ndarray] = []
+                for low in range(0, len(left), 32):
+                    equal = sigs[0][low : low + 32, None, :] == sigs[1][None, :, :]
+                    met = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
+                    ok = apart[low : low + 32] & (met.argmax(2) == band) & (equal.mean(2) >= floor)
+                    found = np.argwhere(ok)
+                    pairs.append(np.column_stack((found[:, 0] + low, found[:, 1], equal.sum(2)[ok])))
+                todo = np.concatenate(pairs)
+                if not len(todo):
+                    continue
+                used = [np.unique(todo[:, side]) for side in (0, 1)]
+                sets = [dict(zip(u.tolist(), _sets([rows[k]["z"] for k in u.tolist()]), strict=True)) for u, rows in zip(used, (left, right), strict=True)]
+                root: dict[int, int] = {}
+
+                def top(x: int, root: dict[int, int] = root) -> int:
+                    while (up := root.get(x, x)) != x:
+                        x = root[x] = root.get(up, up)
+                    return x
+
+                for i, j, _ in todo[np.argsort(-todo[:, 2], kind="stable")].tolist():  # the likeliest first
+                    x, y = top(left[i]["root"]), top(right[j]["root"])
+                    a, b = sets[0][i], sets[1][j]
+                    if x != y and similarity(a, b) >= threshold - 1e-12:
+                        root[max(x, y)] = min(x, y)
+                        out.append((left[i]["node"], right[j]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def between(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links between members (bucket, band, node, root) of different components that share a bucket."""
+    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    dealt = mixed.join(common.written(sizes, "sizes"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    full = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    blocks = full.groupBy("bucket", "band", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig", "z")).alias("left"))
+    blocks = common.written(blocks, "blocks")
+    alone = blocks.select("band", "left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
+    large = blocks.where("g > 1")
+    others = large.select("bucket", F.col("part").alias("other"), F.col("left").alias("right"))
+    pairs = large.join(others, "bucket").where("part < other").select("band", "left", "right")
+    found = alone.union(pairs).mapInArrow(_compared(threshold, FLOOR), "a long, b long")
+    return common.written(found, "links")
+
+
 def links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts (doc_id, z) are similar, as a table."""
     one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
@@ -200,48 +275,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     columns beyond doc_id and text are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.written(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = common.written(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
     known = signed.where("doc_id is not null")
     copies = common.written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "copies")
-    nodes = known.join(copies, ["k1", "k2"]).where("doc_id = node").select("node", "bands").dropDuplicates(["node"])
-    met = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = common.written(met.join(buckets, "bucket"), "met")  # bucket, node, n
-    heavy = met.groupBy("node").agg(F.sum("n").alias("w"))
-    met = common.written(met.select("bucket", "node").join(heavy, "node"), "weighed")  # node, bucket, w
-    # texts of the nodes that meet others, compressed, once
-    texts = rows.mapInArrow(_press, "doc_id long, z binary").join(heavy.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    nodes = known.join(copies, ["k1", "k2"]).where("doc_id = node").dropDuplicates(["node"])
+    met = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = common.written(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = common.written(met.join(buckets, "bucket"), "met")  # bucket, node, band, n
+    heavy = common.written(met.groupBy("node").agg(F.sum("n").alias("w")), "heavy")
+    met = common.written(met.drop("n").join(heavy, "node"), "weighed")
+    # texts of the nodes that meet others, compressed, and their signatures, once
+    wanted = nodes.select("node", "sig").join(heavy.select("node"), "node")
+    texts = rows.mapInArrow(_press, "doc_id long, z binary").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
     texts = common.written(texts, "texts")
 
-    order = F.struct("w", -F.col("node"))
-    pivots = common.written(met.groupBy("bucket").agg(F.max_by("node", order).alias("pivot")), "pivots")
-    stars = met.join(pivots, "bucket").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    pivots = met.groupBy("bucket").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("pivot"))
+    stars = met.join(common.written(pivots, "pivots"), "bucket").where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("node").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a")).select("a", F.col("node").alias("b"))
-    tested = common.written(best, "pairs")
-    edges = links(tested, texts, threshold)
-    labels = components(edges)
-    for again in (False, True):
-        rooted = met.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-        mixed = common.written(rooted.join(mixed, "bucket").join(pivots, "bucket"), "mixed")
-        if mixed.isEmpty():
-            break
-        main = mixed.where("node = pivot").select("bucket", F.col("root").alias("main"))
-        some = mixed.join(main, "bucket")
-        if again:  # all pairs of which one is outside the pivot's component
-            outside = some.where("root <> main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-            pairs = outside.join(some.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket").where("ra <> rb")
-        else:  # the bucket's pivot and the heaviest member outside the pivot's component
-            second = some.where("root <> main").groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("root").alias("ra")), order).alias("x")).select("bucket", "x.a", "x.ra")
-            chosen = second.union(some.where("node = pivot").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")))
-            pairs = chosen.join(some.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket").where("ra <> rb")
-        pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
-        tested = tested.union(pairs)
-        more = links(pairs, texts, threshold)
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    labels = components(links(common.written(best, "pairs"), texts, threshold))
+    rooted = met.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    mixed = common.written(rooted.join(common.written(split, "split"), "bucket"), "mixed")
+    more = between(mixed, texts, threshold)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     by_text = copies.join(labels, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
     return signed.join(by_text, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
 
