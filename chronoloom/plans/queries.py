@@ -4,7 +4,416 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoloom.functions import dates, features, lags, metrics
+from chronoloom.models import forecast as models
+from chronoloom.operators import clean, demand, hierarchy, outliers, rollup
+from chronoloom.series import Panel
+from chronoloom.streaming import streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+P = Panel("k")
+HOURS = Panel("k", freq="H")
+
+#: The series: SQL and the same columns in Spark.
+SOURCES = {
+    "orders": ("o_orderpriority", "o_orderdate", "o_totalprice"),
+    "events": ("event_type", "ts", "value"),
+    "users": ("user_id", "ts", "value"),
+    "parts": ("l_partkey", "l_shipdate", "l_quantity"),
+    "flags": ("l_returnflag", "l_shipdate", "l_quantity"),
+}
+TABLES = {"orders": "orders", "events": "events", "users": "events", "parts": "lineitem", "flags": "lineitem"}
+
+
+def _rows(spark: SparkSession, sf_dir: str, source: str = "orders", exact: bool = False) -> DataFrame:
+    key, time, value = SOURCES[source]
+    t = F.col(time).cast("timestamp_ntz") if exact else F.to_date(time)
+    return spark.read.parquet(f"{sf_dir}/{TABLES[source]}.parquet").select(F.col(key).cast("string").alias("k"), t.alias("ds"), F.col(value).cast("double").alias("y"))
+
+
+def _sql(source: str = "orders", exact: bool = False) -> str:
+    key, time, value = SOURCES[source]
+    kind = "TIMESTAMP" if exact else "DATE"
+    return f"s AS (SELECT CAST({key} AS VARCHAR) AS k, CAST({time} AS {kind}) AS ds, CAST({value} AS DOUBLE) AS y FROM {TABLES[source]})"
+
+
+def _out(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    """Doubles rounded, as sums depend on the order of their terms."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(f"`{c}`", digits).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in names or df.columns])
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+# Cleansing
+
+MERGED = {
+    "sum": "SELECT k, ds, coalesce(sum(y), 0) AS y FROM s GROUP BY k, ds",
+    "mean": "SELECT k, ds, avg(y) AS y FROM s GROUP BY k, ds",
+    "median": "SELECT k, ds, median(y) AS y FROM s GROUP BY k, ds",
+    "mode": "SELECT k, ds, y FROM (SELECT k, ds, y, row_number() OVER (PARTITION BY k, ds ORDER BY count(*) DESC, y) AS r FROM s WHERE y IS NOT NULL GROUP BY k, ds, y) WHERE r = 1",
+}
+CALENDAR = """c AS (
+  SELECT g.k, g.ds, d.y FROM (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS ds FROM (SELECT k, min(ds) AS lo, max(ds) AS hi FROM d GROUP BY k)) g
+  LEFT JOIN d ON d.k = g.k AND d.ds = g.ds)"""
+_PAST = "OVER (PARTITION BY k ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_NEXT = "OVER (PARTITION BY k ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+def _line(limit: int | None = None) -> str:
+    inside = f"i - pi <= {limit}" if limit else "true"
+    return f"""i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ds) AS i FROM c),
+  b AS (SELECT *, last_value(y IGNORE NULLS) {_PAST} AS pv, last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) {_PAST} AS pi, first_value(y IGNORE NULLS) {_NEXT} AS nv, first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) {_NEXT} AS ni FROM i),
+  l AS (SELECT k, ds, coalesce(y, CASE WHEN {inside} THEN CASE WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END END) AS y FROM b)"""
+
+
+def _chain(*parts: str, source: str = "orders", last: str, digits: int = 4, exact: bool = False) -> str:
+    return f"WITH {', '.join([_sql(source, exact), *parts])} SELECT k, ds, round(y, {digits}) AS y FROM {last}"
+
+
+for _how in clean.DUPLICATES:
+    query(f"dedupe_{_how}", _chain(f"d AS ({MERGED[_how]})", last="d"))(lambda s, d, how=_how: _out(clean.deduplicated(_rows(s, d), P, how)))
+for _fill in clean.FILLS:
+    _value = {"zero": "0", "mean": "avg(y) OVER (PARTITION BY k)", "median": "median(y) OVER (PARTITION BY k)"}[_fill]
+    query(f"fill_{_fill}", _chain(f"d AS ({MERGED['sum']})", CALENDAR, f"f AS (SELECT k, ds, coalesce(y, {_value}) AS y FROM c)", last="f"))(lambda s, d, how=_fill: _out(clean.filled(clean.completed(clean.deduplicated(_rows(s, d), P, "sum"), P), P, how)))
+_PIPE = (f"d AS ({MERGED['sum']})", CALENDAR)
+
+
+@query("calendar_complete", _chain(*_PIPE, last="c"))
+def calendar_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.completed(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))
+
+
+@query("calendar_hourly", f"WITH {_sql('events', True)}, d AS (SELECT k, date_trunc('hour', ds) AS ds, sum(y) AS y FROM s GROUP BY ALL), g AS (SELECT k, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ds FROM (SELECT k, min(ds) AS lo, max(ds) AS hi FROM d GROUP BY k)) SELECT g.k, g.ds, round(coalesce(d.y, 0), 4) AS y FROM g LEFT JOIN d ON d.k = g.k AND d.ds = g.ds")
+def calendar_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.cleansed(_rows(spark, sf_dir, "events", True), HOURS, "sum", "zero"))
+
+
+@query("interpolate_linear", _chain(*_PIPE, _line(), last="l"))
+def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.interpolated(clean.completed(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P), P))
+
+
+@query("interpolate_limit", _chain(*_PIPE, _line(1), last="l"))
+def interpolate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.interpolated(clean.completed(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P), P, limit=1))
+
+
+_ZERO = "f AS (SELECT k, ds, coalesce(y, 0) AS y FROM c)"
+
+
+def _pad(column: str, edge: str, low: str, high: str) -> str:
+    return _chain(*_PIPE, _ZERO, f"e AS (SELECT k, {edge}(ds) AS e, {'arg_min' if edge == 'min' else 'arg_max'}(y, ds) AS v FROM f GROUP BY k), p AS (SELECT k, CAST(unnest(generate_series({low}, {high}, INTERVAL 1 DAY)) AS DATE) AS ds, {column} AS y FROM e), u AS (SELECT * FROM f UNION ALL SELECT * FROM p)", last="u")
+
+
+_BACK, _AHEAD = "1994-11-15", "2001-12-24"
+for _name, _sql_text, _options in (
+    ("pad_zero_back", _pad("0.0", "min", f"DATE '{_BACK}'", "e - INTERVAL 1 DAY"), {"zero_back_to": _BACK}),
+    ("pad_repeat_back", _pad("v", "min", f"DATE '{_BACK}'", "e - INTERVAL 1 DAY"), {"repeat_back_to": _BACK}),
+    ("pad_repeat_forward", _pad("v", "max", "e + INTERVAL 1 DAY", f"DATE '{_AHEAD}'"), {"repeat_forward_to": _AHEAD}),
+):
+    query(_name, _sql_text)(lambda s, d, o=_options: _out(clean.cleansed(_rows(s, d), P, "sum", "zero", **o)))
+
+# Outliers
+
+_IQR = "q AS (SELECT *, quantile_cont(y, 0.25) OVER (PARTITION BY k) AS a, quantile_cont(y, 0.75) OVER (PARTITION BY k) AS b FROM s), o AS (SELECT k, ds, y, CASE WHEN y BETWEEN a - 2.2 * (b - a) AND b + 2.2 * (b - a) THEN 1 ELSE -1 END AS inlier FROM q)"
+
+
+@query("outlier_iqr", f"WITH {_sql('events', True)}, {_IQR} SELECT k, ds, y, inlier FROM o")
+def outlier_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.iqr(_rows(spark, sf_dir, "events", True), P)
+
+
+@query("outlier_zscore", f"WITH {_sql('events', True)}, m AS (SELECT *, median(y) OVER (PARTITION BY k) AS m, avg(y) OVER (PARTITION BY k) AS a, stddev_pop(y) OVER (PARTITION BY k) AS sd FROM s), z AS (SELECT *, median(abs(y - m)) OVER (PARTITION BY k) AS mad FROM m) SELECT k, ds, y, CASE WHEN CASE WHEN mad <> 0 THEN abs(0.6745 * (y - m) / mad) ELSE coalesce(abs((y - a) / nullif(sd, 0)), 0) END < 5 THEN 1 ELSE -1 END AS inlier FROM z")
+def outlier_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.modified_zscore(_rows(spark, sf_dir, "events", True), P)
+
+
+@query("outlier_rolling", f"""WITH {_sql('orders')}, d AS ({MERGED['sum']}), r AS (SELECT *, row_number() OVER w AS i, sum(y) OVER w AS c, count(*) OVER (PARTITION BY k) // 2 AS w, avg(y) OVER (PARTITION BY k) AS a FROM d WINDOW w AS (PARTITION BY k ORDER BY ds, y ROWS UNBOUNDED PRECEDING)),
+  v AS (SELECT r.k, r.ds, r.y, abs(r.y - CASE WHEN r.i < r.w THEN r.a ELSE (r.c - coalesce(p.c, 0)) / r.w END) AS off FROM r LEFT JOIN r p ON p.k = r.k AND p.i = r.i - r.w),
+  t AS (SELECT *, quantile_cont(off, 0.9) OVER (PARTITION BY k) AS top FROM v) SELECT k, ds, round(y, 4) AS y, CASE WHEN y <= top THEN 1 ELSE -1 END AS inlier FROM t""")
+def outlier_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(outliers.rolling_window(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))
+
+
+@query("outlier_cap", f"""WITH {_sql('orders')}, d AS ({MERGED['sum']}), {CALENDAR}, z AS (SELECT k, ds, coalesce(y, 0) AS y FROM c), r AS (SELECT *, CASE WHEN count(*) OVER w = 14 THEN abs(y - avg(y) OVER w) END AS off FROM z WINDOW w AS (PARTITION BY k ORDER BY ds ROWS 13 PRECEDING)),
+  t AS (SELECT *, quantile_cont(off, 0.95) OVER (PARTITION BY k) AS top FROM r) SELECT k, ds, round(y, 4) AS y, round(greatest(0, least(y, top)), 4) AS capped FROM t""")
+def outlier_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(outliers.capped(clean.completed(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P), P))
+
+
+@query("outlier_dbscan", f"""WITH {_sql('events', True)}, n AS (SELECT *, count(*) OVER (PARTITION BY k ORDER BY y RANGE BETWEEN 2.0 PRECEDING AND 2.0 FOLLOWING) >= 5 AS core FROM s),
+  m AS (SELECT *, max(CASE WHEN core THEN y END) OVER (PARTITION BY k ORDER BY y RANGE BETWEEN 2.0 PRECEDING AND CURRENT ROW) AS a, min(CASE WHEN core THEN y END) OVER (PARTITION BY k ORDER BY y RANGE BETWEEN CURRENT ROW AND 2.0 FOLLOWING) AS b FROM n)
+  SELECT k, ds, y, CASE WHEN a IS NULL AND b IS NULL THEN -1 ELSE 1 END AS inlier FROM m""")
+def outlier_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.dbscan(_rows(spark, sf_dir, "events", True), P).drop("cluster")
+
+
+@query("outlier_residual", f"""WITH {_sql('orders')}, d AS ({MERGED['sum']}), p AS (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY ds) AS x FROM d), f AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p GROUP BY k),
+  e AS (SELECT p.k, p.ds, p.y, pow(p.y - f.a - f.b * p.x, 2) AS e FROM p JOIN f ON f.k = p.k), t AS (SELECT *, avg(e) OVER (PARTITION BY k) + stddev_samp(e) OVER (PARTITION BY k) AS top FROM e)
+  SELECT k, ds, round(y, 4) AS y, CASE WHEN e IS NULL OR e < top THEN 1 ELSE -1 END AS inlier FROM t""")
+def outlier_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(outliers.residual(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))
+
+
+@query("stationarity", f"WITH {_sql('orders')}, d AS ({MERGED['sum']}), p AS (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY ds) AS x FROM d), f AS (SELECT k, regr_slope(y - x, x) AS b, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy, regr_count(y - x, x) AS n FROM p GROUP BY k) SELECT k, round(b / sqrt((syy - b * sxy) / ((n - 2) * sxx)), 4) AS statistic, b / sqrt((syy - b * sxy) / ((n - 2) * sxx)) <= -2.86 AS stationary FROM f")
+def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(outliers.stationary(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))
+
+
+# The pipeline, classes and weeks
+
+_CLEAN = (_IQR, "w AS (SELECT k, ds, CASE WHEN min(inlier) OVER (PARTITION BY k, ds) = 1 THEN y END AS y FROM o), d AS (SELECT k, ds, coalesce(sum(y), 0) AS y FROM w GROUP BY k, ds)", CALENDAR, _line(), "f AS (SELECT k, ds, coalesce(y, avg(y) OVER (PARTITION BY k)) AS y FROM l)")
+_LIMITED = (f"d AS ({MERGED['median']})", CALENDAR, _line(2), "f AS (SELECT k, ds, coalesce(y, avg(y) OVER (PARTITION BY k)) AS y FROM l)")
+
+
+@query("clean_pipeline", _chain(*_CLEAN, last="f"))
+def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.cleansed(_rows(spark, sf_dir), P, "sum", "mean", {"method": "linear"}, "iqr"))
+
+
+@query("clean_users", _chain(*_LIMITED, source="users", last="f"))
+def clean_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(clean.cleansed(_rows(spark, sf_dir, "users"), P, "median", "mean", {"method": "linear", "limit": 2}))
+
+
+_DEMAND = """t AS (SELECT k, CASE WHEN count(*) > 1 THEN date_diff('day', min(ds), max(ds)) / (count(*) - 1) END AS adi, CASE WHEN avg(y) = 0 THEN CASE WHEN var_samp(y) > 0 THEN CAST('inf' AS DOUBLE) END ELSE var_samp(y) / (avg(y) * avg(y)) END AS cv2, max(abs(y)) = 0 AS z FROM s GROUP BY k),
+  x AS (SELECT k, adi, cv2, CASE WHEN z THEN 'Zero' WHEN adi <= 1.34 AND cv2 <= 0.49 THEN 'Smooth' WHEN adi >= 1.34 AND cv2 >= 0.49 THEN 'Lumpy' WHEN adi < 1.34 AND cv2 > 0.49 THEN 'Erratic' WHEN adi > 1.34 AND cv2 < 0.49 THEN 'Intermittent' ELSE 'Zero' END AS classification FROM t)"""
+for _name, _source in (("classify_parts", "parts"), ("classify_users", "users"), ("classify_orders", "orders")):
+    query(_name, f"WITH {_sql(_source)}, {_DEMAND} SELECT k, round(adi, 4) AS adi, round(cv2, 4) AS cv2, classification FROM x")(lambda s, d, src=_source: _out(demand.classified(_rows(s, d, src), P)))
+
+_BY_CLASS = {"Smooth": {"duplicates": "sum", "fill": "zero"}, "Erratic": {"duplicates": "sum", "fill": "zero"}, "Intermittent": {"duplicates": "mean", "fill": "zero"}, "Lumpy": {"duplicates": "mean", "fill": "zero"}, "Zero": {"duplicates": "sum", "fill": "zero"}}
+
+
+@query("clean_by_class", f"""WITH {_sql('users')}, {_DEMAND}, d AS (SELECT s.k, s.ds, CASE WHEN any_value(x.classification) IN ('Intermittent', 'Lumpy') THEN avg(s.y) ELSE sum(s.y) END AS y FROM s JOIN x ON x.k = s.k GROUP BY s.k, s.ds), {CALENDAR}
+  SELECT k, ds, round(coalesce(y, 0), 4) AS y FROM c""")
+def clean_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "users")
+    return _out(clean.cleansed_by_class(rows, P, demand.classified(rows, P), _BY_CLASS))
+
+
+for _day, _shift in (("MON", 1), ("SUN", 0)):
+    query(f"weekly_{_day.lower()}", _chain(*_PIPE, _ZERO, f"w AS (SELECT k, CAST(ds - CAST((isodow(ds) - {_shift}) % 7 AS INTEGER) AS DATE) AS ds, sum(y) AS y FROM f GROUP BY ALL)", last="w"))(lambda s, d, day=_day: _out(rollup.weekly(clean.cleansed(_rows(s, d), P, "sum", "zero"), P, day)))
+
+
+@query("clean_weekly", _chain(*_PIPE, _line(), "f AS (SELECT k, ds, coalesce(y, 0) AS y FROM l)", "w AS (SELECT k, CAST(ds - CAST(isodow(ds) - 1 AS INTEGER) AS DATE) AS ds, sum(y) AS y FROM f GROUP BY ALL)", last="w"))
+def clean_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(rollup.weekly(clean.cleansed(_rows(spark, sf_dir), P, "sum", "zero", {"method": "linear"}), P))
+
+
+@query("stream_hourly", f"WITH {_sql('events', True)} SELECT k, date_trunc('hour', ds) AS ds, round(sum(y), 4) AS y, count(y) AS n FROM s GROUP BY ALL")
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up of streams, run here as a batch."""
+    return _out(streamed(_rows(spark, sf_dir, "events", True), HOURS).withColumn("ds", F.col("ds").cast("timestamp_ntz")))
+
+
+# Features
+
+_DAILY = (*_PIPE, _ZERO)
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.cleansed(_rows(spark, sf_dir), P, "sum", "zero")
+
+
+_W = "WINDOW w AS (PARTITION BY k ORDER BY ds)"
+
+
+@query("lags_3", f"WITH {', '.join([_sql(), *_DAILY])}, t AS (SELECT k, ds, y, lag(y, 1) OVER w AS lag_1, lag(y, 2) OVER w AS lag_2, lag(y, 3) OVER w AS lag_3, row_number() OVER w AS i FROM f {_W}) SELECT k, ds, round(y, 4) AS y, round(lag_1, 4) AS lag_1, round(lag_2, 4) AS lag_2, round(lag_3, 4) AS lag_3 FROM t WHERE i > 3")
+def lags_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(lags.lagged(_daily(spark, sf_dir), P, 3))
+
+
+@query("rolling_predictor", f"WITH {', '.join([_sql(), *_DAILY])}, t AS (SELECT k, ds, y, lag(y, 1) OVER w AS lag_1, lag(y, 2) OVER w AS lag_2, avg(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_mean, max(y) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS rolling_max, row_number() OVER w AS i FROM f {_W}) SELECT k, ds, round(y, 4) AS y, round(lag_1, 4) AS lag_1, round(lag_2, 4) AS lag_2, round(rolling_mean, 4) AS rolling_mean, round(rolling_max, 4) AS rolling_max FROM t WHERE i > 7")
+def rolling_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(lags.lagged(_daily(spark, sf_dir), P, 2, {"mean": 7, "max": 4}))
+
+
+_MADE = {"month": "month(ds)", "week": "CASE WHEN day(ds) <= 7 THEN 0 WHEN day(ds) <= 22 THEN 1 ELSE 2 END", "dayofweek": "isodow(ds) - 1", "dayofmonth": "day(ds)", "weekofyear": "week(ds)"}
+_TURNS = {"month": "month(ds) / 12", "week": f"({_MADE['week']}) / 3", "dayofweek": "(isodow(ds) - 1) / 7", "dayofmonth": "day(ds) / day(last_day(ds))", "weekofyear": "week(ds) / 52"}
+
+
+@query("date_features", f"WITH {', '.join([_sql(), *_DAILY])} SELECT k, ds, {', '.join(f'CAST({v} AS INTEGER) AS {n}' for n, v in _MADE.items())} FROM f")
+def date_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dates.with_features(_daily(spark, sf_dir), "ds", list(_MADE)).drop("y")
+
+
+@query("date_polar", f"WITH {', '.join([_sql(), *_DAILY])} SELECT k, ds, {', '.join(f'round({g}(2 * pi() * {v}), 6) + 0 AS {g}_{n}' for n, v in _TURNS.items() for g in ('sin', 'cos'))} FROM f")
+def date_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = dates.with_polar(_daily(spark, sf_dir), "ds", list(_TURNS)).drop("y")
+    return table.select("k", "ds", *[(F.round(c, 6) + 0).alias(c) for c in table.columns if c not in ("k", "ds")])
+
+
+@query("ts_features", f"""WITH {', '.join([_sql(), *_DAILY])}, a AS (SELECT k, ds, y, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY k) AS n, lag(y) OVER w AS y1, min(y) OVER (PARTITION BY k) AS lo, max(y) OVER (PARTITION BY k) AS hi, CASE WHEN row_number() OVER w >= 10 THEN avg(y) OVER (w ROWS 9 PRECEDING) END AS m, CASE WHEN row_number() OVER w >= 10 THEN var_samp(y) OVER (w ROWS 9 PRECEDING) END AS v FROM f {_W}),
+  b AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE greatest(ceil((y - lo) * 10 / (hi - lo)), 1) END AS bin, abs(m - lag(m, 10) OVER w) AS dm, abs(v - lag(v, 10) OVER w) AS dv, i // 10 AS seg FROM a {_W}),
+  c2 AS (SELECT *, CASE WHEN lag(bin) OVER w = bin THEN 0 ELSE 1 END AS turn FROM b {_W}), r AS (SELECT k, sum(turn) OVER (PARTITION BY k ORDER BY ds ROWS UNBOUNDED PRECEDING) AS run FROM c2),
+  r2 AS (SELECT k, max(c) AS flat_spots FROM (SELECT k, run, count(*) AS c FROM r GROUP BY k, run) GROUP BY k), g AS (SELECT k, var_pop(v) AS lumpiness FROM (SELECT k, seg, var_samp(y) AS v FROM b WHERE seg < n // 10 AND i % 10 <> 0 GROUP BY k, seg) GROUP BY k)
+  SELECT b.k, round(corr(b.y, b.y1), 4) AS acf1, round(max(dm), 2) AS level_shift, round(max(dv) / 1e6, 2) AS variance_change, count(*) FILTER (WHERE i >= 1 AND y <= (hi - lo) / 2) AS crossing_median, any_value(r2.flat_spots) AS flat_spots, round(any_value(g.lumpiness) / 1e12, 2) AS lumpiness FROM b JOIN r2 ON r2.k = b.k JOIN g ON g.k = b.k GROUP BY b.k""")
+def ts_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.featurized(_daily(spark, sf_dir), P)
+    return t.select("k", F.round("acf1", 4).alias("acf1"), F.round("level_shift", 2).alias("level_shift"), F.round(F.col("variance_change") / 1e6, 2).alias("variance_change"), "crossing_median", "flat_spots", F.round(F.col("lumpiness") / 1e12, 2).alias("lumpiness"))
+
+
+@query("cluster_series")
+def cluster_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.clusterized(clean.cleansed(_rows(spark, sf_dir, "users"), P, "sum", "zero"), P, k=4).select("k", "cluster")
+
+
+# Metrics: yesterday's value as the forecast
+
+_E = "1e-10"
+_M = f"""b AS (SELECT k, ds, y AS a, lag(y) OVER w AS p FROM f {_W}), e AS (SELECT k, ds, a, p, a - p AS e FROM b WHERE p IS NOT NULL),
+  v AS (SELECT *, lag(a) OVER w AS a1, lag(p) OVER w AS p1, avg(a) OVER (PARTITION BY k) AS mean FROM e {_W}),
+  x AS (SELECT *, CASE WHEN a = 0 THEN CASE WHEN e = 0 THEN 0 ELSE 1 END ELSE abs(e) / a END AS pe, e / (a - a1 + {_E}) AS re, CASE WHEN a1 IS NOT NULL THEN abs(e) / (abs(e) + abs(a - a1) + {_E}) END AS bre, abs(a - a1) AS naive, CASE WHEN a1 IS NOT NULL THEN CAST(sign(a - a1) = sign(p - p1) AS DOUBLE) END AS same FROM v)"""
+_SMAPE = f"2 * abs(e) / (abs(a) + abs(p) + {_E})"
+_SCALES = {
+    "mse": "avg(e * e)", "rmse": "sqrt(avg(e * e))", "nrmse": "sqrt(avg(e * e)) / (max(a) - min(a))", "me": "avg(e)", "mae": "avg(abs(e))", "mad": "avg(abs(e))", "wmape": f"sum(abs(e)) / (sum(a) + {_E})",
+    "gmae": "exp(avg(ln(nullif(abs(e), 0))))", "mdae": "median(abs(e))", "mpe": "avg(pe)", "mape": "avg(abs(pe))", "mdape": "median(abs(pe))", "smape": f"avg({_SMAPE})", "smdape": f"median({_SMAPE})",
+    "maape": f"avg(atan(abs(e / (a + {_E}))))", "mase": "avg(abs(e)) / avg(naive)", "std_ae": "sqrt((sum(e * e) - 2 * avg(abs(e)) * sum(e) + count(*) * avg(abs(e)) * avg(abs(e))) / (count(*) - 1))",
+    "std_ape": "sqrt((sum(pe * pe) - 2 * avg(abs(pe)) * sum(pe) + count(*) * avg(abs(pe)) * avg(abs(pe))) / (count(*) - 1))", "rmspe": "sqrt(avg(pe * pe))", "rmdspe": "sqrt(median(pe * pe))", "rmsse": "sqrt(avg(e * e)) / avg(naive)",
+    "inrse": f"sqrt(sum(e * e) / (sum((a - mean) * (a - mean)) + {_E}))", "rrse": f"sqrt(sum(e * e) / (sum((a - mean) * (a - mean)) + {_E}))", "mre": "avg(re)", "rae": f"sum(abs(e)) / (sum(abs(a - mean)) + {_E})", "mrae": "avg(abs(re))",
+    "mdrae": "median(abs(re))", "gmrae": "exp(avg(ln(nullif(abs(re), 0))))", "mbrae": "avg(bre)", "umbrae": "avg(bre) / (1 - avg(bre))", "mda": "avg(same)",
+}
+#: Measures of huge relative errors (by differences of about 0) are compared in fewer digits.
+_WIDE = ("mse", "mre", "mrae")
+
+
+def _scaled(name: str) -> int:
+    return -4 if name in _WIDE else 4
+
+
+@query("metrics_all", f"WITH {', '.join([_sql('flags'), *_DAILY, _M])} SELECT k, {', '.join(f'round({v}, {_scaled(n)}) AS {n}' for n, v in _SCALES.items())} FROM x GROUP BY k")
+def metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = clean.cleansed(_rows(spark, sf_dir, "flags"), P, "sum", "zero")
+    rows = daily.withColumn("p", F.lag("y").over(P.ordered()))
+    table = metrics.evaluated(rows, "y", "p", ["k"], "ds", "all")
+    return table.select("k", *[F.round(m, _scaled(m)).alias(m) for m in metrics.METRICS])
+
+
+@query("metrics_default", f"WITH {', '.join([_sql('orders'), *_DAILY, _M])} SELECT k, {', '.join(f'round({_SCALES[n]}, {_scaled(n)}) AS {n}' for n in metrics.DEFAULT)} FROM x GROUP BY k")
+def metrics_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _daily(spark, sf_dir).withColumn("p", F.lag("y").over(P.ordered()))
+    table = metrics.evaluated(rows, "y", "p", ["k"], "ds")
+    return table.select("k", *[F.round(m, _scaled(m)).alias(m) for m in metrics.DEFAULT])
+
+
+# Hierarchies: customers in nations in regions
+
+_NODES = "m AS (SELECT CAST(c.c_custkey AS VARCHAR) AS item, n.n_name AS nation, r.r_name AS region FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey)"
+_SALES = "o AS (SELECT o_orderstatus AS local, CAST(date_trunc('month', o_orderdate) AS DATE) AS ds, CAST(o_custkey AS VARCHAR) AS item, o_totalprice AS y FROM orders)"
+
+
+def _hierarchy(spark: SparkSession, sf_dir: str) -> hierarchy.Hierarchy:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    master = read("customer").join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    master = master.select(F.col("c_custkey").cast("string").alias("item"), F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    return hierarchy.Hierarchy(master, {"item": "nation", "nation": "region", "region": "total"}, "item", "local", "ds", "y")
+
+
+def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("local"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("ds"), F.col("o_custkey").cast("string").alias("item"), F.col("o_totalprice").alias("y"))
+
+
+@query("hier_aggregate", f"WITH {_NODES}, {_SALES}, j AS (SELECT o.local, o.ds, o.y, m.* FROM o JOIN m ON m.item = o.item) SELECT local, ds, round(sum(y), 4) AS y, code FROM (SELECT local, ds, y, unnest([item, nation || '|nation', region || '|region', 'total']) AS code FROM j) GROUP BY local, ds, code")
+def hier_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_hierarchy(spark, sf_dir).aggregated(_sales(spark, sf_dir)))
+
+
+@query("hier_parents", f"WITH {_NODES} SELECT DISTINCT item AS child, nation || '|nation' AS parent FROM m UNION SELECT DISTINCT nation || '|nation', region || '|region' FROM m UNION SELECT DISTINCT region || '|region', 'total' FROM m")
+def hier_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hierarchy(spark, sf_dir).edges()
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[hierarchy.Hierarchy, DataFrame]:
+    """Forecasts that do not add up: each region's month, and 1.1 times their sum."""
+    master = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("region"))
+    tree = hierarchy.Hierarchy(master, {"region": "total"}, "region", "local", "ds", "y")
+    deep = _hierarchy(spark, sf_dir)
+    sums = _sales(spark, sf_dir).join(deep.master, "item").groupBy("local", "ds", F.col("region").alias("code")).agg(F.sum("y").alias("y"))
+    top = sums.groupBy("local", "ds").agg((F.sum("y") * 1.1).alias("y")).select("local", "ds", F.lit("total").alias("code"), "y")
+    return tree, sums.select("local", "ds", "code", "y").union(top)
+
+
+_RECONCILED = f"WITH {_NODES}, {_SALES}, a AS (SELECT o.local, o.ds, m.region AS code, sum(o.y) AS y FROM o JOIN m ON m.item = o.item GROUP BY ALL), t AS (SELECT local, ds, sum(y) AS s, count(*) AS m, 0.1 * sum(y) / (count(*) + 1) AS d FROM a GROUP BY ALL) SELECT a.local, a.ds, a.code, round(a.y + t.d, 4) AS y FROM a JOIN t ON t.local = a.local AND t.ds = a.ds UNION ALL SELECT local, ds, 'total', round(s + m * d, 4) FROM t"
+
+
+@query("hier_reconcile_ols2", _RECONCILED)
+def hier_reconcile_ols2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, forecasts = _regions(spark, sf_dir)
+    return _out(tree.reconciled_two_levels(forecasts))
+
+
+@query("hier_reconcile_struct")
+def hier_reconcile_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, forecasts = _regions(spark, sf_dir)
+    return _out(tree.reconciled(forecasts, "wls_struct"), digits=2)
+
+
+# Forecasts of weekly orders
+
+WEEKS = Panel("k", freq="7D")
+
+
+def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.weekly(_daily(spark, sf_dir), P)
+
+
+_WEEKLY = "w AS (SELECT k, CAST(ds - CAST(isodow(ds) - 1 AS INTEGER) AS DATE) AS ds, sum(y) AS y FROM f GROUP BY ALL)"
+
+
+@query("regressor_ar1", f"""WITH RECURSIVE {', '.join([_sql(), *_DAILY, _WEEKLY])}, p AS (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY ds) AS x FROM w), g AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max(ds) AS last, arg_max(y, ds) AS y0 FROM p GROUP BY k),
+  h AS (SELECT k, a, b, last, 1 AS step, a + b * y0 AS y FROM g UNION ALL SELECT k, a, b, last, step + 1, a + b * y FROM h WHERE step < 4)
+  SELECT k, CAST(last + 7 * step AS DATE) AS ds, round(y) AS predictions FROM h""")
+def regressor_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "regressor", 4, {"lags": 1}), "k", "ds", "predictions", digits=0)
+
+
+@query("croston", f"""WITH {_sql('users')}, d AS ({MERGED['sum']}), {CALENDAR}, f AS (SELECT k, ds, coalesce(y, 0) AS y FROM c), i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ds) AS i FROM f),
+  z AS (SELECT k, y, i - coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), 0) AS q, row_number() OVER (PARTITION BY k ORDER BY i) AS j, count(*) OVER (PARTITION BY k) AS n FROM i WHERE y <> 0),
+  e AS (SELECT k, sum(y * CASE WHEN j = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - j) END) AS z, sum(q * CASE WHEN j = 1 THEN pow(0.9, n - 1) ELSE 0.1 * pow(0.9, n - j) END) AS p FROM z GROUP BY k), l AS (SELECT k, max(ds) AS last FROM f GROUP BY k)
+  SELECT l.k, CAST(l.last + 1 AS DATE) AS ds, round(coalesce(e.z / e.p, 0), 4) AS predictions FROM l LEFT JOIN e ON e.k = l.k""")
+def croston(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(models.forecast(clean.cleansed(_rows(spark, sf_dir, "users"), P, "sum", "zero"), P, "croston"), "k", "ds", "predictions")
+
+
+def _forecast(model: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, model, 4, **options), digits=2)
+
+
+for _model in ("fast_fourier_transform", "exponential_smoothing", "arima_univariate", "four_theta", "theta", "autoarima_univariate", "kalman", "prophet", "random_forest", "lgbm"):
+    QUERIES[f"forecast_{_model}"] = _forecast(_model)
+QUERIES["probabilistic_exponential_smoothing"] = _forecast("exponential_smoothing", samples=20)
+QUERIES["probabilistic_regressor"] = _forecast("regressor", samples=20)
+
+
+def _calendar(spark: SparkSession, weeks: DataFrame) -> DataFrame:
+    """A covariate for each week, past and to come: the month's sine."""
+    days = weeks.agg(F.min("ds").alias("a"), F.max("ds").alias("b")).select(F.explode(F.sequence("a", F.date_add("b", 70), F.expr("interval 7 days"))).alias("ds"))
+    month: Column = F.sin(2 * F.pi() * F.month("ds") / 12)
+    return days.select("ds", month.alias("season"))
+
+
+@query("forecast_regressor_covariates")
+def forecast_regressor_covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = _weekly(spark, sf_dir)
+    return _out(models.forecast(weeks, WEEKS, "regressor", 4, {"lags": 3}, _calendar(spark, weeks)), digits=2)
+
+
+@query("forecast_by_class")
+def forecast_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir, "users")
+    daily = clean.cleansed(rows, P, "sum", "zero")
+    plans = {"Smooth": {"model": "exponential_smoothing"}, "Erratic": {"model": "theta"}, "Intermittent": {"model": "croston"}, "Lumpy": {"model": "croston"}, "Zero": {"model": "croston"}}
+    return _out(models.forecast_by_class(daily, P, demand.classified(rows, P), plans, 2))

@@ -1 +1,5 @@
+"""Reading panels of series from files."""
 
+from chronoloom.sources.panels import read_panel
+
+__all__ = ["read_panel"]
