@@ -26,7 +26,7 @@ from . import common
 
 FOLDS, TEST_FOLD, HELD_FOLD = 7, 2, 3
 #: Bytes of text that share requests; bytes of input for each bucket of n-grams.
-BATCH, BUCKET = 12_000_000, 12_000_000
+BATCH, BUCKET = 4_000_000, 6_000_000
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Context frequencies fall into buckets by powers of two; ratios of estimates into bins of an eighth of a power of two.
 FREQUENCIES, BINS, FINE = 48, 1024, 8
