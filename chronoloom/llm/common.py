@@ -40,6 +40,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Hashes:
+    """Polynomial hashes modulo 2**64 of all substrings of a byte array, finalised."""
+
+    _kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, seed: int):
+        values, power, self.back = self._of(seed, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
+
+    @classmethod
+    def _of(cls, seed: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the bytes, and powers of a random base and of its inverse."""
+        if seed not in cls._kept or len(cls._kept[seed][1]) < least:
+            random = np.random.default_rng(seed)
+            base = int(random.integers(0, 1 << 63)) * 2 + 1
+            values = random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            size = 1 << max(least - 1, 1 << 20).bit_length()
+            powers = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                out = np.ones(size, np.uint64)
+                done = 1
+                while done < size:
+                    out[done : 2 * done] = out[:done] * np.uint64(pow(b, done, 1 << 64))
+                    done *= 2
+                powers.append(out)
+            cls._kept[seed] = (values, *powers)
+        return cls._kept[seed]
+
+    def grams(self, size: int) -> np.ndarray:
+        return mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+
+
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: (codes, offsets, dictionary).
 

@@ -8,11 +8,13 @@ length, and looks up each piece's sequence and offset in the solved runs.
 
 from __future__ import annotations
 
+import os
 import re
-import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,36 +117,49 @@ class WordTokenizer:
     does not behave so on a probe text, whole texts are tokenised.
     """
 
-    #: Parts of words are remembered in two generations of at most so many each.
-    KEEP = 250_000
+    #: So many parts of words are remembered, by a 64-bit hash; beyond, all are forgotten.
+    KEEP = 2_000_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
         # A special token's string holds no white space, so it stays inside one word.
         probe = "It's  Éa,b. x1y22 ... naïve\tfoo_bar <|endoftext|>z\n你好 Word,. a.,"
         whole = self._lists([probe])[0]
         self.by_word = whole == [i for w in self._lists(re.findall(r"[^\x20\x09-\x0D]+", probe)) for i in w] and self._lists(["Éa,."])[0] == sum(self._lists(["éa", ",."]), [])
 
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted, with the place and number of each part's ids
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each distinct part of a word, as little-endian 32-bit integers."""
-        young, old = self.young, self.old
-        out = [young.get(x) or old.get(x) for x in parts]
-        new = [k for k, x in enumerate(out) if x is None]
-        for low in range(0, len(new), 20_000):
-            some = new[low : low + 20_000]
-            for k, ids in zip(some, self._lists([parts[k] for k in some]), strict=True):
-                out[k] = struct.pack(f"<{len(ids)}I", *ids)
-        young.update(zip(parts, out, strict=True))
-        if len(young) > self.KEEP:
-            self.young, self.old = {}, young
-        return out
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Tokenise parts that are not remembered."""
+        order = np.argsort(hashes, kind="stable")
+        sizes = np.zeros(len(texts), np.int64)
+        starts = np.zeros(len(texts), np.int64)
+        for low in range(0, len(texts), 10_000):
+            lists = self._lists(texts[low : low + 10_000])
+            n = np.array([len(x) for x in lists], np.int64)
+            flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum()))
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)))
+            self.ids[self.used : self.used + len(flat)] = flat
+            sizes[low : low + len(n)], starts[low : low + len(n)] = n, self.used + np.cumsum(n) - n
+            self.used += len(flat)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.place, self.size = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, starts[order]), np.insert(self.size, at, sizes[order])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts; a null text has no ids."""
@@ -152,29 +167,51 @@ class WordTokenizer:
             each = [np.array(x, np.uint32) for x in self._lists([x or "" for x in texts.to_pylist()])]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
         codes, offsets, words = common.words_of(texts)
+        if not len(words):
+            return np.zeros(0, np.uint32), offsets
         core = pc.ascii_rtrim(words, ".,")
         # below U+0250 (two bytes up to C9 8F) lower() maps each letter by itself and nothing composes
         plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, "[^\x00-\u024f]|İ")))
-        first = pc.if_else(plain, pc.utf8_lower(core), words)
-        cut = pc.binary_length(core).to_numpy(zero_copy_only=False)
-        full = pc.binary_length(words).to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (cut < full))
-        rest = [w[len(c) :] for w, c in zip(words.take(pa.array(ends)).to_pylist(), core.take(pa.array(ends)).to_pylist(), strict=True)]
-        # each word is its first part, then its punctuation (part 0 is empty)
-        heads = first.dictionary_encode()
-        marks = sorted(set(rest))
-        number = {m: k + 1 for k, m in enumerate(marks)}
-        table = [b"", *self._parts(marks), *self._parts(heads.dictionary.to_pylist())]
-        second = np.zeros(len(words), np.int64)
-        second[ends] = [number[m] for m in rest]
-        both = np.stack([heads.indices.to_numpy().astype(np.int64) + len(marks) + 1, second], 1)[codes].ravel()
-        sizes = np.array([len(x) // 4 for x in table], np.int64)
-        flat = np.frombuffer(b"".join(table), "<u4")
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[both]
+        heads = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
+        data, ends = _bytes_of(heads.dictionary)
+        head = common.Hashes(data, 3).of(ends[:-1], ends[1:])
+        # a word's punctuation lies behind its core, in the words' own bytes
+        data, ends = _bytes_of(words)
+        behind = plain.to_numpy(zero_copy_only=False) & (pc.binary_length(core).to_numpy(zero_copy_only=False) < np.diff(ends))
+        start = np.where(behind, ends[:-1] + pc.binary_length(core).to_numpy(zero_copy_only=False), ends[1:])
+        marks = common.Hashes(data, 3).of(start, ends[1:])
+        for hashes, texts_of in ((head, lambda k: heads.dictionary.take(pa.array(k)).to_pylist()), (marks, lambda k: [data[start[i] : ends[i + 1]].tobytes().decode() for i in k.tolist()])):
+            distinct, first = np.unique(hashes, return_index=True)
+            new = ~self._known(distinct)
+            if new.any():
+                self._learn(distinct[new], texts_of(first[new]))
+        at = np.stack([np.searchsorted(self.keys, head)[heads.indices.to_numpy()], np.searchsorted(self.keys, marks)], 1)
+        place, size = self.place[at], self.size[at]
+        n = size.sum(1)[codes]
         stops = np.concatenate(([0], np.cumsum(n)))
-        at = np.repeat(starts[both] - stops[:-1], n) + np.arange(stops[-1])
-        return flat[at], stops[2 * offsets]
+        # ids of each distinct word laid end to end, then of each word in turn
+        parts = size.ravel()
+        laid = np.cumsum(parts) - parts
+        own = self.ids[np.repeat(place.ravel() - laid, parts) + np.arange(parts.sum())]
+        out = own[np.repeat(laid[::2][codes] - stops[:-1], n) + np.arange(stops[-1])]
+        if len(self.keys) > self.KEEP:
+            self._forget()
+        return out, stops[offsets]
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an array of strings without nulls."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker process."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -182,7 +219,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(path)
+        encode = word_tokenizer(path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in common.sub_batches(batches, most=4_000_000):
             ids, offsets = encode(batch.column("text"))

@@ -160,41 +160,6 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, m: np.ndarray, window
     return [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-class Hashes:
-    """Polynomial hashes modulo 2**64 of all substrings of a byte array, finalised."""
-
-    _kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: np.ndarray, seed: int):
-        self.powers = self._of(seed)
-        values, power, _ = self.powers
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
-
-    @classmethod
-    def _of(cls, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if seed not in cls._kept:
-            random = np.random.default_rng(seed)
-            base = int(random.integers(0, 1 << 63)) * 2 + 1
-            size = SLICE + 2 * WINDOW
-            power, back = np.empty(size, np.uint64), np.empty(size, np.uint64)
-            for out, b in ((power, base), (back, pow(base, -1, 1 << 64))):
-                out[0] = 1
-                done = 1
-                while done < size:
-                    more = min(done, size - done)
-                    out[done : done + more] = out[:more] * np.uint64(pow(b, done, 1 << 64))
-                    done += more
-            cls._kept[seed] = random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), power, back
-        return cls._kept[seed]
-
-    def grams(self, size: int) -> np.ndarray:
-        return common.mixed((self.sums[size:] - self.sums[:-size]) * self.powers[2][: len(self.sums) - size])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return common.mixed((self.sums[end] - self.sums[start]) * self.powers[2][start])
-
-
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start of the first window, windows, anchor's distance, key, hash) of all contexts in texts laid end to end."""
     n = len(data)
@@ -205,7 +170,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = np.flatnonzero(doc[: n - WINDOW + 1] == doc[WINDOW - 1 :])
     if not len(valid):
         return empty, empty, empty, empty, empty
-    gram = Hashes(data, 1).grams(GRAM)
+    gram = common.Hashes(data, 1).grams(GRAM)
     least = (gram & ~SHIFT) | np.arange(len(gram), dtype=np.uint64)  # of equal grams the first counts
     reach = 1
     while reach < SPAN:
@@ -217,7 +182,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     base, x = valid[new], at[new]
     m = np.diff(np.append(new, len(valid)))
     left = x - base
-    h = Hashes(data, 2).of(base, base + m + WINDOW - 1)
+    h = common.Hashes(data, 2).of(base, base + m + WINDOW - 1)
     h = common.mixed(h ^ common.mixed((m * 256 + left).astype(np.uint64)))
     return base, m, left, gram[x].view(np.int64), h.view(np.int64)
 
@@ -400,7 +365,7 @@ def spans(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """row, spans (start, end): the maximal byte runs that repeated windows cover, of documents (row, text) that have any."""
     found = docs.select("row", "text").mapInArrow(_find, ANCHORS)
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    found = common.written(found.join(repeated, "key"), "anchors")
+    found = common.written(found.join(common.written(repeated, "repeated"), "key"), "anchors")
     kinds = found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
     kinds = common.written(kinds, "contexts")
     keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
