@@ -4,15 +4,15 @@ The piece lattice of a text has an edge for each vocabulary piece that matches
 somewhere; a segmentation's probability is proportional to the product of its
 pieces' weights. No piece of the vocabulary has a word mark behind another
 character (this is checked), so the lattice falls apart at word starts, and a
-batch needs the forward filter once for each distinct word. Backward sampling
+worker runs the forward filter once for each distinct word. Backward sampling
 then runs over all words of a batch together, each drawing from random numbers
 that depend on the row's key, the word's place in the text and the seed alone.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,7 @@ class Lattice:
         self.piece, self.weight = np.array(piece), np.array(weight)
         self.fallback = -alpha * float(np.log(model.get_piece_size() + 2))
         self.sizes = np.array([len(s) for s in self.surface], np.int64)
+        self.forget()
 
     def edges(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece, weight) of all edges over ``data``; ``ends[i]``: the end of the word that holds byte i.
@@ -146,15 +147,33 @@ class Lattice:
         starts = np.searchsorted(target, np.arange(len(mass) + 1))
         return {"source": source, "piece": piece, "share": np.minimum(share, 1.0) + target, "starts": starts, "end": first[1:] + np.arange(len(words)), "begin": first[:-1] + np.arange(len(words)), "mass": mass}
 
+    def add(self, words: list[bytes]) -> None:
+        """Append the filtered lattices of ``words`` to those that are kept."""
+        new, old = self.words(words), self.net
+        nodes, edges = len(old["starts"]) - 1, len(old["source"])
+        for name, by in (("source", nodes), ("piece", 0), ("share", nodes), ("end", nodes), ("begin", nodes)):
+            self.net[name] = np.concatenate((old[name], (new[name] + by).astype(old[name].dtype)))
+        self.net["starts"] = np.concatenate((old["starts"][:-1], (new["starts"] + edges).astype(old["starts"].dtype)))
+
+    def forget(self) -> None:
+        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the words, sorted, and their numbers
+        none = np.zeros(0, np.int32)
+        self.net = {"source": none, "piece": none, "share": np.zeros(0), "starts": np.zeros(1, np.int32), "end": none, "begin": none}
+
     def sample(self, net: dict[str, np.ndarray], codes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a segmentation of each word occurrence: (pieces, offsets); ``state``: its random state."""
-        node, begin = net["end"][codes].copy(), net["begin"][codes]
+        node, begin = net["end"][codes].astype(np.int64), net["begin"][codes]
         live = np.flatnonzero(node > begin)
         steps, step = [], 0
         while len(live):
             u = (common.mixed(state[live] + np.uint64((step + 1) * int(common.GOLD) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            low, high = net["starts"][node[live]], net["starts"][node[live] + 1]
-            at = np.clip(np.searchsorted(net["share"], node[live] + u, "right"), low, high - 1)
+            at, last = net["starts"][node[live]].copy(), net["starts"][node[live] + 1] - 1
+            mark = node[live] + u
+            todo = np.flatnonzero(at < last)
+            while len(todo):  # a node has a few edges
+                todo = todo[net["share"][at[todo]] <= mark[todo]]
+                at[todo] += 1
+                todo = todo[at[todo] < last[todo]]
             steps.append((live, net["piece"][at]))
             node[live] = net["source"][at]
             live = live[node[live] > begin[live]]
@@ -173,35 +192,59 @@ class Lattice:
         return b"".join(self.surface[i] for i in ids)[1:].decode()
 
 
-#: Spaces, then what is not a space: a word with the marks before it. Only a text's last word may be spaces alone.
-WORD = re.compile(rb" +[^ ]+| +|[^ ]+")
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, texts' first words) of texts without nulls, each with a space put before it.
+
+    A word is spaces and what follows up to the next space, so only a text's last
+    word may be spaces alone. An empty text has no words.
+    """
+    raw = [b" " + t.encode() if t else b"" for t in texts.to_pylist()]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([0, *map(len, raw)])
+    space = data == 0x20
+    head = space.copy()
+    head[1:] &= ~space[:-1]
+    head[ends[:-1][np.diff(ends) > 0]] = True
+    starts = np.flatnonzero(head)
+    return data, starts, np.searchsorted(starts, ends)
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(distinct words, code of each word, offsets of the texts); a leading space is put before each text."""
-    codes: list[int] = []
-    seen: dict[bytes, int] = {}
-    offsets = [0]
-    for text in texts.to_pylist():
-        codes.extend([seen.setdefault(w, len(seen)) for w in WORD.findall(b" " + text.encode())] if text else ())
-        offsets.append(len(codes))
-    return list(seen), np.array(codes, np.int64), np.array(offsets, np.int64)
+#: So many distinct words' lattices are kept from batch to batch; beyond, all are forgotten.
+KEEP = 250_000
 
 
 def encode_batch(lattice: Lattice, keys: list[object], texts: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids, offsets) of a batch of texts, sampled by row key."""
-    words, codes, offsets = split_words(pc.fill_null(texts.cast(pa.large_string()), ""))
-    if not len(codes):
+    if len(lattice.keys) > KEEP:
+        lattice.forget()
+    data, starts, offsets = split_words(pc.fill_null(texts.cast(pa.large_string()), ""))
+    if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    net = lattice.words(words)
+    stops = np.append(starts[1:], len(data))
+    hashes = common.Hashes(data, 5).of(starts, stops)
+    distinct, first = np.unique(hashes, return_index=True)
+    at = np.searchsorted(lattice.keys, distinct)
+    new = ~np.isin(distinct, lattice.keys, assume_unique=True)
+    if new.any():
+        known = len(lattice.keys)
+        lattice.add([data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+        lattice.keys = np.insert(lattice.keys, at[new], distinct[new])
+        lattice.codes = np.insert(lattice.codes, at[new], known + np.arange(int(new.sum())))
+    codes = lattice.codes[np.searchsorted(lattice.keys, hashes)]
     row = np.array([xxhash.xxh3_64_intdigest(str(k), seed) for k in keys], np.uint64)
     n = np.diff(offsets)
     place = np.arange(len(codes)) - np.repeat(offsets[:-1], n)
     state = common.mixed(np.repeat(row, n) + place.astype(np.uint64) * common.MIX2)
-    ids, ends = lattice.sample(net, codes, state)
+    ids, ends = lattice.sample(lattice.net, codes, state)
     return ids, ends[offsets]
 
 
+@lru_cache(1)
+def lattice_of(path: str, alpha: float = ALPHA) -> Lattice:
+    """One lattice for all tasks of a worker process."""
+    return Lattice(path, alpha)
+
+
 def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, ids: a sampled segmentation of each whole text.
 
@@ -214,7 +257,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path, alpha)
+        lattice = lattice_of(path, alpha)
         for batch in common.sub_batches(batches, most=2_000_000):
             ids, offsets = encode_batch(lattice, batch.column("doc_id").to_pylist(), batch.column("text"), seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), common.packed(ids, offsets, pa.int32())], names=["doc_id", "ids"])
@@ -227,7 +270,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(path)
+        lattice = lattice_of(path)
         for batch in batches:
             texts = [lattice.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
