@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +13,12 @@ from chronoloom.series import Panel
 ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
 
 
-def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int] | None = None, covariates: DataFrame | None = None, on: Sequence[str] | None = None) -> DataFrame:
+def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int | tuple[Callable[[Column], Column], int]] | None = None, covariates: DataFrame | None = None, on: Sequence[str] | None = None) -> DataFrame:
     """keys, time, target, lag_1 .. lag_n (and rolling_<name>, covariates) of rows with a full history.
 
-    ``rolling`` maps a predictor's name to its window, which ends one row before;
-    a window must not be shorter than ``lags``. ``covariates`` are joined by time
+    ``rolling`` maps a predictor's name to its window, which ends one row before,
+    or to a function of the window's values (an array in order) and the window; a
+    window must not be shorter than ``lags``. ``covariates`` are joined by time
     (and by keys that they hold); a training row without them raises an error.
     """
     if not isinstance(lags, int) or lags < 1:
@@ -25,12 +26,15 @@ def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int] |
     rows, w = panel.checked(df), panel.ordered()
     made: list[Column] = [F.lag(panel.target, k).over(w).alias(f"lag_{k}") for k in range(1, lags + 1)]
     need = lags
-    for name, width in (rolling or {}).items():
-        if name not in ROLLING:
+    for name, spec in (rolling or {}).items():
+        function, width = spec if isinstance(spec, tuple) else (None, spec)
+        if not function and name not in ROLLING:
             raise OptionError(f"rolling predictor: one of {tuple(ROLLING)}, not {name!r}")
         if width < lags:
             raise OptionError("a rolling window must not be shorter than the lags")
-        made.append(ROLLING[name](panel.target).over(w.rowsBetween(-width, -1)).alias(f"rolling_{name}"))
+        frame = w.rowsBetween(-width, -1)
+        value = function(F.collect_list(panel.target).over(frame)) if function else ROLLING[name](panel.target).over(frame)
+        made.append(value.alias(f"rolling_{name}"))
         need = max(need, width)
     out = rows.select("*", *made, F.row_number().over(w).alias("_i")).where(F.col("_i") > need).drop("_i")
     if covariates is None:

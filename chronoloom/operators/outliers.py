@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,76 @@ def capped(df: DataFrame, panel: Panel, window: int = 14, quantile: float = 0.95
     return rows.withColumn("capped", F.when(F.col("_top").isNull(), F.col(panel.target)).otherwise(F.greatest(F.lit(0.0), F.least(F.col(panel.target), F.col("_top"))))).drop("_off", "_top")
 
 
-METHODS = {"iqr": iqr, "modified_zscore": modified_zscore, "rolling_window": rolling_window, "dbscan": dbscan, "residual": residual}
+def _t_quantile(p: Column, freedom: Column) -> Column:
+    """Student's t quantile for p over 1/2: the normal quantile (Acklam's rational approximation) and its expansion in 1/freedom."""
+    # fixed values: coefficients of the approximation
+    a = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
+    b = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1)
+    c = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+    d = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416)
+
+    def poly(x: Column, k: tuple[float, ...]) -> Column:
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out
+
+    q = p - 0.5
+    middle = poly(q * q, a) * q / (poly(q * q, b) * q * q + 1)
+    far = F.sqrt(-2 * F.log(F.greatest(1 - p, F.lit(1e-300))))
+    z = F.when(p <= 0.97575, middle).otherwise(-poly(far, c) / (poly(far, d) * far + 1))
+    g1 = (z**3 + z) / 4
+    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
+    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+    g4 = (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160
+    return z + g1 / freedom + g2 / freedom**2 + g3 / freedom**3 + g4 / freedom**4
+
+
+def grubbs(df: DataFrame, panel: Panel, alpha: float = 0.05) -> DataFrame:
+    """One row a series: the largest deviation in standard deviations, its critical value, and whether there is an outlier.
+
+    Series under three values, or without spread, have none.
+    """
+    y, w = F.col(panel.target), panel.by()
+    rows = df.where(y.isNotNull()).withColumn("_d", F.abs(y - F.avg(y).over(w)))
+    s = rows.groupBy(*panel.keys).agg(F.try_divide(F.max("_d"), F.stddev_samp(y)).alias("statistic"), F.count(y).cast("double").alias("n"))
+    t = _t_quantile(1 - alpha / (2 * F.col("n")), F.greatest(F.col("n") - 2, F.lit(1.0)))
+    critical = (F.col("n") - 1) / F.sqrt("n") * F.sqrt(t * t / (F.col("n") - 2 + t * t))
+    return s.withColumn("critical", F.when(F.col("n") > 2, critical)).select(*panel.keys, "statistic", "critical", F.coalesce(F.col("statistic") >= F.col("critical"), F.lit(False)).alias("outlier"))
+
+
+def isolation_forest(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1) -> DataFrame:
+    """Outliers have an isolation score of at least ``threshold``; random cuts of samples of each series, seeded by its rows alone."""
+    names = df.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(panel.time, kind="stable")
+        y = pdf[panel.target].to_numpy(float)
+        known = y[~np.isnan(y)]
+        random, depth = np.random.default_rng(seed), np.zeros(len(y))
+        size = min(sample, len(known))
+        usual = lambda n: np.where(n > 1, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), 0.0)
+        for _ in range(trees if size > 1 else 0):
+            some = np.sort(random.choice(known, size, replace=False))
+            low, high, steps = np.full(len(y), some[0]), np.full(len(y), some[-1]), np.zeros(len(y))
+            for _ in range(int(np.ceil(np.log2(size)))):  # each row goes down its own side of the cut of its node
+                cut = low + (high - low) * (np.modf(np.sin(low * 12.9898 + high * 78.233 + random.random()) * 43758.5453)[0] % 1)
+                live = high > low
+                steps += live
+                right = live & (y > cut)
+                low, high = np.where(right, cut, low), np.where(live & ~right, cut, high)
+                inside = np.searchsorted(some, high, "right") - np.searchsorted(some, low, "left")
+                high = np.where(inside <= 1, low, high)
+            depth += steps + usual(np.maximum(np.searchsorted(some, high, "right") - np.searchsorted(some, low, "left"), 1))
+        score = 2.0 ** (-depth / trees / max(float(usual(np.array(size))), 1e-9)) if size > 1 else np.zeros(len(y))
+        pdf["inlier"] = np.where((score >= threshold) & ~np.isnan(y), -1, 1)
+        return pdf[[*names, "inlier"]]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*panel.keys).applyInPandas(run, f"{schema}, inlier int")
+
+
+METHODS = {"iqr": iqr, "modified_zscore": modified_zscore, "rolling_window": rolling_window, "dbscan": dbscan, "residual": residual, "isolation_forest": isolation_forest}
 
 
 def marked(df: DataFrame, panel: Panel, method: str, **options: float) -> DataFrame:

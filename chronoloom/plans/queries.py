@@ -411,6 +411,25 @@ def forecast_regressor_covariates(spark: SparkSession, sf_dir: str) -> DataFrame
     return _out(models.forecast(weeks, WEEKS, "regressor", 4, {"lags": 3}, _calendar(spark, weeks)), digits=2)
 
 
+for _name, _extra in (("arima", {}), ("autoarima", {}), ("regressor_darts", {}), ("statsforecast_autoarima", {"samples": 20})):
+
+    def _covariates(spark: SparkSession, sf_dir: str, model: str = _name, extra: dict = _extra) -> DataFrame:
+        weeks = _weekly(spark, sf_dir)
+        return _out(models.forecast(weeks, WEEKS, model, 4, None, _calendar(spark, weeks), **extra), digits=2)
+
+    QUERIES[f"forecast_{_name}"] = _covariates
+
+
+@query("grubbs")
+def grubbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(outliers.grubbs(_rows(spark, sf_dir, "events", True), P))
+
+
+@query("outlier_isolation_forest")
+def outlier_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.isolation_forest(_rows(spark, sf_dir, "users", True), P)
+
+
 @query("forecast_by_class")
 def forecast_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, "users")

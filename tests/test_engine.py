@@ -108,6 +108,22 @@ def test_detectors_find_spikes(spark, method):
         assert sorted(found) == [10_000, 20_000]
 
 
+def test_grubbs(spark):
+    # critical values of published tables at 0.05, two-sided
+    for n, want in ((10, 2.290), (30, 2.908), (100, 3.384)):
+        random = np.random.default_rng(n)
+        y = random.normal(size=n)
+        row = outliers.grubbs(series(spark, y.tolist()), P).first()
+        assert abs(row["critical"] - want) < 0.002 and math.isclose(row["statistic"], np.abs(y - y.mean()).max() / y.std(ddof=1), rel_tol=1e-9)
+    assert outliers.grubbs(series(spark, [1, 2] * 20 + [500]), P).first()["outlier"]
+    assert not outliers.grubbs(series(spark, [1, 1]), P).first()["outlier"]
+
+
+def test_custom_rolling_predictor(spark):
+    out = lags.lagged(series(spark, [1, 2, 4, 8, 16]), P, 2, {"spread": (lambda a: F.array_max(a) - F.array_min(a), 3)}).orderBy("ds").collect()
+    assert [r["rolling_spread"] for r in out] == [3, 6]
+
+
 def test_dbscan_clusters(spark):
     df = series(spark, [0, 0.5, 1, 10, 10.5, 11, 50])
     out = {r["y"]: r["cluster"] for r in outliers.dbscan(df, P, 1.0, 2).collect()}
