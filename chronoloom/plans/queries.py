@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import dates, features, lags, metrics
 from chronoloom.models import forecast as models
+from chronoloom.models.intervals import bootstrap_interval
 from chronoloom.operators import clean, demand, hierarchy, outliers, rollup
 from chronoloom.series import Panel
 from chronoloom.streaming import streamed
@@ -398,6 +399,9 @@ QUERIES["probabilistic_exponential_smoothing"] = _forecast("exponential_smoothin
 QUERIES["probabilistic_regressor"] = _forecast("regressor", samples=20)
 
 
+QUERIES["probabilistic_bootstrap"] = lambda spark, sf_dir: _out(bootstrap_interval(_weekly(spark, sf_dir), WEEKS, 3, 2), digits=2)
+
+
 def _calendar(spark: SparkSession, weeks: DataFrame) -> DataFrame:
     """A covariate for each week, past and to come: the month's sine."""
     days = weeks.agg(F.min("ds").alias("a"), F.max("ds").alias("b")).select(F.explode(F.sequence("a", F.date_add("b", 70), F.expr("interval 7 days"))).alias("ds"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chronoloom import errors
 from chronoloom.functions import dates, lags, metrics
 from chronoloom.models import forecast as models
+from chronoloom.models.intervals import bootstrap_interval
 from chronoloom.operators import clean, demand, hierarchy, outliers, rollup
 from chronoloom.series import Panel
 from chronoloom.sources import read_panel
@@ -266,6 +267,21 @@ def test_covariates_must_reach_the_horizon(spark):
     assert models.forecast(df, P, "regressor", 3, {"lags": 2}, cover(61)).first()["error"] == "covariates do not cover the horizon"
 
 
+def test_bootstrap_interval(spark):
+    random = np.random.default_rng(2)
+    y = [0.0]
+    for _ in range(150):
+        y.append(0.6 * y[-1] + random.normal())
+    df = series(spark, y).union(series(spark, [1, 2], "short"))
+    out = bootstrap_interval(df, P, 2, 3, 0.1, 0.9).orderBy("ds").collect()
+    assert [r["ds"] for r in out] == [DAY + dt.timedelta(151 + h) for h in range(3)] and {r["k"] for r in out} == {"a"}
+    point = {r["ds"]: r["predictions"] for r in models.forecast(df, P, "regressor", 3, {"lags": 2}).where("error is null").collect()}
+    for r in out:
+        assert math.isclose(r["predictions"], point[r["ds"]], rel_tol=1e-9)
+        # residuals of noise with deviation 1, mixed with refits' mean errors, which are smaller
+        assert r["lower_quantile_0.1"] < r["predictions"] < r["upper_quantile_0.9"] and 0.5 < r["upper_quantile_0.9"] - r["lower_quantile_0.1"] < 4
+
+
 def test_source_and_stream(spark, tmp_path):
     series(spark, [1, 2, 3], "007").withColumn("other", F.lit(1)).write.csv(f"{tmp_path}/in", header=True)
     df = read_panel(spark, f"{tmp_path}/in", P, "csv", "k string, ds date, y double, other int")
