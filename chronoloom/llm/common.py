@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +97,37 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return encoded.indices.to_numpy().astype(np.int64), before[offsets], encoded.dictionary
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most`` bytes of ``column`` (one row at least)."""
+def sub_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of record batches, in order, cut and joined to batches of about ``most`` bytes of ``column`` (one row at least)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes.astype(np.int64)) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = int(np.searchsorted(ends, before + most - size, "right"))
+            if high == low and held:
+                yield _joined(held)
+                held, size = [], 0
+                continue
+            high = max(high, low + 1)
+            held.append(batch.slice(low, high - low))
+            size += int(ends[high - 1]) - before
+            low = high
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Pass rows to Python 2,000 at a time, unless the session asks for another number: long texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", salts: int = 64) -> DataFrame:

@@ -117,6 +117,7 @@ def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataF
     seeds = hashed.select("doc_id", F.explode(F.array_distinct(F.concat(single, double))).alias("s")).select("doc_id", "s.kind", "s.key")
     holders = seeds.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     holders = holders.where((F.col("first") < F.col("last")) & ((F.col("kind") == 1) | (F.col("n") <= rare))).select("kind", "key", "first")
+    holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
     pairs = seeds.join(holders, ["kind", "key"]).where("first < doc_id").select("first", "doc_id").distinct()
     one = hashed.dropDuplicates(["doc_id"])
     later = one.select("doc_id", F.col("hashes").alias("b"), "sizes")
@@ -147,6 +148,7 @@ def dedup(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataFram
     same lines. Rows with a null doc_id stay as they are. Equal lines are those
     with equal 64-bit hashes.
     """
+    common.small_batches(docs.sparkSession)
     spans = removals(docs, rare, least).withColumnRenamed("doc_id", "_doc")
     rest = docs.drop("n_lines", "n_removed", "spans")
     out = rest.join(spans, rest["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc")

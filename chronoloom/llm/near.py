@@ -156,18 +156,17 @@ def _sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 def _linked(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # the pivot of the pairs at hand; pairs come sorted by it
-        for whole in batches:
-            for batch in common.sub_batches([whole], "zb", 500_000):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                places = {x: k for k, x in enumerate(a) if x not in held}  # each pivot is decoded once a batch
-                za, zb = batch.column("za"), batch.column("zb").to_pylist()
-                fresh = _sets([*(za[k].as_py() for k in places.values()), *zb])
-                pivots = held | dict(zip(places, fresh, strict=False))
-                rest = fresh[len(places) :]
-                sims = np.array([similarity(pivots[x], s) for x, s in zip(a, rest, strict=True)])
-                held = {a[-1]: pivots[a[-1]]}
-                ok = sims >= threshold - 1e-12
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok])], names=["a", "b"])
+        for batch in common.sub_batches(batches, "zb", 500_000):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            places = {x: k for k, x in enumerate(a) if x not in held}  # each pivot is decoded once a batch
+            za, zb = batch.column("za"), batch.column("zb").to_pylist()
+            fresh = _sets([*(za[k].as_py() for k in places.values()), *zb])
+            pivots = held | dict(zip(places, fresh, strict=False))
+            rest = fresh[len(places) :]
+            sims = np.array([similarity(pivots[x], s) for x, s in zip(a, rest, strict=True)])
+            held = {a[-1]: pivots[a[-1]]}
+            ok = sims >= threshold - 1e-12
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok])], names=["a", "b"])
 
     return run
 
@@ -274,6 +273,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     their own text; rows with a null doc_id have a null class. No rows give no rows;
     columns beyond doc_id and text are not read.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.written(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
     known = signed.where("doc_id is not null")

@@ -118,7 +118,7 @@ class WordTokenizer:
     """
 
     #: So many parts of words are remembered, by a 64-bit hash; beyond, all are forgotten.
-    KEEP = 2_000_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
@@ -217,11 +217,12 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise ``doc_id, text`` and cut documents of over ``capacity`` ids (id 0 ends each)."""
     path = path or tokenizer_path()
+    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-        for batch in common.sub_batches(batches, most=4_000_000):
+        for batch in common.sub_batches(batches, most=2_000_000):
             ids, offsets = encode(batch.column("text"))
             rows: list[tuple[int, int, int, int, int]] = []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):

@@ -255,6 +255,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed:
     large one tends to the best segmentation.
     """
     path = path or model_path()
+    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path, alpha)

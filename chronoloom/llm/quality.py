@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: At most so many labelled rows are read to fit and calibrate the classifier.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 BITS = 12
 WIDTH = 1 << BITS
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     not depend on how the table is laid out. Null labels are left out; of several
     labels of a document the greatest counts.
     """
+    common.small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     quality = {int(r["doc_id"]): int(r["quality"] > 0) for r in sample}
@@ -216,11 +217,12 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sub_batches(batches, most=4_000_000):
+        for batch in common.sub_batches(batches, most=1_000_000):
             v = verdicts(batch.column("text"), model, threshold)
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v[c].astype(np.int64)) for c in names), pa.array(v["base_failed"]), pa.array(v["kept"]), pa.array(v["probability"], from_pandas=True)], names=["doc_id", *names, "base_failed", "kept", "probability"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
 
@@ -228,9 +230,10 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     """The documents that the rules keep, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sub_batches(batches, most=4_000_000):
+        for batch in common.sub_batches(batches, most=1_000_000):
             yield batch.filter(pa.array(verdicts(batch.column("text"), model, threshold)["kept"]))
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -61,30 +61,52 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
 
 
-def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(number, rows) of the batches of a partition; the held-out fold is apart, with an odd number."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each batch of texts: its number, doc_ids, folds and compressed texts; the held-out fold is apart, with an odd number."""
+    press = zstandard.ZstdCompressor(3)
     part, k = TaskContext.get().partitionId(), 0
-    for batch in common.sub_batches(batches, most=BATCH):
-        fold = batch.column("fold").to_numpy()
+    for whole in common.sub_batches(batches, most=BATCH):
+        fold = whole.column("fold").to_numpy()
         for odd, mask in ((0, fold != HELD_FOLD), (1, fold == HELD_FOLD)):
-            if mask.any():
-                yield ((part << 24 | k) << 1) | odd, batch.filter(pa.array(mask))
+            if not mask.any():
+                continue
+            batch = whole.filter(pa.array(mask))
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            cells = (((part << 24 | k) << 1) | odd, batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), [len(t) for t in texts], press.compress(b"".join(texts)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["batch", "doc_ids", "folds", "sizes", "z"])
         k += 1
 
 
+PACKS = "batch long, doc_ids array<long>, folds array<int>, sizes array<long>, z binary"
+
+
+def _unpacked(cells: dict) -> tuple[list[int | None], np.ndarray, pa.Array]:
+    """(doc_ids, folds, texts) of a batch's row."""
+    data = zstandard.ZstdDecompressor().decompress(cells["z"])
+    ends = np.concatenate(([0], np.cumsum(np.array(cells["sizes"], np.int64))))
+    texts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(data))
+    return cells["doc_ids"], np.array(cells["folds"], np.int64), texts
+
+
+def _each(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+
+
 def _requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1)
-        for number, batch in _parted(batches):
-            stream, context, ends = _streams(batch.column("text"))
-            train = np.repeat(batch.column("fold").to_numpy() != TEST_FOLD, np.diff(ends))
+        for number, folds, texts in ((row["batch"], *_unpacked(row)[1:]) for batch in batches for row in _each(batch)):
+            stream, context, ends = _streams(texts)
+            train = np.repeat(folds != TEST_FOLD, np.diff(ends))
             out = []
             for kind, keys in ((1, np.append(stream, START)), (2, _pairs(stream, context))):
                 keys, which = np.unique(keys, return_inverse=True)
                 # starts count as contexts: as often as there are training texts
                 counts = np.bincount(which[: len(stream)], train, len(keys)).astype("<u8")
                 if kind == 1:
-                    counts[which[-1]] = int((batch.column("fold").to_numpy() != TEST_FOLD).sum())
+                    counts[which[-1]] = int((folds != TEST_FOLD).sum())
                 cut = _cuts(keys, buckets)
                 raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
                 width = 8 if kind == 1 else 6  # a bucket is a range of the first bits; six bytes more tell pairs apart in it
@@ -181,14 +203,8 @@ def _frequency(before: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(before, 1).astype(np.float64))).astype(np.int64).clip(0, FREQUENCIES - 1)
 
 
-def _texts(table: pa.Table) -> tuple[pa.Table, pa.Array]:
-    table = table.sort_by("seq")
-    unpress = zstandard.ZstdDecompressor()
-    return table, pa.array([unpress.decompress(z).decode() for z in table.column("z").to_pylist()], pa.large_string())
-
-
 def score(docs: DataFrame) -> DataFrame:
-    """Scores of documents (doc_id, text), which must be read from files (each reading deals them out alike).
+    """Scores of documents (doc_id, text).
 
     One row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score (log10 probabilities of the unigram baseline and of the
@@ -196,11 +212,13 @@ def score(docs: DataFrame) -> DataFrame:
     doc_id counts as an empty one, in training. Repeated rows count and are scored
     each. No rows give no rows; columns beyond doc_id and text are not read.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("fold", F.pmod(common.crc32_of(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
-    requests = rows.mapInArrow(_requests(buckets), "bucket int, batch long, kind int, keys binary, counts binary")
+    packs = common.written(rows.mapInArrow(_pack, PACKS), "packs")
+    requests = packs.mapInArrow(_requests(buckets), "bucket int, batch long, kind int, keys binary, counts binary")
     answers = common.written(requests.groupBy("bucket").applyInArrow(_answer, ANSWERS), "answers")
     # sums: one row a bucket, added up in Spark; bins: BINS numbers
     sums = answers.where("batch = -1")
@@ -220,19 +238,8 @@ def score(docs: DataFrame) -> DataFrame:
     at, n = np.array(sorted(got), np.int64), np.array([got[k] for k in sorted(got)], np.float64)
     single = mixture(_middle(at) / max(n_rest, 1) * (v_rest + 1), n)
 
-    def press(held: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            press = zstandard.ZstdCompressor(3)
-            for number, batch in _parted(batches):
-                if held and not number & 1:
-                    continue
-                z = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * batch.num_rows, pa.int64()), pa.array(range(batch.num_rows), pa.int32()), batch.column("doc_id"), batch.column("fold"), pa.array(z, pa.binary())], names=["batch", "seq", "doc_id", "fold", "z"])
-
-        return rows.mapInArrow(run, "batch long, seq int, doc_id long, fold int, z binary")
-
     def ratios(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        _, texts = _texts(docs)
+        _, _, texts = _unpacked(next(_each(docs)))
         one, before, two, _ = _counted(texts, _looked_up(answers, "rest"))
         ok = before > 0
         low = single * one[ok] / max(n_rest, 1) + (1 - single) / (v_rest + 1)
@@ -244,7 +251,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table({"f": pa.array((full // BINS).astype(np.int32)), "r": pa.array((full % BINS).astype(np.int32)), "n": pa.array(hist[full].astype(np.int64))})
 
     held = answers.where("batch >= 0 and batch % 2 = 1")
-    hist = press(True).groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(ratios, "f int, r int, n long")
+    hist = packs.where("batch % 2 = 1").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(ratios, "f int, r int, n long")
     found = hist.groupBy("f", "r").agg(F.sum("n").alias("n")).collect()  # FREQUENCIES * BINS rows at most
     weights = np.zeros(FREQUENCIES)
     for f in range(FREQUENCIES):
@@ -253,16 +260,16 @@ def score(docs: DataFrame) -> DataFrame:
         weights[f] = mixture(np.where(r > 0, 2.0 ** ((r - BINS // 2 + 0.5) / FINE), 0.0), n)
 
     def scores(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, texts = _texts(docs)
+        doc_ids, folds, texts = _unpacked(next(_each(docs)))
         one, before, two, ends = _counted(texts, _looked_up(answers, "total"))
         low = single * one / max(total, 1) + (1 - single) / (v + 1)
         weight = np.where(before > 0, weights[_frequency(before)], 0.0)
         model = np.log10(weight * two / np.maximum(before, 1) + (1 - weight) * low)
         base = np.log10((one + 1.0) / (total + 1.0 * (v + 1)))
         add = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  each text has a token
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(docs.column("fold").to_numpy() == TEST_FOLD), "n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(add((one > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ends) - 1, total, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(model))})
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(folds == TEST_FOLD), "n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(add((one > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ends) - 1, total, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(model))})
 
-    return press(False).groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(scores, SCORES)
+    return packs.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(scores, SCORES)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ each half keyed by all the bytes that its windows share.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ LIMIT = 200
 #: About this many contexts share one suffix array.
 CONTEXTS = 2000
 #: Bytes of text that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SHIFT = np.uint64((1 << 21) - 1)
 ANCHORS = "row long, place long, key long, h long"  # place: first window << 16 | anchor's distance << 8 | windows
 
@@ -187,11 +187,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return base, m, left, gram[x].view(np.int64), h.view(np.int64)
 
 
-def _slices(rows: list[int], texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+def _slices(texts: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (row, offset, bytes) of about SLICE bytes; longer texts are cut so that each window lies in one slice."""
     out: list[tuple[int, int, bytes]] = []
     total = 0
-    for row, text in zip(rows, texts, strict=True):
+    for row, text in texts:
         for at in range(0, max(len(text) - WINDOW + 1, 0), SLICE // 2):
             part = text[at : at + SLICE // 2 + WINDOW - 1]
             if total + len(part) > SLICE:
@@ -204,9 +204,9 @@ def _slices(rows: list[int], texts: list[bytes]) -> Iterator[list[tuple[int, int
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdDecompressor()
     for batch in batches:
-        rows, texts = batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-        for some in _slices(rows, [t or b"" for t in texts]):
+        for some in _slices(zip(batch.column("row").to_pylist(), map(press.decompress, batch.column("z").to_pylist()), strict=True)):
             sizes = np.array([len(t) for _, _, t in some], np.int64)
             ends = np.cumsum(sizes)
             base, m, left, key, h = anchors(np.frombuffer(b"".join(t for _, _, t in some), np.uint8), ends)
@@ -216,8 +216,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(inside << 16 | left << 8 | m), pa.array(key), pa.array(h)], names=["row", "place", "key", "h"])
 
 
-def _packed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Documents with their texts compressed, for a shuffle."""
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table: each row with a number of its own, and its text compressed (z)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
@@ -226,9 +226,9 @@ def _packed(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(z, pa.binary())], names=[*names, "z"])
 
-    kept = [f for f in docs.schema.fields if f.name in ("row", *(extra or []))]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "z binary"])
-    return docs.select(*(f.name for f in kept), "text").mapInArrow(run, schema)
+    rows = docs.drop("row", "z").withColumn("text", F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"), "z binary"])
+    return common.written(rows.mapInArrow(run, schema), "packed")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +362,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """row, spans (start, end): the maximal byte runs that repeated windows cover, of documents (row, text) that have any."""
-    found = docs.select("row", "text").mapInArrow(_find, ANCHORS)
+    """row, spans (start, end): the maximal byte runs that repeated windows cover, of documents (row, z) that have any."""
+    found = docs.select("row", "z").mapInArrow(_find, ANCHORS)
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     found = common.written(found.join(common.written(repeated, "repeated"), "key"), "anchors")
     kinds = found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
@@ -373,7 +373,7 @@ def spans(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     # the only context of an anchor, found often: all its windows are repeated, whatever its text is
     alone = sized.where("d = 1").select("key", "h", F.lit(0).alias("off"), F.lit(None).cast("binary").alias("bits"))
     wanted = sized.where("d > 1").groupBy("row").agg(F.collect_list(F.struct("key", "h", "place", "d", "n")).alias("places"))
-    texts = common.written(_packed(docs).join(wanted, "row").select("z", "places").mapInArrow(_cut, CONTEXT), "texts")
+    texts = common.written(docs.select("row", "z").join(wanted, "row").select("z", "places").mapInArrow(_cut, CONTEXT), "texts")
     decided = _decisions(texts.where(F.col("d") <= limit)).select("key", "h", F.lit(0).alias("off"), "bits")
     if not keys.where(F.col("d") > limit).isEmpty():
         decided = decided.union(_hot(texts.where(F.col("d") > limit), limit))
@@ -381,11 +381,6 @@ def spans(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return hits.groupBy("row").agg(F.collect_list(F.struct("place", "off", "bits")).alias("found")).mapInArrow(_merge, "row long, spans array<struct<start:bigint,end:bigint>>")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Rows numbered by place. ``docs`` must be read from files, so that each reading numbers them alike."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
-
-
 def _whole_characters(text: bytes, cut: list[dict]) -> list[dict]:
     """Runs without the parts of UTF-8 characters at their ends."""
     out = []
@@ -403,8 +398,7 @@ def _whole_characters(text: bytes, cut: list[dict]) -> list[dict]:
 def dedup(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> DataFrame:
     """Removes each byte covered by a ``WINDOW``-byte string that starts at another place too, in any document.
 
-    Returns ``docs`` (which must be read from files) with these columns added or
-    replaced: kept (binary: the remaining bytes, laid end to end), n_bytes,
+    Returns ``docs`` without their text, and with these columns added or replaced: kept (binary: the remaining bytes, laid end to end), n_bytes,
     n_removed, n_spans (maximal removed runs). Null and empty texts have no bytes;
     texts shorter than a window lose none; of rows with equal texts each loses all
     that its copies hold too; no rows give no rows. Equal anchors and contexts are
@@ -412,12 +406,10 @@ def dedup(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> Data
     With ``characters``, characters of which only some bytes are covered stay, so
     that what remains is valid UTF-8.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.drop("row", "spans", "z", "kept", "n_bytes", "n_removed", "n_spans")
-    found = numbered(docs)
-    names = docs.columns
-    removed = spans(found.select("row", F.col("text").cast("string").alias("text")), limit)
-    packed = _packed(found.withColumn("text", F.col("text").cast("string")), [c for c in names if c != "text"])
-    joined = packed.join(removed, "row", "left").select(*(c for c in names if c != "text"), "z", "spans")
+    table = packed(docs)
+    joined = table.join(spans(table.select("row", "z"), limit), "row", "left").drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()

@@ -110,6 +110,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of record batches in batches of ``most``; the last may be smaller."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= most:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table.slice(0, most).combine_chunks().to_batches()[0]
+            held = table.slice(most).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """vec_id, embedding (doubles) of the rows that take part: finite, not zero, of the commonest length."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("embedding"))
@@ -122,17 +135,16 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 def _blocks(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(low, BLOCK).sort_by("vec_id")
-                x = _matrix(batch.column("embedding"))
-                which, along, size, u = index.parts(x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None])
-                code = index.codes(np.pad(u, ((0, 0), (0, -u.shape[1] % STEP)))).astype(np.uint8)
-                if code.shape[1] % 2:
-                    code = np.pad(code, ((0, 0), (0, 1)))
-                pairs = code[:, ::2] | code[:, 1::2] << 4  # two codes of four bits a byte
-                cells = (pairs.T.copy(), which.astype("<u2"), along.astype("<f4"), size.astype("<f4"), batch.column("vec_id").to_numpy().astype("<i8"), x.astype("<f8"))
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in cells], names=["codes", "centre", "along", "size", "ids", "vectors"])
+        for whole in _gathered(batches, BLOCK):
+            batch = whole.sort_by("vec_id")
+            x = _matrix(batch.column("embedding"))
+            which, along, size, u = index.parts(x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None])
+            code = index.codes(np.pad(u, ((0, 0), (0, -u.shape[1] % STEP)))).astype(np.uint8)
+            if code.shape[1] % 2:
+                code = np.pad(code, ((0, 0), (0, 1)))
+            pairs = code[:, ::2] | code[:, 1::2] << 4  # two codes of four bits a byte
+            cells = (pairs.T.copy(), which.astype("<u2"), along.astype("<f4"), size.astype("<f4"), batch.column("vec_id").to_numpy().astype("<i8"), x.astype("<f8"))
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in cells], names=["codes", "centre", "along", "size", "ids", "vectors"])
 
     return run
 
@@ -141,11 +153,9 @@ CELLS = "codes binary, centre binary, along binary, size binary, ids binary, vec
 
 
 def _packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for low in range(0, whole.num_rows, QUERIES):
-            batch = whole.slice(low, QUERIES)
-            cells = batch.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(batch.column("embedding")).astype("<f8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["query_ids", "queries"])
+    for batch in _gathered(batches, QUERIES):
+        cells = batch.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(batch.column("embedding")).astype("<f8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["query_ids", "queries"])
 
 
 def _scan(index: Index, k: int, rerank: int):
