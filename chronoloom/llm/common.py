@@ -43,21 +43,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Polynomial hashes modulo 2**64 of all substrings of a byte array, finalised."""
 
-    _kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
     def __init__(self, data: np.ndarray, seed: int):
-        values, power, self.back = self._of(seed, len(data) + 1)
+        """``seed`` picks the random values of the bytes; all seeds share the powers of one base and of its inverse."""
+        values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        power, self.back = self._of(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
 
     @classmethod
-    def _of(cls, seed: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values of the bytes, and powers of a random base and of its inverse."""
-        if seed not in cls._kept or len(cls._kept[seed][1]) < least:
-            random = np.random.default_rng(seed)
-            base = int(random.integers(0, 1 << 63)) * 2 + 1
-            values = random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            size = 1 << max(least - 1, 1 << 20).bit_length()
+    def _of(cls, least: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._powers[0]) < least:
+            base = int(np.random.default_rng(0).integers(0, 1 << 63)) * 2 + 1
+            size = 1 << max(least - 1, 1 << 16).bit_length()
             powers = []
             for b in (base, pow(base, -1, 1 << 64)):
                 out = np.ones(size, np.uint64)
@@ -66,8 +65,8 @@ class Hashes:
                     out[done : 2 * done] = out[:done] * np.uint64(pow(b, done, 1 << 64))
                     done *= 2
                 powers.append(out)
-            cls._kept[seed] = (values, *powers)
-        return cls._kept[seed]
+            cls._powers = tuple(powers)
+        return cls._powers
 
     def grams(self, size: int) -> np.ndarray:
         return mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size])
