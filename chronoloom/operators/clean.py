@@ -17,13 +17,13 @@ INTERPOLATIONS = ("linear", "time", "pad", "ffill", "bfill", "nearest")
 FULL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def deduplicated(df: DataFrame, panel: Panel, how: str = "mode") -> DataFrame:
-    """One row for each bin that has rows. A bin of nulls alone sums to 0 and has no mean, median or mode."""
+def deduplicated(df: DataFrame, panel: Panel, how: str = "mode", *more: Column) -> DataFrame:
+    """One row for each bin that has rows, with ``more`` aggregates. A bin of nulls alone sums to 0 and has no mean, median or mode."""
     if how not in DUPLICATES:
         raise OptionError(f"duplicates: one of {DUPLICATES}, not {how!r}")
     y = F.col(panel.target)
     merged = {"sum": F.coalesce(F.sum(y), F.lit(0.0)), "mean": F.avg(y), "median": F.median(y), "mode": F.mode(y, True)}[how]
-    return panel.bucketed(df).groupBy(*panel.keys, panel.time).agg(merged.alias(panel.target))
+    return panel.bucketed(df).groupBy(*panel.keys, panel.time).agg(merged.alias(panel.target), *more)
 
 
 def completed(df: DataFrame, panel: Panel) -> DataFrame:
@@ -110,18 +110,20 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
     ``on_all_null="drop"``. Times are ordered, so the result does not depend on
     the order of the input.
     """
-    rows = panel.checked(df)
-    some = F.count(panel.target).over(panel.by()) > 0
-    if on_all_null == "drop":
-        rows = rows.withColumn("_some", some).where("_some").drop("_some")
-    else:
-        message = F.concat(F.lit("series without values: "), F.to_json(F.struct(*panel.keys)))
-        rows = rows.withColumn(panel.target, F.when(some, F.col(panel.target)).otherwise(F.raise_error(message).cast("double")))
+    rows = panel.checked(df).withColumn("_known", F.col(panel.target).isNotNull().cast("int"))
     if outlier:
         marked = outliers.marked(rows, panel, outlier, **(outlier_options or {}))
         worst = F.min("inlier").over(Window.partitionBy(*panel.keys, panel.time))
-        rows = marked.withColumn(panel.target, F.when(worst == -1, None).otherwise(F.col(panel.target))).drop("inlier")
-    out = completed(deduplicated(rows, panel, duplicates), panel)
+        rows = marked.withColumn(panel.target, F.when(worst == -1, None).otherwise(F.col(panel.target)))
+    # rows of a bin meet first, with partial sums; windows then hold one row a bin
+    merged = deduplicated(rows, panel, duplicates, F.sum("_known").alias("_known"))
+    some = F.sum("_known").over(panel.by()) > 0
+    if on_all_null == "drop":
+        merged = merged.withColumn("_some", some).where("_some")
+    else:
+        message = F.concat(F.lit("series without values: "), F.to_json(F.struct(*panel.keys)))
+        merged = merged.withColumn(panel.target, F.when(some, F.col(panel.target)).otherwise(F.raise_error(message).cast("double")))
+    out = completed(merged, panel)
     if interpolation is not None:
         out = interpolated(out, panel, interpolation.get("method", "linear"), interpolation.get("limit"))
     return padded(filled(out, panel, fill), panel, repeat_forward_to, zero_back_to, repeat_back_to)

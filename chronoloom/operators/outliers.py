@@ -15,19 +15,28 @@ def _marks(inside: Column) -> Column:
     return F.when(inside, 1).otherwise(-1).alias("inlier")
 
 
+def _with(df: DataFrame, stats: DataFrame, panel: Panel) -> DataFrame:
+    """Rows with their series' statistics: aggregated first, so that a long series is not one task's window; null keys match."""
+    named = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(panel.keys)], *[c for c in stats.columns if c not in panel.keys])
+    on = F.lit(True)
+    for i, k in enumerate(panel.keys):
+        on = on & df[k].eqNullSafe(named[f"_k{i}"])
+    return df.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(panel.keys))])
+
+
 def iqr(df: DataFrame, panel: Panel, factor: float = 2.2) -> DataFrame:
     """Inliers lie within ``factor`` interquartile ranges of the quartiles, bounds included."""
     y = F.col(panel.target)
-    q = df.withColumn("_q", F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).over(panel.by()))
+    quartiles = df.groupBy(*panel.keys).agg(F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     low, high = F.col("_q")[0], F.col("_q")[1]
-    return q.select(*df.columns, _marks(y.isNull() | y.between(low - factor * (high - low), high + factor * (high - low))))
+    return _with(df, quartiles, panel).select(*df.columns, _marks(y.isNull() | y.between(low - factor * (high - low), high + factor * (high - low))))
 
 
 def modified_zscore(df: DataFrame, panel: Panel, threshold: float = 5.0) -> DataFrame:
     """Inliers have |0.6745 (y - median) / MAD| under ``threshold``; with MAD 0 the plain z-score counts, and a score of 0/0 passes."""
     y = F.col(panel.target)
-    a = df.withColumn("_m", F.median(y).over(panel.by()))
-    b = a.withColumn("_mad", F.median(F.abs(y - F.col("_m"))).over(panel.by())).withColumn("_avg", F.avg(y).over(panel.by())).withColumn("_sd", F.stddev_pop(y).over(panel.by()))
+    a = _with(df, df.groupBy(*panel.keys).agg(F.median(y).alias("_m"), F.avg(y).alias("_avg"), F.stddev_pop(y).alias("_sd")), panel)
+    b = _with(a, a.groupBy(*panel.keys).agg(F.median(F.abs(y - F.col("_m"))).alias("_mad")), panel)
     z = F.when(F.col("_mad") != 0, F.try_divide(0.6745 * (y - F.col("_m")), F.col("_mad"))).otherwise(F.try_divide(y - F.col("_avg"), F.col("_sd")))
     return b.select(*df.columns, _marks(z.isNull() | (F.abs(z) < threshold)))
 

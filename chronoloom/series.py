@@ -80,7 +80,8 @@ class Panel:
                 day = F.date_add(first, (F.floor(F.datediff(day, first) / self.days) * self.days).cast("int"))
             return df.withColumn(self.time, day)
         seconds = F.unix_seconds(F.col(self.time).cast("timestamp"))
-        first = F.floor(F.min(seconds).over(self.by()) / 86400) * 86400
+        # where steps divide a day, bins from a series' first midnight are bins from any midnight
+        first = F.lit(0) if 86400 % self.seconds == 0 else F.floor(F.min(seconds).over(self.by()) / 86400) * 86400
         at = first + F.floor((seconds - first) / self.seconds) * self.seconds
         return df.withColumn(self.time, F.timestamp_seconds(at).cast("timestamp_ntz"))
 
