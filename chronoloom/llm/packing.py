@@ -118,7 +118,7 @@ class WordTokenizer:
     """
 
     #: So many parts of words are remembered, by a 64-bit hash; beyond, all are forgotten.
-    KEEP = 500_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
