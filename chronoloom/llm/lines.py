@@ -1,12 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are paired, each pair is aligned by patience
-diff, and blocks of lines that both hold in the same order are deleted from the
-later document (the one with the larger doc_id). Pairs are stars: a shared line
-pairs each later holder with its first holder, so a line held by n documents
-makes n - 1 pairs. A line held by more than RARE documents is not rare and pairs
-nothing by itself; two such lines in a row do, however many documents hold them,
-so that large groups of copies are found like small ones.
+Documents that share lines are paired, each pair is aligned by patience diff,
+and blocks of lines that both hold in the same order are deleted from the later
+document (the one with the larger doc_id). Pairs are stars: a shared line, or two
+shared lines in a row, pairs each later holder with its first holder, so a line
+held by n documents makes n - 1 pairs, however large n is.
 """
 
 from __future__ import annotations
@@ -21,7 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RARE = 64
+#: Pairs of one earlier document that are aligned in one place.
+SLICE = 128
 #: Lines of fewer characters neither pair documents nor are deleted on their own.
 MIN_CHARS = 20
 
@@ -106,7 +105,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     # per document: hashes and lengths of its lines; of rows with one doc_id the first by hash stands for all
@@ -115,13 +114,18 @@ def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataF
     single = F.filter(F.transform(places, lambda i: F.when(F.get("sizes", i) >= least, F.struct(F.lit(0).alias("kind"), F.get("hashes", i).alias("key")))), lambda x: x.isNotNull())
     double = F.filter(F.transform(places, lambda i: F.when((i > 0) & (F.get("sizes", i) + F.get("sizes", i - 1) >= least), F.struct(F.lit(1).alias("kind"), F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i)).alias("key")))), lambda x: x.isNotNull())
     seeds = hashed.select("doc_id", F.explode(F.array_distinct(F.concat(single, double))).alias("s")).select("doc_id", "s.kind", "s.key")
-    holders = seeds.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    holders = holders.where((F.col("first") < F.col("last")) & ((F.col("kind") == 1) | (F.col("n") <= rare))).select("kind", "key", "first")
+    holders = seeds.groupBy("kind", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    holders = holders.where("first < last").select("kind", "key", "first")
     holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
-    pairs = seeds.join(holders, ["kind", "key"]).where("first < doc_id").select("first", "doc_id").distinct()
+    pairs = common.written(seeds.join(holders, ["kind", "key"]).where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
     one = hashed.dropDuplicates(["doc_id"])
     later = one.select("doc_id", F.col("hashes").alias("b"), "sizes")
-    earlier = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a"))
+    # an earlier document of many pairs is repeated for each SLICE of them
+    busy = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("g")).where("g > 1")
+    busy = common.written(busy, "busy")
+    pairs = pairs.join(busy, "first", "left").select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
+    earlier = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(busy, "first", "left")
+    earlier = earlier.select("first", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +138,11 @@ def removals(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataF
                         spans.append([{"start": s, "end": e, "other": first} for s, e in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())])))], names=["doc_id", "spans"])
 
-    aligned = pairs.join(later, "doc_id").join(earlier, "first").select("doc_id", "first", "a", "b", "sizes").mapInArrow(align, "doc_id long, spans array<struct<start:int,end:int,other:long>>")
+    aligned = pairs.join(later, "doc_id").join(earlier, ["first", "part"]).select("doc_id", "first", "a", "b", "sizes").mapInArrow(align, "doc_id long, spans array<struct<start:int,end:int,other:long>>")
     return aligned.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def dedup(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """``docs`` with aligned common blocks deleted from later documents.
 
     Keeps all rows and columns but these: ``text`` is what is left, ``n_lines``
@@ -149,7 +153,7 @@ def dedup(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> DataFram
     with equal 64-bit hashes.
     """
     common.small_batches(docs.sparkSession)
-    spans = removals(docs, rare, least).withColumnRenamed("doc_id", "_doc")
+    spans = removals(docs, least).withColumnRenamed("doc_id", "_doc")
     rest = docs.drop("n_lines", "n_removed", "spans")
     out = rest.join(spans, rest["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc")
     kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))

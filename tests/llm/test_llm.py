@@ -430,6 +430,17 @@ def test_lines(spark, odd, empty):
     assert reordered == [(0, 2), (1, 3), (2, 4)]
 
 
+def test_lines_held_by_many(spark):
+    one = prose(50, 30)
+    rows = [(k, one) for k in range(150)]  # copies without a newline
+    hot = prose(51, 60)
+    rows += [(k, f"{prose(1000 + k, 9)}\n{hot}\n{prose(3000 + k, 9)}") for k in range(200, 500)]
+    out = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(150) if out[k]["text"]] == [0]
+    assert [k for k in range(200, 500) if hot in out[k]["text"]] == [200]
+    assert all(out[k]["n_removed"] == 1 and out[k]["n_lines"] == 3 for k in range(201, 500))
+
+
 def test_lines_of_large_groups(spark):
     text = "\n".join(prose(900 + k, 8) for k in range(5))
     rows = [(k, f"{prose(2000 + k, 6)}\n{text}") for k in range(200)]
