@@ -48,12 +48,13 @@ class Hashes:
     def __init__(self, data: np.ndarray, seed: int):
         """``seed`` picks the random values of the bytes; all seeds share the powers of one base and of its inverse."""
         values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        power, self.back = self._of(len(data) + 1)
+        power, self.back = self.powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
 
     @classmethod
-    def _of(cls, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def powers(cls, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least so many powers of the base and of its inverse."""
         if len(cls._powers[0]) < least:
             base = int(np.random.default_rng(0).integers(0, 1 << 63)) * 2 + 1
             size = 1 << max(least - 1, 1 << 16).bit_length()

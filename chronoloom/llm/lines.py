@@ -2,9 +2,11 @@
 
 Documents that share lines are paired, each pair is aligned by patience diff,
 and blocks of lines that both hold in the same order are deleted from the later
-document (the one with the larger doc_id). Pairs are stars: a shared line, or two
-shared lines in a row, pairs each later holder with its first holder, so a line
-held by n documents makes n - 1 pairs, however large n is.
+document (the one with the larger doc_id). Runs of lines just long enough to be
+deleted find the pairs. These are stars at first: a shared run pairs each later
+holder with its first holder, so a run held by n documents makes n - 1 pairs. A
+document with a run that such pairs leave meets the run's other earlier holders,
+so that the result is that of all pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +25,8 @@ from . import common
 
 #: Pairs of one earlier document that are aligned in one place.
 SLICE = 128
-#: Lines of fewer characters neither pair documents nor are deleted on their own.
+SPANS = "spans array<struct<start:int,end:int,other:long>>"
+#: Runs of lines of fewer characters neither pair documents nor are deleted on their own.
 MIN_CHARS = 20
 
 
@@ -105,29 +110,56 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
-    # per document: hashes and lengths of its lines; of rows with one doc_id the first by hash stands for all
-    hashed = common.written(rows.select("doc_id", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: F.length(x)).alias("sizes")), "lines")
-    places = F.sequence(F.lit(0), F.size("hashes") - 1)
-    single = F.filter(F.transform(places, lambda i: F.when(F.get("sizes", i) >= least, F.struct(F.lit(0).alias("kind"), F.get("hashes", i).alias("key")))), lambda x: x.isNotNull())
-    double = F.filter(F.transform(places, lambda i: F.when((i > 0) & (F.get("sizes", i) + F.get("sizes", i - 1) >= least), F.struct(F.lit(1).alias("kind"), F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i)).alias("key")))), lambda x: x.isNotNull())
-    seeds = hashed.select("doc_id", F.explode(F.array_distinct(F.concat(single, double))).alias("s")).select("doc_id", "s.kind", "s.key")
-    holders = seeds.groupBy("kind", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    holders = holders.where("first < last").select("kind", "key", "first")
-    holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
-    pairs = common.written(seeds.join(holders, ["kind", "key"]).where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
-    one = hashed.dropDuplicates(["doc_id"])
-    later = one.select("doc_id", F.col("hashes").alias("b"), "sizes")
-    # an earlier document of many pairs is repeated for each SLICE of them
-    busy = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("g")).where("g > 1")
-    busy = common.written(busy, "busy")
-    pairs = pairs.join(busy, "first", "left").select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
-    earlier = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(busy, "first", "left")
-    earlier = earlier.select("first", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
+def runs(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first, end, key) of the shortest runs of lines of at least ``least`` characters from each line on and up to each line.
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Documents are cut at ``offsets``. Each line of a block of at least ``least``
+    characters is in such a run within the block.
+    """
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + least, "left"), at + 1)
+    first = np.minimum(np.searchsorted(total, total[1:] - least, "right") - 1, at)
+    on, upto = end <= offsets[1:][doc], first >= offsets[:-1][doc]
+    doc = np.concatenate((doc[on], doc[upto]))
+    first, end = np.concatenate((at[on], first[upto])), np.concatenate((end[on], at[upto] + 1))
+    power, back = common.Hashes.powers(n)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(common.mixed(hashes.view(np.uint64) + common.GOLD) * power[:n])))
+    return doc, first, end, common.mixed((sums[end] - sums[first]) * back[first]).view(np.int64)
+
+
+def _seeds(least: int):
+    """Each document's keys of runs; where it has ``spans``, of those that the spans do not cover entirely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("hashes")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            hashes, sizes = (batch.column(c).flatten().to_numpy() for c in ("hashes", "sizes"))
+            doc, first, end, key = runs(hashes, sizes, offsets, least)
+            if "spans" in batch.schema.names:
+                spans = batch.column("spans")
+                owner = np.repeat(offsets[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+                flat, change = spans.flatten(), np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(change, owner + flat.field("start").to_numpy(), 1)
+                np.add.at(change, owner + flat.field("end").to_numpy(), -1)
+                bare = np.concatenate(([0], np.cumsum(np.cumsum(change[:-1]) == 0)))
+                some = bare[end] > bare[first]
+                doc, key = doc[some], key[some]
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            once = np.ones(len(doc), bool)
+            once[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[once])), pa.array(key[once])], names=["doc_id", "key"])
+
+    return run
+
+
+def _align(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, spans = [], []
             for r in range(0, batch.num_rows, 256):  # lists of a few rows at a time
@@ -138,8 +170,68 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
                         spans.append([{"start": s, "end": e, "other": first} for s, e in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())])))], names=["doc_id", "spans"])
 
-    aligned = pairs.join(later, "doc_id").join(earlier, ["first", "part"]).select("doc_id", "first", "a", "b", "sizes").mapInArrow(align, "doc_id long, spans array<struct<start:int,end:int,other:long>>")
-    return aligned.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return run
+
+
+def gathered(spans: DataFrame) -> DataFrame:
+    """One row a document of all its spans."""
+    return spans.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def aligned(pairs: DataFrame, one: DataFrame, least: int) -> DataFrame:
+    """doc_id, spans: what the ``pairs`` (first, doc_id), a written table, delete of each document that loses any."""
+    later = one.select("doc_id", F.col("hashes").alias("b"), "sizes")
+    # an earlier document of many pairs is repeated for each SLICE of them
+    busy = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("g")).where("g > 1")
+    busy = common.written(busy, "busy")
+    dealt = pairs.join(busy, "first", "left").select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
+    earlier = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(busy, "first", "left")
+    earlier = earlier.select("first", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
+    out = dealt.join(later, "doc_id").join(earlier, ["first", "part"]).select("doc_id", "first", "a", "b", "sizes").mapInArrow(_align(least), f"doc_id long, {SPANS}")
+    return common.written(gathered(out), "spans")
+
+
+def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """doc_id, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document.
+
+    First each run of lines pairs its later holders with its first. Where a line
+    of a run is left, because it stands in a crossing place of that pair, its
+    document meets the other earlier holders, four times as many each round, until
+    the line is covered or none is left.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
+    # per document: hashes and lengths of its lines; of rows with one doc_id one stands for all
+    hashed = rows.select("doc_id", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: F.length(x)).alias("sizes"))
+    one = common.written(hashed.dropDuplicates(["doc_id"]), "lines")
+    seeds = common.written(one.mapInArrow(_seeds(least), "doc_id long, key long"), "seeds")
+    holders = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
+    pairs = common.written(seeds.join(holders, "key").where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
+    spans = aligned(pairs, one, least)
+
+    def left(met: DataFrame, among: DataFrame) -> DataFrame:
+        """The runs in ``among`` of the later documents of ``met`` that ``spans`` do not cover."""
+        some = met.select("doc_id").distinct()
+        bare = one.join(some, "doc_id").join(gathered(spans.join(some, "doc_id")), "doc_id", "left").mapInArrow(_seeds(least), "doc_id long, key long")
+        return common.written(bare.join(among, [c for c in among.columns if c != "n"]).select("doc_id", "key", "n"), "bare")
+
+    bare = left(pairs, holders.where("n > 2").select("key", "n"))
+    if bare.isEmpty():
+        return spans
+    known = bare.groupBy("key").agg(F.max("n").alias("_n"))
+    ranks = common.written(common.ranked(seeds.join(common.written(known, "known"), "key").select("key", F.col("doc_id").alias("first")), ["key"], ["first"]), "ranks")
+    tried, low, high = pairs, 0, 1
+    while not bare.isEmpty():
+        others = common.written(ranks.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", "first"), "others")
+        more = bare.join(others, "key").where("first < doc_id").select("first", "doc_id").distinct().join(tried, ["first", "doc_id"], "left_anti")
+        more = common.written(more, "pairs")
+        tried = tried.union(more)
+        if not more.isEmpty():
+            spans = spans.union(aligned(more, one, least))
+            bare = left(bare, bare)
+        low, high = high, 4 * high
+        bare = bare.where(F.col("n") > low)
+    return gathered(spans)
 
 
 def dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:

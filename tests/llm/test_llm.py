@@ -448,6 +448,40 @@ def test_lines_of_large_groups(spark):
     assert all(r["text"] == (rows[0][1] if r["doc_id"] == 0 else prose(2000 + r["doc_id"], 6)) for r in out)
 
 
+def lines_of_all_pairs(rows):
+    """Lines that any earlier document deletes, by aligning all pairs."""
+    code, held = {}, {k: t.split("\n") for k, t in rows if k is not None and t}
+    coded = {k: [code.setdefault(x, len(code)) for x in v] for k, v in held.items()}
+    gone = defaultdict(set)
+    by_line = defaultdict(list)
+    for k in sorted(held):
+        for other in {o for x in set(coded[k]) for o in by_line[x]}:
+            for s, e in lines.blocks(coded[other], coded[k], [len(x) for x in held[k]]):
+                gone[k] |= set(range(s, e))
+        for x in set(coded[k]):
+            by_line[x].append(k)
+    return {k: "\n".join(x for i, x in enumerate(v) if i not in gone[k]) for k, v in held.items()}
+
+
+def test_lines_against_all_pairs(spark):
+    verse = "\n".join(f"v{k} w" for k in range(30))  # no two neighbours have 20 characters
+    a, b, c, d = (prose(700 + k, 8) for k in range(4))
+    rows = [(1, verse), (2, verse), (3, f"{prose(60, 9)}\n{verse}"), (10, f"{a}\n{b}\n{c}\n{d}"), (11, f"{prose(61, 9)}\n{a}"), (12, f"{b}\n{c}\n{d}\n{a}")]
+    r = random.Random(5)
+    pool = [prose(40 + k, 7) for k in range(12)] + ["", "x", "short line", "a longer line"] * 2
+    rows += [(100 + k, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for k in range(60)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2] == "" and out[3] == prose(60, 9) and out[12] == ""
+    full = lines_of_all_pairs(rows)
+    assert {k: t for k, t in out.items() if k in full} == full
+
+
+def test_line_stage_against_all_pairs(spark, documents):
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, documents, DATA).select("doc_id", "text").collect()}
+    full = lines_of_all_pairs([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
+    assert {k: t for k, t in out.items() if k in full} == full
+
+
 # The pipeline
 
 
