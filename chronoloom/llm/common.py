@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +14,24 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Only used where the session names no shared folder (tests on one machine).
-LOCAL_SHARED = "file:///tmp/checkpoints"
-
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
+#: Folders written inside each open ``scratch``.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of this machine serves a session whose executors
+    are threads of this process; on a cluster it would lose rows, so that is an error.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -30,9 +41,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that nothing will read any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end; results must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit moves about half of the output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -40,22 +76,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes:
-    """Polynomial hashes modulo 2**64 of all substrings of a byte array, finalised."""
+class Powers:
+    """Powers of an odd base modulo 2**64, and of its inverse.
 
-    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    Sums of products with them are rolling hashes. These only find candidates,
+    which may be too many: what is equal is decided by digests or by comparison.
+    """
 
-    def __init__(self, data: np.ndarray, seed: int):
-        """``seed`` picks the random values of the bytes; all seeds share the powers of one base and of its inverse."""
-        values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        power, self.back = self.powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
+    _held: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
     @classmethod
-    def powers(cls, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def up_to(cls, least: int) -> tuple[np.ndarray, np.ndarray]:
         """At least so many powers of the base and of its inverse."""
-        if len(cls._powers[0]) < least:
+        if len(cls._held[0]) < least:
             base = int(np.random.default_rng(0).integers(0, 1 << 63)) * 2 + 1
             size = 1 << max(least - 1, 1 << 16).bit_length()
             powers = []
@@ -66,14 +99,17 @@ class Hashes:
                     out[done : 2 * done] = out[:done] * np.uint64(pow(b, done, 1 << 64))
                     done *= 2
                 powers.append(out)
-            cls._powers = tuple(powers)
-        return cls._powers
+            cls._held = tuple(powers)
+        return cls._held
 
-    def grams(self, size: int) -> np.ndarray:
-        return mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A rolling hash of each ``size`` bytes in a row."""
+    values = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    power, back = Powers.up_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * power[: len(data)], out=sums[1:])
+    return mixed((sums[size:] - sums[:-size]) * back[: len(sums) - size])
 
 
 def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -123,22 +159,20 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Pass rows to Python 2,000 at a time, unless the session asks for another number: long texts make large batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "2000")
+#: Rows of a group that one window ranks, about.
+RANKED = 4096
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank", salts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], size: str, name: str = "rank") -> DataFrame:
     """``df`` with a gapless rank from 0 within ``group``, for groups of any size.
 
-    A group is dealt over ``salts`` parts by a hash of ``order`` (which must
-    identify a row); a row's rank is the rows of the parts before its own plus
-    its place in its part. The windows hold one part of a group, or ``salts``
-    counts, never a whole group.
+    The column ``size`` holds the rows of a row's group, which is dealt over as
+    many parts of about RANKED rows as that needs, by a hash of ``order`` (which
+    must identify a row). A row's rank is the rows of the parts before its own
+    plus its place in its part; so the windows hold one part of a group, or its
+    counts by part, never a whole group.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.ceil(F.col(size) / RANKED)))
     keys = [*group, "_salt"]
     counts = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,12 +5,17 @@ window holds an anchor: the gram of ``GRAM`` bytes with the least hash in it, so
 equal windows have equal anchors at equal distances. Spark counts anchors; those
 found once cannot lie in a repeated window. The windows of an anchor form one
 context (at most ``SPAN`` windows in a row); equal contexts are counted before
-the shuffle and stand for one suffix. Where contexts of an anchor differ, a
-suffix array of the texts behind the anchors (built by linear grouping: Lyndon
-groups in descending order, then each group's order) and the order of the texts
-before them tell which windows are equal, byte by byte. An anchor with too many
-different contexts for one task is split by halves of its windows' distances,
-each half keyed by all the bytes that its windows share.
+the shuffle, and the windows of those found twice are repeated.
+
+The windows of the other contexts are cut into classes by their distance from the
+anchor. All windows of a class share a core of bytes around the anchor, so only
+contexts with one core can share windows, and in each of their texts the core may
+stand as one symbol. A suffix array of these texts (built by linear grouping:
+Lyndon groups in descending order, then each group's order) puts equal windows
+side by side. A core with too many different texts for one task is split by
+halves of its class, each with a longer core.
+
+Contexts, cores and texts are told apart by 128-bit BLAKE2 digests of their bytes.
 """
 
 from __future__ import annotations
@@ -21,22 +26,26 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import common
 
 WINDOW, GRAM = 200, 40
 SPAN = WINDOW - GRAM + 1
-BLOCK = 40
-#: An anchor with more different contexts is split.
+#: Classes of windows: the least and the greatest distance from their anchor.
+CLASSES = ((0, 39), (40, 79), (80, 119), (120, SPAN - 1))
+#: A core with more different texts is split.
 LIMIT = 200
-#: About this many contexts share one suffix array.
-CONTEXTS = 2000
+#: About this many texts share one suffix array.
+TEXTS = 2000
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 19
 SHIFT = np.uint64((1 << 21) - 1)
-ANCHORS = "row long, place long, key long, h long"  # place: first window << 16 | anchor's distance << 8 | windows
+KEYS = "row long, key long"
+ANCHORS = "row long, place long, key long, h long, g long"  # place: first window << 16 | anchor's distance << 8 | windows; h and g: the context's digest
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -46,10 +55,11 @@ def suffix_array(text: list[int]) -> list[int]:
     greatest down: each member's previous smaller suffix is the nearest place to
     its left that is in no processed group, found along the pointers of the places
     between. Those places' prefixes grow by the group's prefix, as many times as
-    members point to them, so they leave their group for a new one just above.
-    Afterwards a group holds the suffixes with one Lyndon prefix. Their order is
-    that of the suffixes behind that prefix, so one rising pass puts every suffix
-    in its place.
+    members point to them, so they leave their group for a new one just above (if
+    some stay). Afterwards a group holds the suffixes with one Lyndon prefix. Their
+    order is that of the suffixes behind that prefix, so one rising pass puts every
+    suffix in its place. Members of a group always rise, and counts are bounded by
+    the group's size, so nothing but the alphabet is sorted.
     """
     n = len(text)
     symbols = sorted(set(text))
@@ -58,6 +68,7 @@ def suffix_array(text: list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in symbols]
     for i, g in enumerate(group):
         members[g].append(i)
+    size = [len(m) for m in members]
     below = list(range(-1, len(symbols) - 1))
     above = [*range(1, len(symbols)), -1]
     done = bytearray(n)
@@ -65,9 +76,11 @@ def suffix_array(text: list[int]) -> list[int]:
     ordered: list[list[int]] = []
     g = len(symbols) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g]
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
         if own:
-            own.sort()
+            ordered.append(own)
             for i in own:
                 done[i] = 1
             count: dict[int, int] = {}
@@ -78,21 +91,24 @@ def suffix_array(text: list[int]) -> list[int]:
                 previous[i] = p
                 if p >= 0:
                     count[p] = count.get(p, 0) + 1
-            ordered.append(own)
-            moved: dict[tuple[int, int], list[int]] = {}
+            by_count: list[dict[int, list[int]]] = [{} for _ in range(max(count.values(), default=0) + 1)]
             for p, c in count.items():
-                moved.setdefault((-c, group[p]), []).append(p)
-            for key in sorted(moved):  # the most repeats first, so that each later group slips in below
-                old, new, places = key[1], len(members), moved[key]
-                members.append(places)
-                up = above[old]
-                above.append(up)
-                below.append(old)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
-                for p in places:
-                    group[p] = new
+                by_count[c].setdefault(group[p], []).append(p)
+            for moved in reversed(by_count):  # the most repeats first, so that each later group slips in below
+                for old, places in moved.items():
+                    if len(places) == size[old]:
+                        continue  # the whole group moves: it stays where it is
+                    new, up = len(members), above[old]
+                    members.append(places)
+                    size.append(len(places))
+                    size[old] -= len(places)
+                    above.append(up)
+                    below.append(old)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+                    for p in places:
+                        group[p] = new
         g = below[g]
     slot, starts, at = [0] * n, [], 0
     for k, own in enumerate(reversed(ordered)):
@@ -106,71 +122,63 @@ def suffix_array(text: list[int]) -> list[int]:
         j = (n if k < 0 else out[k]) - 1
         while j >= 0 and not put[j]:
             put[j] = 1
-            out[starts[slot[j]]] = j
-            starts[slot[j]] += 1
+            s = slot[j]
+            out[starts[s]] = j
+            starts[s] += 1
             j = previous[j]
     return out
 
 
-def _matrix(texts: list[bytes], width: int) -> np.ndarray:
-    """Rows of ``width`` bytes, filled up with zeros."""
-    return np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
-
+def repeated_windows(texts: list[tuple[bytes, int, bytes]], widths: list[int]) -> list[np.ndarray]:
+    """For each text, which of its windows are found in another place of any text.
 
-def _common(rows: np.ndarray) -> np.ndarray:
-    """Lengths of the common heads of neighbouring rows."""
-    differ = rows[1:] != rows[:-1]
-    return np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-
-
-def repeated_windows(texts: list[bytes], left: np.ndarray, m: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each context, which of its ``m`` windows is equal to a window of another context.
-
-    A context's window ``j`` starts at its byte ``j`` and its anchor at byte ``left``.
+    A text is the bytes before its core, the core's number and the bytes behind.
+    Its windows are all its strings of its width, counted in symbols; texts with
+    one core have one width. Each window holds the core.
     """
-    n = len(texts)
-    width = -(-window // BLOCK) * BLOCK
-    right = _matrix([t[a : a + window] for t, a in zip(texts, left.tolist(), strict=True)], width)
-    _, rank = np.unique(np.ascontiguousarray(right).reshape(-1).view(f"S{BLOCK}"), return_inverse=True)
-    per = width // BLOCK
-    symbols = np.zeros((n, per + 1), np.int64)  # 0 ends each text
-    symbols[:, :per] = rank.reshape(n, per) + 1
-    heads = np.array(suffix_array(symbols.ravel().tolist()), np.int64)
-    order = heads[heads % (per + 1) == 0] // (per + 1)
-    after = _common(right[order])
-    most = int(left.max())
-    before = _matrix([t[:a][::-1] for t, a in zip(texts, left.tolist(), strict=True)], max(most, 1))
-    by_left = np.argsort(before.reshape(-1).view(f"S{before.shape[1]}"), kind="stable")
-    ahead = _common(before[by_left])
-    at_right, at_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    at_right[order], at_left[by_left] = np.arange(n), np.arange(n)
-    first = np.concatenate(([0], np.cumsum(m)))
+    symbols: list[int] = []
+    starts, counts = [], []
+    for (head, core, tail), width in zip(texts, widths, strict=True):
+        starts.append(len(symbols))
+        counts.append(len(head) + 2 + len(tail) - width)
+        symbols += [x + 1 for x in head]
+        symbols.append(257 + core)
+        symbols += [x + 1 for x in tail]
+        symbols.append(0)
+    first = np.concatenate(([0], np.cumsum(counts)))
     flat = np.zeros(first[-1], bool)
-    for far in range(most + 1):  # windows that start ``far`` bytes before their anchor
-        some = np.flatnonzero((left >= far) & (left - far < m))
-        if len(some) < 2:
-            continue
-        head = np.concatenate(([0], np.cumsum(after < window - far)))[at_right[some]]
-        tail = np.concatenate(([0], np.cumsum(ahead < far)))[at_left[some]]
-        key = head * n + tail
-        rank = np.argsort(key, kind="stable")
-        same = key[rank][1:] == key[rank][:-1]
-        hit = some[rank[np.concatenate((same, [False])) | np.concatenate(([False], same))]]
-        flat[first[hit] + left[hit] - far] = True
-    return [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    # windows by their place among the symbols
+    n = np.array(counts, np.int64)
+    place = np.arange(first[-1]) - np.repeat(first[:-1] - np.array(starts, np.int64), n)
+    number = np.full(len(symbols), -1, np.int64)
+    number[place] = np.arange(first[-1])
+    order = np.array(suffix_array(symbols), np.int64)
+    order = order[number[order] >= 0]
+    width = np.repeat(np.array(widths, np.int64), n)[number[order]]
+    data = np.array(symbols + [-1] * max(widths, default=0), np.int32)
+    # neighbours in the order are equal windows if they agree on a window's symbols
+    for low in range(0, len(order) - 1, 50_000):
+        a, b = order[low : low + 50_000], order[low + 1 : low + 50_001]
+        a, most = a[: len(b)], int(width[low : low + 50_000].max())
+        same = np.ones(len(b), bool)
+        for k in range(most):
+            live = np.flatnonzero(same & (k < width[low : low + len(b)]))
+            same[live] = data[a[live] + k] == data[b[live] + k]
+        flat[number[a[same]]] = flat[number[b[same]]] = True
+    return [flat[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start of the first window, windows, anchor's distance, key, hash) of all contexts in texts laid end to end."""
+    """(start of the first window, windows, anchor's distance, key) of all contexts in texts laid end to end."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < WINDOW:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
     doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
     valid = np.flatnonzero(doc[: n - WINDOW + 1] == doc[WINDOW - 1 :])
     if not len(valid):
-        return empty, empty, empty, empty, empty
-    gram = common.Hashes(data, 1).grams(GRAM)
+        return empty, empty, empty, empty
+    gram = common.gram_hashes(data, GRAM)
     least = (gram & ~SHIFT) | np.arange(len(gram), dtype=np.uint64)  # of equal grams the first counts
     reach = 1
     while reach < SPAN:
@@ -180,11 +188,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (least & SHIFT).astype(np.int64)[valid]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1))))
     base, x = valid[new], at[new]
-    m = np.diff(np.append(new, len(valid)))
-    left = x - base
-    h = common.Hashes(data, 2).of(base, base + m + WINDOW - 1)
-    h = common.mixed(h ^ common.mixed((m * 256 + left).astype(np.uint64)))
-    return base, m, left, gram[x].view(np.int64), h.view(np.int64)
+    return base, np.diff(np.append(new, len(valid))), x - base, gram[x].view(np.int64)
 
 
 def _slices(texts: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -203,135 +207,156 @@ def _slices(texts: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, int,
         yield out
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for some in _slices(zip(batch.column("row").to_pylist(), map(press.decompress, batch.column("z").to_pylist()), strict=True)):
-            sizes = np.array([len(t) for _, _, t in some], np.int64)
-            ends = np.cumsum(sizes)
-            base, m, left, key, h = anchors(np.frombuffer(b"".join(t for _, _, t in some), np.uint8), ends)
-            which = np.searchsorted(ends, base, "right")
-            own = np.array([r for r, _, _ in some], np.int64)[which]
-            inside = base - (ends - sizes)[which] + np.array([a for _, a, _ in some], np.int64)[which]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(inside << 16 | left << 8 | m), pa.array(key), pa.array(h)], names=["row", "place", "key", "h"])
+def _digest(left: int, windows: int, text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16, salt=b"%d,%d" % (left, windows)).digest()
+
+
+def _find(digests: bool):
+    """KEYS of all contexts; or ANCHORS, with the contexts' digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for some in _slices(zip(batch.column("row").to_pylist(), map(press.decompress, batch.column("z").to_pylist()), strict=True)):
+                sizes = np.array([len(t) for _, _, t in some], np.int64)
+                ends = np.cumsum(sizes)
+                data = b"".join(t for _, _, t in some)
+                base, m, left, key = anchors(np.frombuffer(data, np.uint8), ends)
+                which = np.searchsorted(ends, base, "right")
+                own = np.array([r for r, _, _ in some], np.int64)[which]
+                if not digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(key)], names=["row", "key"])
+                    continue
+                inside = base - (ends - sizes)[which] + np.array([a for _, a, _ in some], np.int64)[which]
+                found = b"".join(_digest(x, n, data[b : b + n + WINDOW - 1]) for b, n, x in zip(base.tolist(), m.tolist(), left.tolist(), strict=True))
+                h, g = np.frombuffer(found, "<i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(inside << 16 | left << 8 | m), pa.array(key), pa.array(h), pa.array(g)], names=["row", "place", "key", "h", "g"])
+
+    return run
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table: each row with a number of its own, and its text compressed (z)."""
+    """row, doc, z as a written table: each row's number, its columns but the text, and its text compressed."""
+    names = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc") if names else F.lit(None).cast("int").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    schema = StructType([*(f for f in rows.schema.fields if f.name != "text"), StructField("z", _kind("binary"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
-        for batch in batches:
+        for batch in common.sub_batches(batches):
             z = [press.compress(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(z, pa.binary())], names=[*names, "z"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(z, pa.binary())], names=["doc", "row", "z"])
 
-    rows = docs.drop("row", "z").withColumn("text", F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text"), "z binary"])
     return common.written(rows.mapInArrow(run, schema), "packed")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts' bytes from documents with the places where they are wanted."""
-    press = zstandard.ZstdDecompressor()
-    names = ["key", "h", "text", "l", "m", "d", "n"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+def _kind(name: str):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(name)
+
+
+PARTS = "row long, place long, off int, n long, key binary, part binary, near int, far int, l int, m int, head binary, tail binary"
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], names=NAMES)
+
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*rows, strict=True) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+def _part(row: int, place: int, off: int, n: int, key: bytes, near: int, far: int, left: int, m: int, head: bytes, tail: bytes) -> tuple:
+    """A row of PARTS: ``m`` windows from the distance ``left`` on, of a class with the core ``key``."""
+    part = hashlib.blake2b(b"%d,%d,%d," % (left, m, len(head)) + head + tail, digest_size=16, key=key).digest()
+    return row, place, off, n, key, part, near, far, left, m, head, tail
 
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of contexts, from documents with the places of those that are wanted (row, place, n)."""
+    press = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
         for k in range(batch.num_rows):
             text = press.decompress(batch.column("z")[k].as_py())
             for p in batch.column("places")[k].as_py():
                 base, left, m = p["place"] >> 16, p["place"] >> 8 & 255, p["place"] & 255
-                out.append((p["key"], p["h"], text[base : base + m + WINDOW - 1], left, m, p["d"], p["n"]))
+                anchor = base + left
+                for near, far in CLASSES:  # windows j with near <= left - j <= far
+                    low, high = max(0, left - far), min(m - 1, left - near)
+                    if low > high:
+                        continue
+                    # the bytes from ``near`` before the anchor to the first WINDOW - far behind are in each of these windows
+                    key = hashlib.blake2b(text[anchor - near : anchor + WINDOW - far], digest_size=16, salt=b"%d" % near).digest()
+                    head, tail = text[base + low : anchor - near], text[anchor + WINDOW - far : base + high + WINDOW]
+                    out.append(_part(p["row"], p["place"], low, p["n"], key, near, far, left - low, high - low + 1, head, tail))
             if len(out) > 10_000:
-                yield packed(out)
+                yield _batch(out)
                 out = []
-        yield packed(out)
-
-
-CONTEXT = "key long, h long, text binary, l int, m int, d long, n long"
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, h, bits) of contexts, which come sorted by key, by suffix arrays of whole keys."""
-
-    def solve(rows: list[tuple[int, int, bytes, int, int, int]]) -> pa.RecordBatch:
-        found = repeated_windows([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64))
-        bits = [np.packbits(f | (r[5] > 1)).tobytes() for f, r in zip(found, rows, strict=True)]  # a context found twice is repeated as a whole
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(bits, pa.binary())], names=["key", "h", "bits"])
-
-    held: list[tuple[int, int, bytes, int, int, int]] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "h", "text", "l", "m", "n")), strict=True):
-            if len(held) >= CONTEXTS and row[0] != held[-1][0]:
-                yield solve(held)
-                held = []
-            held.append(row)
-    if held:
-        yield solve(held)
+        yield _batch(out)
 
 
 def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each context as two, with the first and the last half of its windows; keyed by the bytes all possible windows of that half share.
-
-    ``far`` and ``near`` bound the distances of the windows of a half from the
-    anchor, alike for all contexts of a key, so equal windows get equal keys.
-    """
-
-    def digest(x: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
-
+    """Each part as two, for the halves of its class; their cores grow by bytes of its head and tail."""
     for batch in batches:
         out = []
-        for o_key, o_h, o_off, text, left, m, near, far, key, n in zip(*(batch.column(c).to_pylist() for c in ("o_key", "o_h", "o_off", "text", "l", "m", "near", "far", "key", "n")), strict=True):
+        for row, place, off, n, key, _, near, far, left, m, head, tail in zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True):
             middle = (near + far) // 2
             for a, b in ((near, middle), (middle + 1, far)):
-                # windows j with a <= left - j <= b
                 low, high = max(0, left - b), min(m - 1, left - a)
                 if low > high or a > b:
                     continue
-                # the bytes from the anchor's ``a`` bytes before to its first WINDOW - b behind are in each of these windows
-                core = text[left - a if left >= a else 0 : left + WINDOW - b]
-                part = text[low : high + WINDOW]
-                salt = f"{key},{a},{b},".encode()
-                out.append((o_key, o_h, o_off + low, digest(salt + core), digest(salt + f"{left - low},{high - low + 1},".encode() + part), part, left - low, high - low + 1, a, b, n))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 11
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["o_key", "o_h", "o_off", "key", "h", "text", "l", "m", "near", "far", "n"])
+                ahead, behind = a - near, far - b  # the core grows by so many bytes
+                core = hashlib.blake2b(b"%d,%d," % (a, b) + head[len(head) - ahead :] + tail[:behind], digest_size=16, key=key).digest()
+                out.append(_part(row, place, off + low, n, core, a, b, left - low, high - low + 1, head[low : len(head) - ahead], tail[behind : len(tail) - (m - 1 - high)]))
+            if len(out) > 10_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
 
 
-HALVES = "o_key long, o_h long, o_off int, key long, h long, text binary, l int, m int, near int, far int, n long"
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, part, bits) of the parts with a repeated window; they come sorted by key, and whole keys share a suffix array."""
+    held: list[tuple[bytes, bytes, bytes, bytes, int]] = []
 
+    def solve() -> pa.RecordBatch:
+        cores: dict[bytes, int] = {}
+        texts = [(head, cores.setdefault(key, len(cores)), tail) for key, _, head, tail, _ in held]
+        found = repeated_windows(texts, [width for *_, width in held])
+        some = [(key, part, np.packbits(f).tobytes()) for (key, part, *_), f in zip(held, found, strict=True) if f.any()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*some, strict=True) if some else [[]] * 3)], names=["key", "part", "bits"])
 
-def _hot(contexts: DataFrame, limit: int) -> DataFrame:
-    """Decisions (key, h, off, bits) for contexts (key, h, text, l, m, n) of keys with over ``limit`` of them."""
-    rows = contexts.select(F.col("key").alias("o_key"), F.col("h").alias("o_h"), F.lit(0).alias("o_off"), "key", "h", "text", "l", "m", F.lit(0).alias("near"), F.lit(SPAN - 1).alias("far"), "n")
-    out = None
-    for _ in range((SPAN - 1).bit_length() + 1):  # then a half is one window, and equal keys are equal contexts
-        rows = common.written(rows.mapInArrow(_halve, HALVES), "halves")
-        distinct = rows.groupBy("key", "h").agg(F.sum("n").alias("n"), F.first("text").alias("text"), F.first("l").alias("l"), F.first("m").alias("m"))
-        distinct = common.written(distinct, "distinct")
-        kinds = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
-        sized = distinct.join(kinds, "key")
-        decided = _decisions(sized.where((F.col("d") <= limit) & ((F.col("d") > 1) | (F.col("n") > 1))))
-        found = rows.select("o_key", "o_h", "o_off", "key", "h").join(decided, ["key", "h"]).select(F.col("o_key").alias("key"), F.col("o_h").alias("h"), F.col("o_off").alias("off"), "bits")
-        out = found if out is None else out.union(found)
-        large = kinds.where(F.col("d") > limit).select("key")
-        rows = common.written(rows.join(large, "key", "left_semi"), "large")
-        if rows.isEmpty():
-            break
-    return out
+    for batch in batches:
+        for key, part, head, tail, near, far in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "head", "tail", "near", "far")), strict=True):
+            if len(held) >= TEXTS and key != held[-1][0]:
+                yield solve()
+            held.append((key, part, head, tail, far - near + 1))
+    if held:
+        yield solve()
 
 
-def _decisions(sized: DataFrame) -> DataFrame:
-    """(key, h, bits) of contexts (key, h, text, l, m, n), whose keys have few contexts each."""
-    dealt = sized.select("key", "h", "text", "l", "m", "n").repartition("key").sortWithinPartitions("key", "h")
-    return dealt.mapInArrow(_decide, "key long, h long, bits binary")
+def _decided(parts: DataFrame, limit: int) -> DataFrame:
+    """row, place, off, m, bits (null: all m windows) of the parts (a written table) of contexts found once that hold repeated windows."""
+    out = None
+    while True:
+        texts = parts.groupBy("key", "part").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("near", "far", "head", "tail")))
+        texts = common.written(texts, "cores")
+        keys = texts.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+        keys = common.written(keys, "several")  # so that Spark can split a core that many texts hold
+        several = texts.join(keys.where(F.col("d") <= limit), "key").select("key", "part", "head", "tail", "near", "far")
+        bits = several.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_decide, "key binary, part binary, bits binary")
+        whole = texts.where("n > 1").select("key", "part", F.lit(None).cast("binary").alias("bits"))
+        known = common.written(whole.union(bits), "known")
+        found = parts.where("n = 1").join(known, ["key", "part"]).select("row", "place", "off", "m", "bits")
+        out = found if out is None else out.union(found)
+        large = keys.where(F.col("d") > limit).select("key")
+        common.forget(texts)
+        if large.isEmpty():
+            common.forget(keys)
+            return out
+        parts = common.written(parts.join(large, "key").select(*NAMES).mapInArrow(_halve, PARTS), "halves")
+        common.forget(keys)
 
 
 def _spans(found: list[dict]) -> list[tuple[int, int]]:
@@ -340,7 +365,7 @@ def _spans(found: list[dict]) -> list[tuple[int, int]]:
     for x in found:
         base = (x["place"] >> 16) + x["off"]
         if x["bits"] is None:  # all windows
-            starts.append(np.arange(base, base + (x["place"] & 255)))
+            starts.append(np.arange(base, base + x["m"]))
         else:
             starts.append(np.flatnonzero(np.unpackbits(np.frombuffer(x["bits"], np.uint8))) + base)
     at = np.unique(np.concatenate(starts))
@@ -362,23 +387,28 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """row, spans (start, end): the maximal byte runs that repeated windows cover, of documents (row, z) that have any."""
-    found = docs.select("row", "z").mapInArrow(_find, ANCHORS)
-    repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    found = common.written(found.join(common.written(repeated, "repeated"), "key"), "anchors")
-    kinds = found.groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
+    """row, spans (start, end): the maximal byte runs that repeated windows cover, of documents (row, z) that have any.
+
+    A document's places and decisions are gathered in one row, which is as large
+    as a part of the document itself.
+    """
+    keys = docs.select("row", "z").mapInArrow(_find(False), KEYS)
+    repeated = common.written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated")
+    found = docs.select("row", "z").mapInArrow(_find(True), ANCHORS)
+    found = common.written(found.join(repeated, "key"), "anchors")
+    common.forget(repeated)
+    kinds = found.groupBy("key", "h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("place", "row").alias("place"))
     kinds = common.written(kinds, "contexts")
-    keys = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d"))
-    sized = kinds.join(keys, "key")
-    # the only context of an anchor, found often: all its windows are repeated, whatever its text is
-    alone = sized.where("d = 1").select("key", "h", F.lit(0).alias("off"), F.lit(None).cast("binary").alias("bits"))
-    wanted = sized.where("d > 1").groupBy("row").agg(F.collect_list(F.struct("key", "h", "place", "d", "n")).alias("places"))
-    texts = common.written(docs.select("row", "z").join(wanted, "row").select("z", "places").mapInArrow(_cut, CONTEXT), "texts")
-    decided = _decisions(texts.where(F.col("d") <= limit)).select("key", "h", F.lit(0).alias("off"), "bits")
-    if not keys.where(F.col("d") > limit).isEmpty():
-        decided = decided.union(_hot(texts.where(F.col("d") > limit), limit))
-    hits = found.join(alone.union(decided), ["key", "h"])
-    return hits.groupBy("row").agg(F.collect_list(F.struct("place", "off", "bits")).alias("found")).mapInArrow(_merge, "row long, spans array<struct<start:bigint,end:bigint>>")
+    several = common.written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("key"), "several")
+    wanted = kinds.join(several, "key").groupBy("row").agg(F.collect_list(F.struct("row", "place", "n")).alias("places"))
+    parts = common.written(docs.select("row", "z").join(wanted, "row").select("z", "places").mapInArrow(_cut, PARTS), "parts")
+    common.forget(several)
+    decided = _decided(parts, limit).select("row", "place", "off", "m", "bits")
+    # all windows of a context found twice or more are repeated
+    often = common.written(kinds.where("n > 1").select("h", "g"), "often")
+    whole = found.join(often, ["h", "g"]).select("row", "place", F.lit(0).alias("off"), F.col("place").bitwiseAND(255).cast("int").alias("m"), F.lit(None).cast("binary").alias("bits"))
+    hits = whole.union(decided)
+    return hits.groupBy("row").agg(F.collect_list(F.struct("place", "off", "m", "bits")).alias("found")).mapInArrow(_merge, f"row long, spans {SPANS}")
 
 
 def _whole_characters(text: bytes, cut: list[dict]) -> list[dict]:
@@ -395,47 +425,75 @@ def _whole_characters(text: bytes, cut: list[dict]) -> list[dict]:
     return out
 
 
-def dedup(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> DataFrame:
-    """Removes each byte covered by a ``WINDOW``-byte string that starts at another place too, in any document.
-
-    Returns ``docs`` without their text, and with these columns added or replaced: kept (binary: the remaining bytes, laid end to end), n_bytes,
-    n_removed, n_spans (maximal removed runs). Null and empty texts have no bytes;
-    texts shorter than a window lose none; of rows with equal texts each loses all
-    that its copies hold too; no rows give no rows. Equal anchors and contexts are
-    those with equal 64-bit hashes; where contexts differ, bytes are compared.
-    With ``characters``, characters of which only some bytes are covered stay, so
-    that what remains is valid UTF-8.
-    """
-    common.small_batches(docs.sparkSession)
-    docs = docs.drop("row", "spans", "z", "kept", "n_bytes", "n_removed", "n_spans")
+def cleaned(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> DataFrame:
+    """doc (a struct of the columns of ``docs`` but the text, whatever their names), kept, n_bytes, n_removed, n_spans; see ``dedup``."""
     table = packed(docs)
-    joined = table.join(spans(table.select("row", "z"), limit), "row", "left").drop("row")
+    joined = table.join(spans(table.select("row", "z"), limit), "row", "left").select("doc", "z", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                kept, total, gone, runs = [], [], [], []
-                for z, cut in zip(part.column("z").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    text = press.decompress(z)
-                    cut = _whole_characters(text, cut or []) if characters else cut
-                    out, at = [], 0
-                    for s in cut or ():
-                        out.append(text[at : s["start"]])
-                        at = s["end"]
-                    out.append(text[at:])
-                    kept.append(b"".join(out))
-                    total.append(len(text))
-                    gone.append(len(text) - len(kept[-1]))
-                    runs.append(len(cut or ()))
-                rest = [c for c in part.schema.names if c not in ("z", "spans")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, gone, runs))], names=[*rest, "kept", "n_bytes", "n_removed", "n_spans"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "kept binary, n_bytes long, n_removed long, n_spans long"])
+            low, size = 0, 0
+            kept, total, gone, runs = [], [], [], []
+            for k, (z, cut) in enumerate(zip(batch.column("z"), batch.column("spans"), strict=True)):
+                text = press.decompress(z.as_py())
+                cut = cut.as_py() or []
+                cut = _whole_characters(text, cut) if characters else cut
+                out, at = [], 0
+                for s in cut:
+                    out.append(text[at : s["start"]])
+                    at = s["end"]
+                out.append(text[at:])
+                kept.append(b"".join(out))
+                total.append(len(text))
+                gone.append(len(text) - len(kept[-1]))
+                runs.append(len(cut))
+                size += len(kept[-1])
+                if size > 8_000_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").slice(low, k + 1 - low), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, gone, runs))], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
+                    low, size = k + 1, 0
+                    kept, total, gone, runs = [], [], [], []
+
+    schema = StructType([joined.schema["doc"], *_kind("kept binary, n_bytes long, n_removed long, n_spans long").fields])
     return joined.mapInArrow(run, schema)
 
 
+def restored(table: DataFrame, names: list[str], text: Column | None = None) -> list[Column]:
+    """The columns ``names`` of a table by ``cleaned``; ``text`` stands for the text."""
+    return [text.alias(c) if c == "text" and text is not None else F.col("doc").getField(c).alias(c) for c in names]
+
+
+def dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Removes each byte covered by a ``WINDOW``-byte string that starts at another place too, in any document.
+
+    Returns ``docs`` without their text, and with these columns, which stand for
+    any of ``docs`` with such a name: kept (binary: the remaining bytes, laid end to
+    end), n_bytes, n_removed, n_spans (maximal removed runs). All other columns stay,
+    whatever their names. Null and empty texts have no bytes; texts shorter than a
+    window lose none; of rows with equal texts each loses all that its copies hold
+    too, whatever their doc_ids; a text of any length is searched whole, in slices
+    that overlap by a window; no rows give no rows. Strings are told apart by
+    128-bit digests of their bytes, so hashes alone decide nothing.
+    """
+    own = ("kept", "n_bytes", "n_removed", "n_spans")
+    table = cleaned(docs, limit)
+    return table.select(*restored(table, [c for c in docs.columns if c not in ("text", *own)]), *own)
+
+
+def texts(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with the text that ``dedup`` leaves, and all their other columns as they are.
+
+    Characters of which only some bytes are covered stay, so that what remains is
+    valid UTF-8. A null text stays null.
+    """
+    null = docs.withColumn("text", F.col("text").cast("string"))
+    marked = null.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("text")).alias("own"), "text")
+    table = cleaned(marked, limit, characters=True)
+    own = F.col("doc").getField("own")
+    text = F.when(~own.getField("text"), F.col("kept").cast("string"))
+    return table.select(*[text.alias(c) if c == "text" else own.getField(c).alias(c) for c in docs.columns])
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: what each loses to strings of 200 bytes found elsewhere too, and a digest of the rest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
