@@ -149,6 +149,7 @@ class Lattice:
 
     def add(self, words: list[bytes]) -> None:
         """Append the filtered lattices of ``words`` to those that are kept."""
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
         new, old = self.words(words), self.net
         nodes, edges = len(old["starts"]) - 1, len(old["source"])
         for name, by in (("source", nodes), ("piece", 0), ("share", nodes), ("end", nodes), ("begin", nodes)):
@@ -156,7 +157,7 @@ class Lattice:
         self.net["starts"] = np.concatenate((old["starts"][:-1], (new["starts"] + edges).astype(old["starts"].dtype)))
 
     def forget(self) -> None:
-        self.keys, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the words, sorted, and their numbers
+        self.codes: dict[bytes, int] = {}  # the words' numbers
         none = np.zeros(0, np.int32)
         self.net = {"source": none, "piece": none, "share": np.zeros(0), "starts": np.zeros(1, np.int32), "end": none, "begin": none}
 
@@ -215,22 +216,16 @@ KEEP = 250_000
 
 def encode_batch(lattice: Lattice, keys: list[object], texts: pa.Array, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(piece ids, offsets) of a batch of texts, sampled by row key."""
-    if len(lattice.keys) > KEEP:
+    if len(lattice.codes) > KEEP:
         lattice.forget()
     data, starts, offsets = split_words(pc.fill_null(texts.cast(pa.large_string()), ""))
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    stops = np.append(starts[1:], len(data))
-    hashes = common.Hashes(data, 5).of(starts, stops)
-    distinct, first = np.unique(hashes, return_index=True)
-    at = np.searchsorted(lattice.keys, distinct)
-    new = ~np.isin(distinct, lattice.keys, assume_unique=True)
-    if new.any():
-        known = len(lattice.keys)
-        lattice.add([data[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
-        lattice.keys = np.insert(lattice.keys, at[new], distinct[new])
-        lattice.codes = np.insert(lattice.codes, at[new], known + np.arange(int(new.sum())))
-    codes = lattice.codes[np.searchsorted(lattice.keys, hashes)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    distinct = words.dictionary.to_pylist()
+    if new := [w for w in distinct if w not in lattice.codes]:
+        lattice.add(new)
+    codes = np.fromiter(map(lattice.codes.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
     row = np.array([xxhash.xxh3_64_intdigest(str(k), seed) for k in keys], np.uint64)
     n = np.diff(offsets)
     place = np.arange(len(codes)) - np.repeat(offsets[:-1], n)
@@ -250,12 +245,12 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, seed:
 
     It depends on doc_id, text, ``alpha`` and ``seed`` alone, so any layout or
     retry gives the same ids; rows with one doc_id and text get the same ids.
-    Null and empty texts have no ids. No rows give no rows; columns beyond
-    doc_id and text are not read. ``alpha`` 0 draws segmentations evenly; a
+    Null and empty texts have no ids. A word of any length is segmented whole, in
+    time and memory that grow with its length. Words are told apart by their bytes.
+    No rows give no rows; columns beyond doc_id and text are not read. ``alpha`` 0 draws segmentations evenly; a
     large one tends to the best segmentation.
     """
     path = path or model_path()
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path, alpha)
