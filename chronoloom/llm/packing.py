@@ -117,8 +117,8 @@ class WordTokenizer:
     does not behave so on a probe text, whole texts are tokenised.
     """
 
-    #: So many parts of words are remembered, by a 64-bit hash; beyond, all are forgotten.
-    KEEP = 1_000_000
+    #: So many parts of words are remembered; beyond, all are forgotten.
+    KEEP = 250_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
@@ -132,34 +132,30 @@ class WordTokenizer:
         self.by_word = whole == [i for w in self._lists(re.findall(r"[^\x20\x09-\x0D]+", probe)) for i in w] and self._lists(["Éa,."])[0] == sum(self._lists(["éa", ",."]), [])
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted, with the place and number of each part's ids
+        self.number: dict[bytes, int] = {}  # of each part, in the order of ``place`` and ``size``
         self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Tokenise parts that are not remembered."""
-        order = np.argsort(hashes, kind="stable")
-        sizes = np.zeros(len(texts), np.int64)
-        starts = np.zeros(len(texts), np.int64)
-        for low in range(0, len(texts), 10_000):
-            lists = self._lists(texts[low : low + 10_000])
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        """The numbers of distinct parts; those that are not remembered are tokenised."""
+        new = [x for x in parts if x not in self.number]
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        places, sizes = [self.place], [self.size]
+        for low in range(0, len(new), 10_000):
+            lists = self._lists([x.decode() for x in new[low : low + 10_000]])
             n = np.array([len(x) for x in lists], np.int64)
             flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum()))
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)))
             self.ids[self.used : self.used + len(flat)] = flat
-            sizes[low : low + len(n)], starts[low : low + len(n)] = n, self.used + np.cumsum(n) - n
+            places.append(self.used + np.cumsum(n) - n)
+            sizes.append(n)
             self.used += len(flat)
-        at = np.searchsorted(self.keys, hashes[order])
-        self.keys, self.place, self.size = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, starts[order]), np.insert(self.size, at, sizes[order])
+        self.place, self.size = np.concatenate(places), np.concatenate(sizes)
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts; a null text has no ids."""
@@ -173,19 +169,12 @@ class WordTokenizer:
         # below U+0250 (two bytes up to C9 8F) lower() maps each letter by itself and nothing composes
         plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, "[^\x00-\u024f]|İ")))
         heads = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
-        data, ends = _bytes_of(heads.dictionary)
-        head = common.Hashes(data, 3).of(ends[:-1], ends[1:])
-        # a word's punctuation lies behind its core, in the words' own bytes
-        data, ends = _bytes_of(words)
-        behind = plain.to_numpy(zero_copy_only=False) & (pc.binary_length(core).to_numpy(zero_copy_only=False) < np.diff(ends))
-        start = np.where(behind, ends[:-1] + pc.binary_length(core).to_numpy(zero_copy_only=False), ends[1:])
-        marks = common.Hashes(data, 3).of(start, ends[1:])
-        for hashes, texts_of in ((head, lambda k: heads.dictionary.take(pa.array(k)).to_pylist()), (marks, lambda k: [data[start[i] : ends[i + 1]].tobytes().decode() for i in k.tolist()])):
-            distinct, first = np.unique(hashes, return_index=True)
-            new = ~self._known(distinct)
-            if new.any():
-                self._learn(distinct[new], texts_of(first[new]))
-        at = np.stack([np.searchsorted(self.keys, head)[heads.indices.to_numpy()], np.searchsorted(self.keys, marks)], 1)
+        # a word's punctuation lies behind its core
+        behind = pc.if_else(plain, pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        marks = pa.array([w[k:] for w, k in zip(words.cast(pa.large_binary()).to_pylist(), behind.tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        head = self._numbers(heads.dictionary.cast(pa.large_binary()).to_pylist())
+        mark = self._numbers(marks.dictionary.to_pylist())
+        at = np.stack([head[heads.indices.to_numpy()], mark[marks.indices.to_numpy()]], 1)
         place, size = self.place[at], self.size[at]
         n = size.sum(1)[codes]
         stops = np.concatenate(([0], np.cumsum(n)))
@@ -194,20 +183,11 @@ class WordTokenizer:
         laid = np.cumsum(parts) - parts
         own = self.ids[np.repeat(place.ravel() - laid, parts) + np.arange(parts.sum())]
         out = own[np.repeat(laid[::2][codes] - stops[:-1], n) + np.arange(stops[-1])]
-        if len(self.keys) > self.KEEP:
+        if len(self.number) > self.KEEP:
             self._forget()
         return out, stops[offsets]
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an array of strings without nulls."""
-    texts = texts.cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 @lru_cache(1)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for all tasks of a worker process."""
@@ -217,7 +197,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise ``doc_id, text`` and cut documents of over ``capacity`` ids (id 0 ends each)."""
     path = path or tokenizer_path()
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(path)
@@ -244,7 +223,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     are interchangeable, so ties cannot change how many sequences there are.
     """
     table = common.written(pieces(docs, path, capacity), "pieces")
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    lengths = table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity rows at most
+    counts = {r["length"]: r["n"] for r in lengths}
     runs = sorted(best_fit_decreasing(counts, capacity))
     shift = 40  # ranks below 2**40
     keys, firsts, bins, offs = (np.array(x, np.int64) for x in ([r[0] << shift | r[1] for r in runs], [r[1] for r in runs], [r[3] for r in runs], [r[4] for r in runs]))
@@ -257,7 +237,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             at = np.searchsorted(keys, (b.column("length").to_numpy() << shift) | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(bins[at] + rank - firsts[at]), pa.array(offs[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    rank = common.ranked(table, ["length"], ["doc_id", "piece", "ids_crc32"])
+    sizes = docs.sparkSession.createDataFrame(lengths, "length long, n long")
+    rank = common.ranked(table.join(F.broadcast(sizes), "length"), ["length"], ["doc_id", "piece", "ids_crc32"], "n")
     return rank.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
