@@ -5,8 +5,10 @@ send each distinct n-gram once to its bucket (by hash), with the batch's counts;
 buckets add them up and send totals back, in the batch's order. One fold of the
 training texts is held out: on its word pairs, with the counts of the other
 folds, expectation-maximisation learns how much weight the maximum-likelihood
-estimate gets, for each bucket of context frequencies. The final model uses
-these weights with the counts of all training texts.
+estimate gets, for each bucket of context frequencies. (The estimate of single
+words has one context, the empty one, so one weight.) The final model uses these
+weights with the counts of all training texts. What is learned from are counts of
+ratios between the two estimates, in bins of an eighth of a power of two.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from . import common
 
 FOLDS, TEST_FOLD, HELD_FOLD = 7, 2, 3
 #: Bytes of text that share requests; bytes of input for each bucket of n-grams.
-BATCH, BUCKET = 4_000_000, 6_000_000
+BATCH, BUCKET = 8_000_000, 12_000_000
+#: Bits that tell pairs of words apart in a bucket.
+PAIR_BITS = 48
 END, START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Context frequencies fall into buckets by powers of two; ratios of estimates into bins of an eighth of a power of two.
 FREQUENCIES, BINS, FINE = 48, 1024, 8
@@ -55,38 +59,66 @@ def _pairs(stream: np.ndarray, context: np.ndarray) -> np.ndarray:
     return common.mixed(common.mixed(context) * common.GOLD + stream)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range starts in sorted keys."""
-    edges = [min(-(-(k << 64) // buckets), (1 << 64) - 1) for k in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)])).astype(np.int64)
+def _edges(buckets: int) -> np.ndarray:
+    """The least hash of each bucket."""
+    return np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64)
+
+
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers: all lowest bytes, then all second ones, and so on."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Small numbers, compressed."""
+    return zstandard.compress(_planes(values).tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    return _from_planes(zstandard.decompress(data)) if data else np.zeros(0, np.uint64)
+
+
+def _sealed(keys: np.ndarray) -> bytes:
+    """Rising numbers as their differences, whose high bytes are compressed; the four low ones are as good as random."""
+    planes = _planes(np.diff(keys, prepend=np.uint64(0)))
+    return planes[:4].tobytes() + zstandard.compress(planes[4:].tobytes(), 1)
+
+
+def _unsealed(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_from_planes(data[: 4 * n] + zstandard.decompress(data[4 * n :])), dtype=np.uint64) if n else np.zeros(0, np.uint64)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each batch of texts: its number, doc_ids, folds and compressed texts; the held-out fold is apart, with an odd number."""
+    """One row for each batch of texts: its number, doc_ids, folds and compressed texts; the held-out fold is apart."""
     press = zstandard.ZstdCompressor(3)
-    part, k = TaskContext.get().partitionId(), 0
-    for whole in common.sub_batches(batches, most=BATCH):
-        fold = whole.column("fold").to_numpy()
-        for odd, mask in ((0, fold != HELD_FOLD), (1, fold == HELD_FOLD)):
-            if not mask.any():
-                continue
-            batch = whole.filter(pa.array(mask))
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            cells = (((part << 24 | k) << 1) | odd, batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), [len(t) for t in texts], press.compress(b"".join(texts)))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["batch", "doc_ids", "folds", "sizes", "z"])
-        k += 1
+    part = TaskContext.get().partitionId()
+    for k, batch in enumerate(common.sub_batches(batches, most=BATCH)):
+        held = batch.column("fold").to_numpy() == HELD_FOLD
+        cells = [part << 24 | k]
+        for mask in (~held, held):
+            some = batch.filter(pa.array(mask))
+            texts = [(t or "").encode() for t in some.column("text").to_pylist()]
+            cells += [some.column("doc_id").to_pylist(), some.column("fold").to_pylist(), [len(t) for t in texts], press.compress(b"".join(texts))]
+        kinds = (pa.int64(), *(pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()) * 2)
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names=["batch", "ids", "folds", "sizes", "z", "held_ids", "held_folds", "held_sizes", "held_z"])
+
+
+PACKS = "batch long, ids array<long>, folds array<int>, sizes array<long>, z binary, held_ids array<long>, held_folds array<int>, held_sizes array<long>, held_z binary"
 
 
-PACKS = "batch long, doc_ids array<long>, folds array<int>, sizes array<long>, z binary"
+def _texts(sizes: list[int], *z: bytes) -> pa.Array:
+    data = b"".join(map(zstandard.decompress, z))
+    ends = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(data))
 
 
 def _unpacked(cells: dict) -> tuple[list[int | None], np.ndarray, pa.Array]:
-    """(doc_ids, folds, texts) of a batch's row."""
-    data = zstandard.ZstdDecompressor().decompress(cells["z"])
-    ends = np.concatenate(([0], np.cumsum(np.array(cells["sizes"], np.int64))))
-    texts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(data))
-    return cells["doc_ids"], np.array(cells["folds"], np.int64), texts
+    """(doc_ids, folds, texts) of a batch's row, held-out texts last."""
+    return cells["ids"] + cells["held_ids"], np.array(cells["folds"] + cells["held_folds"], np.int64), _texts(cells["sizes"] + cells["held_sizes"], cells["z"], cells["held_z"])
 
 
 def _each(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
@@ -94,67 +126,77 @@ def _each(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
         yield {c: batch.column(c)[k].as_py() for c in batch.schema.names}
 
 
+REQUESTS = "bucket long, batch long, n_words int, n_pairs int, words binary, pairs binary, counts binary, held binary"
+
+
 def _requests(buckets: int):
+    """For each batch and bucket: the batch's distinct words and pairs in it, with their counts in all training texts and in held-out ones."""
+    edges = _edges(buckets)
+    shift = np.uint64(max(0, 64 - PAIR_BITS - (buckets.bit_length() - 1)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(1)
+        names = [x.split()[0] for x in REQUESTS.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
         for number, folds, texts in ((row["batch"], *_unpacked(row)[1:]) for batch in batches for row in _each(batch)):
             stream, context, ends = _streams(texts)
-            train = np.repeat(folds != TEST_FOLD, np.diff(ends))
-            out = []
-            for kind, keys in ((1, np.append(stream, START)), (2, _pairs(stream, context))):
+            fold = np.repeat(folds, np.diff(ends))
+            sides = []
+            for keys in (np.append(stream, START), _pairs(stream, context)):
                 keys, which = np.unique(keys, return_inverse=True)
-                # starts count as contexts: as often as there are training texts
-                counts = np.bincount(which[: len(stream)], train, len(keys)).astype("<u8")
-                if kind == 1:
-                    counts[which[-1]] = int((folds != TEST_FOLD).sum())
-                cut = _cuts(keys, buckets)
-                raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
-                width = 8 if kind == 1 else 6  # a bucket is a range of the first bits; six bytes more tell pairs apart in it
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    x, y = cut[b], cut[b + 1]
-                    out.append((b, number, kind, raw[x:y, :width].tobytes(), press.compress(counts[x:y].tobytes())))
-            cols = zip(*out, strict=True)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "batch", "kind", "keys", "counts"])
+                counts, held = (np.bincount(which[: len(stream)], mask, len(keys)).astype(np.uint64) for mask in (fold != TEST_FOLD, fold == HELD_FOLD))
+                if not sides:  # starts count as contexts: as often as there are training texts
+                    counts[which[-1]], held[which[-1]] = int((folds != TEST_FOLD).sum()), int((folds == HELD_FOLD).sum())
+                sides.append((keys, counts, held, np.append(np.searchsorted(keys, edges), len(keys))))
+            (words, c1, h1, cut1), (pairs, c2, h2, cut2) = sides
+            out = []
+            for b in np.flatnonzero(np.diff(cut1) + np.diff(cut2)).tolist():
+                i, j, k, m = cut1[b], cut1[b + 1], cut2[b], cut2[b + 1]
+                own = (_sealed(words[i:j] - edges[b]), _sealed((pairs[k:m] - edges[b]) >> shift))
+                out.append((b, number, j - i, m - k, *own, _squeezed(np.concatenate((c1[i:j], c2[k:m]))), _squeezed(np.concatenate((h1[i:j], h2[k:m])))))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-ANSWERS = "batch long, kind int, bucket int, total binary, rest binary"
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """The totals of a bucket's n-grams, for each row in its order; and rows of sums (batch -1)."""
-    press, unpress = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
-    bucket = table.column("bucket")[0].as_py()
-    out: list[tuple[int, int, int, bytes, bytes]] = []
-    for kind, width in ((1, 8), (2, 6)):
-        rows = [(b, k, c) for b, q, k, c in zip(*(table.column(n).to_pylist() for n in ("batch", "kind", "keys", "counts")), strict=True) if q == kind]
-        if not rows:
-            continue
-        sizes = [len(k) // width for _, k, _ in rows]
-        raw = np.zeros((sum(sizes), 8), np.uint8)
-        raw[:, :width] = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint8).reshape(-1, width)
-        counts = np.frombuffer(b"".join(unpress.decompress(c) for _, _, c in rows), "<u8")
-        keys, which = np.unique(raw.view("<u8").ravel(), return_inverse=True)
-        total = np.bincount(which, counts, len(keys)).astype("<u8")
-        odd = np.repeat(np.array([b & 1 for b, _, _ in rows], bool), sizes)
-        held = np.bincount(which[odd], counts[odd], len(keys)).astype("<u8")
-        rest = total - held
-        at = 0
-        for (batch, _, _), n in zip(rows, sizes, strict=True):
-            own = which[at : at + n]
-            at += n
-            out.append((batch, kind, bucket, press.compress(total[own].tobytes()), press.compress(rest[own].tobytes()) if batch & 1 else b""))
-        if kind == 1:
-            word = keys != START
-            # of the held-out words, how many were found how often in the rest (in bins)
-            bins = np.bincount(_bin(rest[word]), held[word], BINS).astype("<u8")
-            sums = [int((total[word] > 0).sum()), int(total[word].sum()), int((rest[word] > 0).sum()), int(rest[word].sum())]
-            out.append((-1, 0, bucket, struct.pack("<4Q", *sums), bins.tobytes()))
-    cols = zip(*out, strict=True)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["batch", "kind", "bucket", "total", "rest"])
+ANSWERS = "batch long, bucket long, words binary, pairs binary, words_rest binary, pairs_rest binary"
+
+
+def _answer(edges: np.ndarray):
+    """A bucket's totals for each request, in its order, and without the held-out texts where the batch's held-out texts have the n-gram; and sums (batch -1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        start = START - edges[bucket] if edges[bucket] <= START else None
+        batches, n_words, n_pairs = (table.column(c).to_pylist() for c in ("batch", "n_words", "n_pairs"))
+        counts, held = ([_unsqueezed(x.as_py()) for x in table.column(c)] for c in ("counts", "held"))
+        cells: list[list] = [batches, [bucket] * len(batches)]
+        rests, sums = [], b""
+        for kind, (sizes, name) in enumerate(((n_words, "words"), (n_pairs, "pairs"))):
+            side = slice(None, 1) if kind == 0 else slice(1, None)
+            of = lambda x, n: np.split(x, [n])[side][0]
+            keys, which = np.unique(np.concatenate([_unsealed(x.as_py(), n) for x, n in zip(table.column(name), sizes, strict=True)]), return_inverse=True)
+            some, own_held = (np.concatenate([of(x, n) for x, n in zip(xs, n_words, strict=True)]) for xs in (counts, held))
+            total, out = (np.bincount(which, x, len(keys)).astype(np.uint64) for x in (some, own_held))
+            rest, ends = total - out, np.cumsum(sizes)
+            parts = np.split(which, ends[:-1])
+            cells.append([_squeezed(total[w]) for w in parts])
+            rests.append([_squeezed(rest[w[h > 0]]) for w, h in zip(parts, np.split(own_held, ends[:-1]), strict=True)])
+            if kind == 0:
+                word = keys != start if start is not None else np.ones(len(keys), bool)
+                # of the held-out words, how many were found how often in the rest (in bins)
+                bins = np.bincount(_bin(rest[word]), out[word], BINS).astype("<u8").tobytes()
+                sums = struct.pack("<4Q", int((total[word] > 0).sum()), int(total[word].sum()), int((rest[word] > 0).sum()), int(rest[word].sum()))
+        cells += rests
+        for c, x in zip(cells, (-1, bucket, sums, bins, b"", b""), strict=True):
+            c.append(x)
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+
+    return run
 
 
 def _bin(counts: np.ndarray) -> np.ndarray:
@@ -180,23 +222,22 @@ def mixture(ratio: np.ndarray, n: np.ndarray, rounds: int = 200) -> float:
     return min(weight, 1 - 1e-9)
 
 
-def _looked_up(answers: pa.Table, column: str) -> dict[int, np.ndarray]:
-    """Counts of a batch's distinct n-grams by kind, in the order of their keys."""
-    unpress = zstandard.ZstdDecompressor()
-    rows = sorted(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column(column).to_pylist(), strict=True), key=lambda r: r[:2])
-    return {kind: np.frombuffer(b"".join(unpress.decompress(x) for q, _, x in rows if q == kind), "<u8") for kind in (1, 2)}
+def _looked_up(answers: pa.Table, suffix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a batch's distinct words and pairs, in the order of their keys."""
+    order = np.argsort(answers.column("bucket").to_numpy())
+    return tuple(np.concatenate([np.zeros(0, np.uint64), *(_unsqueezed(answers.column(c + suffix)[k].as_py()) for k in order.tolist())]) for c in ("words", "pairs"))
 
 
-def _counted(texts: pa.Array, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(texts: pa.Array, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(c(word), c(context), c(context, word), offsets) of all tokens of a batch."""
     stream, context, ends = _streams(texts)
     keys, which = np.unique(np.append(stream, START), return_inverse=True)
-    single = counts[1][which]
+    single = words[which]
     before = np.empty(len(stream), np.uint64)
     before[1:] = single[:-2]
     before[ends[:-1]] = single[-1]
     _, both = np.unique(_pairs(stream, context), return_inverse=True)
-    return single[:-1], before, counts[2][both], ends
+    return single[:-1], before, pairs[both], ends
 
 
 def _frequency(before: np.ndarray) -> np.ndarray:
@@ -210,23 +251,24 @@ def score(docs: DataFrame) -> DataFrame:
     base_score, score (log10 probabilities of the unigram baseline and of the
     interpolated model). A null text is empty: its only token is the end. A null
     doc_id counts as an empty one, in training. Repeated rows count and are scored
-    each. No rows give no rows; columns beyond doc_id and text are not read.
+    each. Texts of any length are counted and scored whole, in memory that grows
+    with the longest. No rows give no rows; columns beyond doc_id and text are not
+    read.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("fold", F.pmod(common.crc32_of(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     packs = common.written(rows.mapInArrow(_pack, PACKS), "packs")
-    requests = packs.mapInArrow(_requests(buckets), "bucket int, batch long, kind int, keys binary, counts binary")
-    answers = common.written(requests.groupBy("bucket").applyInArrow(_answer, ANSWERS), "answers")
+    requests = packs.mapInArrow(_requests(buckets), REQUESTS)
+    answers = common.written(requests.groupBy("bucket").applyInArrow(_answer(_edges(buckets)), ANSWERS), "answers")
     # sums: one row a bucket, added up in Spark; bins: BINS numbers
     sums = answers.where("batch = -1")
 
     def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, n = [], []
-            for total, rest in zip(batch.column("total").to_pylist(), batch.column("rest").to_pylist(), strict=True):
+            for total, rest in zip(batch.column("words").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
                 bins = np.frombuffer(rest, "<u8")
                 full = np.flatnonzero(bins)
                 at += [-4, -3, -2, -1, *full.tolist()]
@@ -239,8 +281,10 @@ def score(docs: DataFrame) -> DataFrame:
     single = mixture(_middle(at) / max(n_rest, 1) * (v_rest + 1), n)
 
     def ratios(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        _, _, texts = _unpacked(next(_each(docs)))
-        one, before, two, _ = _counted(texts, _looked_up(answers, "rest"))
+        if not docs.num_rows:  # no held-out texts in this batch
+            return pa.table({"f": pa.array([], pa.int32()), "r": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        row = next(_each(docs))
+        one, before, two, _ = _counted(_texts(row["held_sizes"], row["held_z"]), *_looked_up(answers, "_rest"))
         ok = before > 0
         low = single * one[ok] / max(n_rest, 1) + (1 - single) / (v_rest + 1)
         with np.errstate(divide="ignore"):
@@ -250,8 +294,9 @@ def score(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(hist)
         return pa.table({"f": pa.array((full // BINS).astype(np.int32)), "r": pa.array((full % BINS).astype(np.int32)), "n": pa.array(hist[full].astype(np.int64))})
 
-    held = answers.where("batch >= 0 and batch % 2 = 1")
-    hist = packs.where("batch % 2 = 1").groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(ratios, "f int, r int, n long")
+    held = answers.where("batch >= 0").select("batch", "bucket", "words_rest", "pairs_rest")
+    learn_from = packs.where(F.size("held_ids") > 0).select("batch", "held_sizes", "held_z")
+    hist = learn_from.groupBy("batch").cogroup(held.groupBy("batch")).applyInArrow(ratios, "f int, r int, n long")
     found = hist.groupBy("f", "r").agg(F.sum("n").alias("n")).collect()  # FREQUENCIES * BINS rows at most
     weights = np.zeros(FREQUENCIES)
     for f in range(FREQUENCIES):
@@ -261,7 +306,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def scores(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         doc_ids, folds, texts = _unpacked(next(_each(docs)))
-        one, before, two, ends = _counted(texts, _looked_up(answers, "total"))
+        one, before, two, ends = _counted(texts, *_looked_up(answers))
         low = single * one / max(total, 1) + (1 - single) / (v + 1)
         weight = np.where(before > 0, weights[_frequency(before)], 0.0)
         model = np.log10(weight * two / np.maximum(before, 1) + (1 - weight) * low)
@@ -269,7 +314,7 @@ def score(docs: DataFrame) -> DataFrame:
         add = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  each text has a token
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(folds == TEST_FOLD), "n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(add((one > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ends) - 1, total, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(model))})
 
-    return packs.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch")).applyInArrow(scores, SCORES)
+    return packs.groupBy("batch").cogroup(answers.where("batch >= 0").select("batch", "bucket", "words", "pairs").groupBy("batch")).applyInArrow(scores, SCORES)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
