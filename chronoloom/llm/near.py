@@ -35,6 +35,8 @@ REGISTERS = BANDS * ROWS
 FLOOR = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Members of a bucket that are compared with as many others in one step.
 BLOCK = 256
+#: Bytes of compressed texts in such a step, about.
+BLOCK_BYTES = 4_000_000
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,14 +137,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.searchsorted(doc, np.arange(n + 1))
         again = sums[ends[1:]] - sums[ends[:-1]]
         offsets = np.concatenate(([0], np.cumsum(np.where(filled, BANDS, 0))))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64()), short], names=["doc_id", "k1", "k2", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64()), short], names=["doc_id", "t", "k1", "k2", "bands", "sig"])
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(3)
-    for batch in batches:
+    for batch in common.sub_batches(batches):
         z = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(z, pa.binary())], names=["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(z, pa.binary())], names=["doc_id", "t", "z"])
 
 
 def _sets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -222,9 +224,10 @@ def _compared(threshold: float, floor: float):
 
 def between(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links between members (bucket, band, node, root) of different components that share a bucket."""
-    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    weighed = mixed.join(texts.select("node", F.octet_length("z").alias("bytes")), "node")
+    sizes = weighed.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("g"))
     dealt = mixed.join(common.written(sizes, "sizes"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    full = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    full = dealt.join(texts, "node")
     blocks = full.groupBy("bucket", "band", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig", "z")).alias("left"))
     blocks = common.written(blocks, "blocks")
     alone = blocks.select("band", "left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
@@ -236,9 +239,9 @@ def between(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, z) are similar, as a table."""
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
+    """The pairs (a, b) whose texts (node, z) are similar, as a table."""
+    one = pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    two = one.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
     return common.written(two.select("a", "b", "za", "zb").mapInArrow(_linked(threshold), "a long, b long"), "links")
 
 
@@ -261,32 +264,28 @@ def components(edges: DataFrame) -> DataFrame:
         large = common.written(large.where("u <> v"), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, now = now, common.written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        common.forget(before)
+        common.forget(large)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a document: doc_id and class_id, the least doc_id of its class.
-
-    Classes are the components of the graph whose links join equal texts (word by
-    word) and texts of similarity ``threshold`` or more. A null text has no words;
-    texts without words are one class. Rows with one doc_id get one row each, by
-    their own text; rows with a null doc_id have a null class. No rows give no rows;
-    columns beyond doc_id and text are not read.
-    """
-    common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.written(rows.mapInArrow(_sign, "doc_id long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
+def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, t (a hash of the text), class_id and root (a number of the class) of each row of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    signed = common.written(rows.mapInArrow(_sign, "doc_id long, t long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
     known = signed.where("doc_id is not null")
-    copies = common.written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "copies")
-    nodes = known.join(copies, ["k1", "k2"]).where("doc_id = node").dropDuplicates(["node"])
+    # a node is a text (as a list of words), numbered when it is written
+    copies = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    copies = common.written(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+    nodes = known.join(copies, ["k1", "k2"]).where("doc_id = least").dropDuplicates(["node"])
     met = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     buckets = common.written(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     met = common.written(met.join(buckets, "bucket"), "met")  # bucket, node, band, n
     heavy = common.written(met.groupBy("node").agg(F.sum("n").alias("w")), "heavy")
     met = common.written(met.drop("n").join(heavy, "node"), "weighed")
     # texts of the nodes that meet others, compressed, and their signatures, once
-    wanted = nodes.select("node", "sig").join(heavy.select("node"), "node")
-    texts = rows.mapInArrow(_press, "doc_id long, z binary").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    wanted = nodes.select("node", "sig", "doc_id", "t").join(heavy.select("node"), "node")
+    texts = rows.mapInArrow(_press, "doc_id long, t long, z binary").join(wanted, ["doc_id", "t"]).dropDuplicates(["node"]).select("node", "sig", "z")
     texts = common.written(texts, "texts")
 
     pivots = met.groupBy("bucket").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("pivot"))
@@ -299,21 +298,43 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = between(mixed, texts, threshold)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    by_text = copies.join(labels, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("class_id"))
-    return signed.join(by_text, ["k1", "k2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    # the least doc_id of each class of several nodes
+    members = labels.union(labels.select("root", "root").distinct()).join(copies.select("node", "least"), "node")
+    leasts = common.written(members.groupBy("root").agg(F.min("least").alias("class_id")), "leasts")
+    many = members.join(leasts, "root").select("node", "root", "class_id")
+    by_text = copies.join(many, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "least").alias("class_id"))
+    found = signed.join(by_text, ["k1", "k2"], "left")
+    return found.select("doc_id", "t", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "root")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: doc_id and class_id, the least doc_id of its class.
+
+    Classes are the components of the graph whose links join equal texts (word by
+    word) and texts of similarity ``threshold`` or more. The similarity compares
+    shares of the weights, so a text and its repetition are similar. A null text
+    has no words; texts without words are one class. Rows with one doc_id get one
+    row each, by their own text; rows with a null doc_id have a null class. Texts
+    of any length are compared whole, in memory that grows with the longest. No
+    rows give no rows; columns beyond doc_id and text are not read.
+    """
+    return _classed(docs, threshold).select("doc_id", "class_id")
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class, the one with the least doc_id.
+    """``docs`` with one document of each class, the one with the least doc_id, and all its columns, whatever their names.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id stay.
+    Of several rows with that doc_id in a class one stays. Rows with a null doc_id stay.
     """
-    found = common.written(classes(docs, threshold), "classes")
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    found = common.written(_classed(docs, threshold), "classes").where("root is not null")
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.t").alias("kept_t"))
+    best = common.written(best, "kept")
+    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    rest = rest.withColumn("doc_id", F.col("own").getField("doc_id").cast("long")).withColumn("t", F.xxhash64(F.col("own").getField("text").cast("string")))
+    named = rest.where("doc_id is not null").join(best, (F.col("doc_id") == F.col("kept_id")) & (F.col("t") == F.col("kept_t")), "left_semi")
+    if not found.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id", "t"])
+    return named.union(rest.where("doc_id is null")).select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
