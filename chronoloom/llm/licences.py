@@ -73,33 +73,32 @@ def canonical(text: Column, whole: bool = True) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """digest, licence of the known texts; as many rows as KNOWN has, so it may be broadcast."""
-    texts = spark.createDataFrame(KNOWN, "licence string, text string")
-    return texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").distinct()
+    """licence, text: the texts in KNOWN."""
+    return spark.createDataFrame(KNOWN, "licence string, text string")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """One row a document: doc_id, digest, licence of the entire text, licences of its lines.
 
-    ``digest`` is the SHA-256 of the canonical text. ``licence`` is null where
-    the digest is unknown; ``notices`` lists, sorted and each once, the licences
-    of the lines that are known notices (empty if none). Null and empty texts
-    have no licence (a null text's digest is null); repeated rows are scanned
-    each; columns beyond doc_id and text are not read.
+    ``texts`` (licence, text) are the known licences, a list that a driver can
+    hold; KNOWN unless given. ``digest`` is the SHA-256 of the canonical text.
+    ``licence`` is null where the digest is unknown; ``notices`` lists, sorted and
+    each once, the licences of the lines, of any length, that are known texts
+    (empty if none). Null and empty texts have no licence (a null text's digest is
+    null); of two known texts with one canonical form the first name counts; very
+    long texts are scanned whole; repeated rows are scanned each; no rows give no
+    rows; columns beyond doc_id and text are not read.
     """
-    table = known(docs.sparkSession)
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(x).between(12, 400))  # a notice is one short line
+    texts = known(docs.sparkSession) if texts is None else texts
+    table = texts.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    names = sorted((r["digest"], r["licence"]) for r in table.collect())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.filter(lines, lambda x: F.lower(x).rlike("licen|released|dedicated")).alias("lines"))
+    digests = rows.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.split(F.col("text"), "\n").alias("lines"))
     whole = digests.join(F.broadcast(table), "digest", "left")
-    # the notices on a row's lines: each line's digest is looked up in the same table, here as a map of fixed size
-    lookup = F.create_map(*[x for d, n in _digests(docs.sparkSession) for x in (F.lit(d), F.lit(n))])
+    # each line's digest is looked up in the same list
+    lookup = F.create_map(*[F.lit(x) for pair in names or [("", "")] for x in pair])
     found = F.transform("lines", lambda x: F.element_at(lookup, F.sha2(canonical(x, whole=False), 256)))
-    return whole.select("doc_id", "digest", "licence", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("notices"))
-
-
-def _digests(spark: SparkSession) -> list[tuple[str, str]]:
-    return sorted((r["digest"], r["licence"]) for r in known(spark).collect())
+    return whole.select("doc_id", "digest", "licence", F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ","), F.lit("")).alias("notices"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +121,15 @@ def _sql_canonical(text: str, whole: bool = True) -> str:
 
 ORACLE = f"""
 WITH known AS (
-  SELECT DISTINCT sha256({_sql_canonical("t")}) AS digest, licence
+  SELECT sha256({_sql_canonical("t")}) AS digest, min(licence) AS licence
   FROM (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)}) AS k(licence, t)
+  GROUP BY 1
 ), d AS (
   SELECT doc_id, sha256({_sql_canonical("text")}) AS digest, text FROM documents
 ), n AS (
   SELECT l.doc_id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS notices
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l
   JOIN known k ON k.digest = sha256({_sql_canonical("l.line", False)})
-  WHERE length(l.line) BETWEEN 12 AND 400
   GROUP BY l.doc_id
 )
 SELECT d.doc_id, d.digest, k.licence, coalesce(n.notices, '') AS notices
