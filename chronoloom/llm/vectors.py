@@ -28,7 +28,9 @@ CENTRES, WORDS, STEP = 128, 16, 2
 #: The paper's threshold T: errors matter at inner products of at least T.
 T = 0.2
 #: Rows in a block of codes, queries in a block, and rows of a block that are compared exactly.
-BLOCK, QUERIES, RERANK = 8192, 256, 256
+BLOCK, QUERIES, RERANK = 16_384, 1024, 512
+#: Vectors that are coded at once.
+CHUNK = 1024
 
 
 @dataclass
@@ -50,6 +52,9 @@ class Index:
 
     def codes(self, u: np.ndarray, sweeps: int = 3) -> np.ndarray:
         """A codeword number for each part of each direction: coordinate descent on the anisotropic loss."""
+        return np.concatenate([self._codes(u[k : k + CHUNK], sweeps) for k in range(0, len(u), CHUNK)]) if len(u) else np.zeros((0, len(self.books)), np.int64)
+
+    def _codes(self, u: np.ndarray, sweeps: int) -> np.ndarray:
         n, m = len(u), len(self.books)
         cut = u.reshape(n, m, STEP)
         dots = np.einsum("nms,mws->nmw", cut, self.books)
@@ -133,7 +138,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.size("embedding") == (top[0]["d"] if top else 0))
 
 
-def _blocks(index: Index):
+def _blocks(index: Index, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in _gathered(batches, BLOCK):
             batch = whole.sort_by("vec_id")
@@ -143,7 +148,7 @@ def _blocks(index: Index):
             if code.shape[1] % 2:
                 code = np.pad(code, ((0, 0), (0, 1)))
             pairs = code[:, ::2] | code[:, 1::2] << 4  # two codes of four bits a byte
-            cells = (pairs.T.copy(), which.astype("<u2"), along.astype("<f4"), size.astype("<f4"), batch.column("vec_id").to_numpy().astype("<i8"), x.astype("<f8"))
+            cells = (pairs.T.copy(), which.astype("<u2"), along.astype("<f4"), size.astype("<f4"), batch.column("vec_id").to_numpy().astype("<i8"), x.astype(kind))
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in cells], names=["codes", "centre", "along", "size", "ids", "vectors"])
 
     return run
@@ -152,23 +157,39 @@ def _blocks(index: Index):
 CELLS = "codes binary, centre binary, along binary, size binary, ids binary, vectors binary"
 
 
-def _packed_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _gathered(batches, QUERIES):
-        cells = batch.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(batch.column("embedding")).astype("<f8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["query_ids", "queries"])
+def _packed_queries(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, QUERIES):
+            cells = batch.column("vec_id").to_numpy().astype("<i8").tobytes(), _matrix(batch.column("embedding")).astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["query_ids", "queries"])
+
+    return run
+
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the index fitted on all the vectors, if any."""
+    held = [(b.column("vec_id").to_numpy(), _matrix(b.column("embedding"))) for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+    x = x[np.argsort(ids, kind="stable")]
+    index = fit(x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None])
+    cells = (index.centres.tobytes(), index.books.tobytes())
+    yield pa.RecordBatch.from_arrays([*(pa.array([c], pa.binary()) for c in cells), pa.array([index.penalty])], names=["centres", "books", "penalty"])
 
-def _scan(index: Index, k: int, rerank: int):
+
+def _scan(index: Index, k: int, rerank: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(index.books)
         for batch in batches:
             for r in range(batch.num_rows):
                 cell = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 ids, qids = np.frombuffer(cell["ids"], "<i8"), np.frombuffer(cell["query_ids"], "<i8")
-                x, q = np.frombuffer(cell["vectors"], "<f8").reshape(len(ids), -1), np.frombuffer(cell["queries"], "<f8").reshape(len(qids), -1)
+                x, q = (np.frombuffer(cell[c], kind).reshape(n, -1) for c, n in (("vectors", len(ids)), ("queries", len(qids))))
                 pairs = np.frombuffer(cell["codes"], np.uint8).reshape(-1, len(ids))
                 centre, along, size = (np.frombuffer(cell[c], t) for c, t in (("centre", "<u2"), ("along", "<f4"), ("size", "<f4")))
-                norm, qnorm = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", q, q)
+                q = q.astype(np.float64)
+                norm, qnorm = np.einsum("nd,nd->n", x, x, dtype=np.float64), np.einsum("nd,nd->n", q, q)
                 unit = q / np.sqrt(qnorm)[:, None]
                 to_centre = (unit @ index.centres.T).astype(np.float32)
                 single = np.zeros((len(q), 2 * len(pairs), WORDS), np.float32)
@@ -187,7 +208,7 @@ def _scan(index: Index, k: int, rerank: int):
                     else:
                         some = np.arange(len(ids))
                     some = some[ids[some] != qids[j]]
-                    exact = np.einsum("nd,d->n", x[some], q[j]) / np.sqrt(norm[some] * qnorm[j])
+                    exact = np.einsum("nd,d->n", x[some].astype(np.float64), q[j]) / np.sqrt(norm[some] * qnorm[j])
                     best = np.lexsort((ids[some], -exact))[:k]
                     rows.append((np.full(len(best), qids[j]), ids[some][best], exact[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
@@ -207,27 +228,24 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
     block that holds no more is searched exactly.
     """
     rows = usable(vectors, id_column, vector_column)
-    # the sample: rows with the least hashes of their ids, whatever the layout
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS)
-
-    def floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in _matrix(batch.column("embedding")).astype("<f4")], pa.binary())], names=["v"])
-
-    got = [r["v"] for r in sample.mapInArrow(floats, "v binary").collect()]  # FIT_ROWS vectors at most
+    # the sample: rows with the least hashes of their ids, whatever the layout; they meet in one task
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).repartition(1)
+    got = sample.mapInArrow(_fitted, "centres binary, books binary, penalty double").collect()  # one row at most
     if not got:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.frombuffer(b"".join(got), "<f4").astype(np.float64).reshape(len(got), -1)
-    x = x[np.einsum("nd,nd->n", x, x) > 0]
-    index = fit(x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None])
-    blocks = rows.mapInArrow(_blocks(index), CELLS)
+    books = np.frombuffer(got[0]["books"]).reshape(-1, WORDS, STEP)
+    centres = np.frombuffer(got[0]["centres"])
+    index = Index(centres.reshape(-1, rows.select(F.size("embedding").alias("d")).first()["d"]), books, got[0]["penalty"])
+    # floats go as they are, so that no digit is lost
+    kind = "<f4" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"
+    blocks = rows.mapInArrow(_blocks(index, kind), CELLS)
     blocks = common.written(blocks.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096))), "blocks")
-    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(_packed_queries, "query_ids binary, queries binary")
-    # every block of queries meets every block of codes, by the blocks' numbers
+    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(_packed_queries(kind), "query_ids binary, queries binary")
+    # every block of queries meets every block of codes, by the blocks' numbers: a scan of all codes
     parts = blocks.select("part").distinct()
     numbers = parts.agg(F.sort_array(F.collect_list("part"))).first()[0]  # 4096 numbers at most
     spread = common.written(queries, "queries").withColumn("part", F.explode(F.array(*[F.lit(int(p)) for p in numbers])))
-    near = blocks.join(spread, "part").drop("part").mapInArrow(_scan(index, k, rerank), "query_id long, vec_id long, score double")
+    near = blocks.join(spread, "part").drop("part").mapInArrow(_scan(index, k, rerank, kind), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark keeps k rows a query before the shuffle
     top = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "score")
