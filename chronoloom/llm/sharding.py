@@ -1,9 +1,11 @@
 """Resharding by minimum-cost flow: move the fewest bytes from old shards to new ones.
 
-Rows of an old shard form blocks by size class. Spark counts the blocks; the
-flow between blocks and new shards is solved on those counts (old shards times
-about thirty classes, whatever the input's size); Spark then gives each row its
-shard and slot by its rank in its block.
+A shard that must give up rows gives up its smallest ones. Spark counts rows by
+shard and size class, then finds the exact size in whose midst each shard's
+surplus ends; rows of a shard below, at and above that size form blocks. The flow
+between blocks and new shards is solved on the blocks (three for each old shard,
+whatever the input's size); Spark then gives each row its shard and slot by its
+rank in its block.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -133,16 +135,48 @@ def plan(blocks: list[tuple[int, int, int, int]], shards: int) -> list[tuple[int
     return out
 
 
+def _limits(sized: DataFrame, shards: int) -> dict[int, int]:
+    """For each old shard that may have to give up rows: the size of the largest row that leaves if one more leaves than must."""
+    spark = sized.sparkSession
+    # shards times about a hundred classes
+    classes = sized.groupBy("old_shard", F.floor(F.log2("size") * 2).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n")).orderBy("old_shard", "class").collect()
+    least, total = sum(r["n"] for r in classes) // shards, {}
+    for r in classes:
+        total[r["old_shard"]] = total.get(r["old_shard"], 0) + r["n"]
+    left = {s: n - least - 1 for s, n in total.items() if 0 <= s < shards and n > least}
+    wanted = []
+    for r in classes:
+        if (at := left.get(r["old_shard"], -1)) >= 0:
+            if at < r["n"]:
+                wanted.append((r["old_shard"], r["class"], at))
+            left[r["old_shard"]] = at - r["n"]
+    if not wanted:
+        return {}
+    some = sized.withColumn("class", F.floor(F.log2("size") * 2).cast("int")).join(F.broadcast(spark.createDataFrame(wanted, "old_shard int, class int, at long")), ["old_shard", "class"])
+    sizes = some.groupBy("old_shard", "at", "size").agg(F.count(F.lit(1)).alias("n"))  # the sizes of one class of a shard
+    sizes = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("old_shard").orderBy("size")))
+    return {r["old_shard"]: r["size"] for r in sizes.where("upto > at").groupBy("old_shard").agg(F.min("size").alias("size")).collect()}  # a row a shard
+
+
 def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old: str = "old_shard") -> DataFrame:
     """Deal ``docs`` (doc_id, text, an old shard number) into ``shards`` shards of equal row counts.
 
     Returns doc_id, size, text_crc32, law, old_shard, shard, slot, grown_shard.
     A null text counts as empty (size 16); a null old shard counts as new rows
-    that lie nowhere yet; equal doc_ids are dealt each; no rows give no rows.
+    that lie nowhere yet; equal doc_ids are dealt each; rows of equal size are
+    alike, and a hash picks which of them leave; texts of any length only count
+    by their size; no rows give no rows; other columns are not read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), common.crc32_of(F.col("text")).alias("text_crc32"), F.coalesce(F.col(old), F.lit(-1)).cast("int").alias("old_shard"))
-    sized = common.written(sized.withColumn("kind", F.floor(F.log2("size") * 2).cast("int")), "sizes")
-    blocks = [(r["old_shard"] if r["old_shard"] >= 0 else 1 << 30, r["kind"], r["n"], r["b"]) for r in sized.groupBy("old_shard", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()]
+    spark = docs.sparkSession
+    text = F.col("text").cast("string")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), common.crc32_of(text).alias("text_crc32"), F.coalesce(F.col(old), F.lit(-1)).cast("int").alias("old_shard"))
+    sized = common.written(sized, "sizes")
+    limits = spark.createDataFrame(sorted(_limits(sized, shards).items()), "old_shard int, limit long")  # a row a shard
+    above = (F.col("size") > F.col("limit")).cast("int") + (F.col("size") >= F.col("limit")).cast("int")
+    sized = sized.join(F.broadcast(limits), "old_shard", "left").withColumn("kind", F.coalesce(above, F.lit(0))).drop("limit")
+    found = sized.groupBy("old_shard", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()  # three rows a shard
+    blocks = [(r["old_shard"] if r["old_shard"] >= 0 else 1 << 30, r["kind"], r["n"], r["b"]) for r in found]
+    counts = spark.createDataFrame([(r["old_shard"], r["kind"], r["n"]) for r in found], "old_shard int, kind int, n long")
     # by shard and class; a block's rows go to its targets by rank, a target's slots are filled block by block
     taken = dict.fromkeys(range(shards), 0)
     ranks: dict[tuple[int, int], int] = {}
@@ -167,22 +201,33 @@ def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old: str = "old_shard") -
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     order = ["doc_id", "text_crc32", "size"]
-    return common.ranked(sized, ["old_shard", "kind"], order).mapInArrow(place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, old_shard int")
+    ranks = common.ranked(sized.join(F.broadcast(counts), ["old_shard", "kind"]), ["old_shard", "kind"], order, "n")
+    return ranks.mapInArrow(place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, old_shard int")
 
 
 def rewrite(docs: DataFrame, moves: DataFrame, path: str) -> DataFrame:
     """Write the files of the shards that a resharding changes, and no others, under ``path``.
 
-    A shard is affected if a row leaves or enters it. Returns the affected
-    shards (shard, rows). Rows are matched by doc_id, which must be unique here.
-    Nothing is affected if every row stays.
+    A shard is affected if a row leaves or enters it; its files are replaced, and
+    those of a shard left without rows are deleted. Files lie in a folder
+    ``new_shard=N`` each, hold the rows by ``new_slot``, and as many as a task can
+    take; these two names replace columns of ``docs``, all others stay. Returns the
+    affected shards (shard, rows). Rows are matched by doc_id, which must be unique
+    here. Nothing is affected if every row stays.
     """
+    spark = docs.sparkSession
     changed = moves.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
     affected = changed.select(F.explode(F.array("old_shard", "shard")).alias("shard")).where("shard >= 0").distinct()
-    into = moves.select("doc_id", "shard", "slot").join(F.broadcast(affected), "shard")  # as many rows as shards
-    placed = docs.drop("shard", "slot").join(into, "doc_id")
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    return into.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    counts = affected.join(moves.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")), "shard", "left").fillna(0, ["rows"])
+    counts = common.written(counts, "affected")
+    into = moves.select(F.col("doc_id").alias("moved_id"), F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot")).join(F.broadcast(affected.withColumnRenamed("shard", "new_shard")), "new_shard")  # as many rows as shards
+    rest = docs.drop("new_shard", "new_slot")
+    placed = rest.join(into, rest["doc_id"].cast("long") == into["moved_id"]).select(*[rest[f"`{c}`"] for c in rest.columns], "new_slot", "new_shard")
+    ordered = placed.repartitionByRange("new_shard", "new_slot").sortWithinPartitions("new_shard", "new_slot")  # a large shard is many tasks
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
+    for r in counts.where("rows = 0").collect():  # a row a shard
+        common.delete(spark, f"{path}/new_shard={r['shard']}")
+    return counts
 
 
 def op9_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
