@@ -125,7 +125,7 @@ def runs(hashes: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, least: int)
     on, upto = end <= offsets[1:][doc], first >= offsets[:-1][doc]
     doc = np.concatenate((doc[on], doc[upto]))
     first, end = np.concatenate((at[on], first[upto])), np.concatenate((end[on], at[upto] + 1))
-    power, back = common.Hashes.powers(n)
+    power, back = common.Powers.up_to(n)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(common.mixed(hashes.view(np.uint64) + common.GOLD) * power[:n])))
     return doc, first, end, common.mixed((sums[end] - sums[first]) * back[first]).view(np.int64)
 
@@ -153,7 +153,8 @@ def _seeds(least: int):
             doc, key = doc[order], key[order]
             once = np.ones(len(doc), bool)
             once[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[once])), pa.array(key[once])], names=["doc_id", "key"])
+            doc = pa.array(doc[once])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(doc), batch.column("doc_id").take(doc), pa.array(key[once])], names=["row", "doc_id", "key"])
 
     return run
 
@@ -161,98 +162,118 @@ def _seeds(least: int):
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = [], []
+            rows, spans = [], []
             for r in range(0, batch.num_rows, 256):  # lists of a few rows at a time
                 part = batch.slice(r, 256).to_pydict()
-                for doc, first, a, b, sizes in zip(*(part[c] for c in ("doc_id", "first", "a", "b", "sizes")), strict=True):
+                for row, other, a, b, sizes in zip(*(part[c] for c in ("row", "other", "a", "b", "sizes")), strict=True):
                     if found := blocks(a, b, sizes, least):
-                        ids.append(doc)
-                        spans.append([{"start": s, "end": e, "other": first} for s, e in found])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())])))], names=["doc_id", "spans"])
+                        rows.append(row)
+                        spans.append([{"start": s, "end": e, "other": other} for s, e in found])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", pa.int64())])))], names=["row", "spans"])
 
     return run
 
 
 def gathered(spans: DataFrame) -> DataFrame:
     """One row a document of all its spans."""
-    return spans.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return spans.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def aligned(pairs: DataFrame, one: DataFrame, least: int) -> DataFrame:
-    """doc_id, spans: what the ``pairs`` (first, doc_id), a written table, delete of each document that loses any."""
-    later = one.select("doc_id", F.col("hashes").alias("b"), "sizes")
+    """row, spans: what the ``pairs`` (first, row), a written table, delete of each document that loses any."""
+    later = one.select("row", F.col("hashes").alias("b"), "sizes")
     # an earlier document of many pairs is repeated for each SLICE of them
     busy = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("g")).where("g > 1")
     busy = common.written(busy, "busy")
-    dealt = pairs.join(busy, "first", "left").select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
-    earlier = one.select(F.col("doc_id").alias("first"), F.col("hashes").alias("a")).join(busy, "first", "left")
-    earlier = earlier.select("first", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
-    out = dealt.join(later, "doc_id").join(earlier, ["first", "part"]).select("doc_id", "first", "a", "b", "sizes").mapInArrow(_align(least), f"doc_id long, {SPANS}")
+    dealt = pairs.join(busy, "first", "left").select("first", "row", F.pmod(F.xxhash64("row"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
+    earlier = one.select(F.col("row").alias("first"), F.col("doc_id").alias("other"), F.col("hashes").alias("a")).join(busy, "first", "left")
+    earlier = earlier.select("first", "other", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
+    out = dealt.join(later, "row").join(earlier, ["first", "part"]).select("row", "other", "a", "b", "sizes").mapInArrow(_align(least), f"row long, {SPANS}")
     return common.written(gathered(out), "spans")
 
 
 def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """doc_id, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document.
+    """doc_id, digest, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document.
 
-    First each run of lines pairs its later holders with its first. Where a line
-    of a run is left, because it stands in a crossing place of that pair, its
-    document meets the other earlier holders, four times as many each round, until
-    the line is covered or none is left.
+    A document is a doc_id and a text (``digest``: the text's hash). First each run
+    of lines pairs its later holders with its first. Where a line of a run is left,
+    because it stands in a crossing place of that pair, its document meets the
+    other earlier holders, four times as many each round, until the line is
+    covered or none is left.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
-    # per document: hashes and lengths of its lines; of rows with one doc_id one stands for all
-    hashed = rows.select("doc_id", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: F.length(x)).alias("sizes"))
-    one = common.written(hashed.dropDuplicates(["doc_id"]), "lines")
-    seeds = common.written(one.mapInArrow(_seeds(least), "doc_id long, key long"), "seeds")
-    holders = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    # per document: hashes and lengths of its lines
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: F.length(x)).alias("sizes"))
+    one = common.written(hashed.dropDuplicates(["doc_id", "digest"]).withColumn("row", F.monotonically_increasing_id()), "lines")
+    seeds = common.written(one.mapInArrow(_seeds(least), "row long, doc_id long, key long"), "seeds")
+    holders = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("first")).where("n > 1")
     holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
-    pairs = common.written(seeds.join(holders, "key").where("first < doc_id").select("first", "doc_id").distinct(), "pairs")
+    pairs = common.written(seeds.join(holders, "key").where("least < doc_id").select("first", "row").distinct(), "pairs")
     spans = aligned(pairs, one, least)
 
     def left(met: DataFrame, among: DataFrame) -> DataFrame:
         """The runs in ``among`` of the later documents of ``met`` that ``spans`` do not cover."""
-        some = met.select("doc_id").distinct()
-        bare = one.join(some, "doc_id").join(gathered(spans.join(some, "doc_id")), "doc_id", "left").mapInArrow(_seeds(least), "doc_id long, key long")
-        return common.written(bare.join(among, [c for c in among.columns if c != "n"]).select("doc_id", "key", "n"), "bare")
+        some = met.select("row").distinct()
+        bare = one.join(some, "row").join(spans.join(some, "row"), "row", "left").mapInArrow(_seeds(least), "row long, doc_id long, key long")
+        return common.written(bare.join(among, [c for c in among.columns if c not in ("n", "doc_id")]).select("row", bare["doc_id"], "key", "n"), "bare")
 
     bare = left(pairs, holders.where("n > 2").select("key", "n"))
-    if bare.isEmpty():
-        return spans
-    known = bare.groupBy("key").agg(F.max("n").alias("_n"))
-    ranks = common.written(common.ranked(seeds.join(common.written(known, "known"), "key").select("key", F.col("doc_id").alias("first")), ["key"], ["first"]), "ranks")
-    tried, low, high = pairs, 0, 1
-    while not bare.isEmpty():
-        others = common.written(ranks.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", "first"), "others")
-        more = bare.join(others, "key").where("first < doc_id").select("first", "doc_id").distinct().join(tried, ["first", "doc_id"], "left_anti")
-        more = common.written(more, "pairs")
-        tried = tried.union(more)
-        if not more.isEmpty():
-            spans = spans.union(aligned(more, one, least))
-            bare = left(bare, bare)
-        low, high = high, 4 * high
-        bare = bare.where(F.col("n") > low)
-    return gathered(spans)
+    if not bare.isEmpty():
+        known = common.written(bare.groupBy("key").agg(F.max("n").alias("size")), "known")
+        ranks = common.ranked(seeds.join(known, "key").select("key", "size", "doc_id", F.col("row").alias("first")), ["key"], ["doc_id", "first"], "size")
+        ranks = common.written(ranks.select("key", "first", F.col("doc_id").alias("least"), "rank"), "ranks")
+        tried, low, high = pairs, 0, 1
+        while not bare.isEmpty():
+            others = common.written(ranks.where((F.col("rank") >= low) & (F.col("rank") < high)), "others")
+            more = bare.join(others, "key").where("least < doc_id").select("first", "row").distinct().join(tried, ["first", "row"], "left_anti")
+            more = common.written(more, "pairs")
+            common.forget(others)
+            if not more.isEmpty():
+                tried = common.written(tried.union(more), "tried")  # one table again, so that plans do not grow by rounds
+                spans = common.written(gathered(spans.union(aligned(more, one, least))), "spans")
+                bare = left(bare, bare)
+            low, high = high, 4 * high
+            bare = bare.where(F.col("n") > low)
+    return spans.join(one.select("row", "doc_id", "digest"), "row").select("doc_id", "digest", "spans")
+
+
+def cleaned(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """own (a struct of the columns of ``docs``, whatever their names), text, n_lines, n_removed, spans; see ``dedup``."""
+    spans = removals(docs, least).select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"), "spans")
+    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(0).alias("text")).alias("own"), F.col("text").cast("string").alias("text"))
+    rest = rest.withColumn("doc_id", F.col("own").getField("doc_id").cast("long")).withColumn("digest", F.xxhash64("text"))
+    out = rest.join(spans, (rest["doc_id"] == spans["other_id"]) & (rest["digest"] == spans["other_digest"]), "left").select("own", "text", "spans")
+    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(_lines(F.col("text")))))
+    out = out.withColumn("kept", F.when(F.col("spans").isNotNull(), kept))
+    out = out.withColumn("n_removed", F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")))
+    return out.withColumn("text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "kept"))).drop("kept")
+
+
+def _own(names: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in names]
 
 
 def dedup(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """``docs`` with aligned common blocks deleted from later documents.
 
-    Keeps all rows and columns but these: ``text`` is what is left, ``n_lines``
-    and ``n_removed`` count lines, ``spans`` lists (start, end, other) of the
-    deleted lines. Null and empty texts have no lines to lose. Rows with one
-    doc_id are one document: none is later than the other, and each loses the
-    same lines. Rows with a null doc_id stay as they are. Equal lines are those
-    with equal 64-bit hashes.
+    Keeps all rows and columns, whatever their names, but these: ``text`` is what
+    is left; ``n_lines`` and ``n_removed`` count lines and ``spans`` lists (start,
+    end, other) of the deleted lines, and stand for any column of ``docs`` with
+    such a name. Null and empty texts have no lines to lose, and no rows give no
+    rows. Texts of any length are aligned whole, in memory that grows with their
+    number of lines. A document is a doc_id and a text: rows with one doc_id are
+    not later than each other, each loses its own lines, and equal rows lose the
+    same. Rows with a null doc_id stay as they are. Equal lines are those with
+    equal 64-bit hashes.
     """
-    common.small_batches(docs.sparkSession)
-    spans = removals(docs, least).withColumnRenamed("doc_id", "_doc")
-    rest = docs.drop("n_lines", "n_removed", "spans")
-    out = rest.join(spans, rest["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc")
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(_lines(F.col("text")))))
-    out = out.withColumn("_kept", F.when(F.col("spans").isNotNull(), kept))
-    out = out.withColumn("n_removed", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    return out.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "_kept"))).drop("_kept")
+    own = ("n_lines", "n_removed", "spans")
+    return cleaned(docs, least).select(*_own([c for c in docs.columns if c not in own]), *own)
+
+
+def texts(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the text that ``dedup`` leaves, and all their other columns as they are."""
+    return cleaned(docs, least).select(*_own(docs.columns))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
