@@ -221,6 +221,26 @@ def test_pieces_round_trip(documents, odd, empty):
     assert other != one
 
 
+def test_words_with_alike_polynomials():
+    from tokenizers import Tokenizer
+
+    for a, b in (("a", "b"), ("1", "7"), ("V", "]")):
+        words = pa.array([thue_morse(2048, a, b), thue_morse(2048, b, a)])
+        lattice = pieces.Lattice(pieces.model_path())
+        ids, ends = pieces.encode_batch(lattice, [1, 2], words)
+        assert [lattice.decode(ids[i:j].tolist()) for i, j in zip(ends[:-1], ends[1:], strict=True)] == words.to_pylist()
+        plain = Tokenizer.from_file(packing.tokenizer_path())
+        ids, ends = packing.WordTokenizer(packing.tokenizer_path())(words)
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == [plain.encode(w, add_special_tokens=False).ids for w in words.to_pylist()]
+
+
+def test_one_long_word():
+    text = "".join(random.Random(8).choice("abcé日") for _ in range(60_000))
+    lattice = pieces.Lattice(pieces.model_path())
+    ids, ends = pieces.encode_batch(lattice, [5], pa.array([text]))
+    assert lattice.decode(ids.tolist()) == text and ends.tolist() == [0, len(ids)]
+
+
 def test_pieces_follow_the_weights():
     lattice = pieces.Lattice(pieces.model_path())
     net = lattice.words([b" sunto"])
@@ -355,16 +375,46 @@ def test_repeats(spark, odd, documents, tmp_path, limit):
     rows = [(k, f"{prose(300 + k, 30)}{passage[r.randrange(60) : len(passage) - r.randrange(300)]}{prose(600 + k, 20)}") for k in range(40)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     for docs in (spark.read.parquet(f"{tmp_path}/d"), odd, documents):
-        pairs = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect() if len(x["text"] or "") < 20_000]
-        some = docs.where("text is null or length(text) < 20000")
-        got = suffixes.dedup(some, limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        pairs = [(x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect()]
+        got = suffixes.dedup(docs, limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
         assert sorted((str(g[0]), *g[1:]) for g in got) == plain_removals(pairs)
 
 
 def test_repeats_keep_characters(odd, empty):
-    texts = [r["t"] for r in suffixes.dedup(odd, characters=True).select(F.col("kept").cast("string").alias("t")).collect()]
-    assert len(texts) == odd.count() and not any("�" in t for t in texts)
-    assert suffixes.dedup(empty).count() == 0
+    left = suffixes.texts(odd)
+    texts = [r["text"] for r in left.collect()]
+    assert left.columns == odd.columns and len(texts) == odd.count() and not any("�" in (t or "") for t in texts)
+    assert sum(t is None for t in texts) == odd.where("text is null").count()
+    assert sorted(map(str, left.drop("text").collect())) == sorted(map(str, odd.drop("text").collect()))
+    assert suffixes.dedup(empty).count() == 0 and suffixes.texts(empty).count() == 0
+    named = odd.select("doc_id", "text", *[F.lit("own").alias(c) for c in ("kept", "doc", "own", "key", "places", "bits", "n_bytes", "a.b")])
+    assert suffixes.texts(named).columns == named.columns and {r["kept"] for r in suffixes.texts(named).collect()} == {"own"}
+    assert suffixes.dedup(named).where("n_bytes > 0").count() > 0
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    """Its polynomial hash modulo 2**64, of any odd base, is that of the text with ``a`` and ``b`` swapped."""
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("limit", [suffixes.LIMIT, 1])
+def test_repeats_with_alike_polynomials(spark, limit):
+    head, tail = prose(31, 90)[:240], prose(32, 20)[:32]
+    rows = []
+    for k, (a, b) in enumerate([("V", "]"), ("]", "V")]):
+        rows += [(k, head + thue_morse(128, a, b) + tail + prose(40 + k, 50)), (k + 10, thue_morse(2048, a, b))]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string"), limit).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted((str(g[0]), *g[1:]) for g in got) == plain_removals(rows)
+
+
+def test_repeats_in_long_texts(spark):
+    """Texts that are cut into several slices, with passages across the cuts."""
+    r = random.Random(3)
+    long = "".join(r.choice("abcdefgh ") for _ in range(2 * suffixes.SLICE + 5000))
+    passage = long[suffixes.SLICE // 2 - 150 : suffixes.SLICE // 2 + 250]
+    rows = [(1, long), (2, f"x{passage}y"), (3, long[-300:])]
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (700, 2), 2: (400, 1), 3: (300, 1)}
 
 
 def test_suffix_arrays():
@@ -389,9 +439,35 @@ def test_reshard(documents, odd, empty, tmp_path):
         want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
         assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in out) == want
     assert sharding.reshard(empty.withColumn("old_shard", F.lit(0)), 5).count() == 0
-    moves = sharding.reshard(documents.withColumn("old_shard", (F.col("doc_id") % 5).cast("int")), 6)
-    changed = sharding.rewrite(documents, moves, f"{tmp_path}/out")
-    assert documents.sparkSession.read.parquet(f"{tmp_path}/out").count() == changed.agg(F.sum("rows")).first()[0]
+
+
+def test_reshard_moves_fewest_bytes(documents):
+    old = lambda d: d * d % 11 % 7  # noqa: E731  uneven shards, two of which go
+    moves = sharding.reshard(documents.withColumn("old_shard", (F.col("doc_id") * F.col("doc_id") % 11 % 7).cast("int")), 5).collect()
+    sizes = defaultdict(list)
+    for r in moves:
+        assert r["old_shard"] == old(r["doc_id"])
+        sizes[r["old_shard"]].append(r["size"])
+    least, odd = divmod(len(moves), 5)
+    # plain: shards that go send all; each other one its smallest rows beyond its quota; odd rows stay where they save most
+    cost = {s: [sum(sorted(v)[: max(0, len(v) - least - extra)]) if s < 5 else sum(v) for extra in (0, 1)] for s, v in sizes.items()}
+    saves = sorted((a - b for s, (a, b) in cost.items() if s < 5), reverse=True)
+    assert sum(r["size"] for r in moves if r["shard"] != r["old_shard"]) == sum(a for a, _ in cost.values()) - sum(saves[:odd])
+
+
+def test_rewrite(spark, tmp_path):
+    rows = [(k, f"t{k}", k % 5, "s", 7) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int, shard string, slot int")
+    first = docs.select("*", F.col("old_shard").alias("new_shard"), F.lit(0).alias("new_slot"))
+    first.write.partitionBy("new_shard").parquet(f"{tmp_path}/out")
+    untouched = {p.name for p in (tmp_path / "out").iterdir()}
+    assert len(untouched) >= 5
+    changed = sharding.rewrite(docs, sharding.reshard(docs, 3), f"{tmp_path}/out").collect()
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["doc_id"] for r in back) == list(range(20)) and {r["new_shard"] for r in back} == {0, 1, 2}
+    assert {(r["shard"], r["slot"]) for r in back} == {("s", 7)} and sum(r["rows"] for r in changed) == 20
+    now = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "text", "shard", "slot", F.col("new_shard").alias("old_shard"))
+    assert sharding.rewrite(now, sharding.reshard(now, 3), f"{tmp_path}/other").count() == 0
 
 
 def test_flow_moves_least():
