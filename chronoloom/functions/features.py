@@ -14,6 +14,55 @@ from chronoloom.series import Panel
 NAMES = ("lumpiness", "acf1", "level_shift", "variance_change", "crossing_median", "flat_spots", "linearity", "curvature", "trend", "spikiness")
 
 
+def polynomials(df: DataFrame, panel: Panel, degree: int) -> DataFrame:
+    """``df`` with p1 .. p<degree>: polynomials of each row's place in its series, orthonormal over the series.
+
+    The recurrence is that of the discrete Chebyshev polynomials, so each value
+    needs only the row's place and the series' length. Where a series has not more
+    rows than the degree, the polynomial is null.
+    """
+    if degree < 1:
+        raise OptionError("degree must be at least 1")
+    rows = df.select("*", (F.row_number().over(panel.ordered()) - 1).cast("double").alias("_i"), F.count(F.lit(1)).over(panel.by()).cast("double").alias("_n"))
+    n = F.col("_n")
+    x = F.col("_i") - (n - 1) / 2
+    before, now, size, made = F.lit(0.0), F.lit(1.0), n, []
+    for k in range(1, degree + 1):
+        ratio = (k - 1) ** 2 * (n * n - (k - 1) ** 2) / (4 * (4 * (k - 1) ** 2 - 1)) if k > 1 else F.lit(0.0)
+        before, now = now, x * now - ratio * before
+        size = size * (k * k * (n * n - k * k) / (4 * (4 * k * k - 1)))
+        made.append(F.when(n > k, now / F.sqrt(size)).alias(f"p{k}"))
+    return rows.select(*df.columns, *made)
+
+
+def decomposed(df: DataFrame, panel: Panel, period: int) -> DataFrame:
+    """keys, time, target, trend, seasonal, rest: trend by a centred moving mean over ``period`` rows, seasons by the mean of what it leaves.
+
+    The first and last half period have no trend and no rest; seasons sum to 0.
+    """
+    if period < 2:
+        raise OptionError("period must be at least 2")
+    y, w, half = F.col(panel.target), panel.ordered(), period // 2
+    inner = F.sum(y).over(w.rowsBetween(-((period - 1) // 2), (period - 1) // 2))
+    ends = (F.lag(y, half).over(w) + F.lead(y, half).over(w)) / 2 if period % 2 == 0 else F.lit(0.0)
+    full = F.count(y).over(w.rowsBetween(-half, half)) == 2 * half + 1
+    rows = panel.checked(df).select("*", F.when(full, (inner + ends) / period).alias("trend"), ((F.row_number().over(w) - 1) % period).alias("_p"))
+    means = rows.groupBy(*panel.keys, "_p").agg(F.avg(y - F.col("trend")).alias("_s"))
+    means = means.withColumn("seasonal", F.col("_s") - F.avg("_s").over(panel.by()))
+    out = rows.join(means.drop("_s"), [*panel.keys, "_p"])
+    return out.select(*panel.keys, panel.time, panel.target, "trend", "seasonal", (y - F.col("trend") - F.col("seasonal")).alias("rest"))
+
+
+def strengths(df: DataFrame, panel: Panel, period: int) -> DataFrame:
+    """One row a series: how much trend and seasons explain (0 to 1), and the spikiness of the rest, for series with a period."""
+    rows = decomposed(df, panel, period).where(F.col("rest").isNotNull())
+    share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(F.try_divide(F.var_pop("rest"), F.var_pop(v)), F.lit(1.0))))
+    y, m = F.col(panel.target), F.count(F.lit(1)).over(panel.by()) - 1
+    total, squares = F.sum("rest").over(panel.by()), F.sum(F.col("rest") * F.col("rest")).over(panel.by())
+    one_out = F.when(m > 1, ((squares - F.col("rest") * F.col("rest")) - (total - F.col("rest")) * (total - F.col("rest")) / m) / (m - 1))
+    return rows.withColumn("_out", one_out).groupBy(*panel.keys).agg(share(y - F.col("seasonal")).alias("trend"), share(y - F.col("trend")).alias("seasonality"), F.var_pop("_out").alias("spikiness"))
+
+
 def featurized(df: DataFrame, panel: Panel, width: int = 10) -> DataFrame:
     """One row a series with the features of NAMES, from windows over the ordered series.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.errors import CovariateError, OptionError
+from chronoloom.errors import CovariateNamesError, LagsError, OptionError
 from chronoloom.series import Panel
 
 ROLLING = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
@@ -22,7 +22,7 @@ def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int | t
     (and by keys that they hold); a training row without them raises an error.
     """
     if not isinstance(lags, int) or lags < 1:
-        raise OptionError("lags must be an integer of at least 1")
+        raise LagsError("lags must be an integer of at least 1")
     rows, w = panel.checked(df), panel.ordered()
     made: list[Column] = [F.lag(panel.target, k).over(w).alias(f"lag_{k}") for k in range(1, lags + 1)]
     need = lags
@@ -41,7 +41,7 @@ def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int | t
         return out
     shared = list(on or [c for c in (*panel.keys, panel.time) if c in covariates.columns])
     if panel.time not in shared:
-        raise CovariateError("covariates need the time column")
+        raise CovariateNamesError("covariates need the time column")
     extra = [c for c in covariates.columns if c not in shared]
     joined = out.join(covariates.select(*shared, F.lit(True).alias("_known"), *[F.col(c).cast("double").alias(c) for c in extra]), shared, "left")
     complete = F.coalesce(F.col("_known"), F.lit(False))

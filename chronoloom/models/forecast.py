@@ -8,6 +8,7 @@ keeping each series' best. Trees are trained once for all series, on lags.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 
 import numpy as np
@@ -18,9 +19,11 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.errors import CovariateError, NotProbabilisticModelError, OptionError
+from chronoloom.errors import CovariateError, CovariateNamesError, NotProbabilisticModelError, OptionError, QuantilesError, SeriesError, StepsError
 from chronoloom.models.linear import fitted
+from chronoloom.models.regressor import regressed
 from chronoloom.series import Panel, regularity
+from chronoloom.sources import first_series
 
 #: A model's next value and state: (state, step, error) -> (value, next state).
 Advance = Callable[[Column, Column, Column], tuple[Column, Column]]
@@ -42,70 +45,113 @@ def _grid(**values: list[float]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
 
 
-def _best(df: DataFrame, panel: Panel, grid: Column, fold: Callable[[Column], Column]) -> DataFrame:
-    """Each series with the state of the grid's point of least ``sse``: fold(point) is a struct (state, sse, resid)."""
-    tried = df.withColumn("_g", F.explode(grid)).withColumn("_f", fold(F.col("_g")))
-    return tried.groupBy(*panel.keys).agg(F.min_by(F.struct("ys", "n", "last", "_f"), "_f.sse").alias("_b")).select(*panel.keys, "_b.ys", "_b.n", "_b.last", F.col("_b._f.state").alias("state"), F.col("_b._f.resid").alias("resid"))
+def _best(df: DataFrame, grid: Column, fold: Callable[[Column, bool], Column], resid: bool) -> DataFrame:
+    """Each series with the state of the grid's point of least ``sse`` (of equals the first): fold(point, resid) is a struct (state, sse, resid).
+
+    All points are tried in the series' own row. Residuals are collected once, for the best point.
+    """
+    tried = F.array_min(F.transform(grid, lambda g, i: F.struct(fold(g, False)["sse"].alias("sse"), i.alias("i"), g.alias("g"))))
+    kept = df.withColumn("_g", tried["g"]).withColumn("_f", fold(F.col("_g"), resid))
+    return kept.select(*df.columns, F.col("_f.state").alias("state"), F.col("_f.resid").alias("resid"))
 
 
 def _empty() -> Column:
     return F.array().cast("array<double>")
 
 
-def exponential_smoothing(df: DataFrame, panel: Panel, alphas: list[float] | None = None, betas: list[float] | None = None) -> tuple[DataFrame, Advance, int]:
-    """Additive trend smoothing; alpha and beta by the least squared error of one step."""
+def _more(s: Column, e: Column, resid: bool) -> Column:
+    return (F.concat(s["resid"], F.array(e)) if resid else s["resid"]).alias("resid")
+
 
-    def fold(g: Column) -> Column:
-        start = F.struct(F.get("ys", F.lit(0)).alias("l"), (F.get("ys", F.lit(1)) - F.get("ys", F.lit(0))).alias("b"), F.lit(0.0).alias("sse"), _empty().alias("resid"))
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, y: a + y) / F.size(values)
+
+
+def exponential_smoothing(df: DataFrame, panel: Panel, alphas: list[float] | None = None, betas: list[float] | None = None, season: int = 1, gammas: list[float] | None = None, resid: bool = False) -> tuple[DataFrame, Advance, int]:
+    """Additive trend smoothing, with additive seasons of ``season`` rows; weights by the least squared error of one step."""
+    if season < 1:
+        raise OptionError("season must be at least 1")
+    grid = _grid(alpha=alphas or ALPHAS, beta=betas or [0.0, 0.05, 0.1, 0.3], gamma=(gammas or [0.05, 0.2, 0.5]) if season > 1 else [0.0])
+    if season > 1:  # the first season's mean and places, and the drift to the second one's mean
+        first, second = _mean(F.slice("ys", 1, season)), _mean(F.slice("ys", season + 1, season))
+        df = df.withColumn("_l0", first).withColumn("_b0", (second - first) / season).withColumn("_s0", F.transform(F.slice("ys", 1, season), lambda y: y - F.col("_l0")))
+        skip = season
+    else:
+        df = df.withColumn("_l0", F.get("ys", F.lit(0))).withColumn("_b0", F.get("ys", F.lit(1)) - F.get("ys", F.lit(0))).withColumn("_s0", F.array(F.lit(0.0)))
+        skip = 1
+
+    def moved(s: Column, g: Column, e: Column) -> list[Column]:
+        wave = F.get(s["s"], F.lit(0))
+        return [(s["l"] + s["b"] + g["alpha"] * e).alias("l"), (s["b"] + g["alpha"] * g["beta"] * e).alias("b"), F.concat(F.slice(s["s"], 2, season - 1), F.array(wave + g["gamma"] * e)).alias("s") if season > 1 else s["s"].alias("s")]
+
+    def fold(g: Column, resid: bool) -> Column:
+        start = F.struct(F.col("_l0").alias("l"), F.col("_b0").alias("b"), F.col("_s0").alias("s"), F.lit(0.0).alias("sse"), _empty().alias("resid"))
 
         def step(s: Column, y: Column) -> Column:
-            e = y - s["l"] - s["b"]
-            return F.struct((s["l"] + s["b"] + g["alpha"] * e).alias("l"), (s["b"] + g["alpha"] * g["beta"] * e).alias("b"), (s["sse"] + e * e).alias("sse"), F.concat(s["resid"], F.array(e)).alias("resid"))
+            e = y - s["l"] - s["b"] - F.get(s["s"], F.lit(0))
+            return F.struct(*moved(s, g, e), (s["sse"] + e * e).alias("sse"), _more(s, e, resid))
 
-        out = F.aggregate(F.slice("ys", 2, F.greatest(F.col("n") - 1, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), s["b"].alias("b"), g["alpha"].alias("alpha"), g["beta"].alias("beta")).alias("state"), s["sse"].alias("sse"), s["resid"].alias("resid")))
-        return out
+        return F.aggregate(F.slice("ys", skip + 1, F.greatest(F.col("n") - skip, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), s["b"].alias("b"), s["s"].alias("s"), g["alpha"].alias("alpha"), g["beta"].alias("beta"), g["gamma"].alias("gamma")).alias("state"), s["sse"].alias("sse"), s["resid"].alias("resid")))
 
     def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
-        y = s["l"] + s["b"] + e
-        return y, F.struct((s["l"] + s["b"] + s["alpha"] * e).alias("l"), (s["b"] + s["alpha"] * s["beta"] * e).alias("b"), s["alpha"].alias("alpha"), s["beta"].alias("beta"))
+        return s["l"] + s["b"] + F.get(s["s"], F.lit(0)) + e, F.struct(*moved(s, s, e), s["alpha"].alias("alpha"), s["beta"].alias("beta"), s["gamma"].alias("gamma"))
 
-    return _best(df, panel, _grid(alpha=alphas or ALPHAS, beta=betas or [0.0, 0.05, 0.1, 0.3]), fold), advance, 3
+    return _best(df, grid, fold, resid).drop("_l0", "_b0", "_s0"), advance, 2 * season + 1
 
 
-def theta(df: DataFrame, panel: Panel, thetas: list[float] | None = None, alphas: list[float] | None = None) -> tuple[DataFrame, Advance, int]:
-    """The trend line mixed with a smoothed line of ``theta`` times the curvature (2 unless several are searched)."""
+def _trend(ys: str) -> tuple[Column, Column]:
+    """(level at place 0, slope) of the least-squares line through the values."""
     n, mid = F.col("n").cast("double"), (F.col("n") - 1) / 2
-    mean = F.aggregate("ys", F.lit(0.0), lambda a, y: a + y) / n
-    places = F.transform("ys", lambda y, i: F.struct(i.cast("double").alias("i"), y.alias("y")))
-    slope = F.coalesce(F.try_divide(F.aggregate(places, F.lit(0.0), lambda a, p: a + (p["i"] - mid) * p["y"]), n * (n * n - 1) / 12), F.lit(0.0))
-    trended = df.withColumn("_b", slope).withColumn("_a", mean - F.col("_b") * mid)
+    places = F.transform(ys, lambda y, i: (i - mid) * y)
+    slope = F.coalesce(F.try_divide(F.aggregate(places, F.lit(0.0), lambda a, p: a + p), n * (n * n - 1) / 12), F.lit(0.0))
+    return F.aggregate(ys, F.lit(0.0), lambda a, y: a + y) / n - slope * mid, slope
+
+
+def theta(df: DataFrame, panel: Panel, thetas: list[float] | None = None, alphas: list[float] | None = None, season: int = 1, resid: bool = False) -> tuple[DataFrame, Advance, int]:
+    """The trend line mixed with a smoothed line of ``theta`` times the curvature (2 unless several are searched).
 
-    def fold(g: Column) -> Column:
+    With ``season``, the mean distance of each place of a season from the trend is taken off first and put back.
+    """
+    if season < 1:
+        raise OptionError("season must be at least 1")
+    level, slope = _trend("ys")
+    if season > 1:
+        off = df.withColumn("_b", slope).withColumn("_a", level).withColumn("_d", F.transform("ys", lambda y, i: y - F.col("_a") - F.col("_b") * i))
+        means = F.transform(F.sequence(F.lit(0), F.lit(season - 1)), lambda j: _mean(F.filter("_d", lambda _, i: i % season == j)))
+        df = off.withColumn("_w", means).withColumn("_w", F.transform("_w", lambda v: v - _mean(F.col("_w")))).withColumn("_ys", F.transform("ys", lambda y, i: y - F.get("_w", i % season))).drop("_a", "_b", "_d")
+    else:
+        df = df.withColumn("_w", F.array(F.lit(0.0))).withColumn("_ys", F.col("ys"))
+    level, slope = _trend("_ys")
+    n = F.col("n").cast("double")
+    trended = df.withColumn("_b", slope).withColumn("_a", level)
+    places = F.transform("_ys", lambda y, i: F.struct(i.cast("double").alias("i"), y.alias("y")))
+
+    def fold(g: Column, resid: bool) -> Column:
         def bent(i: Column, y: Column) -> Column:
             return g["theta"] * y + (1 - g["theta"]) * (F.col("_a") + F.col("_b") * i)
 
-        start = F.struct(bent(F.lit(0.0), F.get("ys", F.lit(0))).alias("l"), F.lit(0.0).alias("sse"), _empty().alias("resid"))
+        start = F.struct(bent(F.lit(0.0), F.get("_ys", F.lit(0))).alias("l"), F.lit(0.0).alias("sse"), _empty().alias("resid"))
 
         def step(s: Column, p: Column) -> Column:
             e = p["y"] - ((1 - 1 / g["theta"]) * (F.col("_a") + F.col("_b") * p["i"]) + s["l"] / g["theta"])
-            return F.struct((s["l"] + g["alpha"] * (bent(p["i"], p["y"]) - s["l"])).alias("l"), (s["sse"] + e * e).alias("sse"), F.concat(s["resid"], F.array(e)).alias("resid"))
+            return F.struct((s["l"] + g["alpha"] * (bent(p["i"], p["y"]) - s["l"])).alias("l"), (s["sse"] + e * e).alias("sse"), _more(s, e, resid))
 
-        return F.aggregate(F.slice(places, 2, F.greatest(F.col("n") - 1, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), F.col("_a").alias("a"), F.col("_b").alias("b"), n.alias("n"), g["theta"].alias("theta")).alias("state"), s["sse"].alias("sse"), s["resid"].alias("resid")))
+        return F.aggregate(F.slice(places, 2, F.greatest(F.col("n") - 1, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), F.col("_a").alias("a"), F.col("_b").alias("b"), n.alias("n"), g["theta"].alias("theta"), F.col("_w").alias("w")).alias("state"), s["sse"].alias("sse"), s["resid"].alias("resid")))
 
     def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
         # the smoothed line goes on with its own drift, (1 - theta) times the trend's slope at 0
         line = s["a"] + s["b"] * (s["n"] - 1 + k)
-        return (1 - 1 / s["theta"]) * line + s["l"] / s["theta"] + e, s
+        return (1 - 1 / s["theta"]) * line + s["l"] / s["theta"] + F.get(s["w"], ((s["n"] - 1 + k).cast("int") % season)) + e, s
 
-    return _best(trended, panel, _grid(theta=thetas or [2.0], alpha=alphas or ALPHAS), fold), advance, 3
+    return _best(trended, _grid(theta=thetas or [2.0], alpha=alphas or ALPHAS), fold, resid).drop("_a", "_b", "_w", "_ys"), advance, max(3, 2 * season)
 
 
-def four_theta(df: DataFrame, panel: Panel) -> tuple[DataFrame, Advance, int]:
+def four_theta(df: DataFrame, panel: Panel, season: int = 1, resid: bool = False) -> tuple[DataFrame, Advance, int]:
     """Theta with the curvature searched as well."""
-    return theta(df, panel, thetas=[1.0, 1.5, 2.0, 3.0])
+    return theta(df, panel, thetas=[1.0, 1.5, 2.0, 3.0], season=season, resid=resid)
 
 
-def croston(df: DataFrame, panel: Panel, alpha: float = 0.1) -> tuple[DataFrame, Advance, int]:
+def croston(df: DataFrame, panel: Panel, alpha: float = 0.1, resid: bool = False) -> tuple[DataFrame, Advance, int]:
     """Smoothed demand size over smoothed interval, both from non-zero rows."""
     start = F.struct(F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("p"), F.lit(1.0).alias("q"), _empty().alias("resid"))
 
@@ -113,7 +159,7 @@ def croston(df: DataFrame, panel: Panel, alpha: float = 0.1) -> tuple[DataFrame,
         hit, new = y != 0, s["z"].isNull()
         z = F.when(hit, F.when(new, y).otherwise(s["z"] + alpha * (y - s["z"]))).otherwise(s["z"])
         p = F.when(hit, F.when(new, s["q"]).otherwise(s["p"] + alpha * (s["q"] - s["p"]))).otherwise(s["p"])
-        rest = F.when(new, s["resid"]).otherwise(F.concat(s["resid"], F.array(y - F.try_divide(s["z"], s["p"]))))
+        rest = F.when(new, s["resid"]).otherwise(_more(s, y - F.try_divide(s["z"], s["p"]), resid)) if resid else s["resid"]
         return F.struct(z.alias("z"), p.alias("p"), F.when(hit, 1.0).otherwise(s["q"] + 1).alias("q"), rest.alias("resid"))
 
     out = df.withColumn("_s", F.aggregate("ys", start, step))
@@ -121,28 +167,67 @@ def croston(df: DataFrame, panel: Panel, alpha: float = 0.1) -> tuple[DataFrame,
     return out.select(*panel.keys, "ys", "n", "last", state.alias("state"), F.col("_s.resid").alias("resid")), lambda s, k, e: (s["rate"] + e, s), 1
 
 
-def kalman(df: DataFrame, panel: Panel, ratios: list[float] | None = None) -> tuple[DataFrame, Advance, int]:
-    """Local level model; the ratio of level to noise variance by the concentrated likelihood."""
+def _line(coef: Column, x: Column, n: int) -> Column:
+    """Intercept and slopes of ``coef`` at the values ``x``, an array of ``n``."""
+    return F.get(coef, F.lit(0)) + F.aggregate(F.zip_with(F.slice(coef, 2, n), x, lambda c, v: c * v), F.lit(0.0), lambda a, v: a + v)
+
+
+def _extra(covariates: DataFrame | None, panel: Panel) -> list[str]:
+    return [c for c in covariates.columns if c not in (*panel.keys, panel.time)] if covariates is not None else []
+
+
+def _with_covariates(rows: DataFrame, panel: Panel, covariates: DataFrame) -> DataFrame:
+    """Rows with the covariates of their time (and of those keys that the covariates have), as doubles named ``_c_``."""
+    shared = [c for c in (*panel.keys, panel.time) if c in covariates.columns]
+    return rows.join(covariates.select(*shared, *[F.col(c).cast("double").alias(f"_c_{c}") for c in _extra(covariates, panel)]), shared, "left")
+
+
+def _ahead(df: DataFrame, panel: Panel, covariates: DataFrame, steps: int) -> DataFrame:
+    """``df`` (keys, last) with ``_future``: the covariates at each of the next ``steps`` times, null where one lacks.
+
+    The times are made from each series' last one and joined, so other dates do not count.
+    """
+    times = df.select(*panel.keys, F.col("last").alias(panel.time), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_k"))
+    times = _with_covariates(times.withColumn(panel.time, panel.moved(F.col("_k"))), panel, covariates)
+    values = F.array(*[F.col(f"_c_{c}") for c in _extra(covariates, panel)])
+    known = F.count(F.when(~F.exists(values, lambda v: v.isNull()), 1)) == steps
+    future = times.groupBy(*panel.keys).agg(F.when(known, F.transform(F.array_sort(F.collect_list(F.struct("_k", values.alias("x")))), lambda r: r["x"])).alias("_future"))
+    return df.join(future, list(panel.keys), "left")
+
+
+def kalman(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame | None = None, steps: int = 1, ratios: list[float] | None = None, resid: bool = False) -> tuple[DataFrame, Advance, int]:
+    """Local level model, of what a regression on the covariates leaves; the ratio of level to noise variance by the concentrated likelihood."""
+    extra = _extra(covariates, panel)
+    if extra:
+        made = _with_covariates(panel.checked(rows), panel, covariates)
+        xs = F.array(*[F.col(f"_c_{c}") for c in extra])
+        model = fitted(made, panel.keys, F.col(panel.target), [F.col(f"_c_{c}") for c in extra]).select(*panel.keys, "coef")
+        left = made.join(model, list(panel.keys)).withColumn(panel.target, F.col(panel.target) - _line(F.col("coef"), xs, len(extra)))
+        level = packed(left.select(*panel.keys, panel.time, panel.target), panel).join(model, list(panel.keys))
+        df = _ahead(level, panel, covariates, steps).withColumn("_off", F.transform("_future", lambda x: _line(F.col("coef"), x, len(extra))))
+    else:
+        df = df.withColumn("_off", _empty())
 
-    def fold(g: Column) -> Column:
+    def fold(g: Column, resid: bool) -> Column:
         start = F.struct(F.get("ys", F.lit(0)).alias("l"), F.lit(1.0).alias("p"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("logs"), _empty().alias("resid"))
 
         def step(s: Column, y: Column) -> Column:
             prior = s["p"] + g["ratio"]
             gain, e = prior / (prior + 1), y - s["l"]
-            return F.struct((s["l"] + gain * e).alias("l"), (prior * (1 - gain)).alias("p"), (s["ss"] + e * e / (prior + 1)).alias("ss"), (s["logs"] + F.log(prior + 1)).alias("logs"), F.concat(s["resid"], F.array(e)).alias("resid"))
+            return F.struct((s["l"] + gain * e).alias("l"), (prior * (1 - gain)).alias("p"), (s["ss"] + e * e / (prior + 1)).alias("ss"), (s["logs"] + F.log(prior + 1)).alias("logs"), _more(s, e, resid))
 
         m = F.greatest(F.col("n") - 1, F.lit(1))
-        return F.aggregate(F.slice("ys", 2, F.greatest(F.col("n") - 1, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), (s["p"] + g["ratio"]).alias("p"), g["ratio"].alias("ratio")).alias("state"), (m * F.log(F.greatest(s["ss"] / m, F.lit(1e-300))) + s["logs"]).alias("sse"), s["resid"].alias("resid")))
+        return F.aggregate(F.slice("ys", 2, F.greatest(F.col("n") - 1, F.lit(0))), start, step, lambda s: F.struct(F.struct(s["l"].alias("l"), (s["p"] + g["ratio"]).alias("p"), g["ratio"].alias("ratio"), F.col("_off").alias("off")).alias("state"), (m * F.log(F.greatest(s["ss"] / m, F.lit(1e-300))) + s["logs"]).alias("sse"), s["resid"].alias("resid")))
 
     def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
         gain = s["p"] / (s["p"] + 1)
-        return s["l"] + e, F.struct((s["l"] + gain * e).alias("l"), (s["p"] * (1 - gain) + s["ratio"]).alias("p"), s["ratio"].alias("ratio"))
+        y = s["l"] + e + (F.get(s["off"], k.cast("int") - 1) if extra else 0.0)
+        return y, F.struct((s["l"] + gain * e).alias("l"), (s["p"] * (1 - gain) + s["ratio"]).alias("p"), s["ratio"].alias("ratio"), s["off"].alias("off"))
 
-    return _best(df, panel, _grid(ratio=ratios or [0.0, 0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]), fold), advance, 3
+    return _best(df, _grid(ratio=ratios or [0.0, 0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]), fold, resid), advance, 3 + len(extra)
 
 
-def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10) -> tuple[DataFrame, Advance, int]:
+def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10, resid: bool = False) -> tuple[DataFrame, Advance, int]:
     """A linear trend and the strongest ``frequencies`` waves of what it leaves."""
 
     @F.pandas_udf("a double, b double, n double, waves array<array<double>>")
@@ -164,36 +249,36 @@ def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10) -
     return out.withColumn("resid", F.transform("ys", lambda y, i: y - at(F.col("state"), i.cast("double")))), lambda s, k, e: (at(s, s["n"] - 1 + k) + e, s), 2
 
 
-def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, search: bool, covariates: DataFrame | None) -> tuple[DataFrame, Advance, int]:
-    """Least squares on lags of the (differenced) values and on covariates, from windows and one aggregation."""
+def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, errors: int, search: bool, covariates: DataFrame | None, steps: int) -> tuple[DataFrame, Advance, int]:
+    """Least squares on lags of the (differenced) values, on lagged errors and on covariates, from windows and aggregations.
+
+    The lagged errors (moving-average terms) are those of a first, longer autoregression.
+    """
     w = panel.ordered()
     base = panel.checked(rows).withColumn("_v", F.col(panel.target))
     for _ in range(difference):
         base = base.withColumn("_v", F.col("_v") - F.lag("_v", 1).over(w))
-    extra = [c for c in covariates.columns if c not in (*panel.keys, panel.time)] if covariates is not None else []
-    made = base.select("*", *[F.lag("_v", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
+    extra = _extra(covariates, panel)
+    long = lags + errors if errors else 0
+    made = base.select("*", *[F.lag("_v", k).over(w).alias(f"_l{k}") for k in range(1, max(lags, long) + 1)])
+    if errors:
+        first = [F.col(f"_l{k}") for k in range(1, long + 1)]
+        ahead = fitted(made, panel.keys, F.col("_v"), first).select(*panel.keys, F.col("coef").alias("_first"))
+        made = made.join(ahead, list(panel.keys)).withColumn("_e0", F.col("_v") - _line(F.col("_first"), F.array(*first), long))
+        made = made.select("*", *[F.lag("_e0", k).over(w).alias(f"_m{k}") for k in range(1, errors + 1)])
     if extra:
-        shared = [c for c in (*panel.keys, panel.time) if c in covariates.columns]
-        made = made.join(covariates.select(*shared, *[F.col(c).cast("double").alias(f"_c_{c}") for c in extra]), shared, "left")
-    names = [*[f"_c_{c}" for c in extra], *[f"_l{k}" for k in range(1, lags + 1)]]
+        made = _with_covariates(made, panel, covariates)
+    names = [*[f"_c_{c}" for c in extra], *[f"_l{k}" for k in range(1, lags + 1)], *[f"_m{k}" for k in range(1, errors + 1)]]
     model = fitted(made, panel.keys, F.col("_v"), [F.col(c) for c in names], search=search)
     values = F.array(*[F.col(c) for c in names])
 
     def dot(coef: Column, x: Column) -> Column:
-        return F.get(coef, F.lit(0)) + F.aggregate(F.zip_with(F.slice(coef, 2, len(names)), x, lambda c, v: c * v), F.lit(0.0), lambda a, v: a + v)
+        return _line(coef, x, len(names))
 
-    left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"))
+    tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(panel.time).alias("t"), F.col("_e0").alias("e"))))), 1, errors) if errors else F.array(F.struct(F.lit(0.0).alias("e")))
+    left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"), tail.alias("_tail"))
     out = df.join(model.select(*panel.keys, "coef", "aicc"), list(panel.keys), "left").join(left, list(panel.keys), "left")
-    if extra:
-        shared = [c for c in panel.keys if c in covariates.columns]
-        ends = df.select(*panel.keys, "last")
-        # without keys of its own, a covariate table is one calendar; each series meets the dates after its last
-        ahead = ends.join(covariates, shared) if shared else ends.join(covariates, F.col(panel.time) > F.col("last"))
-        ahead = ahead.where(F.col(panel.time) > F.col("last"))
-        future = ahead.groupBy(*panel.keys).agg(F.array_sort(F.collect_list(F.struct(F.col(panel.time).alias("t"), F.array(*[F.col(c).cast("double") for c in extra]).alias("x")))).alias("_f"))
-        out = out.join(future.select(*panel.keys, F.transform("_f", lambda r: r["x"]).alias("_future")), list(panel.keys), "left")
-    else:
-        out = out.withColumn("_future", F.lit(None).cast("array<array<double>>"))
+    out = _ahead(out, panel, covariates, steps) if extra else out.withColumn("_future", F.lit(None).cast("array<array<double>>"))
     # the last values of each difference, latest first
     series = F.col("ys")
     tails = []
@@ -202,23 +287,25 @@ def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, dif
         series = F.zip_with(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), F.slice(series, 1, F.greatest(F.size(series) - 1, F.lit(0))), lambda a, b: a - b)
     window = F.slice(F.reverse(series), 1, lags)
     tail = F.array(*tails) if tails else _empty()
-    out = out.withColumn("state", F.when(F.col("coef").isNotNull() & (F.size("ys") >= lags + difference), F.struct(window.alias("w"), tail.alias("tail"), "coef", F.col("_future").alias("future"))))
+    shocks = F.transform("_tail", lambda r: F.coalesce(r["e"], F.lit(0.0)))
+    out = out.withColumn("state", F.when(F.col("coef").isNotNull() & (F.size("ys") >= lags + difference), F.struct(window.alias("w"), tail.alias("tail"), shocks.alias("m"), "coef", F.col("_future").alias("future"))))
 
     def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
         x = F.concat(F.get(s["future"], k.cast("int") - 1), s["w"]) if extra else s["w"]
-        v = dot(s["coef"], x) + e
+        v = dot(s["coef"], F.concat(x, s["m"]) if errors else x) + e
         y, tail = v, []
         for d in range(difference - 1, -1, -1):
             y = F.get(s["tail"], F.lit(d)) + y
             tail.insert(0, y)
         w = F.slice(F.concat(F.array(v), s["w"]), 1, lags)
-        return y, F.struct(w.alias("w"), (F.array(*tail) if tail else _empty()).alias("tail"), s["coef"].alias("coef"), s["future"].alias("future"))
+        m = F.slice(F.concat(F.array(e), s["m"]), 1, errors) if errors else s["m"]
+        return y, F.struct(w.alias("w"), (F.array(*tail) if tail else _empty()).alias("tail"), m.alias("m"), s["coef"].alias("coef"), s["future"].alias("future"))
 
-    return out, advance, lags + difference + 2
+    return out, advance, max(lags, long) + difference + errors + 2
 
 
-def prophet(df: DataFrame, panel: Panel, rows: DataFrame, changepoints: int = 5, yearly: int = 3, weekly: int = 2) -> tuple[DataFrame, Advance, int]:
-    """A piecewise linear trend with yearly and weekly waves, by ridge regression on calendar features."""
+def prophet(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame | None = None, steps: int = 1, changepoints: int = 5, yearly: int = 3, weekly: int = 2, resid: bool = False) -> tuple[DataFrame, Advance, int]:
+    """A piecewise linear trend with yearly and weekly waves and covariates (holidays are such), by ridge regression on calendar features."""
 
     def features(day: Column, first: Column, span: Column) -> list[Column]:
         t = F.coalesce(F.try_divide(F.datediff(day, first).cast("double"), span), F.lit(0.0))
@@ -231,7 +318,11 @@ def prophet(df: DataFrame, panel: Panel, rows: DataFrame, changepoints: int = 5,
 
     by = panel.by()
     base = panel.checked(rows).select("*", F.min(panel.time).over(by).alias("_first"), F.datediff(F.max(panel.time).over(by), F.min(panel.time).over(by)).cast("double").alias("_span"))
+    extra = _extra(covariates, panel)
     xs = features(F.col(panel.time), F.col("_first"), F.col("_span"))
+    if extra:
+        base = _with_covariates(base, panel, covariates)
+        xs = [*xs, *[F.col(f"_c_{c}") for c in extra]]
     model = fitted(base, panel.keys, F.col(panel.target), xs, ridge=0.01).select(*panel.keys, "coef")
 
     def value(coef: Column, x: list[Column]) -> Column:
@@ -241,8 +332,16 @@ def prophet(df: DataFrame, panel: Panel, rows: DataFrame, changepoints: int = 5,
         return total
 
     left = base.join(model, list(panel.keys)).withColumn("_e", F.col(panel.target) - value(F.col("coef"), xs)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"), F.first("_first").alias("_first"), F.first("_span").alias("_span"), F.first("coef").alias("coef"))
-    out = df.join(left, list(panel.keys), "left").withColumn("state", F.when(F.col("coef").isNotNull(), F.struct("coef", F.col("_first").alias("first"), F.col("_span").alias("span"), F.to_date("last").alias("last"))))
-    return out, lambda s, k, e: (value(s["coef"], features(F.date_add(s["last"], (k * panel.days).cast("int")), s["first"], s["span"])) + e, s), 2 * (changepoints + 2 * (yearly + weekly))
+    out = df.join(left, list(panel.keys), "left")
+    out = _ahead(out, panel, covariates, steps) if extra else out.withColumn("_future", F.lit(None).cast("array<array<double>>"))
+    out = out.withColumn("state", F.when(F.col("coef").isNotNull(), F.struct("coef", F.col("_first").alias("first"), F.col("_span").alias("span"), F.to_date("last").alias("last"), F.col("_future").alias("future"))))
+
+    def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
+        x = features(F.date_add(s["last"], (k * panel.days).cast("int")), s["first"], s["span"])
+        known = F.get(s["future"], k.cast("int") - 1)
+        return value(s["coef"], [*x, *[F.get(known, F.lit(j)) for j in range(len(extra))]]) + e, s
+
+    return out, advance, 2 * (changepoints + 2 * (yearly + weekly)) + len(extra)
 
 
 UNIVARIATE = ("fast_fourier_transform", "exponential_smoothing", "arima_univariate", "four_theta", "theta", "croston", "autoarima_univariate")
@@ -252,45 +351,71 @@ PROBABILISTIC = ("exponential_smoothing", "arima_univariate", "regressor", "arim
 
 def model_info() -> dict[str, dict[str, bool]]:
     """The models: whether they take covariates and give intervals."""
-    return {m: {"covariates": m in MULTIVARIATE and m not in ("kalman", "prophet", "random_forest", "lgbm"), "probabilistic": m in PROBABILISTIC} for m in (*UNIVARIATE, *MULTIVARIATE)}
+    return {m: {"covariates": m in MULTIVARIATE, "probabilistic": m in PROBABILISTIC} for m in (*UNIVARIATE, *MULTIVARIATE)}
+
 
+_PLAIN = {"fast_fourier_transform": fast_fourier_transform, "exponential_smoothing": exponential_smoothing, "four_theta": four_theta, "theta": theta, "croston": croston}
+_KNOWING = {"kalman": kalman, "prophet": prophet}
 
-def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Mapping, covariates: DataFrame | None) -> tuple[DataFrame, Advance, int]:
-    plain = {"fast_fourier_transform": fast_fourier_transform, "exponential_smoothing": exponential_smoothing, "four_theta": four_theta, "theta": theta, "croston": croston, "kalman": kalman}
-    if name in plain:
-        return plain[name](df, panel, **options)
-    if name == "prophet":
-        return prophet(df, panel, rows, **options)
+
+def _options(name: str) -> set[str]:
+    """The options that a model takes."""
+    if name in ("regressor", "regressor_darts"):
+        return {"lags"}
+    if name in ("random_forest", "lgbm"):
+        return {"lags", "trees", "depth", "seed"}
+    if found := _PLAIN.get(name) or _KNOWING.get(name):
+        return set(inspect.signature(found).parameters) - {"df", "panel", "rows", "covariates", "steps", "resid"}
+    return {"p", "d"} if "auto" in name else {"p", "d", "q"}
+
+
+def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Mapping, covariates: DataFrame | None, steps: int, resid: bool) -> tuple[DataFrame, Advance, int]:
+    if name in _PLAIN:
+        return _PLAIN[name](df, panel, resid=resid, **options)
+    if name in _KNOWING:
+        return _KNOWING[name](df, panel, rows, covariates, steps, resid=resid, **options)
     if name in ("regressor", "regressor_darts"):
-        return _autoregression(df, panel, rows, options.get("lags", 7), 0, False, covariates)
+        return _autoregression(df, panel, rows, options.get("lags", 7), 0, 0, False, covariates, steps)
     lags = options.get("p", 12 if name in ("arima_univariate", "arima") else 5)
-    return _autoregression(df, panel, rows, lags, options.get("d", 1), "auto" in name, covariates)
+    return _autoregression(df, panel, rows, lags, options.get("d", 1), options.get("q", 0), "auto" in name, covariates, steps)
 
 
-def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: Mapping | None = None, covariates: DataFrame | None = None, samples: int | None = None, lower: float = 0.25, upper: float = 0.75, seed: int = 7) -> DataFrame:
+def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: Mapping | None = None, covariates: DataFrame | None = None, samples: int | None = None, lower: float = 0.25, upper: float = 0.75, seed: int = 7, dry_run: bool = False) -> DataFrame:
     """keys, time, predictions (and quantile columns), error, type_error: ``steps`` rows after each series' own last.
 
     A series that is too short, irregular or holds nulls gives one row with an
     error and no prediction. With ``samples``, paths are simulated with errors
     drawn from the model's residuals, by a hash of key, sample and step, and the
-    two quantiles of each step are added.
+    two quantiles of each step are added. With ``dry_run``, the first series is
+    forecast at once, and its error raised. The regressors take an ``estimator``
+    with fit and predict among their options; see ``regressed``.
     """
     if model not in (*UNIVARIATE, *MULTIVARIATE):
         raise OptionError(f"model: one of {(*UNIVARIATE, *MULTIVARIATE)}, not {model!r}")
     if not isinstance(steps, int) or steps < 1:
-        raise OptionError("steps must be an integer of at least 1")
+        raise StepsError("steps must be an integer of at least 1")
     if not 0 <= lower < upper <= 1:
-        raise OptionError("quantiles: 0 <= lower < upper <= 1")
+        raise QuantilesError("quantiles: 0 <= lower < upper <= 1")
     if samples is not None and model not in PROBABILISTIC:
         raise NotProbabilisticModelError(f"{model} gives no intervals")
     if covariates is not None and not model_info()[model]["covariates"]:
         raise CovariateError(f"{model} takes no covariates")
-    if model in ("random_forest", "lgbm"):
-        return _trees(df, panel, model, steps, **(options or {}))
+    if covariates is not None and panel.time not in covariates.columns:
+        raise CovariateNamesError(f"covariates need the column {panel.time}")
+    if dry_run:
+        failed = forecast(first_series(df, panel), panel, model, steps, options, covariates, samples, lower, upper, seed).where("error is not null").collect()
+        if failed:
+            raise SeriesError(f"the first series: {failed[0]['error']}")
+    if model in ("regressor", "regressor_darts") and "estimator" in (options or {}):
+        return regressed(df, panel, steps=steps, covariates=covariates, interval=(lower, upper) if samples else None, **{"lags": 7} | dict(options))
+    if unknown := sorted(set(options or {}) - _options(model)):
+        raise OptionError(f"{model} has no options {unknown}; it has {sorted(_options(model))}")
     checked = regularity(panel.checked(df), panel).select(*panel.keys, "nulls", "regular")
+    if model in ("random_forest", "lgbm"):
+        return _trees(df, panel, model, steps, checked, covariates, **(options or {}))
     rows = packed(df, panel)
-    fit, advance, least = _model(model, rows, panel, df, dict(options or {}), covariates)
-    fit = fit.join(checked, list(panel.keys))
+    fit, advance, least = _model(model, rows, panel, df, dict(options or {}), covariates, steps, samples is not None)
+    fit = checked.join(fit, list(panel.keys), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") < least, F.concat(F.lit(f"series under {least} rows: "), F.col("n").cast("string"))).when(F.col("state").isNull(), "model not fitted")
     if covariates is not None:
         bad = bad.when(F.coalesce(F.size("_future"), F.lit(0)) < steps, "covariates do not cover the horizon")
@@ -317,23 +442,34 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
     return out.unionByName(failed, allowMissingColumns=True)
 
 
-def _trees(df: DataFrame, panel: Panel, model: str, steps: int, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
-    """One tree ensemble for all series, on their lags; each step is predicted from the ones before."""
-    w = panel.ordered()
-    names = [f"_l{k}" for k in range(1, lags + 1)]
-    train = panel.checked(df).select("*", *[F.lag(panel.target, k).over(w).alias(n) for k, n in enumerate(names, 1)]).na.drop()
+def _trees(df: DataFrame, panel: Panel, model: str, steps: int, checked: DataFrame, covariates: DataFrame | None = None, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
+    """One tree ensemble for all regular series, on their lags and covariates; each step is predicted from the ones before."""
+    w, keys, extra = panel.ordered(), list(panel.keys), _extra(covariates, panel)
+    names = [*[f"_l{k}" for k in range(1, lags + 1)], *[f"_c_{c}" for c in extra]]
+    rows = packed(df, panel).join(checked, keys)
+    if extra:
+        rows = _ahead(rows, panel, covariates, steps)
+    bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") <= lags, F.concat(F.lit(f"series under {lags + 1} rows: "), F.col("n").cast("string")))
+    rows = rows.withColumn("error", bad.when(F.col("_future").isNull(), "covariates do not cover the horizon") if extra else bad)
+    good = rows.where("error is null")
+    made = panel.checked(df).join(good.select(*keys), keys).select("*", *[F.lag(panel.target, k).over(w).alias(n) for k, n in enumerate(names[:lags], 1)])
+    train = (_with_covariates(made, panel, covariates) if extra else made).na.drop(subset=[panel.target, *names])
+    failed = rows.where("error is not null").select(*keys, "error", F.lit("SeriesError").alias("type_error"))
+    kinds = {f.name: f.dataType for f in panel.checked(df).schema.fields}
+    if train.isEmpty():  # no series can be forecast
+        none = failed.select(*keys, F.lit(None).cast(kinds[panel.time]).alias(panel.time), F.lit(None).cast("double").alias("predictions"), "error", "type_error")
+        return none
     kind = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed) if model == "random_forest" else GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
     kind = kind.setFeaturesCol("_x").setLabelCol(panel.target).setPredictionCol("_y")
     fit = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), kind]).fit(train)
-    rows = packed(df, panel)
-    short = rows.where(F.col("n") < lags)
-    now = rows.where(F.col("n") >= lags).select(*panel.keys, "last", F.slice(F.reverse("ys"), 1, lags).alias("_w"), _empty().alias("_out"))
-    for _ in range(steps):
-        made = fit.transform(now.select("*", *[F.get("_w", F.lit(k)).alias(n) for k, n in enumerate(names)]))
-        now = made.select(*panel.keys, "last", F.slice(F.concat(F.array("_y"), "_w"), 1, lags).alias("_w"), F.concat("_out", F.array("_y")).alias("_out"))
-    out = now.select(*panel.keys, F.col("last").alias(panel.time), F.posexplode("_out").alias("_k", "predictions"))
+    held = ["last", *(["_future"] if extra else [])]
+    now = good.select(*keys, *held, F.slice(F.reverse("ys"), 1, lags).alias("_w"), _empty().alias("_out"))
+    for k in range(steps):
+        given = [F.get(F.get("_future", F.lit(k)), F.lit(j)).alias(f"_c_{c}") for j, c in enumerate(extra)]
+        made = fit.transform(now.select("*", *[F.get("_w", F.lit(i)).alias(n) for i, n in enumerate(names[:lags])], *given))
+        now = made.select(*keys, *held, F.slice(F.concat(F.array("_y"), "_w"), 1, lags).alias("_w"), F.concat("_out", F.array("_y")).alias("_out"))
+    out = now.select(*keys, F.col("last").alias(panel.time), F.posexplode("_out").alias("_k", "predictions"))
     out = out.withColumn(panel.time, panel.moved(F.col("_k") + 1)).drop("_k").withColumn("error", F.lit(None).cast("string")).withColumn("type_error", F.lit(None).cast("string"))
-    failed = short.select(*panel.keys, F.lit(f"series under {lags} rows").alias("error"), F.lit("SeriesError").alias("type_error"))
     return out.unionByName(failed, allowMissingColumns=True)
 
 

@@ -14,7 +14,6 @@ from chronoloom.series import Panel
 DUPLICATES = ("sum", "mean", "median", "mode")
 FILLS = ("zero", "mean", "median")
 INTERPOLATIONS = ("linear", "time", "pad", "ffill", "bfill", "nearest")
-FULL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def deduplicated(df: DataFrame, panel: Panel, how: str = "mode", *more: Column) -> DataFrame:
@@ -45,7 +44,7 @@ def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int
     time, which is the same on a regular grid), pad or ffill, bfill, nearest.
     """
     if method not in INTERPOLATIONS:
-        method = "linear"
+        method = "linear"  # as for methods that fail
     y, w = F.col(panel.target), panel.ordered()
     past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     at = df.withColumn("_i", F.row_number().over(w))
@@ -125,6 +124,8 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
         merged = merged.withColumn(panel.target, F.when(some, F.col(panel.target)).otherwise(F.raise_error(message).cast("double")))
     out = completed(merged, panel)
     if interpolation is not None:
+        if unknown := set(interpolation) - {"method", "limit", "axis", "inplace"}:
+            raise OptionError(f"unknown interpolation options {sorted(unknown)}")
         out = interpolated(out, panel, interpolation.get("method", "linear"), interpolation.get("limit"))
     return padded(filled(out, panel, fill), panel, repeat_forward_to, zero_back_to, repeat_back_to)
 

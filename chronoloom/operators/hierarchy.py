@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.errors import OptionError, SeriesError
+from chronoloom.errors import ColumnNamesError, HierarchyError, OptionError
 
 TOTAL = "total"
 METHODS = ("ols", "wls_struct", "wls_var", "mint_cov")
@@ -40,7 +40,7 @@ class Hierarchy:
         n = self.master.agg(*[F.count_distinct(level).alias(level) for level in self.parents]).first()
         for child, parent in self.parents.items():
             if parent != TOTAL and n[child] < n[parent]:
-                raise SeriesError(f"level {child} has fewer values than its parent {parent}")
+                raise HierarchyError(f"level {child} has fewer values than its parent {parent}")
 
     def edges(self) -> DataFrame:
         """child, parent of every node; of several parents the least counts."""
@@ -76,17 +76,49 @@ class Hierarchy:
         shift = (F.max(F.when(root, y)).over(w) - items) / (m + 1)
         return forecasts.withColumn("_s", shift).withColumn("_i", items).withColumn("_m", m).select(self.local, self.time, "code", F.when(root, F.col("_i") + F.col("_m") * F.col("_s")).otherwise(y + F.col("_s")).alias(self.target))
 
+    def named(self, df: DataFrame) -> DataFrame:
+        """local, time, code, target of forecasts or sums: ``predictions`` stand for a target, and rows without a code are totals."""
+        if self.target not in df.columns and "predictions" in df.columns:
+            df = df.withColumnRenamed("predictions", self.target)
+        if "code" not in df.columns:
+            df = df.withColumn("code", F.lit(TOTAL))
+        missing = [c for c in (self.local, self.time, self.target) if c not in df.columns]
+        if missing:
+            raise ColumnNamesError(f"no columns {missing} among {df.columns}")
+        return df.select(self.local, self.time, "code", self.target)
+
+    def reconciliation(self, past: DataFrame, forecasts: DataFrame, method: str = "ols") -> DataFrame:
+        """Reconciles ``forecasts`` that follow the sums ``past`` of all levels; see ``named`` for their columns.
+
+        All forecasts must be later than all of the past. The errors that wls_var
+        and mint_cov weigh by are those of yesterday's value as a forecast.
+        """
+        past, forecasts = self.named(past), self.named(forecasts)
+        end = past.agg(F.max(self.time)).first()[0]
+        start = forecasts.agg(F.min(self.time)).first()[0]
+        if end is not None and start is not None and start <= end:
+            raise HierarchyError(f"forecasts start at {start}, but the past ends at {end}")
+        errors = None
+        if method in ("wls_var", "mint_cov"):
+            before = F.lag(self.target).over(Window.partitionBy(self.local, "code").orderBy(self.time))
+            errors = past.withColumn(self.target, F.col(self.target) - before).where(F.col(self.target).isNotNull())
+        return self.decoded(self.reconciled(forecasts, method, errors))
+
     def reconciled(self, forecasts: DataFrame, method: str = "ols", residuals: DataFrame | None = None) -> DataFrame:
         """Minimum-trace reconciliation of forecasts (local, time, code, target) of each local.
 
         ``residuals`` (local, time, code, target: in-sample errors) is needed for
         wls_var and mint_cov. Nodes without a forecast at all times are left out.
-        A local's nodes fit one task, as its matrix does.
+        With independent errors (all methods but mint_cov) and levels in a chain, a
+        pass up the tree and one down solve it, by a join a level. Otherwise a
+        local's nodes fit one task, as its matrix does.
         """
         if method not in METHODS:
             raise OptionError(f"method: one of {METHODS}, not {method!r}")
         if method in ("wls_var", "mint_cov") and residuals is None:
             raise OptionError(f"{method} needs residuals")
+        if method != "mint_cov" and (chain := self.chain()):
+            return self._by_tree(forecasts, chain, method, residuals)
         local, time, target = self.local, self.time, self.target
         # every node's items, from the table: (code, item)
         below = self.master.select(F.explode(F.array(F.lit(TOTAL), *[self.code(p) for p in self.parents])).alias("code"), F.col(self.item).cast("string").alias("leaf")).distinct()
@@ -113,13 +145,54 @@ class Hierarchy:
                 weights = np.diag(np.maximum((e**2).mean(0), 1e-12)) if method == "wls_var" else np.cov(e.T, bias=True) + 1e-9 * np.eye(len(codes))
             inverse = np.linalg.pinv(weights)
             fit = s @ np.linalg.pinv(s.T @ inverse @ s) @ s.T @ inverse
-            out = pd.DataFrame(now.to_numpy() @ fit.T, index=now.index, columns=codes).reset_index().melt(id_vars=time, var_name="code", value_name=target)
+            made = now.to_numpy() @ fit.T
+            out = pd.DataFrame({time: np.repeat(now.index.to_numpy(), len(codes)), "code": np.tile(codes, len(now)), target: made.ravel()})
             out[local] = pdf[local].iloc[0]
             return out[[local, time, "code", target]]
 
         kinds = {f.name: f.dataType.simpleString() for f in forecasts.schema.fields}
         return joined.groupBy(local).applyInPandas(solve, f"`{local}` {kinds[local]}, `{time}` {kinds[time]}, code string, `{target}` double")
 
+    def chain(self) -> list[str] | None:
+        """The levels from the items up, if each has one below it; else none."""
+        out = [self.item]
+        while (up := self.parents[out[-1]]) != TOTAL:
+            out.append(up)
+        return out if len(out) == len(self.parents) else None
+
+    def _by_tree(self, forecasts: DataFrame, chain: list[str], method: str, residuals: DataFrame | None) -> DataFrame:
+        """Least squares with independent errors: going up, each node's forecast is weighed against the sum of its children; going down, what is left is shared by variance."""
+        local, time, target = self.local, self.time, self.target
+        rows = forecasts.select(local, time, "code", F.col(target).cast("double").alias("y")).where("y is not null")
+        times = rows.groupBy(local).agg(F.count_distinct(time).alias("_all"))
+        known = rows.groupBy(local, "code").agg(F.count_distinct(time).alias("_some")).join(times, local).where("_some = _all").select(local, "code")
+        parents = self.master.select(*[self.code(c).alias(f"c{i}") for i, c in enumerate(chain)], F.lit(TOTAL).alias(f"c{len(chain)}")).distinct()
+        if method == "ols":
+            weights = known.withColumn("w", F.lit(1.0))
+        elif method == "wls_struct":  # as many as the node has items with forecasts
+            below = known.join(parents, F.col("code") == F.col("c0")).select(local, F.explode(F.array(*parents.columns)).alias("code"))
+            weights = known.join(below.groupBy(local, "code").agg(F.count(F.lit(1)).cast("double").alias("w")), [local, "code"])
+        else:
+            errors = residuals.groupBy(local, "code").agg(F.greatest(F.avg(F.pow(F.col(target).cast("double"), F.lit(2))), F.lit(1e-12)).alias("w"))
+            weights = known.join(errors, [local, "code"])
+        own = rows.join(weights, [local, "code"])
+        at = [local, time]
+        nodes = [parents.select(F.col(f"c{i}").alias("code"), F.col(f"c{i + 1}").alias("parent") if i < len(chain) else F.lit(None).cast("string").alias("parent")).groupBy("code").agg(F.min("parent").alias("parent")) for i in range(len(chain) + 1)]
+        up = [own.join(nodes[0], "code").select(*at, "code", "parent", F.col("y").alias("e"), F.col("w").alias("v"), F.lit(0.0).alias("sum_e"), F.lit(0.0).alias("sum_v"), F.lit(True).alias("own"))]
+        for i in range(1, len(chain) + 1):
+            sums = up[-1].groupBy(*at, F.col("parent").alias("code")).agg(F.sum("e").alias("sum_e"), F.sum("v").alias("sum_v")).join(nodes[i], "code")
+            both = sums.join(own, [*at, "code"], "left")
+            e = F.when(F.col("y").isNull(), F.col("sum_e")).otherwise((F.col("sum_e") * F.col("w") + F.col("y") * F.col("sum_v")) / (F.col("sum_v") + F.col("w")))
+            v = F.when(F.col("y").isNull(), F.col("sum_v")).otherwise(F.col("sum_v") * F.col("w") / (F.col("sum_v") + F.col("w")))
+            up.append(both.select(*at, "code", "parent", e.alias("e"), v.alias("v"), "sum_e", "sum_v", F.col("y").isNotNull().alias("own")))
+        above = up[-1].withColumn("x", F.col("e"))
+        out = above
+        for level in reversed(up[:-1]):
+            given = above.select(*at, F.col("code").alias("parent"), F.col("x").alias("_x"), F.col("sum_e").alias("_e"), F.col("sum_v").alias("_v"))
+            above = level.join(given, [*at, "parent"]).select(*level.columns, (F.col("e") + F.col("v") / F.col("_v") * (F.col("_x") - F.col("_e"))).alias("x"))
+            out = out.unionByName(above)
+        return out.where("own").select(local, time, "code", F.col("x").alias(target))
+
     def decoded(self, df: DataFrame) -> DataFrame:
         """Adds code_type (the level, "total" or the item column) and the bare value of each code."""
         parts = F.split("code", "[|]")

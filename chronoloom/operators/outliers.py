@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
+from chronoloom.models.linear import fitted
 from chronoloom.series import Panel
 
 
@@ -81,43 +82,116 @@ def dbscan(df: DataFrame, panel: Panel, eps: float = 2.0, min_samples: int = 5)
     return rows.withColumn("cluster", cluster).select(*df.columns, _marks(F.col("cluster") >= 0), "cluster")
 
 
-def residual(df: DataFrame, panel: Panel, times: float = 1.0) -> DataFrame:
-    """Outliers have a squared first-order autoregression residual of at least mean + ``times`` standard deviations."""
-    y = F.col(panel.target)
-    rows = df.withColumn("_p", F.lag(panel.target).over(panel.ordered()))
-    fitted = rows.select("*", F.regr_slope(y, F.col("_p")).over(panel.by()).alias("_b"), F.regr_intercept(y, F.col("_p")).over(panel.by()).alias("_a"))
-    squared = fitted.withColumn("_e", F.pow(y - F.col("_a") - F.col("_b") * F.col("_p"), F.lit(2)))
-    bound = F.avg("_e").over(panel.by()) + times * F.stddev_samp("_e").over(panel.by())
-    return squared.withColumn("_top", bound).select(*df.columns, _marks(F.col("_e").isNull() | F.col("_top").isNull() | (F.col("_e") < F.col("_top"))))
+#: Critical points of the Dickey-Fuller statistic with a constant, by the share of rejections.
+CRITICAL = {0.01: -3.43, 0.05: -2.86, 0.1: -2.57}
 
 
-def stationary(df: DataFrame, panel: Panel, critical: float = -2.86) -> DataFrame:
-    """One row a series: the Dickey-Fuller statistic of its differences on its levels, and whether it is under ``critical``."""
-    y = F.col(panel.target)
-    rows = df.withColumn("_x", F.lag(panel.target).over(panel.ordered())).withColumn("_d", y - F.col("_x")).where(F.col("_d").isNotNull())
+def residual(df: DataFrame, panel: Panel, times: float = 1.0, order: int = 1, search: bool = False, difference: bool = False) -> DataFrame:
+    """Outliers have a squared autoregression residual of at least mean + ``times`` standard deviations.
+
+    The autoregression has ``order`` lags; with ``search``, as many of them as give
+    the least AICc. With ``difference``, series that are not stationary are
+    differenced first, up to three times. Rows without a residual are inliers.
+    """
+    if order < 1:
+        raise OptionError("order must be at least 1")
+    y, w = F.col(panel.target), panel.ordered()
+    rows = df.withColumn("_v", y)
+    for _ in range(3 if difference else 0):
+        level = stationary(rows.select(*panel.keys, panel.time, F.col("_v").alias(panel.target)), panel).select(*panel.keys, F.col("stationary").alias("_ok"))
+        rows = _with(rows.withColumn("_w", F.col("_v") - F.lag("_v").over(w)), level, panel)
+        rows = rows.withColumn("_v", F.when(F.coalesce("_ok", F.lit(True)), F.col("_v")).otherwise(F.col("_w"))).drop("_ok", "_w")
+    lags = [f"_p{k}" for k in range(1, order + 1)]
+    rows = rows.select("*", *[F.lag("_v", k).over(w).alias(c) for k, c in enumerate(lags, 1)])
+    if order == 1 and not search:
+        model = rows.groupBy(*panel.keys).agg(F.array(F.regr_intercept("_v", "_p1"), F.regr_slope("_v", "_p1")).alias("_f"))
+    else:
+        model = fitted(rows, panel.keys, F.col("_v"), [F.col(c) for c in lags], search=search).select(*panel.keys, F.col("coef").alias("_f"))
+    guess = F.get("_f", F.lit(0))
+    for k, c in enumerate(lags, 1):
+        guess = guess + F.get("_f", F.lit(k)) * F.col(c)
+    squared = _with(rows, model, panel).withColumn("_e", F.pow(F.col("_v") - guess, F.lit(2)))
+    tops = squared.groupBy(*panel.keys).agg((F.avg("_e") + times * F.stddev_samp("_e")).alias("_top"))
+    return _with(squared, tops, panel).select(*df.columns, _marks(F.col("_e").isNull() | F.col("_top").isNull() | (F.col("_e") < F.col("_top"))))
+
+
+def stationary(df: DataFrame, panel: Panel, critical: float = CRITICAL[0.05], lags: int = 0) -> DataFrame:
+    """One row a series: the (augmented, with ``lags``) Dickey-Fuller statistic of its differences on its levels, and whether it is at most ``critical``."""
+    y, w = F.col(panel.target), panel.ordered()
+    rows = df.withColumn("_x", F.lag(panel.target).over(w)).withColumn("_d", y - F.col("_x"))
+    if lags:
+        rows = rows.select("*", *[F.lag("_d", k).over(w).alias(f"_d{k}") for k in range(1, lags + 1)])
+        more = [F.col(f"_d{k}") for k in range(1, lags + 1)]
+        # the level's slope and its error are those of what the lagged differences leave of level and difference
+        rows = rows.na.drop(subset=["_d", f"_d{lags}"])
+        for name in ("_d", "_x"):
+            model = fitted(rows, panel.keys, F.col(name), more).select(*panel.keys, F.col("coef").alias("_f"))
+            guess = F.get("_f", F.lit(0))
+            for k in range(1, lags + 1):
+                guess = guess + F.get("_f", F.lit(k)) * F.col(f"_d{k}")
+            rows = _with(rows, model, panel).withColumn(f"{name}_left", F.col(name) - guess).drop("_f")
+        rows = rows.withColumn("_d", F.col("_d_left")).withColumn("_x", F.col("_x_left"))
+    rows = rows.where(F.col("_d").isNotNull())
     s = rows.groupBy(*panel.keys).agg(F.regr_slope("_d", "_x").alias("b"), F.regr_sxx("_d", "_x").alias("sxx"), F.regr_syy("_d", "_x").alias("syy"), F.regr_sxy("_d", "_x").alias("sxy"), F.count("_d").alias("n"))
-    error = F.sqrt(F.try_divide(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)), (F.col("n") - 2) * F.col("sxx")))
+    error = F.sqrt(F.try_divide(F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.lit(0.0)), (F.col("n") - 2 - lags) * F.col("sxx")))
     return s.select(*panel.keys, F.try_divide("b", error).alias("statistic")).withColumn("stationary", F.coalesce(F.col("statistic") <= critical, F.lit(False)))
 
 
-def capped(df: DataFrame, panel: Panel, window: int = 14, quantile: float = 0.95) -> DataFrame:
-    """The target (nulls as 0) clipped between 0 and the ``quantile`` of |y - moving mean over ``window`` rows|."""
+def capped(df: DataFrame, panel: Panel, window: int = 14, quantile: float = 0.95, amount: str | None = None) -> DataFrame:
+    """The target (nulls as 0) clipped between 0 and the ``quantile`` of |y - moving mean over ``window`` rows|.
+
+    A column ``amount`` that goes with the target (such as its value in money) is
+    scaled by what is left of the target, and is 0 where the target is.
+    """
     y = F.coalesce(F.col(panel.target), F.lit(0.0))
     order = panel.ordered().rowsBetween(-(window - 1), 0)
     rows = df.withColumn(panel.target, y)
     full = F.count(panel.target).over(order) == window
     rows = rows.withColumn("_off", F.when(full, F.abs(F.col(panel.target) - F.avg(panel.target).over(order))))
-    rows = rows.withColumn("_top", F.percentile("_off", F.lit(quantile)).over(panel.by()))
-    return rows.withColumn("capped", F.when(F.col("_top").isNull(), F.col(panel.target)).otherwise(F.greatest(F.lit(0.0), F.least(F.col(panel.target), F.col("_top"))))).drop("_off", "_top")
+    tops = rows.groupBy(*panel.keys).agg(F.percentile("_off", F.lit(quantile)).alias("_top"))
+    rows = _with(rows, tops, panel)
+    out = rows.withColumn("capped", F.when(F.col("_top").isNull(), F.col(panel.target)).otherwise(F.greatest(F.lit(0.0), F.least(F.col(panel.target), F.col("_top"))))).drop("_off", "_top")
+    if amount:
+        out = out.withColumn(amount, F.coalesce(F.try_divide(F.col(amount) * F.col("capped"), F.col(panel.target)), F.lit(0.0)))
+    return out
+
+
+def corrected(df: DataFrame, panel: Panel, eps: float = 2.0, threshold: float = 5.0, window: int = 14, quantile: float = 0.95, amount: str | None = None) -> DataFrame:
+    """The target with outliers replaced by their capped values, in series where Grubbs' test finds any; adds ``outlier``.
+
+    Of two sets of rows the larger one of a series counts: those that are outliers
+    by density and by isolation, or those by modified z-score. Rows are told apart
+    by their time, which must be unique in a series.
+    """
+    rows = panel.checked(df)
+    extra = [c for c in df.columns if c not in rows.columns]
+    on = [*panel.keys, panel.time]
+    sets = [f(rows, panel, v).select(*on, F.col("inlier").alias(n)) for f, v, n in ((dbscan, eps, "_d"), (modified_zscore, threshold, "_z"))]
+    both = sets[0].join(isolation_forest(rows, panel).select(*on, F.col("inlier").alias("_i")), on).join(sets[1], on)
+    by = panel.by()
+    dense, far = (F.col("_d") == -1) & (F.col("_i") == -1), F.col("_z") == -1
+    larger = F.sum(dense.cast("int")).over(by) > F.sum(far.cast("int")).over(by)
+    chosen = both.select(*on, F.when(larger, dense).otherwise(far).alias("_chosen"))
+    out = capped(df.select(*on, panel.target, *extra), panel, window, quantile).join(chosen, on).join(grubbs(rows, panel).select(*panel.keys, F.col("outlier").alias("_some")), list(panel.keys))
+    hit = F.col("_chosen") & F.col("_some")
+    out = out.withColumn("outlier", hit)
+    if amount:
+        out = out.withColumn(amount, F.when(hit, F.coalesce(F.try_divide(F.col(amount) * F.col("capped"), F.col(panel.target)), F.lit(0.0))).otherwise(F.col(amount)))
+    return out.withColumn(panel.target, F.when(hit, F.col("capped")).otherwise(F.col(panel.target))).select(*df.columns, "outlier")
+
+
+#: Coefficients of the approximation of the normal quantile.
+NORMAL = (
+    (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239),
+    (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1),
+    (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416),
+)
 
 
 def _t_quantile(p: Column, freedom: Column) -> Column:
     """Student's t quantile for p over 1/2: the normal quantile (Acklam's rational approximation) and its expansion in 1/freedom."""
-    # fixed values: coefficients of the approximation
-    a = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
-    b = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1)
-    c = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416)
+    a, b, c, d = NORMAL
 
     def poly(x: Column, k: tuple[float, ...]) -> Column:
         out = F.lit(k[0])
@@ -141,9 +215,9 @@ def grubbs(df: DataFrame, panel: Panel, alpha: float = 0.05) -> DataFrame:
 
     Series under three values, or without spread, have none.
     """
-    y, w = F.col(panel.target), panel.by()
-    rows = df.where(y.isNotNull()).withColumn("_d", F.abs(y - F.avg(y).over(w)))
-    s = rows.groupBy(*panel.keys).agg(F.try_divide(F.max("_d"), F.stddev_samp(y)).alias("statistic"), F.count(y).cast("double").alias("n"))
+    y = F.col(panel.target)
+    far = F.greatest(F.max(y) - F.avg(y), F.avg(y) - F.min(y))
+    s = df.groupBy(*panel.keys).agg(F.try_divide(far, F.stddev_samp(y)).alias("statistic"), F.count(y).cast("double").alias("n")).where("n > 0")
     t = _t_quantile(1 - alpha / (2 * F.col("n")), F.greatest(F.col("n") - 2, F.lit(1.0)))
     critical = (F.col("n") - 1) / F.sqrt("n") * F.sqrt(t * t / (F.col("n") - 2 + t * t))
     return s.withColumn("critical", F.when(F.col("n") > 2, critical)).select(*panel.keys, "statistic", "critical", F.coalesce(F.col("statistic") >= F.col("critical"), F.lit(False)).alias("outlier"))

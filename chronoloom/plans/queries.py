@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -337,13 +338,13 @@ def hier_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hierarchy(spark, sf_dir).edges()
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> tuple[hierarchy.Hierarchy, DataFrame]:
-    """Forecasts that do not add up: each region's month, and 1.1 times their sum."""
+def _regions(spark: SparkSession, sf_dir: str, factor: float = 1.1) -> tuple[hierarchy.Hierarchy, DataFrame]:
+    """Forecasts that do not add up: each region's month, and ``factor`` times their sum."""
     master = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("region"))
     tree = hierarchy.Hierarchy(master, {"region": "total"}, "region", "local", "ds", "y")
     deep = _hierarchy(spark, sf_dir)
     sums = _sales(spark, sf_dir).join(deep.master, "item").groupBy("local", "ds", F.col("region").alias("code")).agg(F.sum("y").alias("y"))
-    top = sums.groupBy("local", "ds").agg((F.sum("y") * 1.1).alias("y")).select("local", "ds", F.lit("total").alias("code"), "y")
+    top = sums.groupBy("local", "ds").agg((F.sum("y") * factor).alias("y")).select("local", "ds", F.lit("total").alias("code"), "y")
     return tree, sums.select("local", "ds", "code", "y").union(top)
 
 
@@ -356,12 +357,70 @@ def hier_reconcile_ols2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(tree.reconciled_two_levels(forecasts))
 
 
-@query("hier_reconcile_struct")
+#: A factor with which no value lies midway between two rounded ones.
+_FACTOR = 1.1037
+
+
+def _kept(spread: str) -> str:
+    """Reconciliation of the regions that have a forecast in each month of their local; ``spread``: of what the total differs."""
+    return f"""WITH {_NODES}, {_SALES}, a0 AS (SELECT o.local, o.ds, m.region AS code, sum(o.y) AS y FROM o JOIN m ON m.item = o.item GROUP BY ALL), t0 AS (SELECT local, ds, {_FACTOR} * sum(y) AS y FROM a0 GROUP BY ALL),
+  a AS (SELECT a0.* FROM a0 JOIN (SELECT local, code FROM a0 GROUP BY local, code HAVING count(*) = (SELECT count(DISTINCT ds) FROM a0 b WHERE b.local = a0.local)) USING (local, code)),
+  t AS (SELECT local, ds, sum(a.y) AS s, count(*) AS m, any_value(t0.y) - sum(a.y) AS d FROM a JOIN t0 USING (local, ds) GROUP BY ALL)
+  SELECT a.local, a.ds, a.code, round(a.y + d * {spread}, 2) AS y FROM a JOIN t ON t.local = a.local AND t.ds = a.ds UNION ALL SELECT local, ds, 'total', round(s + m * d * {spread}, 2) FROM t"""
+
+
+@query("hier_reconcile_struct", _kept("1.0 / (2 * m)"))
 def hier_reconcile_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree, forecasts = _regions(spark, sf_dir)
+    tree, forecasts = _regions(spark, sf_dir, _FACTOR)
+    return _out(tree.reconciled(forecasts, "wls_struct"), digits=2)
+
+
+_LATE = _kept("1.0 / (m + 1)").replace("FROM orders)", "FROM orders WHERE o_orderdate >= DATE '2000-01-01')")
+
+
+@query("hier_reconciliation", f"SELECT local, ds, code, CASE WHEN code = 'total' THEN 'total' ELSE 'region' END AS code_type, y FROM ({_LATE})")
+def hier_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The front end: the past up to 1999, forecasts of later months under their usual name."""
+    tree, sums = _regions(spark, sf_dir, _FACTOR)
+    later = F.col("ds") >= F.lit("2000-01-01").cast("date")
+    return _out(tree.reconciliation(sums.where(~later), sums.where(later).withColumnRenamed("y", "predictions")), digits=2)
+
+
+def _years(spark: SparkSession, sf_dir: str) -> tuple[hierarchy.Hierarchy, DataFrame]:
+    """A tree of nations, regions and their total, with yearly forecasts of each level that do not add up."""
+    deep = _hierarchy(spark, sf_dir)
+    tree = hierarchy.Hierarchy(deep.master.select("nation", "region").distinct(), {"nation": "region", "region": "total"}, "nation", "local", "ds", "y")
+    sales = _sales(spark, sf_dir).join(deep.master, "item").withColumn("ds", F.to_date(F.date_trunc("year", "ds")))
+    sums = tree.aggregated(sales.select("local", "ds", "nation", "y"))
+    factor = F.when(F.col("code") == "total", 1.1).when(F.col("code").contains("|"), 1.05).otherwise(1.0)
+    return tree, sums.withColumn("y", F.col("y") * factor)
+
+
+_TREE = f"""WITH {_NODES}, {_SALES}, n AS (SELECT o.local, date_trunc('year', o.ds) AS ds, m.nation, m.region, sum(o.y) AS y FROM o JOIN m ON m.item = o.item GROUP BY ALL),
+  k AS (SELECT local, count(DISTINCT ds) AS n FROM n GROUP BY local), l AS (SELECT n.* FROM n JOIN (SELECT n.local, nation FROM n JOIN k USING (local) GROUP BY n.local, nation, k.n HAVING count(*) = k.n) USING (local, nation)),
+  r0 AS (SELECT local, ds, region, 1.05 * sum(y) AS y FROM n GROUP BY ALL), r1 AS (SELECT r0.* FROM r0 JOIN (SELECT r0.local, region FROM r0 JOIN k USING (local) GROUP BY r0.local, region, k.n HAVING count(*) = k.n) USING (local, region)),
+  r AS (SELECT c.local, c.ds, c.region, c.e AS e0, c.v AS v0, CASE WHEN r1.y IS NULL THEN c.e ELSE (c.e * c.v + r1.y * c.v) / (2 * c.v) END AS e, CASE WHEN r1.y IS NULL THEN c.v ELSE c.v / 2 END AS v, r1.y IS NOT NULL AS own FROM (SELECT local, ds, region, sum(y) AS e, CAST(count(*) AS DOUBLE) AS v FROM l GROUP BY ALL) c LEFT JOIN r1 USING (local, ds, region)),
+  t AS (SELECT c.local, c.ds, c.e AS e0, c.v AS v0, (c.e * c.w + y * c.v) / (c.v + c.w) AS x FROM (SELECT r.local, r.ds, sum(e) AS e, sum(v) AS v, sum(v0) AS w FROM r GROUP BY ALL) c JOIN (SELECT local, ds, 1.1 * sum(y) AS y FROM n GROUP BY ALL) USING (local, ds)),
+  rx AS (SELECT r.*, r.e + r.v / t.v0 * (t.x - t.e0) AS x FROM r JOIN t USING (local, ds)), lx AS (SELECT l.local, l.ds, l.nation, l.y + (rx.x - rx.e0) / rx.v0 AS x FROM l JOIN rx USING (local, ds, region))
+  SELECT local, CAST(ds AS DATE) AS ds, code, round(x, 2) AS y FROM (SELECT local, ds, nation AS code, x FROM lx UNION ALL SELECT local, ds, region || '|region', x FROM rx WHERE own UNION ALL SELECT local, ds, 'total', x FROM t)"""
+
+
+@query("hier_reconcile_tree", _TREE)
+def hier_reconcile_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, forecasts = _years(spark, sf_dir)
     return _out(tree.reconciled(forecasts, "wls_struct"), digits=2)
 
 
+def _past_errors(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    tree, forecasts = _years(spark, sf_dir)
+    later = F.col("ds") >= F.lit("2000-01-01").cast("date")
+    return _out(tree.reconciliation(forecasts.where(~later), forecasts.where(later), method), digits=2)
+
+
+QUERIES["hier_reconcile_var"] = lambda spark, sf_dir: _past_errors(spark, sf_dir, "wls_var")
+QUERIES["hier_reconcile_cov"] = lambda spark, sf_dir: _past_errors(spark, sf_dir, "mint_cov")
+
+
 # Forecasts of weekly orders
 
 WEEKS = Panel("k", freq="7D")
@@ -393,8 +452,54 @@ def _forecast(model: str, **options) -> Callable[[SparkSession, str], DataFrame]
     return lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, model, 4, **options), digits=2)
 
 
+_PLACED = "r AS (SELECT k, ds, y, row_number() OVER (PARTITION BY k ORDER BY ds) AS i, count(*) OVER (PARTITION BY k) AS n FROM w), u AS (SELECT k, n, sum(y) / n AS mean, sum((i - 1 - (n - 1) / 2) * y) / (n * (n * n - 1.0) / 12) AS b, max(ds) AS last FROM r GROUP BY k, n)"
+_STEPS = "f2 AS (SELECT unnest([1, 2, 3, 4]) AS step)"
+_END = "CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS type_error"
+
+
+def _points(**values: list[float]) -> str:
+    """The grid of a search as SQL rows, in its order."""
+    rows: list[dict[str, float]] = [{}]
+    for name, options in values.items():
+        rows = [r | {name: v} for r in rows for v in options]
+    return f"g AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join([str(i), *(f'CAST({v} AS DOUBLE)' for v in r.values())]) + ')' for i, r in enumerate(rows))}) AS x(idx, {', '.join(values)}))"
+
+
+def _searched(grid: str, start: str, step: str, loss: str, ahead: str) -> str:
+    """A model fitted by a fold over weeks for each point of a grid; the point of least loss forecasts."""
+    return f"""WITH RECURSIVE {', '.join([_sql(), *_DAILY, _WEEKLY, _PLACED, grid, _STEPS])},
+  h AS (SELECT r.k, r.i, r.n, g.*, u.b AS slope, u.mean - u.b * (u.n - 1) / 2 AS level, {start} FROM r JOIN u ON u.k = r.k JOIN r r2 ON r2.k = r.k AND r2.i = 2, g WHERE r.i = 1
+    UNION ALL SELECT h.k, h.i + 1, h.n, {', '.join(f'h.{c.strip()}' for c in grid.split('AS x(')[1].split(')')[0].split(','))}, h.slope, h.level, {step} FROM h JOIN r ON r.k = h.k AND r.i = h.i + 1),
+  z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {loss}, idx) AS place FROM h WHERE i = n) WHERE place = 1)
+  SELECT z.k, CAST(u.last + 7 * step AS DATE) AS ds, round({ahead}, 2) AS predictions, {_END} FROM z JOIN u ON u.k = z.k, f2"""
+
+
+_E_ES = "(r.y - h.l - h.d)"
+_BENT = "(h.theta * r.y + (1 - h.theta) * (h.level + h.slope * h.i))"  # h.i is one less than the row's number
+_E_TH = "(r.y - ((1 - 1 / h.theta) * (h.level + h.slope * h.i) + h.l / h.theta))"
+_TH = ("(g.theta * r.y + (1 - g.theta) * (u.mean - u.b * (u.n - 1) / 2)) AS l, CAST(0 AS DOUBLE) AS sse", f"h.l + h.alpha * ({_BENT} - h.l), h.sse + pow({_E_TH}, 2)", "sse", "(1 - 1 / theta) * (level + slope * (z.n - 1 + step)) + l / theta")
+_FOURIER = f"""WITH {', '.join([_sql(), *_DAILY, _WEEKLY, _PLACED, _STEPS])}, t AS (SELECT r.k, r.i - 1 AS t, r.n, r.y - (u.mean + u.b * (r.i - 1 - (r.n - 1) / 2)) AS e FROM r JOIN u ON u.k = r.k),
+  q AS (SELECT k, n, CAST(unnest(range(0, n // 2 + 1)) AS DOUBLE) AS j FROM (SELECT DISTINCT k, n FROM r)),
+  c3 AS (SELECT q.k, q.n, q.j, sum(e * cos(2 * pi() * j * t / q.n)) AS re, -sum(e * sin(2 * pi() * j * t / q.n)) AS im FROM q JOIN t ON t.k = q.k GROUP BY q.k, q.n, q.j),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY re * re + im * im DESC, j) AS place FROM c3) WHERE place <= 10),
+  p2 AS (SELECT b.k, f2.step, sum(CASE WHEN j = 0 OR 2 * j = n THEN 1.0 ELSE 2.0 END / n * (re * cos(2 * pi() * j * (n - 1 + step) / n) - im * sin(2 * pi() * j * (n - 1 + step) / n))) AS s FROM best b, f2 GROUP BY b.k, f2.step)
+  SELECT u.k, CAST(u.last + 7 * step AS DATE) AS ds, round(u.mean + u.b * ((u.n - 1) / 2 + step) + s, 2) AS predictions, {_END} FROM u JOIN p2 ON p2.k = u.k"""
+_FORECAST_SQL = {
+    "exponential_smoothing": _searched(_points(alpha=models.ALPHAS, beta=[0.0, 0.05, 0.1, 0.3]), "r.y AS l, r2.y - r.y AS d, CAST(0 AS DOUBLE) AS sse", f"h.l + h.d + h.alpha * {_E_ES}, h.d + h.alpha * h.beta * {_E_ES}, h.sse + pow({_E_ES}, 2)", "sse", "l + step * d"),
+    "theta": _searched(_points(theta=[2.0], alpha=models.ALPHAS), *_TH),
+    "four_theta": _searched(_points(theta=[1.0, 1.5, 2.0, 3.0], alpha=models.ALPHAS), *_TH),
+    "kalman": _searched(
+        _points(ratio=[0.0, 0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]), "r.y AS l, CAST(1 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS ss, CAST(0 AS DOUBLE) AS logs",
+        "h.l + (h.p + h.ratio) / (h.p + h.ratio + 1) * (r.y - h.l), (h.p + h.ratio) * (1 - (h.p + h.ratio) / (h.p + h.ratio + 1)), h.ss + (r.y - h.l) * (r.y - h.l) / (h.p + h.ratio + 1), h.logs + ln(h.p + h.ratio + 1)",
+        "greatest(n - 1, 1) * ln(greatest(ss / greatest(n - 1, 1), 1e-300)) + logs", "l",
+    ),
+    "fast_fourier_transform": _FOURIER,
+}
 for _model in ("fast_fourier_transform", "exponential_smoothing", "arima_univariate", "four_theta", "theta", "autoarima_univariate", "kalman", "prophet", "random_forest", "lgbm"):
-    QUERIES[f"forecast_{_model}"] = _forecast(_model)
+    query(f"forecast_{_model}", _FORECAST_SQL.get(_model))(_forecast(_model))
+QUERIES["forecast_arima_errors"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "arima_univariate", 4, {"p": 2, "d": 1, "q": 2}), digits=2)
+QUERIES["forecast_holt_winters"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "exponential_smoothing", 4, {"season": 13}), digits=2)
+QUERIES["forecast_theta_seasonal"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "theta", 4, {"season": 13}), digits=2)
 QUERIES["probabilistic_exponential_smoothing"] = _forecast("exponential_smoothing", samples=20)
 QUERIES["probabilistic_regressor"] = _forecast("regressor", samples=20)
 
@@ -424,7 +529,67 @@ for _name, _extra in (("arima", {}), ("autoarima", {}), ("regressor_darts", {}),
     QUERIES[f"forecast_{_name}"] = _covariates
 
 
-@query("grubbs")
+class LeastSquares:
+    """The plainest estimator with fit and predict."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.coef = np.linalg.lstsq(np.column_stack((np.ones(len(x)), x)), y, rcond=None)[0]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.coef[0] + x @ self.coef[1:]
+
+
+@query("regressor_estimator", ORACLES["regressor_ar1"])
+def regressor_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any estimator, here least squares: the result is that of the built-in one."""
+    return _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "regressor", 4, {"lags": 1, "estimator": LeastSquares()}), "k", "ds", "predictions", digits=0)
+
+
+@query("regressor_estimator_interval")
+def regressor_estimator_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weeks = _weekly(spark, sf_dir)
+    return _out(models.forecast(weeks, WEEKS, "regressor", 2, {"lags": 3, "estimator": LeastSquares()}, _calendar(spark, weeks), samples=20), digits=2)
+
+
+@query("ts_trend_features", f"""WITH {', '.join([_sql(), *_DAILY])}, t AS (SELECT k, y, CAST(row_number() OVER w - 1 AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY k) AS DOUBLE) AS n, avg(y) OVER (w ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS tr FROM f {_W}),
+  x AS (SELECT *, y - tr AS r, i - (n - 1) / 2 AS x, pow(i - (n - 1) / 2, 2) - (n * n - 1) / 12 AS q FROM t), o AS (SELECT *, ((sum(r * r) OVER p - r * r) - pow(sum(r) OVER p - r, 2) / (n - 1)) / (n - 2) AS o FROM x WINDOW p AS (PARTITION BY k))
+  SELECT k, round(sum(tr * x) / sqrt(sum(x * x)), 2) AS linearity, round(sum(tr * q) / sqrt(sum(q * q)), 2) AS curvature, round(greatest(0, least(1, 1 - var_pop(r) / var_pop(y))), 6) AS trend, round(var_pop(o) / 1e12, 2) AS spikiness FROM o GROUP BY k""")
+def ts_trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = features.featurized(_daily(spark, sf_dir), P)
+    return t.select("k", F.round("linearity", 2).alias("linearity"), F.round("curvature", 2).alias("curvature"), F.round("trend", 6).alias("trend"), F.round(F.col("spikiness") / 1e12, 2).alias("spikiness"))
+
+
+_DECOMPOSED = f"""{', '.join([_sql(), *_DAILY])}, t AS (SELECT k, ds, y, (row_number() OVER w - 1) % 7 AS p, CASE WHEN count(*) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 THEN avg(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS tr FROM f {_W}),
+  a AS (SELECT k, p, avg(y - tr) AS s FROM t GROUP BY k, p), b AS (SELECT k, p, s - avg(s) OVER (PARTITION BY k) AS seasonal FROM a)"""
+
+
+@query("ts_decomposed", f"WITH {_DECOMPOSED} SELECT t.k, ds, round(y, 4) AS y, round(tr, 4) AS trend, round(seasonal, 4) AS seasonal, round(y - tr - seasonal, 4) AS rest FROM t JOIN b ON b.k = t.k AND b.p = t.p")
+def ts_decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(features.decomposed(_daily(spark, sf_dir), P, 7))
+
+
+@query("ts_strengths", f"WITH {_DECOMPOSED}, d2 AS (SELECT t.k, y, tr, seasonal, y - tr - seasonal AS r FROM t JOIN b ON b.k = t.k AND b.p = t.p WHERE tr IS NOT NULL) SELECT k, round(greatest(0, least(1, 1 - var_pop(r) / var_pop(y - seasonal))), 6) AS trend, round(greatest(0, least(1, 1 - var_pop(r) / var_pop(y - tr))), 6) AS seasonality FROM d2 GROUP BY k")
+def ts_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.strengths(_daily(spark, sf_dir), P, 7).select("k", F.round("trend", 6).alias("trend"), F.round("seasonality", 6).alias("seasonality"))
+
+
+@query("ts_polynomials", f"WITH {', '.join([_sql(), *_DAILY, _WEEKLY])}, t AS (SELECT k, ds, count(*) OVER (PARTITION BY k) AS n, row_number() OVER w - 1 - (count(*) OVER (PARTITION BY k) - 1) / 2 AS x FROM w {_W}), v AS (SELECT k, ds, x AS a, x * x - (n * n - 1.0) / 12 AS b, x * x * x - x * (3.0 * n * n - 7) / 20 AS c FROM t) SELECT k, ds, {', '.join(f'round({c} / sqrt(sum({c} * {c}) OVER (PARTITION BY k)), 6) + 0 AS p{i}' for i, c in enumerate('abc', 1))} FROM v")
+def ts_polynomials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = features.polynomials(_weekly(spark, sf_dir), WEEKS, 3)
+    return made.select("k", "ds", *[(F.round(f"p{i}", 6) + 0).alias(f"p{i}") for i in (1, 2, 3)])
+
+
+def _grubbs_sql() -> str:
+    poly = lambda x, c: "(" * (len(c) - 1) + str(c[0]) + "".join(f") * {x} + {v}" for v in c[1:])
+    a, b, c, d = outliers.NORMAL
+    z = f"CASE WHEN p <= 0.97575 THEN ({poly('q2', a)}) * q / (({poly('q2', b)}) * q2 + 1) ELSE -({poly('far', c)}) / (({poly('far', d)}) * far + 1) END"
+    t = "z + (pow(z, 3) + z) / 4 / f + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(f, 2) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(f, 3) + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / 92160 / pow(f, 4)"
+    return f"""WITH {_sql('events', True)}, a AS (SELECT k, greatest(max(y) - avg(y), avg(y) - min(y)) / stddev_samp(y) AS statistic, CAST(count(y) AS DOUBLE) AS n FROM s GROUP BY k),
+  b AS (SELECT *, 1 - 0.05 / (2 * n) AS p, n - 2 AS f FROM a), c AS (SELECT *, p - 0.5 AS q, pow(p - 0.5, 2) AS q2, sqrt(-2 * ln(1 - p)) AS far FROM b), d AS (SELECT *, {z} AS z FROM c), e AS (SELECT *, {t} AS t FROM d), g AS (SELECT *, (n - 1) / sqrt(n) * sqrt(t * t / (n - 2 + t * t)) AS critical FROM e)
+  SELECT k, round(statistic, 4) AS statistic, round(critical, 4) AS critical, statistic >= critical AS outlier FROM g"""
+
+
+@query("grubbs", _grubbs_sql())
 def grubbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(outliers.grubbs(_rows(spark, sf_dir, "events", True), P))
 
