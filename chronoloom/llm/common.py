@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -69,6 +70,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def release() -> None:
+    """Give memory that a task used back to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit moves about half of the output bits."""
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -134,7 +142,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
 
 
 def sub_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The rows of record batches, in order, cut and joined to batches of about ``most`` bytes of ``column`` (one row at least)."""
+    """The rows of record batches, in order, cut and joined to batches of about ``most`` bytes of ``column`` (one row at least); then memory is released."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -153,6 +161,8 @@ def sub_batches(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
             low = high
     if held:
         yield _joined(held)
+    held.clear()
+    release()
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +118,8 @@ class WordTokenizer:
     does not behave so on a probe text, whole texts are tokenised.
     """
 
-    #: So many parts of words are remembered; beyond, all are forgotten.
-    KEEP = 250_000
+    #: So many parts of words are remembered, by 128-bit digests; beyond, all are forgotten.
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
@@ -132,30 +133,38 @@ class WordTokenizer:
         self.by_word = whole == [i for w in self._lists(re.findall(r"[^\x20\x09-\x0D]+", probe)) for i in w] and self._lists(["Éa,."])[0] == sum(self._lists(["éa", ",."]), [])
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}  # of each part, in the order of ``place`` and ``size``
-        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys = np.zeros(0, "S16")  # sorted, with the place and number of each part's ids
+        self.place, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _numbers(self, parts: list[bytes]) -> np.ndarray:
-        """The numbers of distinct parts; those that are not remembered are tokenised."""
-        new = [x for x in parts if x not in self.number]
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-        places, sizes = [self.place], [self.size]
-        for low in range(0, len(new), 10_000):
-            lists = self._lists([x.decode() for x in new[low : low + 10_000]])
-            n = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum()))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)))
-            self.ids[self.used : self.used + len(flat)] = flat
-            places.append(self.used + np.cumsum(n) - n)
-            sizes.append(n)
-            self.used += len(flat)
-        self.place, self.size = np.concatenate(places), np.concatenate(sizes)
-        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+    def _ids_of(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of the ids of distinct parts; those that are not remembered are tokenised."""
+        keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "S16")
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(parts), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        todo = np.flatnonzero(new)
+        if len(todo):
+            todo = todo[np.argsort(keys[todo], kind="stable")]
+            places, sizes = [], []
+            for low in range(0, len(todo), 10_000):
+                lists = self._lists([parts[k].decode() for k in todo[low : low + 10_000].tolist()])
+                n = np.array([len(x) for x in lists], np.int32)
+                flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(n.sum()))
+                if self.used + len(flat) > len(self.ids):
+                    self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)))
+                self.ids[self.used : self.used + len(flat)] = flat
+                places.append(self.used + np.cumsum(n) - n)
+                sizes.append(n)
+                self.used += len(flat)
+            into = at[todo]
+            self.keys, self.place, self.size = np.insert(self.keys, into, keys[todo]), np.insert(self.place, into, np.concatenate(places)), np.insert(self.size, into, np.concatenate(sizes))
+            at = np.searchsorted(self.keys, keys)
+        return self.place[at], self.size[at]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts; a null text has no ids."""
@@ -170,12 +179,14 @@ class WordTokenizer:
         plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, "[^\x00-\u024f]|İ")))
         heads = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
         # a word's punctuation lies behind its core
-        behind = pc.if_else(plain, pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        marks = pa.array([w[k:] for w, k in zip(words.cast(pa.large_binary()).to_pylist(), behind.tolist(), strict=True)], pa.large_binary()).dictionary_encode()
-        head = self._numbers(heads.dictionary.cast(pa.large_binary()).to_pylist())
-        mark = self._numbers(marks.dictionary.to_pylist())
-        at = np.stack([head[heads.indices.to_numpy()], mark[marks.indices.to_numpy()]], 1)
-        place, size = self.place[at], self.size[at]
+        own, whole = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (core, words))
+        some = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (own < whole))
+        marks = pa.array([w[k:] for w, k in zip(words.take(pa.array(some)).cast(pa.large_binary()).to_pylist(), own[some].tolist(), strict=True)], pa.large_binary()).dictionary_encode()
+        parts = self._ids_of(heads.dictionary.cast(pa.large_binary()).to_pylist())
+        place, size = np.zeros((2, len(words), 2), np.int64)
+        place[:, 0], size[:, 0] = (x[heads.indices.to_numpy()] for x in parts)
+        parts = self._ids_of(marks.dictionary.to_pylist())
+        place[some, 1], size[some, 1] = (x[marks.indices.to_numpy()] for x in parts)
         n = size.sum(1)[codes]
         stops = np.concatenate(([0], np.cumsum(n)))
         # ids of each distinct word laid end to end, then of each word in turn
@@ -183,7 +194,7 @@ class WordTokenizer:
         laid = np.cumsum(parts) - parts
         own = self.ids[np.repeat(place.ravel() - laid, parts) + np.arange(parts.sum())]
         out = own[np.repeat(laid[::2][codes] - stops[:-1], n) + np.arange(stops[-1])]
-        if len(self.number) > self.KEEP:
+        if len(self.keys) > self.KEEP:
             self._forget()
         return out, stops[offsets]
 

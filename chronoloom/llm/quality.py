@@ -228,6 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
         held = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "quality", "at", "value")), strict=True)]
         held.sort(key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
         model = learned([(np.frombuffer(a, "<u2"), np.frombuffer(v, "<f4")) for _, _, a, v in held], np.array([q for _, q, _, _ in held], np.float64))
+        held.clear()
+        common.release()
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 

@@ -231,6 +231,7 @@ def _find(digests: bool):
                 found = b"".join(_digest(x, n, data[b : b + n + WINDOW - 1]) for b, n, x in zip(base.tolist(), m.tolist(), left.tolist(), strict=True))
                 h, g = np.frombuffer(found, "<i8").reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(inside << 16 | left << 8 | m), pa.array(key), pa.array(h), pa.array(g)], names=["row", "place", "key", "h", "g"])
+        common.release()
 
     return run
 
@@ -294,6 +295,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(out)
                 out = []
         yield _batch(out)
+    common.release()
 
 
 def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +336,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((key, part, head, tail, far - near + 1))
     if held:
         yield solve()
+    common.release()
 
 
 def _decided(parts: DataFrame, limit: int) -> DataFrame:
@@ -453,6 +456,7 @@ def cleaned(docs: DataFrame, limit: int = LIMIT, characters: bool = False) -> Da
                     yield pa.RecordBatch.from_arrays([batch.column("doc").slice(low, k + 1 - low), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, gone, runs))], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
                     low, size = k + 1, 0
                     kept, total, gone, runs = [], [], [], []
+        common.release()
 
     schema = StructType([joined.schema["doc"], *_kind("kept binary, n_bytes long, n_removed long, n_spans long").fields])
     return joined.mapInArrow(run, schema)
