@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -267,13 +268,15 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
+    """The documents that the rules keep, with all their columns, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sub_batches(batches, most=1_000_000):
-            yield batch.filter(pa.array(verdicts(batch.column("text"), model, threshold)["kept"]))
+            yield batch.select(["own"]).filter(pa.array(verdicts(batch.column("text"), model, threshold)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
+    kept = rows.mapInArrow(run, StructType([rows.schema["own"]]))
+    return kept.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

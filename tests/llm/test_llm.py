@@ -70,6 +70,21 @@ def test_license_oracle(spark):
     assert mine == theirs
 
 
+def test_license_oracle_on_whole_texts(spark, tmp_path):
+    rows = [(k, t.upper() if k % 2 else f"Copyright (c) 2001 A\n{t}") for k, (_, t) in enumerate(licences.KNOWN)]
+    rows += [(100, " ".join(licences.KNOWN[1][1].split())), (101, f"x\n{' '.join(licences.KNOWN[1][1].split())}\ny"), (102, "Licensed under CC BY 4.0." * 2), (103, ""), (104, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine = sorted(map(str, (tuple(r) for r in licences.op1_license_scan(spark, str(tmp_path)).select("doc_id", "digest", "licence", "notices").collect())))
+    theirs = sorted(map(str, connection.execute(f"SELECT doc_id, digest, licence, notices FROM ({licences.ORACLE})").fetchall()))
+    assert mine == theirs and sum("None" not in m for m in mine) >= len(licences.KNOWN)
+    own = spark.createDataFrame([("mine", "All of this is mine.")], "licence string, text string")
+    out = licences.scan(spark.createDataFrame([(1, "all of this is MINE"), (2, "x\nAll of this is mine\ny")], "doc_id long, text string"), own).collect()
+    assert {(r["doc_id"], r["licence"], r["notices"]) for r in out} == {(1, "mine", "mine"), (2, None, "mine")}
+    assert {r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), own.where("false")).collect()} == {None}
+
+
 def test_license_variants(spark, odd, empty):
     mit = licences.KNOWN[0][1]
     other = mit.upper().replace("<YEAR> <HOLDERS>", "1999 Someone Else").replace("LICENSE", "Licence").replace(",", " ,").replace("\n", "\r\n")
@@ -109,6 +124,40 @@ def test_scores(documents, odd, empty):
     assert scoring.score(empty).count() == 0
 
 
+def test_scores_against_exact_interpolation(documents):
+    """The model's own column, against one without buckets of n-grams, batches or bins."""
+    lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    rows = [(r["doc_id"], [*WORD.findall((r["text"] or "").translate(lower)), None]) for r in documents.select("doc_id", "text").collect()]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+
+    def counted(some):
+        one, two = Counter(), Counter()
+        for d, t in rows:
+            if some(fold(d)):
+                one.update([*t, "<start>"])
+                two.update(zip(["<start>", *t], t, strict=False))
+        n = sum(v for k, v in one.items() if k != "<start>")
+        return one, two, n, len(one) - ("<start>" in one)
+
+    one, two, n, v = counted(lambda f: f not in (2, 3))
+    held = [(a, b) for d, t in rows if fold(d) == 3 for a, b in zip(["<start>", *t], t, strict=False)]
+    single = scoring.mixture(np.array([one[b] / n * (v + 1) for _, b in held]), np.ones(len(held)), 2000)
+    by = defaultdict(list)
+    for a, b in held:
+        if one[a]:
+            by[one[a].bit_length() - 1].append(two[a, b] / one[a] / (single * one[b] / n + (1 - single) / (v + 1)))
+    weights = {f: scoring.mixture(np.array(x), np.ones(len(x)), 2000) for f, x in by.items()}
+    one, two, n, v = counted(lambda f: f != 2)
+    got = {r["doc_id"]: r["score"] for r in scoring.score(documents).collect()}
+    for d, t in rows:
+        want = 0.0
+        for a, b in zip(["<start>", *t], t, strict=False):
+            low = single * one[b] / n + (1 - single) / (v + 1)
+            w = weights.get(one[a].bit_length() - 1, 0.0) if one[a] else 0.0
+            want += math.log10(w * two[a, b] / max(one[a], 1) + (1 - w) * low)
+        assert math.isclose(got[d], want, rel_tol=4e-3), (d, got[d], want)
+
+
 def test_mixture():
     n = np.array([100.0, 900.0])
     best = max(np.linspace(0.001, 0.999, 999), key=lambda w: float((n * np.log(w * np.array([5.0, 0.2]) + 1 - w)).sum()))
@@ -347,6 +396,26 @@ def test_pack(documents, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pack_is_as_tight_as_plain_best_fit(documents):
+    out = packing.pack(documents, capacity=512)
+    lengths = sorted((r["length"] for r in out.select("length").collect()), reverse=True)
+    rooms: list[int] = []
+    for x in lengths:
+        fit = [k for k, room in enumerate(rooms) if room >= x]
+        k = min(fit, key=lambda k: rooms[k]) if fit else len(rooms)
+        if not fit:
+            rooms.append(512)
+        rooms[k] -= x
+    assert out.select("sequence_id").distinct().count() == len(rooms)
+
+
+def test_pack_ties(spark):
+    rows = [(7, "one two three")] * 5 + [(8, "one two three")] * 3
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=16).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in out}
+    assert len(places) == len(out) == 8
+
+
 # 8
 
 
@@ -552,6 +621,24 @@ def test_lines_against_all_pairs(spark):
     assert {k: t for k, t in out.items() if k in full} == full
 
 
+def test_op10_against_all_pairs(spark, documents):
+    out = {r["doc_id"]: r["text"] for r in queries.QUERIES["op10_line_dedup"](spark, DATA).collect()}
+    full = lines_of_all_pairs([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
+    assert {k: t for k, t in out.items() if k in full} == full and len(out) == documents.count()
+
+
+def test_one_id_with_two_texts(spark):
+    """Documents are told apart by their texts where a doc_id repeats."""
+    a, b, c = (prose(4000 + k, 60) for k in range(3))
+    rows = [(1, a), (5, f"{a}\n{b}"), (5, c), (5, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["text"]) for r in lines.dedup(df).collect()), key=str)
+    assert out == sorted([(1, a), (5, b), (5, c), (5, c), (9, "")], key=str)
+    pair = [(5, a), (5, b), (3, a), (9, b), (9, b)]
+    kept = sorted((r["doc_id"], r["text"]) for r in near.keep(spark.createDataFrame(pair, "doc_id long, text string")).collect())
+    assert kept == sorted([(3, a), (5, b)])
+
+
 def test_line_stage_against_all_pairs(spark, documents):
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, documents, DATA).select("doc_id", "text").collect()}
     full = lines_of_all_pairs([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
@@ -578,5 +665,20 @@ def test_pipeline(spark, documents):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()} == before
 
 
+def test_stages_on_odd_input(spark, odd, empty):
+    named = odd.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("n_lines", "n_removed", "kept", "own", "doc", "t", "root", "class_id", "node", "n_bytes", "a.b"))])
+    for docs in (named, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            if name == "best_fit_packing":
+                assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+                continue
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            rows, before = out.drop("text").collect(), Counter(map(str, docs.drop("text").collect()))
+            assert not Counter(map(str, rows)) - before, name
+            if name in ("line_dedup", "suffix_dedup"):
+                assert len(rows) == docs.count()
+
+
 def test_all_ten_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
