@@ -158,6 +158,7 @@ def _requests(buckets: int):
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            common.release()
 
     return run
 
@@ -194,6 +195,8 @@ def _answer(edges: np.ndarray):
         for c, x in zip(cells, (-1, bucket, sums, bins, b"", b""), strict=True):
             c.append(x)
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        del counts, held, keys, which, some, own_held, total, out, rest, parts
+        common.release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
 
     return run
@@ -312,6 +315,7 @@ def score(docs: DataFrame) -> DataFrame:
         model = np.log10(weight * two / np.maximum(before, 1) + (1 - weight) * low)
         base = np.log10((one + 1.0) / (total + 1.0 * (v + 1)))
         add = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  each text has a token
+        common.release()
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(folds == TEST_FOLD), "n_tokens": pa.array(np.diff(ends)), "n_known": pa.array(add((one > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ends) - 1, total, np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(model))})
 
     return packs.groupBy("batch").cogroup(answers.where("batch >= 0").select("batch", "bucket", "words", "pairs").groupBy("batch")).applyInArrow(scores, SCORES)
