@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chronoloom.errors import CovariateError, CovariateNamesError, NotProbabilisticModelError, OptionError, QuantilesError, SeriesError, StepsError
 from chronoloom.models.linear import fitted
 from chronoloom.models.regressor import regressed
-from chronoloom.series import Panel, regularity
+from chronoloom.series import Panel
 from chronoloom.sources import first_series
 
 #: A model's next value and state: (state, step, error) -> (value, next state).
@@ -31,10 +31,13 @@ ALPHAS = [0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9]
 
 
 def packed(df: DataFrame, panel: Panel) -> DataFrame:
-    """keys, ys (values in order), n, last time; one row a series."""
+    """keys, ys (values in order), n, last time, nulls, and whether the series is contiguous; one row a series, by one aggregation."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(panel.time).alias("t"), F.col(panel.target).alias("y"))))
     out = panel.checked(df).groupBy(*panel.keys).agg(rows.alias("_r"))
-    return out.select(*panel.keys, F.transform("_r", lambda x: x["y"]).alias("ys"), F.size("_r").alias("n"), F.element_at("_r", -1)["t"].alias("last"))
+    times, first, last = F.transform("_r", lambda x: x["t"]), F.get("_r", F.lit(0))["t"], F.element_at("_r", -1)["t"]
+    steps = F.datediff(last, first) / panel.days if panel.daily else (F.unix_seconds(last.cast("timestamp")) - F.unix_seconds(first.cast("timestamp"))) / panel.seconds
+    regular = (steps + 1 == F.size("_r")) & (F.size(F.array_distinct(times)) == F.size("_r"))
+    return out.select(*panel.keys, F.transform("_r", lambda x: x["y"]).alias("ys"), F.size("_r").alias("n"), last.alias("last"), F.size(F.filter("_r", lambda x: x["y"].isNull())).alias("nulls"), regular.alias("regular"))
 
 
 def _grid(**values: list[float]) -> Column:
@@ -164,7 +167,7 @@ def croston(df: DataFrame, panel: Panel, alpha: float = 0.1, resid: bool = False
 
     out = df.withColumn("_s", F.aggregate("ys", start, step))
     state = F.struct(F.coalesce(F.try_divide(F.col("_s.z"), F.col("_s.p")), F.lit(0.0)).alias("rate"))
-    return out.select(*panel.keys, "ys", "n", "last", state.alias("state"), F.col("_s.resid").alias("resid")), lambda s, k, e: (s["rate"] + e, s), 1
+    return out.select(*df.columns, state.alias("state"), F.col("_s.resid").alias("resid")), lambda s, k, e: (s["rate"] + e, s), 1
 
 
 def _line(coef: Column, x: Column, n: int) -> Column:
@@ -203,8 +206,8 @@ def kalman(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame |
         xs = F.array(*[F.col(f"_c_{c}") for c in extra])
         model = fitted(made, panel.keys, F.col(panel.target), [F.col(f"_c_{c}") for c in extra]).select(*panel.keys, "coef")
         left = made.join(model, list(panel.keys)).withColumn(panel.target, F.col(panel.target) - _line(F.col("coef"), xs, len(extra)))
-        level = packed(left.select(*panel.keys, panel.time, panel.target), panel).join(model, list(panel.keys))
-        df = _ahead(level, panel, covariates, steps).withColumn("_off", F.transform("_future", lambda x: _line(F.col("coef"), x, len(extra))))
+        level = packed(left.select(*panel.keys, panel.time, panel.target), panel).select(*panel.keys, "ys").join(model, list(panel.keys))
+        df = _ahead(df.drop("ys").join(level, list(panel.keys), "left"), panel, covariates, steps).withColumn("_off", F.transform("_future", lambda x: _line(F.col("coef"), x, len(extra))))
     else:
         df = df.withColumn("_off", _empty())
 
@@ -249,7 +252,7 @@ def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10, r
     return out.withColumn("resid", F.transform("ys", lambda y, i: y - at(F.col("state"), i.cast("double")))), lambda s, k, e: (at(s, s["n"] - 1 + k) + e, s), 2
 
 
-def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, errors: int, search: bool, covariates: DataFrame | None, steps: int) -> tuple[DataFrame, Advance, int]:
+def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, errors: int, search: bool, covariates: DataFrame | None, steps: int, resid: bool) -> tuple[DataFrame, Advance, int]:
     """Least squares on lags of the (differenced) values, on lagged errors and on covariates, from windows and aggregations.
 
     The lagged errors (moving-average terms) are those of a first, longer autoregression.
@@ -276,8 +279,12 @@ def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, dif
         return _line(coef, x, len(names))
 
     tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(panel.time).alias("t"), F.col("_e0").alias("e"))))), 1, errors) if errors else F.array(F.struct(F.lit(0.0).alias("e")))
-    left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"), tail.alias("_tail"))
-    out = df.join(model.select(*panel.keys, "coef", "aicc"), list(panel.keys), "left").join(left, list(panel.keys), "left")
+    out = df.join(model.select(*panel.keys, "coef", "aicc"), list(panel.keys), "left")
+    if resid or errors:
+        left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"), tail.alias("_tail"))
+        out = out.join(left, list(panel.keys), "left")
+    else:  # a pass over the rows less
+        out = out.select("*", _empty().alias("resid"), F.array(F.struct(F.lit(0.0).alias("e"))).alias("_tail"))
     out = _ahead(out, panel, covariates, steps) if extra else out.withColumn("_future", F.lit(None).cast("array<array<double>>"))
     # the last values of each difference, latest first
     series = F.col("ys")
@@ -375,9 +382,9 @@ def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Map
     if name in _KNOWING:
         return _KNOWING[name](df, panel, rows, covariates, steps, resid=resid, **options)
     if name in ("regressor", "regressor_darts"):
-        return _autoregression(df, panel, rows, options.get("lags", 7), 0, 0, False, covariates, steps)
+        return _autoregression(df, panel, rows, options.get("lags", 7), 0, 0, False, covariates, steps, resid)
     lags = options.get("p", 12 if name in ("arima_univariate", "arima") else 5)
-    return _autoregression(df, panel, rows, lags, options.get("d", 1), options.get("q", 0), "auto" in name, covariates, steps)
+    return _autoregression(df, panel, rows, lags, options.get("d", 1), options.get("q", 0), "auto" in name, covariates, steps, resid)
 
 
 def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: Mapping | None = None, covariates: DataFrame | None = None, samples: int | None = None, lower: float = 0.25, upper: float = 0.75, seed: int = 7, dry_run: bool = False) -> DataFrame:
@@ -410,13 +417,13 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
         return regressed(df, panel, steps=steps, covariates=covariates, interval=(lower, upper) if samples else None, **{"lags": 7} | dict(options))
     if unknown := sorted(set(options or {}) - _options(model)):
         raise OptionError(f"{model} has no options {unknown}; it has {sorted(_options(model))}")
-    checked = regularity(panel.checked(df), panel).select(*panel.keys, "nulls", "regular")
     if model in ("random_forest", "lgbm"):
-        return _trees(df, panel, model, steps, checked, covariates, **(options or {}))
+        return _trees(df, panel, model, steps, covariates, **(options or {}))
     rows = packed(df, panel)
     fit, advance, least = _model(model, rows, panel, df, dict(options or {}), covariates, steps, samples is not None)
-    fit = checked.join(fit, list(panel.keys), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") < least, F.concat(F.lit(f"series under {least} rows: "), F.col("n").cast("string"))).when(F.col("state").isNull(), "model not fitted")
+    bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") < least, F.concat(F.lit(f"series under {least} rows: "), F.col("n").cast("string")))
+    if "coef" in fit.columns:  # folds always have a state
+        bad = bad.when(F.col("state").isNull(), "model not fitted")
     if covariates is not None:
         bad = bad.when(F.coalesce(F.size("_future"), F.lit(0)) < steps, "covariates do not cover the horizon")
 
@@ -429,12 +436,13 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
 
     good = fit.withColumn("error", bad)
     point = good.where("error is null").withColumn("_p", path(lambda k: F.lit(0.0)))
-    out = point.select(*panel.keys, F.col("last").alias(panel.time), F.posexplode("_p").alias("_k", "predictions"))
+    # an outer explode, as the optimizer would turn the others' "not empty" into a filter that folds once more
+    out = point.select(*panel.keys, F.col("last").alias(panel.time), F.posexplode_outer("_p").alias("_k", "predictions"))
     out = out.withColumn(panel.time, panel.moved(F.col("_k") + 1))
     if samples is not None:
         drawn = good.where("error is null").withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
         pick = lambda k: F.coalesce(F.get("resid", F.pmod(F.xxhash64(*panel.keys, "_s", k, F.lit(seed)), F.greatest(F.size("resid"), F.lit(1))).cast("int")), F.lit(0.0))
-        paths = drawn.withColumn("_p", path(pick)).select(*panel.keys, F.posexplode("_p").alias("_k", "_y"))
+        paths = drawn.withColumn("_p", path(pick)).select(*panel.keys, F.posexplode_outer("_p").alias("_k", "_y"))
         band = paths.groupBy(*panel.keys, "_k").agg(F.percentile("_y", F.lit(lower)).alias(f"lower_quantile_{lower}"), F.percentile("_y", F.lit(upper)).alias(f"upper_quantile_{upper}"))
         out = out.join(band, [*panel.keys, "_k"])
     out = out.drop("_k").withColumn("error", F.lit(None).cast("string")).withColumn("type_error", F.lit(None).cast("string"))
@@ -442,11 +450,11 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
     return out.unionByName(failed, allowMissingColumns=True)
 
 
-def _trees(df: DataFrame, panel: Panel, model: str, steps: int, checked: DataFrame, covariates: DataFrame | None = None, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
+def _trees(df: DataFrame, panel: Panel, model: str, steps: int, covariates: DataFrame | None = None, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
     """One tree ensemble for all regular series, on their lags and covariates; each step is predicted from the ones before."""
     w, keys, extra = panel.ordered(), list(panel.keys), _extra(covariates, panel)
     names = [*[f"_l{k}" for k in range(1, lags + 1)], *[f"_c_{c}" for c in extra]]
-    rows = packed(df, panel).join(checked, keys)
+    rows = packed(df, panel)
     if extra:
         rows = _ahead(rows, panel, covariates, steps)
     bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") <= lags, F.concat(F.lit(f"series under {lags + 1} rows: "), F.col("n").cast("string")))
