@@ -392,15 +392,15 @@ def _years(spark: SparkSession, sf_dir: str) -> tuple[hierarchy.Hierarchy, DataF
     tree = hierarchy.Hierarchy(deep.master.select("nation", "region").distinct(), {"nation": "region", "region": "total"}, "nation", "local", "ds", "y")
     sales = _sales(spark, sf_dir).join(deep.master, "item").withColumn("ds", F.to_date(F.date_trunc("year", "ds")))
     sums = tree.aggregated(sales.select("local", "ds", "nation", "y"))
-    factor = F.when(F.col("code") == "total", 1.1).when(F.col("code").contains("|"), 1.05).otherwise(1.0)
+    factor = F.when(F.col("code") == "total", _FACTOR).when(F.col("code").contains("|"), 1.0519).otherwise(1.0)
     return tree, sums.withColumn("y", F.col("y") * factor)
 
 
 _TREE = f"""WITH {_NODES}, {_SALES}, n AS (SELECT o.local, date_trunc('year', o.ds) AS ds, m.nation, m.region, sum(o.y) AS y FROM o JOIN m ON m.item = o.item GROUP BY ALL),
   k AS (SELECT local, count(DISTINCT ds) AS n FROM n GROUP BY local), l AS (SELECT n.* FROM n JOIN (SELECT n.local, nation FROM n JOIN k USING (local) GROUP BY n.local, nation, k.n HAVING count(*) = k.n) USING (local, nation)),
-  r0 AS (SELECT local, ds, region, 1.05 * sum(y) AS y FROM n GROUP BY ALL), r1 AS (SELECT r0.* FROM r0 JOIN (SELECT r0.local, region FROM r0 JOIN k USING (local) GROUP BY r0.local, region, k.n HAVING count(*) = k.n) USING (local, region)),
+  r0 AS (SELECT local, ds, region, 1.0519 * sum(y) AS y FROM n GROUP BY ALL), r1 AS (SELECT r0.* FROM r0 JOIN (SELECT r0.local, region FROM r0 JOIN k USING (local) GROUP BY r0.local, region, k.n HAVING count(*) = k.n) USING (local, region)),
   r AS (SELECT c.local, c.ds, c.region, c.e AS e0, c.v AS v0, CASE WHEN r1.y IS NULL THEN c.e ELSE (c.e * c.v + r1.y * c.v) / (2 * c.v) END AS e, CASE WHEN r1.y IS NULL THEN c.v ELSE c.v / 2 END AS v, r1.y IS NOT NULL AS own FROM (SELECT local, ds, region, sum(y) AS e, CAST(count(*) AS DOUBLE) AS v FROM l GROUP BY ALL) c LEFT JOIN r1 USING (local, ds, region)),
-  t AS (SELECT c.local, c.ds, c.e AS e0, c.v AS v0, (c.e * c.w + y * c.v) / (c.v + c.w) AS x FROM (SELECT r.local, r.ds, sum(e) AS e, sum(v) AS v, sum(v0) AS w FROM r GROUP BY ALL) c JOIN (SELECT local, ds, 1.1 * sum(y) AS y FROM n GROUP BY ALL) USING (local, ds)),
+  t AS (SELECT c.local, c.ds, c.e AS e0, c.v AS v0, (c.e * c.w + y * c.v) / (c.v + c.w) AS x FROM (SELECT r.local, r.ds, sum(e) AS e, sum(v) AS v, sum(v0) AS w FROM r GROUP BY ALL) c JOIN (SELECT local, ds, {_FACTOR} * sum(y) AS y FROM n GROUP BY ALL) USING (local, ds)),
   rx AS (SELECT r.*, r.e + r.v / t.v0 * (t.x - t.e0) AS x FROM r JOIN t USING (local, ds)), lx AS (SELECT l.local, l.ds, l.nation, l.y + (rx.x - rx.e0) / rx.v0 AS x FROM l JOIN rx USING (local, ds, region))
   SELECT local, CAST(ds AS DATE) AS ds, code, round(x, 2) AS y FROM (SELECT local, ds, nation AS code, x FROM lx UNION ALL SELECT local, ds, region || '|region', x FROM rx WHERE own UNION ALL SELECT local, ds, 'total', x FROM t)"""
 
