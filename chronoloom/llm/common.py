@@ -170,7 +170,7 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 #: Rows of a group that one window ranks, about.
-RANKED = 4096
+RANKED = 512
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], size: str, name: str = "rank") -> DataFrame:
