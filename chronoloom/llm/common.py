@@ -199,3 +199,31 @@ def crc32_of(column: Column) -> Column:
 def packed(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array of ``values`` cut at ``offsets``."""
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
+
+
+def finite(vectors: DataFrame, vector_column: str, *others: Column) -> DataFrame:
+    """``others`` and ``embedding`` (doubles) of the rows whose vector is not null, holds no null or non-finite component and has the commonest length (of equals the shorter)."""
+    rows = vectors.select(*others, F.col(vector_column).cast("array<double>").alias("embedding"))
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & ~bad)
+    top = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    return rows.where(F.size("embedding") == (top[0]["d"] if top else 0))
+
+
+#: A key is hot with at least one of so many rows, so no more keys than this are.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """``rows`` left-joined by ``key`` with ``values``, which has one row a key at most.
+
+    Keys that hold a thousandth of all rows or more (a thousand keys at most) meet
+    their values by broadcast; the others shuffle, none of them hot. Null keys are left out.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("_n") * HOT >= total).select(key).collect()]
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], f"`{key}` {rows.schema[key].dataType.simpleString()}, _hot boolean"))
+    marked = rows.where(F.col(key).isNotNull()).join(keys, key, "left")
+    few = F.broadcast(values.join(keys, key).drop("_hot"))
+    return marked.where("_hot").drop("_hot").join(few, key, "left").unionByName(marked.where("_hot is null").drop("_hot").join(values, key, "left"))

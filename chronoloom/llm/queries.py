@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, near, packing, pieces, quality, scoring, sharding, suffixes, vectors
+from . import compression, licences, lines, near, packing, pieces, quality, scoring, sharding, suffixes, urls, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licences.op1_license_scan,
@@ -19,7 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_flow_resharding": sharding.op9_flow_resharding,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_heap_lloyd": compression.op11_heap_lloyd,
+    "op12_url_filters": urls.op12_url_filters,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": licences.ORACLE,
+    "op11_heap_lloyd": compression.ORACLE,
 }
