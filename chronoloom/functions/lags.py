@@ -23,7 +23,9 @@ def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int | t
     """
     if not isinstance(lags, int) or lags < 1:
         raise LagsError("lags must be an integer of at least 1")
-    rows, w = panel.checked(df), panel.ordered()
+    rows = panel.checked(df)
+    blocks = panel.blocks(rows)
+    w = blocks.local(panel.time)
     made: list[Column] = [F.lag(panel.target, k).over(w).alias(f"lag_{k}") for k in range(1, lags + 1)]
     need = lags
     for name, spec in (rolling or {}).items():
@@ -36,7 +38,8 @@ def lagged(df: DataFrame, panel: Panel, lags: int, rolling: Mapping[str, int | t
         value = function(F.collect_list(panel.target).over(frame)) if function else ROLLING[name](panel.target).over(frame)
         made.append(value.alias(f"rolling_{name}"))
         need = max(need, width)
-    out = rows.select("*", *made, F.row_number().over(w).alias("_i")).where(F.col("_i") > need).drop("_i")
+    near = blocks.haloed([panel.time], need)  # a block's own rows have more than ``need`` rows before them where the series' do
+    out = near.select("*", *made, F.row_number().over(w).alias("_i")).where((F.col("_i") > need) & ~F.col("_halo")).drop("_i", "_halo", "_block")
     if covariates is None:
         return out
     shared = list(on or [c for c in (*panel.keys, panel.time) if c in covariates.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
 from chronoloom.operators import outliers
+from chronoloom.scans import matched, quantiles, small
 from chronoloom.series import Panel
 
 DUPLICATES = ("sum", "mean", "median", "mode")
@@ -30,7 +31,10 @@ def completed(df: DataFrame, panel: Panel) -> DataFrame:
 
     Each row spans the gap up to the next one, so no calendar is joined.
     """
-    rows = df.withColumn("_next", F.lead(panel.time).over(panel.ordered()))
+    blocks = panel.blocks(df)
+    kind = df.schema[panel.time].dataType
+    rows = blocks.carried(blocks.rows, {"_t": F.min(panel.time)}, {"_t1": lambda _, after: F.min("_t").over(after)})
+    rows = rows.withColumn("_next", F.coalesce(F.lead(panel.time).over(blocks.local(panel.time)), F.col("_t1").cast(kind)))
     last = F.coalesce(F.col("_next") - panel.step, F.col(panel.time))
     days = F.posexplode(F.sequence(F.col(panel.time), last.cast("date") if panel.daily else last, panel.step))
     spread = rows.select(*panel.keys, F.col(panel.target).alias("_y"), days.alias("_at", "_time"))
@@ -45,11 +49,16 @@ def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int
     """
     if method not in INTERPOLATIONS:
         method = "linear"  # as for methods that fail
-    y, w = F.col(panel.target), panel.ordered()
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = df.withColumn("_i", F.row_number().over(w))
-    place = F.when(y.isNotNull(), F.col("_i"))
-    at = at.select("*", F.last(y, True).over(past).alias("_pv"), F.last(place, True).over(past).alias("_pi"), F.first(y, True).over(future).alias("_nv"), F.first(place, True).over(future).alias("_ni"))
+    y, blocks = F.col(panel.target), panel.blocks(df)
+    w = blocks.local(panel.time)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = blocks.carried(blocks.rows.withColumn("_i", F.row_number().over(w)), {"_rows": F.count(F.lit(1))}, {"_i0": lambda before, _: F.sum("_rows").over(before)})
+    at = at.withColumn("_i", F.col("_i") + F.coalesce("_i0", F.lit(0)))
+    at = at.withColumn("_known", F.when(y.isNotNull(), F.struct(F.col("_i").alias("i"), y.alias("y"))))
+    at = blocks.carried(at, {"_last": F.max("_known"), "_first": F.min("_known")}, {"_p0": lambda before, _: F.max("_last").over(before), "_n0": lambda _, after: F.min("_first").over(after)})
+    kind = "struct<i:bigint,y:double>"
+    at = at.select("*", F.coalesce(F.last("_known", True).over(past), F.col("_p0").cast(kind)).alias("_p"), F.coalesce(F.last("_known", True).over(blocks.back(panel.time)), F.col("_n0").cast(kind)).alias("_n"))
+    at = at.select("*", F.col("_p.y").alias("_pv"), F.col("_p.i").alias("_pi"), F.col("_n.y").alias("_nv"), F.col("_n.i").alias("_ni"))
     since, until = F.col("_i") - F.col("_pi"), F.col("_ni") - F.col("_i")
     inside = F.lit(True) if limit is None else since <= limit
     if method in ("pad", "ffill"):
@@ -69,8 +78,12 @@ def filled(df: DataFrame, panel: Panel, how: str = "mean") -> DataFrame:
     if how not in FILLS:
         raise OptionError(f"fill: one of {FILLS}, not {how!r}")
     y = F.col(panel.target)
-    value = F.lit(0.0) if how == "zero" else (F.avg(y) if how == "mean" else F.median(y)).over(panel.by())
-    return df.withColumn(panel.target, F.coalesce(y, value))
+    if how == "zero":
+        return df.withColumn(panel.target, F.coalesce(y, F.lit(0.0)))
+    if panel.block is None and small(df):
+        return df.withColumn(panel.target, F.coalesce(y, (F.avg(y) if how == "mean" else F.median(y)).over(panel.by())))
+    stats = df.groupBy(*panel.keys).agg(F.array(F.avg(y)).alias("_q")) if how == "mean" else quantiles(df, panel.keys, y, (0.5,), block=panel.block)
+    return matched(df, stats, panel.keys).select(*panel.keys, panel.time, F.coalesce(y, F.get("_q", F.lit(0))).alias(panel.target))
 
 
 def padded(df: DataFrame, panel: Panel, repeat_forward_to: str | None = None, zero_back_to: str | None = None, repeat_back_to: str | None = None) -> DataFrame:
@@ -84,9 +97,11 @@ def padded(df: DataFrame, panel: Panel, repeat_forward_to: str | None = None, ze
     if not (back or repeat_forward_to):
         return df
     kind = "date" if panel.daily else "timestamp_ntz"
-    t, w = F.col(panel.time), panel.ordered()
+    t, blocks = F.col(panel.time), panel.blocks(df)
+    w = blocks.local(panel.time)
     steps = (lambda a, b: F.floor(F.datediff(b, a) / panel.days)) if panel.daily else (lambda a, b: F.floor((F.unix_seconds(b.cast("timestamp")) - F.unix_seconds(a.cast("timestamp"))) / panel.seconds))
-    marked = df.select("*", F.lag(panel.time).over(w).isNull().alias("_first"), F.lead(panel.time).over(w).isNull().alias("_last"))
+    rows = blocks.carried(blocks.rows, {"_rows": F.count(F.lit(1))}, {"_r0": lambda before, _: F.sum("_rows").over(before), "_r1": lambda _, after: F.sum("_rows").over(after)})
+    marked = rows.select("*", (F.lag(panel.time).over(w).isNull() & F.col("_r0").isNull()).alias("_first"), (F.lead(panel.time).over(w).isNull() & F.col("_r1").isNull()).alias("_last"))
 
     def count(edge: str, date: str | None, forward: bool) -> Column:
         if not date:
@@ -116,7 +131,11 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
         rows = marked.withColumn(panel.target, F.when(worst == -1, None).otherwise(F.col(panel.target)))
     # rows of a bin meet first, with partial sums; windows then hold one row a bin
     merged = deduplicated(rows, panel, duplicates, F.sum("_known").alias("_known"))
-    some = F.sum("_known").over(panel.by()) > 0
+    if panel.block is None and small(merged):
+        merged = merged.withColumn("_values", F.sum("_known").over(panel.by()))
+    else:
+        merged = matched(merged, merged.groupBy(*panel.keys).agg(F.sum("_known").alias("_values")), panel.keys)
+    some = F.col("_values") > 0
     if on_all_null == "drop":
         merged = merged.withColumn("_some", some).where("_some")
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
 from chronoloom.models.linear import fitted
+from chronoloom.scans import Blocks, matched, quantiles
 from chronoloom.series import Panel
 
 
@@ -18,17 +19,13 @@ def _marks(inside: Column) -> Column:
 
 def _with(df: DataFrame, stats: DataFrame, panel: Panel) -> DataFrame:
     """Rows with their series' statistics: aggregated first, so that a long series is not one task's window; null keys match."""
-    named = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(panel.keys)], *[c for c in stats.columns if c not in panel.keys])
-    on = F.lit(True)
-    for i, k in enumerate(panel.keys):
-        on = on & df[k].eqNullSafe(named[f"_k{i}"])
-    return df.join(named, on, "left").drop(*[f"_k{i}" for i in range(len(panel.keys))])
+    return matched(df, stats, panel.keys)
 
 
 def iqr(df: DataFrame, panel: Panel, factor: float = 2.2) -> DataFrame:
     """Inliers lie within ``factor`` interquartile ranges of the quartiles, bounds included."""
     y = F.col(panel.target)
-    quartiles = df.groupBy(*panel.keys).agg(F.percentile(y, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    quartiles = quantiles(df, panel.keys, y, (0.25, 0.75), block=panel.block)
     low, high = F.col("_q")[0], F.col("_q")[1]
     return _with(df, quartiles, panel).select(*df.columns, _marks(y.isNull() | y.between(low - factor * (high - low), high + factor * (high - low))))
 
@@ -36,8 +33,9 @@ def iqr(df: DataFrame, panel: Panel, factor: float = 2.2) -> DataFrame:
 def modified_zscore(df: DataFrame, panel: Panel, threshold: float = 5.0) -> DataFrame:
     """Inliers have |0.6745 (y - median) / MAD| under ``threshold``; with MAD 0 the plain z-score counts, and a score of 0/0 passes."""
     y = F.col(panel.target)
-    a = _with(df, df.groupBy(*panel.keys).agg(F.median(y).alias("_m"), F.avg(y).alias("_avg"), F.stddev_pop(y).alias("_sd")), panel)
-    b = _with(a, a.groupBy(*panel.keys).agg(F.median(F.abs(y - F.col("_m"))).alias("_mad")), panel)
+    a = _with(df, df.groupBy(*panel.keys).agg(F.avg(y).alias("_avg"), F.stddev_pop(y).alias("_sd")), panel)
+    a = _with(a, quantiles(df, panel.keys, y, (0.5,), "_m", panel.block), panel).withColumn("_m", F.get("_m", F.lit(0)))
+    b = _with(a, quantiles(a, panel.keys, F.abs(y - F.col("_m")), (0.5,), "_mad", panel.block), panel).withColumn("_mad", F.get("_mad", F.lit(0)))
     z = F.when(F.col("_mad") != 0, F.try_divide(0.6745 * (y - F.col("_m")), F.col("_mad"))).otherwise(F.try_divide(y - F.col("_avg"), F.col("_sd")))
     return b.select(*df.columns, _marks(z.isNull() | (F.abs(z) < threshold)))
 
@@ -46,39 +44,53 @@ def rolling_window(df: DataFrame, panel: Panel, quantile: float = 0.9) -> DataFr
     """Inliers are at most the ``quantile`` of |y - moving mean|, over windows of half the series.
 
     The width differs by series, so the mean comes from prefix sums, joined to
-    those one width before; rows without a full window take the series' mean.
+    those one width before; rows without a full window take the series' mean. Of
+    a long series the sums start anew in each block, and a scan carries them on.
     """
     y = F.col(panel.target)
-    order = panel.by().orderBy(panel.time, panel.target)
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.where(y.isNotNull()).select("*", F.row_number().over(order).alias("_i"), F.sum(y).over(run).alias("_c"), F.count(y).over(panel.by()).alias("_n"), F.avg(y).over(panel.by()).alias("_avg"))
-    rows = rows.withColumn("_w", F.floor(F.col("_n") / 2))
+    known = df.where(y.isNotNull())
+    blocks = panel.blocks(known)
+    order = blocks.local(panel.time, panel.target)
+    rows = blocks.rows.select("*", F.row_number().over(order).alias("_i"), F.sum(y).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"))
+    rows = blocks.carried(rows, {"_rows": F.count(F.lit(1)), "_sums": F.sum(y)}, {"_i0": lambda past, _: F.sum("_rows").over(past), "_c0": lambda past, _: F.sum("_sums").over(past)})
+    rows = rows.withColumn("_i", F.col("_i") + F.coalesce("_i0", F.lit(0))).withColumn("_c", F.col("_c") + F.coalesce("_c0", F.lit(0.0)))
+    rows = _with(rows, known.groupBy(*panel.keys).agg(F.floor(F.count(y) / 2).alias("_w"), F.avg(y).alias("_avg")), panel)
     earlier = rows.select(*panel.keys, (F.col("_i") + F.col("_w")).alias("_i"), F.col("_c").alias("_before"))
-    joined = rows.join(earlier, [*panel.keys, "_i"], "left")
+    joined = matched(rows, earlier, [*panel.keys, "_i"])
     total = F.when(F.col("_i") == F.col("_w"), F.col("_c")).when(F.col("_i") > F.col("_w"), F.col("_c") - F.col("_before"))
     off = joined.withColumn("_off", F.abs(y - F.coalesce(F.try_divide(total, F.col("_w")), F.col("_avg"))))
-    top = off.withColumn("_top", F.percentile("_off", F.lit(quantile)).over(panel.by()))
-    return top.select(*df.columns, _marks(y <= F.col("_top"))).unionByName(df.where(y.isNull()).select("*", F.lit(1).alias("inlier")))
+    top = _with(off, quantiles(off, panel.keys, F.col("_off"), (quantile,), "_top", panel.block), panel)
+    return top.select(*df.columns, _marks(y <= F.get("_top", F.lit(0)))).unionByName(df.where(y.isNull()).select("*", F.lit(1).alias("inlier")))
 
 
 def dbscan(df: DataFrame, panel: Panel, eps: float = 2.0, min_samples: int = 5) -> DataFrame:
-    """Density clustering along the target's axis; noise is an outlier. Adds ``cluster`` too (from 0, by value; -1: noise)."""
-    y = F.col(panel.target)
-    keys = ", ".join(f"`{k}`" for k in panel.keys)
-
-    def near(what: str, low: str, high: str) -> Column:
-        return F.expr(f"{what} over (partition by {keys} order by `{panel.target}` range between {low} and {high})")
+    """Density clustering along the target's axis; noise is an outlier. Adds ``cluster`` too (from 0, by value; -1: noise).
 
-    e = f"{float(eps)!r}D"
-    rows = df.where(y.isNotNull()).withColumn("_core", near("count(1)", f"{e} preceding", f"{e} following") >= min_samples)
-    order = panel.by().orderBy(panel.target, panel.time)
-    past, future = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    Rows are in order of their values. A row is a core if ``min_samples`` rows lie
+    within ``eps``, which its nearest ``min_samples - 1`` rows on each side
+    decide: the halo of a block. Cores chain up where they are ``eps`` apart at
+    most; the last core and the number of chains are carried over blocks.
+    """
+    y, e = F.col(panel.target), float(eps)
+    blocks = Blocks(df.where(y.isNotNull()), panel.keys, y, panel.block)
+    order = (panel.target, panel.time)
+    near = blocks.haloed(order, min_samples - 1, min_samples - 1)
+    names = ", ".join(f"`{k}`" for k in blocks.by)
+    dense = F.expr(f"count(1) over (partition by {names} order by `{panel.target}` range between {e!r}D preceding and {e!r}D following)") >= min_samples
+    rows = near.withColumn("_core", dense).where(~F.col("_halo")).drop("_halo")
+    w = blocks.local(*order)
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
     core = F.when(F.col("_core"), y)
-    rows = rows.withColumn("_last", F.last(core, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.col("_core") & (F.col("_last").isNull() | (y - F.col("_last") > eps))
-    rows = rows.withColumn("_c", F.when(F.col("_core"), F.sum(F.when(fresh, 1).otherwise(0)).over(past) - 1))
-    rows = rows.select("*", F.last(core, True).over(past).alias("_a"), F.last("_c", True).over(past).alias("_ac"), F.first(core, True).over(future).alias("_b"), F.first("_c", True).over(future).alias("_bc"))
-    cluster = F.when(y - F.col("_a") <= eps, F.col("_ac")).when(F.col("_b") - y <= eps, F.col("_bc")).otherwise(-1).cast("int")
+    rows = blocks.carried(rows, {"_top": F.max(core)}, {"_top0": lambda p, _: F.max("_top").over(p)})
+    rows = rows.withColumn("_last", F.coalesce(F.last(core, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top0")))
+    fresh = F.when(F.col("_core") & (F.col("_last").isNull() | (y - F.col("_last") > e)), 1).otherwise(0)
+    rows = rows.withColumn("_f", fresh).withColumn("_n", F.sum("_f").over(past))
+    rows = blocks.carried(rows, {"_chains": F.sum("_f")}, {"_n0": lambda p, _: F.sum("_chains").over(p)})
+    rows = rows.withColumn("_c", F.when(F.col("_core"), F.struct(y.alias("y"), (F.col("_n") + F.coalesce("_n0", F.lit(0)) - 1).alias("c"))))
+    rows = blocks.carried(rows, {"_l": F.max("_c"), "_h": F.min("_c")}, {"_l0": lambda p, _: F.max("_l").over(p), "_h0": lambda _, f: F.min("_h").over(f)})
+    kind = "struct<y:double,c:bigint>"
+    rows = rows.select("*", F.coalesce(F.last("_c", True).over(past), F.col("_l0").cast(kind)).alias("_a"), F.coalesce(F.last("_c", True).over(blocks.back(*order)), F.col("_h0").cast(kind)).alias("_b"))
+    cluster = F.when(y - F.col("_a.y") <= e, F.col("_a.c")).when(F.col("_b.y") - y <= e, F.col("_b.c")).otherwise(-1).cast("int")
     return rows.withColumn("cluster", cluster).select(*df.columns, _marks(F.col("cluster") >= 0), "cluster")
 
 

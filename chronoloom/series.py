@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.errors import ColumnNamesError, ColumnTypeError, OptionError
+from chronoloom.scans import Blocks, seconds
 
 #: Frequency aliases and their seconds.
 ALIASES = {"D": 86400, "W": 604800, "H": 3600, "h": 3600, "T": 60, "min": 60, "S": 1, "s": 1}
@@ -21,13 +22,15 @@ class Panel:
 
     ``keys`` may be one name or several. ``freq`` is a number and an alias, such
     as D, 7D, H or 0.5H. Times are dates where the frequency is whole days, else
-    timestamps without zone.
+    timestamps without zone. Series that may not fit a task are dealt into blocks;
+    ``block`` asks for that, in blocks of about so many rows, else sizes decide.
     """
 
     keys: tuple[str, ...]
     time: str = "ds"
     target: str = "y"
     freq: str = "D"
+    block: int | None = None
 
     def __post_init__(self) -> None:
         keys = (self.keys,) if isinstance(self.keys, str) else tuple(self.keys)
@@ -71,6 +74,10 @@ class Panel:
     def ordered(self) -> WindowSpec:
         return self.by().orderBy(self.time)
 
+    def blocks(self, df: DataFrame) -> Blocks:
+        """``df`` in blocks along time, where series may be long."""
+        return Blocks(df, self.keys, seconds(F.col(self.time), df.schema[self.time].dataType), self.block)
+
     def bucketed(self, df: DataFrame) -> DataFrame:
         """``df`` with each time set to the start of its bin; bins start at each series' first day."""
         if self.daily:
