@@ -156,12 +156,11 @@ def capped(df: DataFrame, panel: Panel, window: int = 14, quantile: float = 0.95
     scaled by what is left of the target, and is 0 where the target is.
     """
     y = F.coalesce(F.col(panel.target), F.lit(0.0))
-    order = panel.ordered().rowsBetween(-(window - 1), 0)
-    rows = df.withColumn(panel.target, y)
+    blocks = panel.blocks(df.withColumn(panel.target, y))
+    order = blocks.local(panel.time).rowsBetween(-(window - 1), 0)
     full = F.count(panel.target).over(order) == window
-    rows = rows.withColumn("_off", F.when(full, F.abs(F.col(panel.target) - F.avg(panel.target).over(order))))
-    tops = rows.groupBy(*panel.keys).agg(F.percentile("_off", F.lit(quantile)).alias("_top"))
-    rows = _with(rows, tops, panel)
+    rows = blocks.haloed([panel.time], window - 1).withColumn("_off", F.when(full, F.abs(F.col(panel.target) - F.avg(panel.target).over(order)))).where(~F.col("_halo")).drop("_halo", "_block")
+    rows = _with(rows, quantiles(rows, panel.keys, F.col("_off"), (quantile,), "_top", panel.block), panel).withColumn("_top", F.get("_top", F.lit(0)))
     out = rows.withColumn("capped", F.when(F.col("_top").isNull(), F.col(panel.target)).otherwise(F.greatest(F.lit(0.0), F.least(F.col(panel.target), F.col("_top"))))).drop("_off", "_top")
     if amount:
         out = out.withColumn(amount, F.coalesce(F.try_divide(F.col(amount) * F.col("capped"), F.col(panel.target)), F.lit(0.0)))
@@ -172,19 +171,18 @@ def corrected(df: DataFrame, panel: Panel, eps: float = 2.0, threshold: float =
     """The target with outliers replaced by their capped values, in series where Grubbs' test finds any; adds ``outlier``.
 
     Of two sets of rows the larger one of a series counts: those that are outliers
-    by density and by isolation, or those by modified z-score. Rows are told apart
-    by their time, which must be unique in a series.
+    by density and by isolation, or those by modified z-score.
     """
-    rows = panel.checked(df)
-    extra = [c for c in df.columns if c not in rows.columns]
-    on = [*panel.keys, panel.time]
-    sets = [f(rows, panel, v).select(*on, F.col("inlier").alias(n)) for f, v, n in ((dbscan, eps, "_d"), (modified_zscore, threshold, "_z"))]
-    both = sets[0].join(isolation_forest(rows, panel).select(*on, F.col("inlier").alias("_i")), on).join(sets[1], on)
-    by = panel.by()
+    extra = [c for c in df.columns if c not in (*panel.keys, panel.time, panel.target)]
+    panel.checked(df)
+    rows = df.select(*panel.keys, panel.time, F.col(panel.target).cast("double").alias(panel.target), *extra)
+    # each detector adds a flag to the rows themselves, so no copies of the rows are joined
+    flags = modified_zscore(isolation_forest(dbscan(rows, panel, eps).drop("cluster").withColumnRenamed("inlier", "_d"), panel).withColumnRenamed("inlier", "_i"), panel, threshold).withColumnRenamed("inlier", "_z")
     dense, far = (F.col("_d") == -1) & (F.col("_i") == -1), F.col("_z") == -1
-    larger = F.sum(dense.cast("int")).over(by) > F.sum(far.cast("int")).over(by)
-    chosen = both.select(*on, F.when(larger, dense).otherwise(far).alias("_chosen"))
-    out = capped(df.select(*on, panel.target, *extra), panel, window, quantile).join(chosen, on).join(grubbs(rows, panel).select(*panel.keys, F.col("outlier").alias("_some")), list(panel.keys))
+    flags = flags.withColumn("_dense", F.coalesce(dense, F.lit(False))).withColumn("_far", F.coalesce(far, F.lit(False)))
+    sums = flags.groupBy(*panel.keys).agg((F.sum(F.col("_dense").cast("int")) > F.sum(F.col("_far").cast("int"))).alias("_larger"))
+    out = _with(_with(capped(flags, panel, window, quantile), sums, panel), grubbs(rows, panel).select(*panel.keys, F.col("outlier").alias("_some")), panel)
+    out = out.withColumn("_chosen", F.when(F.col("_larger"), F.col("_dense")).otherwise(F.col("_far"))).withColumn("_some", F.coalesce("_some", F.lit(False)))
     hit = F.col("_chosen") & F.col("_some")
     out = out.withColumn("outlier", hit)
     if amount:
@@ -235,35 +233,93 @@ def grubbs(df: DataFrame, panel: Panel, alpha: float = 0.05) -> DataFrame:
     return s.withColumn("critical", F.when(F.col("n") > 2, critical)).select(*panel.keys, "statistic", "critical", F.coalesce(F.col("statistic") >= F.col("critical"), F.lit(False)).alias("outlier"))
 
 
-def isolation_forest(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1) -> DataFrame:
-    """Outliers have an isolation score of at least ``threshold``; random cuts of samples of each series, seeded by its rows alone."""
-    names = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(panel.time, kind="stable")
-        y = pdf[panel.target].to_numpy(float)
-        known = y[~np.isnan(y)]
-        random, depth = np.random.default_rng(seed), np.zeros(len(y))
-        size = min(sample, len(known))
-        usual = lambda n: np.where(n > 1, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), 0.0)
-        for _ in range(trees if size > 1 else 0):
-            some = np.sort(random.choice(known, size, replace=False))
-            low, high, steps = np.full(len(y), some[0]), np.full(len(y), some[-1]), np.zeros(len(y))
-            for _ in range(int(np.ceil(np.log2(size)))):  # each row goes down its own side of the cut of its node
-                cut = low + (high - low) * (np.modf(np.sin(low * 12.9898 + high * 78.233 + random.random()) * 43758.5453)[0] % 1)
-                live = high > low
-                steps += live
-                right = live & (y > cut)
-                low, high = np.where(right, cut, low), np.where(live & ~right, cut, high)
-                inside = np.searchsorted(some, high, "right") - np.searchsorted(some, low, "left")
-                high = np.where(inside <= 1, low, high)
-            depth += steps + usual(np.maximum(np.searchsorted(some, high, "right") - np.searchsorted(some, low, "left"), 1))
-        score = 2.0 ** (-depth / trees / max(float(usual(np.array(size))), 1e-9)) if size > 1 else np.zeros(len(y))
-        pdf["inlier"] = np.where((score >= threshold) & ~np.isnan(y), -1, 1)
-        return pdf[[*names, "inlier"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*panel.keys).applyInPandas(run, f"{schema}, inlier int")
+def _usual(n: np.ndarray) -> np.ndarray:
+    """The mean depth of an unsuccessful search among n values: what is left below a leaf of n values."""
+    n = np.asarray(n, float)
+    return np.where(n > 1, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), 0.0)
+
+
+def grown(values: np.ndarray, depth: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """An isolation tree of sorted values as an array: its cuts in order, and the path length of each interval between them.
+
+    A node is cut at random between its least and largest value, unless these are
+    equal or the node is ``depth`` steps down. A value at a cut goes left.
+    """
+    cuts: list[float] = []
+    lengths: list[float] = []
+
+    def node(low: int, high: int, down: int) -> None:
+        if down >= depth or high - low < 2 or values[low] == values[high - 1]:
+            lengths.append(down + float(_usual(high - low)))
+            return
+        cut = min(max(random.uniform(values[low], values[high - 1]), values[low]), np.nextafter(values[high - 1], values[low]))
+        at = int(np.searchsorted(values, cut, "right"))
+        node(low, at, down + 1)
+        cuts.append(float(cut))
+        node(at, high, down + 1)
+
+    node(0, len(values), 0)
+    return np.array(cuts), np.array(lengths)
+
+
+def isolation_scores(pool: np.ndarray, trees: int, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The forest's score as a step function: cuts in order, and the score of each interval (what is at most its cut, and above the one before).
+
+    Each tree grows on its own draw of ``sample`` values of the pool, all with
+    one generator, one after another.
+    """
+    random = np.random.default_rng(seed)
+    size = min(sample, len(pool))
+    if size < 2:
+        return np.zeros(0), np.zeros(1)
+    made = [grown(np.sort(random.choice(pool, size, replace=False)), int(np.ceil(np.log2(size))), random) for _ in range(trees)]
+    cuts = np.unique(np.concatenate([c for c, _ in made]))
+    total = np.zeros(len(cuts) + 1)
+    for own, lengths in made:  # an interval lies in the tree's interval that its upper end lies in
+        total += lengths[np.append(np.searchsorted(own, cuts, "left"), len(own))]
+    return cuts, 2.0 ** (-total / trees / max(float(_usual(np.array(size))), 1e-9))
+
+
+def isolation_ranges(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1, pool: int = 4096) -> DataFrame:
+    """One row a series: ``ranges``, the intervals (above low, up to high) of values whose score is at least ``threshold``; null ends are open.
+
+    Trees draw from a pool of about ``pool`` values of a series, those of least
+    hash, where equal values are told apart by number; so the pool depends on the
+    rows alone. Along one axis the score is a step function, so that the whole
+    forest becomes a few intervals.
+    """
+    keys = list(panel.keys)
+    counts = df.where(F.col(panel.target).isNotNull()).groupBy(*keys, F.col(panel.target).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    each = matched(counts, sizes, keys).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    place = F.pmod(F.xxhash64("_v", "_j", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)  # one of all values is under pool / all, about
+    held = each.withColumn("_h", place).where(F.col("_h") * F.col("_all") < pool)
+    pools = held.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_v"))), lambda x: x["_v"]).alias("_pool"))
+
+    @F.pandas_udf("array<struct<low:double,high:double>>")
+    def ranges(pools: pd.Series) -> pd.Series:
+        out = []
+        for values in pools:
+            cuts, scores = isolation_scores(np.asarray(values, float), trees, sample, seed)
+            ends = [None, *cuts.tolist(), None]
+            found: list[dict] = []
+            for k in np.flatnonzero(scores >= threshold).tolist():
+                if found and found[-1]["high"] == ends[k] and k:
+                    found[-1]["high"] = ends[k + 1]
+                else:
+                    found.append({"low": ends[k], "high": ends[k + 1]})
+            out.append(found)
+        return pd.Series(out)
+
+    return pools.select(*keys, ranges("_pool").alias("ranges"))
+
+
+def isolation_forest(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1, pool: int = 4096) -> DataFrame:
+    """Outliers have an isolation score of at least ``threshold``; see ``isolation_ranges``. Rows are judged by a join and an expression, whatever their number."""
+    y = F.col(panel.target).cast("double")
+    rows = _with(df, isolation_ranges(df, panel, trees, sample, threshold, seed, pool), panel)
+    out = F.exists("ranges", lambda r: (r["low"].isNull() | (y > r["low"])) & (r["high"].isNull() | (y <= r["high"])))
+    return rows.select(*df.columns, _marks(y.isNull() | ~F.coalesce(out, F.lit(False))))
 
 
 METHODS = {"iqr": iqr, "modified_zscore": modified_zscore, "rolling_window": rolling_window, "dbscan": dbscan, "residual": residual, "isolation_forest": isolation_forest}

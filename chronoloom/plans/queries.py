@@ -594,6 +594,13 @@ def grubbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(outliers.grubbs(_rows(spark, sf_dir, "events", True), P))
 
 
+@query("outlier_corrected")
+def outlier_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sales by return flag, with outliers of the larger set capped."""
+    daily = clean.completed(clean.deduplicated(_rows(spark, sf_dir, "flags"), P, "sum"), P)
+    return _out(outliers.corrected(daily, P, eps=40.0))
+
+
 @query("outlier_isolation_forest")
 def outlier_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.isolation_forest(_rows(spark, sf_dir, "users", True), P)

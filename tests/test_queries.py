@@ -57,4 +57,4 @@ def test_forecasts_and_clusters(spark, name):
 
 def test_all_have_oracles_or_cannot():
     without = set(plans.QUERIES) - set(plans.ORACLES)
-    assert without <= SLOW | {"hier_reconcile_var", "hier_reconcile_cov", "regressor_estimator_interval", "outlier_isolation_forest"}
+    assert without <= SLOW | {"hier_reconcile_var", "hier_reconcile_cov", "regressor_estimator_interval", "outlier_isolation_forest", "outlier_corrected"}

@@ -123,3 +123,56 @@ def test_halo_reaches_over_small_blocks(spark):
     w = blocks.local("v").rowsBetween(-3, 2)
     mine = found.withColumn("near", F.collect_list("v").over(w)).where("not _halo").toPandas().set_index("v")["near"].to_dict()
     assert {k: list(v) for k, v in mine.items()} == {k: list(v) for k, v in true.items()} and isinstance(pd.Series(mine), pd.Series)
+
+
+def test_capping_and_correction_in_blocks(spark, series):
+    same(spark, outliers.capped(series, PLAIN, 5), outliers.capped(series, BLOCKED, 5))
+    wide = series.withColumn("amount", F.col("y") * 2)
+    same(spark, outliers.corrected(wide, PLAIN, amount="amount"), outliers.corrected(wide, BLOCKED, amount="amount"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_isolation_tree_paths(seed):
+    """Each value's path length is that of a walk down explicit nodes, cut by the same numbers."""
+    random_ = np.random.default_rng(seed)
+    values = np.sort(np.concatenate((random_.normal(size=40), np.repeat(0.5, 10), [9.0])))
+    cuts, lengths = outliers.grown(values, 5, np.random.default_rng(7))
+    draws = np.random.default_rng(7)
+
+    def node(own, down):
+        if down >= 5 or len(own) < 2 or own[0] == own[-1]:
+            return ("leaf", down + float(outliers._usual(len(own))))
+        cut = draws.uniform(own[0], own[-1])
+        left = node(own[own <= cut], down + 1)
+        return ("cut", cut, left, node(own[own > cut], down + 1))
+
+    tree = node(values, 0)
+
+    def walk(t, v):
+        return t[1] if t[0] == "leaf" else walk(t[2] if v <= t[1] else t[3], v)
+
+    for v in [*values, -99.0, 99.0, *cuts, *random_.normal(size=50)]:
+        assert lengths[np.searchsorted(cuts, v, "left")] == pytest.approx(walk(tree, v))
+
+
+def test_isolation_forest_by_ranges(spark):
+    """The ranges mark the rows whose mean path over all trees scores the threshold; far values are among them, and layout changes nothing."""
+    random_ = np.random.default_rng(2)
+    rows = [("a", DAY + datetime.timedelta(days=i), float(v)) for i, v in enumerate(np.concatenate((random_.normal(50, 5, 400), [400.0, -300.0])))]
+    rows += [("b", DAY, 1.0), ("c", DAY, None), (None, DAY, 2.0), (None, DAY, 2.0)] + [("d", DAY + datetime.timedelta(days=i), 3.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, ds date, y double")
+    found = outliers.isolation_forest(df, PLAIN).collect()
+    assert len(found) == len(rows) and all(r["inlier"] == 1 for r in found if r["k"] != "a")
+    marked = {r["y"] for r in found if r["inlier"] == -1}
+    assert {400.0, -300.0} <= marked and len(marked) < 30
+    pool = sorted(r[2] for r in rows if r[0] == "a")
+    ranges = outliers.isolation_ranges(df.where("k = 'a'"), PLAIN, trees=20, sample=64).first()["ranges"]
+    order = df.where("k = 'a'").select("y", (F.pmod(F.xxhash64("y", F.lit(1).cast("long"), F.lit(1)), F.lit(1 << 40))).alias("h")).orderBy("h", "y").toPandas()["y"].to_numpy()
+    generator = np.random.default_rng(1)
+    trees = [outliers.grown(np.sort(generator.choice(order, 64, replace=False)), 6, generator) for _ in range(20)]
+    for v in [*pool, 100.0, 0.0]:
+        depth = np.mean([lengths[np.searchsorted(cuts, v, "left")] for cuts, lengths in trees])
+        inside = any((r["low"] is None or v > r["low"]) and (r["high"] is None or v <= r["high"]) for r in ranges)
+        assert inside == (2.0 ** (-depth / float(outliers._usual(np.array(64)))) >= 0.6)
+    again = outliers.isolation_forest(df.repartition(7), PLAIN).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
