@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.errors import CovariateError, CovariateNamesError, NotProbabilisticModelError, OptionError, QuantilesError, SeriesError, StepsError
+from chronoloom.models import arma
 from chronoloom.models.linear import fitted
 from chronoloom.models.regressor import regressed
+from chronoloom.scans import quantiles, settled
 from chronoloom.series import Panel
 from chronoloom.sources import first_series
 
@@ -252,39 +254,29 @@ def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10, r
     return out.withColumn("resid", F.transform("ys", lambda y, i: y - at(F.col("state"), i.cast("double")))), lambda s, k, e: (at(s, s["n"] - 1 + k) + e, s), 2
 
 
-def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, errors: int, search: bool, covariates: DataFrame | None, steps: int, resid: bool) -> tuple[DataFrame, Advance, int]:
-    """Least squares on lags of the (differenced) values, on lagged errors and on covariates, from windows and aggregations.
-
-    The lagged errors (moving-average terms) are those of a first, longer autoregression.
-    """
+def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, difference: int, covariates: DataFrame | None, steps: int, resid: bool) -> tuple[DataFrame, Advance, int]:
+    """Least squares on lags of the (differenced) values and on covariates, from windows and aggregations."""
     w = panel.ordered()
     base = panel.checked(rows).withColumn("_v", F.col(panel.target))
     for _ in range(difference):
         base = base.withColumn("_v", F.col("_v") - F.lag("_v", 1).over(w))
     extra = _extra(covariates, panel)
-    long = lags + errors if errors else 0
-    made = base.select("*", *[F.lag("_v", k).over(w).alias(f"_l{k}") for k in range(1, max(lags, long) + 1)])
-    if errors:
-        first = [F.col(f"_l{k}") for k in range(1, long + 1)]
-        ahead = fitted(made, panel.keys, F.col("_v"), first).select(*panel.keys, F.col("coef").alias("_first"))
-        made = made.join(ahead, list(panel.keys)).withColumn("_e0", F.col("_v") - _line(F.col("_first"), F.array(*first), long))
-        made = made.select("*", *[F.lag("_e0", k).over(w).alias(f"_m{k}") for k in range(1, errors + 1)])
+    made = base.select("*", *[F.lag("_v", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
     if extra:
         made = _with_covariates(made, panel, covariates)
-    names = [*[f"_c_{c}" for c in extra], *[f"_l{k}" for k in range(1, lags + 1)], *[f"_m{k}" for k in range(1, errors + 1)]]
-    model = fitted(made, panel.keys, F.col("_v"), [F.col(c) for c in names], search=search)
+    names = [*[f"_c_{c}" for c in extra], *[f"_l{k}" for k in range(1, lags + 1)]]
+    model = fitted(made, panel.keys, F.col("_v"), [F.col(c) for c in names])
     values = F.array(*[F.col(c) for c in names])
 
     def dot(coef: Column, x: Column) -> Column:
         return _line(coef, x, len(names))
 
-    tail = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col(panel.time).alias("t"), F.col("_e0").alias("e"))))), 1, errors) if errors else F.array(F.struct(F.lit(0.0).alias("e")))
     out = df.join(model.select(*panel.keys, "coef", "aicc"), list(panel.keys), "left")
-    if resid or errors:
-        left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"), tail.alias("_tail"))
+    if resid:
+        left = made.join(model.select(*panel.keys, "coef"), list(panel.keys)).withColumn("_e", F.col("_v") - dot(F.col("coef"), values)).groupBy(*panel.keys).agg(F.collect_list("_e").alias("resid"))
         out = out.join(left, list(panel.keys), "left")
     else:  # a pass over the rows less
-        out = out.select("*", _empty().alias("resid"), F.array(F.struct(F.lit(0.0).alias("e"))).alias("_tail"))
+        out = out.withColumn("resid", _empty())
     out = _ahead(out, panel, covariates, steps) if extra else out.withColumn("_future", F.lit(None).cast("array<array<double>>"))
     # the last values of each difference, latest first
     series = F.col("ys")
@@ -294,21 +286,58 @@ def _autoregression(df: DataFrame, panel: Panel, rows: DataFrame, lags: int, dif
         series = F.zip_with(F.slice(series, 2, F.greatest(F.size(series) - 1, F.lit(0))), F.slice(series, 1, F.greatest(F.size(series) - 1, F.lit(0))), lambda a, b: a - b)
     window = F.slice(F.reverse(series), 1, lags)
     tail = F.array(*tails) if tails else _empty()
-    shocks = F.transform("_tail", lambda r: F.coalesce(r["e"], F.lit(0.0)))
-    out = out.withColumn("state", F.when(F.col("coef").isNotNull() & (F.size("ys") >= lags + difference), F.struct(window.alias("w"), tail.alias("tail"), shocks.alias("m"), "coef", F.col("_future").alias("future"))))
+    out = out.withColumn("state", F.when(F.col("coef").isNotNull() & (F.size("ys") >= lags + difference), F.struct(window.alias("w"), tail.alias("tail"), "coef", F.col("_future").alias("future"))))
 
     def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
         x = F.concat(F.get(s["future"], k.cast("int") - 1), s["w"]) if extra else s["w"]
-        v = dot(s["coef"], F.concat(x, s["m"]) if errors else x) + e
+        v = dot(s["coef"], x) + e
         y, tail = v, []
         for d in range(difference - 1, -1, -1):
             y = F.get(s["tail"], F.lit(d)) + y
             tail.insert(0, y)
         w = F.slice(F.concat(F.array(v), s["w"]), 1, lags)
-        m = F.slice(F.concat(F.array(e), s["m"]), 1, errors) if errors else s["m"]
-        return y, F.struct(w.alias("w"), (F.array(*tail) if tail else _empty()).alias("tail"), m.alias("m"), s["coef"].alias("coef"), s["future"].alias("future"))
+        return y, F.struct(w.alias("w"), (F.array(*tail) if tail else _empty()).alias("tail"), s["coef"].alias("coef"), s["future"].alias("future"))
+
+    return out, advance, lags + difference + 2
+
+
+def _arma(df: DataFrame, panel: Panel, rows: DataFrame, orders: list[tuple[int, int]], d: int | None, covariates: DataFrame | None, steps: int) -> tuple[DataFrame, Advance, int]:
+    """Autoregressions with lagged errors (and covariates) by conditional least squares; of several ``orders`` (p, q), and of differences without ``d``, the best by series.
+
+    Series are batched in their packed rows; see ``arma``. The model is kept for
+    the values themselves, whatever its differences.
+    """
+    extra, most = _extra(covariates, panel), 2 if d is None else d
+    if extra:
+        made = _with_covariates(panel.checked(rows), panel, covariates)
+        own = F.struct(F.col(panel.time).alias("t"), F.array(*[F.col(f"_c_{c}") for c in extra]).alias("x"))
+        past = made.groupBy(*panel.keys).agg(F.transform(F.array_sort(F.collect_list(own)), lambda v: v["x"]).alias("_xs"))
+        df = _ahead(df.join(past, list(panel.keys), "left"), panel, covariates, steps)
+    else:
+        df = df.select("*", F.lit(None).cast("array<array<double>>").alias("_xs"), F.lit(None).cast("array<array<double>>").alias("_future"))
+    lags, errors = max(p for p, _ in orders) + most, max(q for _, q in orders)
+
+    @F.pandas_udf("coef array<double>, order array<int>, resid array<double>, shocks array<double>")
+    def solve(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
+        values = [np.asarray(v, float) for v in ys]
+        given = [np.asarray([list(r) for r in v], float).reshape(-1, len(extra)) if v is not None else np.zeros((0, len(extra))) for v in xs] if extra else []
+        good = [i for i, v in enumerate(values) if not np.isnan(v).any() and (not extra or len(given[i]) == len(v) and not np.isnan(given[i]).any())]
+        out: list[tuple] = [(None, None, None, None)] * len(values)
+        for i, found in zip(good, arma.searched([values[i] for i in good], [given[i] for i in good] if extra else [], orders, d, most) if good else [], strict=True):
+            out[i] = found
+        return pd.DataFrame(out, columns=["coef", "order", "resid", "shocks"])
+
+    out = df.withColumn("_f", solve("ys", "_xs")).select("*", "_f.coef", "_f.order", F.col("_f.resid").alias("resid"), F.col("_f.shocks").alias("_m")).drop("_f", "_xs")
+    state = F.struct(F.slice(F.reverse("ys"), 1, lags).alias("w"), F.col("_m").alias("m"), "coef", F.col("_future").alias("future")) if lags else F.struct(_empty().alias("w"), F.col("_m").alias("m"), "coef", F.col("_future").alias("future"))
+    out = out.withColumn("state", F.when(F.col("coef").isNotNull() & (F.size("ys") >= lags), state))
 
-    return out, advance, max(lags, long) + difference + errors + 2
+    def advance(s: Column, k: Column, e: Column) -> tuple[Column, Column]:
+        x = F.concat(F.get(s["future"], k.cast("int") - 1), s["w"], s["m"]) if extra else F.concat(s["w"], s["m"])
+        y = _line(s["coef"], x, len(extra) + lags + errors) + e
+        w, m = (F.slice(F.concat(F.array(v), s[c]), 1, n) if n else s[c] for v, c, n in ((y, "w", lags), (e, "m", errors)))
+        return y, F.struct(w.alias("w"), m.alias("m"), s["coef"].alias("coef"), s["future"].alias("future"))
+
+    return out, advance, lags + errors + len(extra) + 4
 
 
 def prophet(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame | None = None, steps: int = 1, changepoints: int = 5, yearly: int = 3, weekly: int = 2, resid: bool = False) -> tuple[DataFrame, Advance, int]:
@@ -353,7 +382,7 @@ def prophet(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame
 
 UNIVARIATE = ("fast_fourier_transform", "exponential_smoothing", "arima_univariate", "four_theta", "theta", "croston", "autoarima_univariate")
 MULTIVARIATE = ("regressor", "regressor_darts", "arima", "autoarima", "statsforecast_autoarima", "kalman", "random_forest", "lgbm", "prophet")
-PROBABILISTIC = ("exponential_smoothing", "arima_univariate", "regressor", "arima", "kalman", "statsforecast_autoarima", "prophet")
+PROBABILISTIC = ("exponential_smoothing", "arima_univariate", "regressor", "arima", "kalman", "statsforecast_autoarima", "prophet", "random_forest", "lgbm")
 
 
 def model_info() -> dict[str, dict[str, bool]]:
@@ -373,7 +402,7 @@ def _options(name: str) -> set[str]:
         return {"lags", "trees", "depth", "seed"}
     if found := _PLAIN.get(name) or _KNOWING.get(name):
         return set(inspect.signature(found).parameters) - {"df", "panel", "rows", "covariates", "steps", "resid"}
-    return {"p", "d"} if "auto" in name else {"p", "d", "q"}
+    return {"p", "d", "q"}
 
 
 def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Mapping, covariates: DataFrame | None, steps: int, resid: bool) -> tuple[DataFrame, Advance, int]:
@@ -382,9 +411,14 @@ def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Map
     if name in _KNOWING:
         return _KNOWING[name](df, panel, rows, covariates, steps, resid=resid, **options)
     if name in ("regressor", "regressor_darts"):
-        return _autoregression(df, panel, rows, options.get("lags", 7), 0, 0, False, covariates, steps, resid)
-    lags = options.get("p", 12 if name in ("arima_univariate", "arima") else 5)
-    return _autoregression(df, panel, rows, lags, options.get("d", 1), options.get("q", 0), "auto" in name, covariates, steps, resid)
+        return _autoregression(df, panel, rows, options.get("lags", 7), 0, covariates, steps, resid)
+    if "auto" in name:  # every order up to p and q; differences by a test, unless given
+        orders = [(p, q) for p in range(options.get("p", 5) + 1) for q in range(options.get("q", 2) + 1)]
+        return _arma(df, panel, rows, sorted(orders, key=sum), options.get("d"), covariates, steps)
+    lags, difference, errors = options.get("p", 12), options.get("d", 1), options.get("q", 0)
+    if errors:
+        return _arma(df, panel, rows, [(lags, errors)], difference, covariates, steps)
+    return _autoregression(df, panel, rows, lags, difference, covariates, steps, resid)
 
 
 def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: Mapping | None = None, covariates: DataFrame | None = None, samples: int | None = None, lower: float = 0.25, upper: float = 0.75, seed: int = 7, dry_run: bool = False) -> DataFrame:
@@ -418,7 +452,7 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
     if unknown := sorted(set(options or {}) - _options(model)):
         raise OptionError(f"{model} has no options {unknown}; it has {sorted(_options(model))}")
     if model in ("random_forest", "lgbm"):
-        return _trees(df, panel, model, steps, covariates, **(options or {}))
+        return _trees(df, panel, model, steps, covariates, band=(lower, upper) if samples else None, samples=samples or 0, draw=seed, **(options or {}))
     rows = packed(df, panel)
     fit, advance, least = _model(model, rows, panel, df, dict(options or {}), covariates, steps, samples is not None)
     bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") < least, F.concat(F.lit(f"series under {least} rows: "), F.col("n").cast("string")))
@@ -450,8 +484,39 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
     return out.unionByName(failed, allowMissingColumns=True)
 
 
-def _trees(df: DataFrame, panel: Panel, model: str, steps: int, covariates: DataFrame | None = None, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
-    """One tree ensemble for all regular series, on their lags and covariates; each step is predicted from the ones before."""
+#: Groups of predictions, and the errors that each of them keeps.
+LEAVES, KEPT = 16, 200
+
+
+def _leaves(errors: DataFrame) -> tuple[Callable[[Column], Column], Column]:
+    """(the group of a prediction, each group's errors at even shares) of rows ``_y``, ``_e``; LEAVES * KEPT numbers in all.
+
+    Groups start between quantiles of the predictions and have their means as
+    centres; a prediction is of the group with the nearest centre.
+    """
+    ends = quantiles(errors.withColumn("_g", F.lit(0)), ["_g"], F.col("_y"), [k / LEAVES for k in range(1, LEAVES)]).first()["_q"]
+    bounds = F.array(*[F.lit(float(b)) for b in sorted(set(ends))])
+    means = errors.groupBy(F.size(F.filter(bounds, lambda b: b < F.col("_y"))).alias("_g")).agg(F.avg("_y")).collect()
+    centres = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(m)).alias("m")) for i, (_, m) in enumerate(sorted(means))])
+
+    def group(y: Column) -> Column:
+        return F.array_min(F.transform(centres, lambda c: F.struct(F.abs(y - c["m"]).alias("d"), c["i"].alias("i"))))["i"]
+
+    shares = [(k + 0.5) / KEPT for k in range(KEPT)]
+    kept = {r["_g"]: r["_q"] for r in quantiles(errors.withColumn("_g", group(F.col("_y"))), ["_g"], F.col("_e"), shares).collect()}
+    near = [kept[min(kept, key=lambda g: (abs(g - k), g))] for k in range(len(means))]  # an empty group takes a neighbour's
+    return group, F.array(*[F.array(*[F.lit(float(e)) for e in g]) for g in near])
+
+
+def _trees(df: DataFrame, panel: Panel, model: str, steps: int, covariates: DataFrame | None = None, lags: int = 7, trees: int = 20, depth: int = 5, seed: int = 1, band: tuple[float, float] | None = None, samples: int = 0, draw: int = 7) -> DataFrame:
+    """One tree ensemble for all regular series, on their lags and covariates; each step is predicted from the ones before.
+
+    With a ``band``, ``samples`` paths of each series are followed as well. What a
+    step adds to its prediction is drawn from the errors of held-out rows (every
+    fifth, by a hash of series and time, that a second ensemble has not seen)
+    whose predictions fall in the same of LEAVES groups: each keeps the quantiles
+    of its errors, as a leaf would.
+    """
     w, keys, extra = panel.ordered(), list(panel.keys), _extra(covariates, panel)
     names = [*[f"_l{k}" for k in range(1, lags + 1)], *[f"_c_{c}" for c in extra]]
     rows = packed(df, panel)
@@ -469,7 +534,8 @@ def _trees(df: DataFrame, panel: Panel, model: str, steps: int, covariates: Data
         return none
     kind = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed) if model == "random_forest" else GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
     kind = kind.setFeaturesCol("_x").setLabelCol(panel.target).setPredictionCol("_y")
-    fit = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), kind]).fit(train)
+    whole = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_x"), kind])
+    fit = whole.fit(train)
     held = ["last", *(["_future"] if extra else [])]
     now = good.select(*keys, *held, F.slice(F.reverse("ys"), 1, lags).alias("_w"), _empty().alias("_out"))
     for k in range(steps):
@@ -477,7 +543,23 @@ def _trees(df: DataFrame, panel: Panel, model: str, steps: int, covariates: Data
         made = fit.transform(now.select("*", *[F.get("_w", F.lit(i)).alias(n) for i, n in enumerate(names[:lags])], *given))
         now = made.select(*keys, *held, F.slice(F.concat(F.array("_y"), "_w"), 1, lags).alias("_w"), F.concat("_out", F.array("_y")).alias("_out"))
     out = now.select(*keys, F.col("last").alias(panel.time), F.posexplode("_out").alias("_k", "predictions"))
-    out = out.withColumn(panel.time, panel.moved(F.col("_k") + 1)).drop("_k").withColumn("error", F.lit(None).cast("string")).withColumn("type_error", F.lit(None).cast("string"))
+    out = out.withColumn(panel.time, panel.moved(F.col("_k") + 1))
+    if band:
+        apart = F.pmod(F.xxhash64(*keys, panel.time, F.lit(draw)), F.lit(5)) == 0
+        unseen = train.where(apart)
+        second = fit if unseen.isEmpty() or train.where(~apart).isEmpty() else whole.fit(train.where(~apart))
+        group, leaves = _leaves(second.transform(train if second is fit else unseen).select("_y", (F.col(panel.target) - F.col("_y")).alias("_e")))
+        share = lambda k: F.pmod(F.xxhash64(*keys, "_s", F.lit(k), F.lit(draw)), F.lit(1 << 30)) / float(1 << 30)
+        paths = good.select(*keys, *held, F.slice(F.reverse("ys"), 1, lags).alias("_w"), _empty().alias("_out"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("_s"))
+        for k in range(steps):
+            given = [F.get(F.get("_future", F.lit(k)), F.lit(j)).alias(f"_c_{c}") for j, c in enumerate(extra)]
+            made = fit.transform(paths.select("*", *[F.get("_w", F.lit(i)).alias(n) for i, n in enumerate(names[:lags])], *given))
+            leaf = F.get(leaves, group(F.col("_y")))
+            y = F.col("_y") + F.get(leaf, F.floor(share(k) * F.size(leaf)).cast("int"))
+            paths = made.select(*keys, *held, "_s", F.slice(F.concat(F.array(y), "_w"), 1, lags).alias("_w"), F.concat("_out", F.array(y)).alias("_out"))
+        drawn = paths.select(*keys, F.posexplode("_out").alias("_k", "_y"))
+        out = out.join(drawn.groupBy(*keys, "_k").agg(*[F.percentile("_y", F.lit(q)).alias(f"{n}_quantile_{q}") for n, q in zip(("lower", "upper"), band, strict=True)]), [*keys, "_k"])
+    out = out.drop("_k").withColumn("error", F.lit(None).cast("string")).withColumn("type_error", F.lit(None).cast("string"))
     return out.unionByName(failed, allowMissingColumns=True)
 
 
@@ -485,12 +567,21 @@ def forecast_by_class(df: DataFrame, panel: Panel, classes: DataFrame, models: M
     """Forecasts with a model for each class of ``classes`` (keys, classification).
 
     ``models`` maps a class to {"model": name, "options": {...}}; covariates go to
-    the models that take them. Series without a class are left out.
+    the models that take them. A class without a model is an error; series
+    without a class are left out. Rows and classes are joined once, and classes
+    with the same model and options are forecast together.
     """
-    joined = df.join(classes.select(*panel.keys, "classification"), list(panel.keys))
-    out = None
+    known = F.col("classification").isin(*models)
+    checked = classes.withColumn("classification", F.when(known, F.col("classification")).otherwise(F.raise_error(F.concat(F.lit("no model for class "), F.coalesce("classification", F.lit("null"))))))
+    passes: dict[str, tuple[Mapping, list[str]]] = {}
     for name, spec in models.items():
+        passes.setdefault(repr((spec["model"], sorted((spec.get("options") or {}).items(), key=str))), (spec, []))[1].append(name)
+    joined = df.join(checked.select(*panel.keys, "classification"), list(panel.keys))
+    if len(passes) > 1:
+        joined = settled(joined)
+    out = None
+    for spec, names in passes.values():
         takes = covariates if model_info().get(spec["model"], {}).get("covariates") else None
-        part = forecast(joined.where(F.col("classification") == name).drop("classification"), panel, spec["model"], steps, spec.get("options"), takes)
-        out = part if out is None else out.unionByName(part)
+        part = forecast(joined.where(F.col("classification").isin(*names)).drop("classification"), panel, spec["model"], steps, spec.get("options"), takes)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
