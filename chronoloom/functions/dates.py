@@ -13,9 +13,9 @@ from chronoloom.series import Panel, regularity
 #: A feature needs more rows than these, by frequency, to be seen in all its values.
 ROWS = {
     "month": {"D": 365, "7D": 52, "H": 8784, "0.5H": 17568},
-    "week": {"D": 31, "7D": 4, "H": 744, "0.5H": 1484},
+    "week": {"D": 31, "7D": 4, "H": 744, "0.5H": 1488},
     "dayofweek": {"D": 6, "H": 168, "0.5H": 336},
-    "dayofmonth": {"D": 31, "7D": 4, "H": 744, "0.5H": 1484},
+    "dayofmonth": {"D": 31, "7D": 4, "H": 744, "0.5H": 1488},
     "weekofyear": {"D": 365, "7D": 52, "H": 8784, "0.5H": 17568},
 }
 #: The frequencies at which the time of day has a sense.

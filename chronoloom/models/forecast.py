@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Mapping
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.errors import CovariateError, CovariateNamesError, NotProbabilisticModelError, OptionError, QuantilesError, SeriesError, StepsError
-from chronoloom.models import arma
+from chronoloom.models import arma, statespace
 from chronoloom.models.linear import fitted
 from chronoloom.models.regressor import regressed
 from chronoloom.scans import quantiles, settled
@@ -232,6 +233,34 @@ def kalman(df: DataFrame, panel: Panel, rows: DataFrame, covariates: DataFrame |
     return _best(df, _grid(ratio=ratios or [0.0, 0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]), fold, resid), advance, 3 + len(extra)
 
 
+def _level_and_slope(df: DataFrame, panel: Panel, steps: int, band: tuple[float, float] | None, rounds: int) -> DataFrame:
+    """The state space of ``statespace``: nulls inside a series are times without a value; bands are normal, by the variance in closed form."""
+    keys = list(panel.keys)
+
+    @F.pandas_udf("array<struct<m:double,v:double>>")
+    def ahead(ys: pd.Series) -> pd.Series:
+        values = [np.asarray(v, float) for v in ys]
+        width = max(map(len, values))
+        y, known = np.zeros((len(values), width)), np.zeros((len(values), width), bool)
+        for row, v in enumerate(values):
+            known[row, width - len(v) :] = ~np.isnan(v)
+            y[row, width - len(v) :] = np.nan_to_num(v)
+        means, variances = statespace.ahead(y, known, steps, rounds)
+        return pd.Series([[{"m": float(a), "v": float(b)} for a, b in zip(*r, strict=True)] for r in zip(means, variances, strict=True)])
+
+    rows = packed(df, panel)
+    few = F.col("n") - F.col("nulls") < 5
+    bad = F.when(few, "series under 5 values").when(~F.col("regular"), "series with gaps or duplicates")
+    rows = rows.withColumn("error", bad)
+    last = F.lit(None).cast("string")
+    out = rows.where("error is null").select(*keys, F.col("last").alias(panel.time), ahead("ys").alias("_p")).select(*keys, panel.time, F.posexplode_outer("_p").alias("_k", "_f"))
+    out = out.withColumn(panel.time, panel.moved(F.col("_k") + 1)).withColumn("predictions", F.col("_f.m"))
+    for name, share in zip(("lower", "upper"), band or (), strict=False):
+        out = out.withColumn(f"{name}_quantile_{share}", F.col("_f.m") + NormalDist().inv_cdf(min(max(share, 1e-12), 1 - 1e-12)) * F.sqrt("_f.v"))
+    failed = rows.where("error is not null").select(*keys, "error", F.lit("SeriesError").alias("type_error"))
+    return out.drop("_k", "_f").withColumn("error", last).withColumn("type_error", last).unionByName(failed, allowMissingColumns=True)
+
+
 def fast_fourier_transform(df: DataFrame, panel: Panel, frequencies: int = 10, resid: bool = False) -> tuple[DataFrame, Advance, int]:
     """A linear trend and the strongest ``frequencies`` waves of what it leaves."""
 
@@ -401,7 +430,7 @@ def _options(name: str) -> set[str]:
     if name in ("random_forest", "lgbm"):
         return {"lags", "trees", "depth", "seed"}
     if found := _PLAIN.get(name) or _KNOWING.get(name):
-        return set(inspect.signature(found).parameters) - {"df", "panel", "rows", "covariates", "steps", "resid"}
+        return ({"slope", "rounds"} if name == "kalman" else set()) | set(inspect.signature(found).parameters) - {"df", "panel", "rows", "covariates", "steps", "resid"}
     return {"p", "d", "q"}
 
 
@@ -409,7 +438,7 @@ def _model(name: str, df: DataFrame, panel: Panel, rows: DataFrame, options: Map
     if name in _PLAIN:
         return _PLAIN[name](df, panel, resid=resid, **options)
     if name in _KNOWING:
-        return _KNOWING[name](df, panel, rows, covariates, steps, resid=resid, **options)
+        return _KNOWING[name](df, panel, rows, covariates, steps, resid=resid, **{k: v for k, v in options.items() if k not in ("slope", "rounds")} if name == "kalman" else options)
     if name in ("regressor", "regressor_darts"):
         return _autoregression(df, panel, rows, options.get("lags", 7), 0, covariates, steps, resid)
     if "auto" in name:  # every order up to p and q; differences by a test, unless given
@@ -429,7 +458,8 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
     drawn from the model's residuals, by a hash of key, sample and step, and the
     two quantiles of each step are added. With ``dry_run``, the first series is
     forecast at once, and its error raised. The regressors take an ``estimator``
-    with fit and predict among their options; see ``regressed``.
+    with fit and predict among their options; see ``regressed``. ``kalman`` takes
+    ``slope``: level and slope by EM, with bands from the model's variance.
     """
     if model not in (*UNIVARIATE, *MULTIVARIATE):
         raise OptionError(f"model: one of {(*UNIVARIATE, *MULTIVARIATE)}, not {model!r}")
@@ -453,6 +483,10 @@ def forecast(df: DataFrame, panel: Panel, model: str, steps: int = 1, options: M
         raise OptionError(f"{model} has no options {unknown}; it has {sorted(_options(model))}")
     if model in ("random_forest", "lgbm"):
         return _trees(df, panel, model, steps, covariates, band=(lower, upper) if samples else None, samples=samples or 0, draw=seed, **(options or {}))
+    if model == "kalman" and (options or {}).get("slope"):
+        if covariates is not None:
+            raise CovariateError("kalman with a slope takes no covariates")
+        return _level_and_slope(df, panel, steps, (lower, upper) if samples else None, options.get("rounds", 60))
     rows = packed(df, panel)
     fit, advance, least = _model(model, rows, panel, df, dict(options or {}), covariates, steps, samples is not None)
     bad = F.when(F.col("nulls") > 0, "series with nulls").when(~F.col("regular"), "series with gaps or duplicates").when(F.col("n") < least, F.concat(F.lit(f"series under {least} rows: "), F.col("n").cast("string")))

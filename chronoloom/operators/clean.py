@@ -14,6 +14,8 @@ from chronoloom.series import Panel
 
 DUPLICATES = ("sum", "mean", "median", "mode")
 FILLS = ("zero", "mean", "median")
+#: Further methods' names, which stand for linear here.
+OTHERS = ("index", "values", "backfill", "zero", "slinear", "quadratic", "cubic", "spline", "barycentric", "polynomial", "krogh", "piecewise_polynomial", "pchip", "akima", "cubicspline", "from_derivatives")
 INTERPOLATIONS = ("linear", "time", "pad", "ffill", "bfill", "nearest")
 
 
@@ -48,6 +50,8 @@ def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int
     time, which is the same on a regular grid), pad or ffill, bfill, nearest.
     """
     if method not in INTERPOLATIONS:
+        if method not in OTHERS:
+            raise OptionError(f"interpolation: one of {(*INTERPOLATIONS, *OTHERS)}, not {method!r}")
         method = "linear"  # as for methods that fail
     y, blocks = F.col(panel.target), panel.blocks(df)
     w = blocks.local(panel.time)

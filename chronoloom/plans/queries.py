@@ -501,6 +501,8 @@ QUERIES["forecast_arima_errors"] = lambda spark, sf_dir: _out(models.forecast(_w
 QUERIES["forecast_holt_winters"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "exponential_smoothing", 4, {"season": 13}), digits=2)
 QUERIES["forecast_theta_seasonal"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "theta", 4, {"season": 13}), digits=2)
 QUERIES["probabilistic_exponential_smoothing"] = _forecast("exponential_smoothing", samples=20)
+QUERIES["probabilistic_kalman_slope"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "kalman", 4, {"slope": True}, samples=20), digits=2)
+QUERIES["forecast_autoarima_errors"] = lambda spark, sf_dir: _out(models.forecast(_weekly(spark, sf_dir), WEEKS, "autoarima_univariate", 4, {"p": 2, "q": 2}), digits=2)
 QUERIES["probabilistic_random_forest"] = _forecast("random_forest", samples=20)
 QUERIES["probabilistic_regressor"] = _forecast("regressor", samples=20)
 
