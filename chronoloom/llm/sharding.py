@@ -205,24 +205,39 @@ def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old: str = "old_shard") -
     return ranks.mapInArrow(place, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, old_shard int")
 
 
-def rewrite(docs: DataFrame, moves: DataFrame, path: str) -> DataFrame:
+def rewrite(docs: DataFrame, moves: DataFrame, path: str, text_column: str = "text", old_column: str = "old_shard") -> DataFrame:
     """Write the files of the shards that a resharding changes, and no others, under ``path``.
 
     A shard is affected if a row leaves or enters it; its files are replaced, and
     those of a shard left without rows are deleted. Files lie in a folder
     ``new_shard=N`` each, hold the rows by ``new_slot``, and as many as a task can
     take; these two names replace columns of ``docs``, all others stay. Returns the
-    affected shards (shard, rows). Rows are matched by doc_id, which must be unique
-    here. Nothing is affected if every row stays.
+    affected shards (shard, rows). Rows are matched by doc_id, text and size, and
+    rows that share all three by number, as either may take either's place; so
+    repeated rows and null ids are written once each. Nothing is affected if every
+    row stays.
     """
     spark = docs.sparkSession
     changed = moves.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
     affected = changed.select(F.explode(F.array("old_shard", "shard")).alias("shard")).where("shard >= 0").distinct()
     counts = affected.join(moves.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")), "shard", "left").fillna(0, ["rows"])
     counts = common.written(counts, "affected")
-    into = moves.select(F.col("doc_id").alias("moved_id"), F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot")).join(F.broadcast(affected.withColumnRenamed("shard", "new_shard")), "new_shard")  # as many rows as shards
     rest = docs.drop("new_shard", "new_slot")
-    placed = rest.join(into, rest["doc_id"].cast("long") == into["moved_id"]).select(*[rest[f"`{c}`"] for c in rest.columns], "new_slot", "new_shard")
+    marks = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), common.crc32_of(F.col(text_column)), F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long") + ROW_BYTES)
+    theirs = (marks[0], marks[1], F.col("text_crc32"), F.col("size"))
+
+    def numbered(df: DataFrame, by: tuple, marked: str, old_column: str) -> DataFrame:
+        named = df.select("*", *[c.alias(f"{marked}{i}") for i, c in enumerate(by)])
+        number = F.row_number().over(Window.partitionBy(*[f"{marked}{i}" for i in range(len(by))]).orderBy(F.coalesce(F.col(old_column), F.lit(-1))))  # copies of one row, shard by shard: a running count
+        return named.withColumn(f"{marked}{len(by)}", number)
+
+    ours = numbered(rest, marks, "_m", old_column)
+    into = numbered(moves.select("doc_id", "text_crc32", "size", "old_shard", F.col("shard").alias("new_shard"), F.col("slot").alias("new_slot")), theirs, "_t", "old_shard")
+    into = into.join(F.broadcast(affected.withColumnRenamed("shard", "new_shard")), "new_shard")  # as many rows as shards
+    same = F.lit(True)
+    for i in range(len(marks) + 1):
+        same = same & (ours[f"_m{i}"] == into[f"_t{i}"])
+    placed = ours.join(into, same).select(*[ours[f"`{c}`"] for c in rest.columns], into["new_slot"], into["new_shard"])
     ordered = placed.repartitionByRange("new_shard", "new_slot").sortWithinPartitions("new_shard", "new_slot")  # a large shard is many tasks
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(path)
     for r in counts.where("rows = 0").collect():  # a row a shard

@@ -539,6 +539,17 @@ def test_rewrite(spark, tmp_path):
     assert sharding.rewrite(now, sharding.reshard(now, 3), f"{tmp_path}/other").count() == 0
 
 
+def test_rewrite_keeps_repeated_rows(spark, tmp_path):
+    rows = [(k, f"t{k}", k % 5, k) for k in range(8)] + [(1, "t1", 1, 8), (1, "t1", 3, 9), (1, "other", 2, 10), (None, "n", 0, 11), (None, "n", 4, 12), (None, None, 4, 13), (-1, "n", 2, 14), (2, None, None, 15), (2, "", 3, 16), (3, "t3", 3, 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old_shard int, row int")
+    docs.where("old_shard is not null").withColumn("new_shard", F.col("old_shard")).withColumn("new_slot", F.lit(0)).write.partitionBy("new_shard").parquet(f"{tmp_path}/out")
+    moves = sharding.reshard(docs, 3)
+    sharding.rewrite(docs, moves, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["row"] for r in back) == list(range(18)) and all((r["doc_id"], r["text"]) == rows[r["row"]][:2] for r in back)
+    assert sorted((r["new_shard"], r["new_slot"]) for r in back) == sorted((r["shard"], r["slot"]) for r in moves.collect())
+
+
 def test_flow_moves_least():
     r = random.Random(3)
     for _ in range(30):
