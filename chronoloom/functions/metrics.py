@@ -1,4 +1,8 @@
-"""Accuracy measures as grouped aggregates: one window pass, one aggregation."""
+"""Accuracy measures as grouped aggregates: one window pass, one aggregation.
+
+Groups that may not fit a task get their lags from halo rows of blocks, their
+means and largest values by joins, and their medians by counted blocks.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
+from chronoloom.scans import Blocks, matched, quantiles, seconds
 
 EPS = 1e-10
 DEFAULT = ("mae", "mape", "mse", "rmse", "wmape")
@@ -70,28 +75,47 @@ METRICS = tuple(
 )
 
 
-def evaluated(df: DataFrame, actual: str, predicted: str, by: Sequence[str], order: str, metrics: Sequence[str] = DEFAULT, benchmark: str | int = 1, seasonality: int = 1) -> DataFrame:
+def _medians() -> dict[str, Column]:
+    """What the measures by medians take the median of."""
+    a, p, e = F.col("_a"), F.col("_p"), F.col("_e")
+    return {"mdae": F.abs(e), "mdape": F.abs("_pe"), "smdape": 2 * F.abs(e) / (F.abs(a) + F.abs(p) + EPS), "rmdspe": F.col("_pe") * F.col("_pe"), "mdrae": F.abs("_re")}
+
+
+def evaluated(df: DataFrame, actual: str, predicted: str, by: Sequence[str], order: str, metrics: Sequence[str] = DEFAULT, benchmark: str | int = 1, seasonality: int = 1, block: int | None = None) -> DataFrame:
     """One row a group with the measures asked for (``"all"``: all 31).
 
     ``benchmark`` is a column of benchmark forecasts or the lag of a naive one;
     ``seasonality`` is the lag of the scaled errors. Rows with a null actual or
     prediction are left out. The percentage error of an actual of 0 is 1, or 0
     where the error is 0; where all actuals of a group are 0 it is the error.
+    ``block`` asks for blocks of so many rows; without it sizes decide.
     """
     names = list(METRICS) if metrics == "all" else list(metrics)
     unknown = [m for m in names if m not in METRICS]
     if unknown:
         raise OptionError(f"unknown metrics {unknown}")
-    w = Window.partitionBy(*by)
-    o = w.orderBy(order)
     a, p, e = F.col("_a"), F.col("_p"), F.col("_e")
     rows = df.select(*by, order, F.col(actual).cast("double").alias("_a"), F.col(predicted).cast("double").alias("_p"), *([F.col(benchmark).cast("double").alias("_bench")] if isinstance(benchmark, str) else []))
     rows = rows.where(a.isNotNull() & p.isNotNull()).withColumn("_e", a - p)
+    blocks = Blocks(rows, by, seconds(F.col(order), rows.schema[order].dataType), block)
+    o = blocks.local(order)
+    whole = {"_mean": F.avg("_a"), "_zero": F.max(F.abs("_a")) == 0, "_exact": F.max(F.abs("_e")) == 0}
+    near = blocks.haloed([order], max(1, seasonality, benchmark if isinstance(benchmark, int) else 1))
     if not isinstance(benchmark, str):
-        rows = rows.withColumn("_bench", F.lag("_a", benchmark).over(o))
-    rows = rows.select("*", F.lag("_a", 1).over(o).alias("_a1"), F.lag("_p", 1).over(o).alias("_p1"), F.lag("_a", seasonality).over(o).alias("_as"), F.avg("_a").over(w).alias("_mean"), (F.max(F.abs("_a")).over(w) == 0).alias("_zero"), (F.max(F.abs("_e")).over(w) == 0).alias("_exact"))
+        near = near.withColumn("_bench", F.lag("_a", benchmark).over(o))
+    near = near.select("*", F.lag("_a", 1).over(o).alias("_a1"), F.lag("_p", 1).over(o).alias("_p1"), F.lag("_a", seasonality).over(o).alias("_as"))
+    if blocks.split:
+        rows = matched(near.where(~F.col("_halo")), rows.groupBy(*by).agg(*[c.alias(n) for n, c in whole.items()]), by)
+    else:
+        w = Window.partitionBy(*by)
+        rows = near.select("*", F.avg("_a").over(w).alias("_mean"), (F.max(F.abs("_a")).over(w) == 0).alias("_zero"), (F.max(F.abs("_e")).over(w) == 0).alias("_exact"))
     pe = F.when(F.col("_zero") & F.col("_exact"), 0.0).when(F.col("_zero"), F.abs(e)).when(a == 0, F.when(e == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide(F.abs(e), a))
     off = a - F.col("_bench")
     rows = rows.select("*", pe.alias("_pe"), F.try_divide(e, off + EPS).alias("_re"), (F.abs(e) / (F.abs(e) + F.abs(off) + EPS)).alias("_bre"), F.abs(a - F.col("_as")).alias("_naive"), F.when(F.col("_a1").isNotNull(), (F.signum(a - F.col("_a1")) == F.signum(p - F.col("_p1"))).cast("double")).alias("_same"))
     columns = _columns()
-    return rows.groupBy(*by).agg(*[columns[m].alias(m) for m in names])
+    middle = {m: c for m, c in _medians().items() if m in names} if blocks.split else {}
+    out = rows.groupBy(*by).agg(*[columns[m].alias(m) for m in names if m not in middle], F.lit(True).alias("_some"))
+    for m, c in middle.items():
+        value = F.get(f"_q_{m}", F.lit(0))
+        out = matched(out, quantiles(rows, by, c, (0.5,), f"_q_{m}", block), by).withColumn(m, F.sqrt(value) if m == "rmdspe" else value)
+    return out.select(*by, *names)

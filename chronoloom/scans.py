@@ -46,11 +46,11 @@ def seconds(time: Column, kind: T.DataType) -> Column:
 
 def matched(df: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """``df`` joined with ``stats`` by ``on``, where nulls match."""
-    named = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], *[c for c in stats.columns if c not in on])
+    named = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)], *[c for c in stats.columns if c not in on])
     same = F.lit(True)
     for i, k in enumerate(on):
-        same = same & df[k].eqNullSafe(named[f"_k{i}"])
-    return df.join(named, same, how).drop(*[f"_k{i}" for i in range(len(on))])
+        same = same & df[k].eqNullSafe(named[f"__k{i}"])
+    return df.join(named, same, how).drop(*[f"__k{i}" for i in range(len(on))])
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -73,16 +73,16 @@ def dealt(df: DataFrame, keys: Sequence[str], value: str, rows: int = ROWS) -> D
 
     out, total, hot = df.withColumn("_block", F.lit(0).cast("long")), None, []
     for level in range(LEVELS):
-        cells = out.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        cells = out.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
         if total is None:
             total = cells.agg(F.sum("_n")).first()[0] or 0
-        hot = cells.where((F.col("_n") > max(rows, total // SHARE)) & (F.col("_lo") < F.col("_hi"))).drop("_n").collect()
+        hot = cells.where((F.col("_n") > max(rows, total // SHARE)) & (F.col("__lo") < F.col("__hi"))).drop("_n").collect()
         if not hot:
             break
         ranges = F.broadcast(df.sparkSession.createDataFrame(hot, cells.drop("_n").schema))
-        at, low, high = (F.coalesce(scaled(c, level), F.lit(0.0)) for c in (value, "_lo", "_hi"))
+        at, low, high = (F.coalesce(scaled(c, level), F.lit(0.0)) for c in (value, "__lo", "__hi"))
         place = F.floor(F.try_divide(at - low, high - low) * FAN)
-        out = matched(out, ranges, [*keys, "_block"]).withColumn("_block", F.col("_block") * FAN + F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(FAN - 1)), F.lit(0))).drop("_lo", "_hi")
+        out = matched(out, ranges, [*keys, "_block"]).withColumn("_block", F.col("_block") * FAN + F.coalesce(F.least(F.greatest(place, F.lit(0)), F.lit(FAN - 1)), F.lit(0))).drop("__lo", "__hi")
     return out
 
 
@@ -96,7 +96,7 @@ class Blocks:
     def __init__(self, df: DataFrame, keys: Sequence[str], value: Column, block: int | None = None):
         self.keys = list(keys)
         self.split = block is not None or not small(df)
-        self.rows = dealt(settled(df.withColumn("_value", value.cast("double"))), self.keys, "_value", block or ROWS).drop("_value") if self.split else df
+        self.rows = dealt(settled(df.withColumn("__value", value.cast("double"))), self.keys, "__value", block or ROWS).drop("__value") if self.split else df
 
     @property
     def by(self) -> list[str]:
@@ -130,12 +130,12 @@ class Blocks:
                 continue
             turn = [F.col(c).asc() if up else F.col(c).desc() for c in order]
             back = [F.col(c).desc() if up else F.col(c).asc() for c in order]
-            edge = self.rows.withColumn("_e", F.row_number().over(Window.partitionBy(*self.by).orderBy(*back))).where(F.col("_e") <= n).drop("_e")
+            edge = self.rows.withColumn("__e", F.row_number().over(Window.partitionBy(*self.by).orderBy(*back))).where(F.col("__e") <= n).drop("__e")
             along = Window.partitionBy(*self.keys).orderBy(F.col("_block").asc() if up else F.col("_block").desc(), *turn)
-            met = edge.select(*self.by, F.collect_list(F.struct(*[F.col(c) for c in names if c != "_block"])).over(along.rowsBetween(-n, -1)).alias("_p"), F.lag("_block").over(along).alias("_b"))
+            met = edge.select(*self.by, F.collect_list(F.struct(*[F.col(c) for c in names if c != "_block"])).over(along.rowsBetween(-n, -1)).alias("__p"), F.lag("_block").over(along).alias("__b"))
             # the first edge row of a block stands behind the n last rows of all blocks before
-            halo = met.where(F.col("_b") != F.col("_block")).select(*self.by, F.explode("_p").alias("_p"))
-            out = out.unionByName(halo.select(*[F.col("_block") if c == "_block" else F.col(f"_p.{c}").alias(c) for c in names], F.lit(True).alias("_halo")))
+            halo = met.where(F.col("__b") != F.col("_block")).select(*self.by, F.explode("__p").alias("__p"))
+            out = out.unionByName(halo.select(*[F.col("_block") if c == "_block" else F.col(f"__p.{c}").alias(c) for c in names], F.lit(True).alias("_halo")))
         return out
 
 

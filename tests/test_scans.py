@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom import scans
-from chronoloom.functions import lags
+from chronoloom.functions import lags, metrics
 from chronoloom.operators import clean, outliers
 from chronoloom.series import Panel
 
@@ -176,3 +176,8 @@ def test_isolation_forest_by_ranges(spark):
         assert inside == (2.0 ** (-depth / float(outliers._usual(np.array(64)))) >= 0.6)
     again = outliers.isolation_forest(df.repartition(7), PLAIN).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_measures_in_blocks(spark, series):
+    rows = series.withColumn("p", F.col("y") * 0.9 + 1)
+    same(spark, *[metrics.evaluated(rows, "y", "p", ["k"], "ds", "all", 2, 3, b) for b in (None, 60)])
