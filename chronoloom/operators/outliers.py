@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
-from chronoloom.models.linear import fitted
+from chronoloom.models.linear import fitted, vector_fitted
 from chronoloom.scans import Blocks, matched, quantiles
 from chronoloom.series import Panel
 
@@ -127,6 +129,36 @@ def residual(df: DataFrame, panel: Panel, times: float = 1.0, order: int = 1, se
     return _with(squared, tops, panel).select(*df.columns, _marks(F.col("_e").isNull() | F.col("_top").isNull() | (F.col("_e") < F.col("_top"))))
 
 
+def joint_residual(df: DataFrame, panel: Panel, columns: Sequence[str], times: float = 1.0, order: int = 1) -> DataFrame:
+    """Outliers of several columns at once, by a vector autoregression of up to ``order`` lags (see ``vector_fitted``).
+
+    A row's distance is that of its residuals, squared, by their inverse
+    covariance; outliers have one of at least mean + ``times`` standard
+    deviations. Rows without all lags, and series too short or without spread,
+    have inliers. ``df`` keeps all its columns; series are in blocks where long.
+    """
+    if order < 1 or not columns:
+        raise OptionError("a vector autoregression needs an order of at least 1 and a column")
+    blocks = panel.blocks(df)
+    w, m = blocks.local(panel.time), len(columns)
+    lags = [[f"_l{k}_{i}" for i in range(m)] for k in range(1, order + 1)]
+    near = blocks.haloed([panel.time], order)
+    rows = near.select("*", *[F.lag(F.col(c).cast("double"), k).over(w).alias(lags[k - 1][i]) for k in range(1, order + 1) for i, c in enumerate(columns)]).where(~F.col("_halo"))
+    flat = [c for lag in lags for c in lag]
+    model = vector_fitted(rows, panel.keys, [F.col(c) for c in columns], [[F.col(c) for c in lag] for lag in lags])
+    rows = _with(rows, model, panel)
+
+    def left(i: int, c: str) -> Column:
+        coef = F.get("coef", F.lit(i))
+        return sum((F.get(coef, F.lit(j + 1)) * F.col(x) for j, x in enumerate(flat)), F.get(coef, F.lit(0))) * -1 + F.col(c).cast("double")
+
+    rows = rows.select("*", *[left(i, c).alias(f"_r{i}") for i, c in enumerate(columns)])
+    far = sum((F.col(f"_r{i}") * F.get(F.get("inverse", F.lit(i)), F.lit(j)) * F.col(f"_r{j}") for i in range(m) for j in range(m)), F.lit(0.0))
+    rows = rows.withColumn("_e", far)
+    tops = rows.groupBy(*panel.keys).agg((F.avg("_e") + times * F.stddev_samp("_e")).alias("_top"))
+    return _with(rows, tops, panel).select(*df.columns, _marks(F.col("_e").isNull() | F.col("_top").isNull() | (F.col("_e") < F.col("_top"))))
+
+
 def stationary(df: DataFrame, panel: Panel, critical: float = CRITICAL[0.05], lags: int = 0) -> DataFrame:
     """One row a series: the (augmented, with ``lags``) Dickey-Fuller statistic of its differences on its levels, and whether it is at most ``critical``."""
     y, w = F.col(panel.target), panel.ordered()

@@ -170,6 +170,20 @@ def outlier_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(outliers.residual(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))
 
 
+_PAIR = "SELECT l_returnflag AS k, CAST(l_shipdate AS DATE) AS ds, sum(CAST(l_quantity AS DOUBLE)) AS a, sum(CAST(l_extendedprice AS DOUBLE)) AS b FROM lineitem GROUP BY ALL"
+
+
+@query("outlier_joint", f"""WITH p AS (SELECT *, lag(a) OVER w AS x, lag(b) OVER w AS z FROM ({_PAIR}) WINDOW w AS (PARTITION BY k ORDER BY ds)),
+  m AS (SELECT k, avg(a) AS ma, avg(b) AS mb, avg(x) AS mx, avg(z) AS mz, covar_pop(x, x) AS xx, covar_pop(x, z) AS xz, covar_pop(z, z) AS zz, covar_pop(a, x) AS ax, covar_pop(a, z) AS az, covar_pop(b, x) AS bx, covar_pop(b, z) AS bz FROM p WHERE x IS NOT NULL GROUP BY k),
+  r AS (SELECT p.*, a - ma - ((ax * zz - az * xz) * (x - mx) + (az * xx - ax * xz) * (z - mz)) / (xx * zz - xz * xz) AS r, b - mb - ((bx * zz - bz * xz) * (x - mx) + (bz * xx - bx * xz) * (z - mz)) / (xx * zz - xz * xz) AS q FROM p JOIN m USING (k)),
+  s AS (SELECT k, covar_pop(r, r) AS rr, covar_pop(r, q) AS rq, covar_pop(q, q) AS qq FROM r GROUP BY k), e AS (SELECT r.*, (r * r * qq - 2 * r * q * rq + q * q * rr) / (rr * qq - rq * rq) AS e FROM r JOIN s USING (k)),
+  t AS (SELECT *, avg(e) OVER (PARTITION BY k) + stddev_samp(e) OVER (PARTITION BY k) AS top FROM e) SELECT k, ds, round(a, 2) AS a, round(b, 2) AS b, CASE WHEN e IS NULL OR e < top THEN 1 ELSE -1 END AS inlier FROM t""")
+def outlier_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which quantity and price of a return flag leave their joint course."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("k"), F.to_date("l_shipdate").alias("ds")).agg(F.sum(F.col("l_quantity").cast("double")).alias("a"), F.sum(F.col("l_extendedprice").cast("double")).alias("b"))
+    return _out(outliers.joint_residual(rows, P, ["a", "b"]), digits=2)
+
+
 @query("stationarity", f"WITH {_sql('orders')}, d AS ({MERGED['sum']}), p AS (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY ds) AS x FROM d), f AS (SELECT k, regr_slope(y - x, x) AS b, regr_sxx(y - x, x) AS sxx, regr_syy(y - x, x) AS syy, regr_sxy(y - x, x) AS sxy, regr_count(y - x, x) AS n FROM p GROUP BY k) SELECT k, round(b / sqrt((syy - b * sxy) / ((n - 2) * sxx)), 4) AS statistic, b / sqrt((syy - b * sxy) / ((n - 2) * sxx)) <= -2.86 AS stationary FROM f")
 def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(outliers.stationary(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P))

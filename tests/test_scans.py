@@ -181,3 +181,27 @@ def test_isolation_forest_by_ranges(spark):
 def test_measures_in_blocks(spark, series):
     rows = series.withColumn("p", F.col("y") * 0.9 + 1)
     same(spark, *[metrics.evaluated(rows, "y", "p", ["k"], "ds", "all", 2, 3, b) for b in (None, 60)])
+
+
+def test_joint_residuals_are_numpys(spark):
+    """Lags by Akaike's criterion, distances by the residual covariance; blocks change nothing."""
+    random_ = np.random.default_rng(6)
+    n = 300
+    v = np.zeros((n, 2))
+    for t in range(2, n):
+        v[t] = [[0.5, 0.2], [0.1, 0.3]] @ v[t - 1] + [[-0.3, 0.0], [0.2, -0.4]] @ v[t - 2] + random_.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]])
+    v[150] += [4, -4]
+    rows = [("a", DAY + datetime.timedelta(days=i), float(x), float(y), "z") for i, (x, y) in enumerate(v)] + [("b", DAY, 1.0, 2.0, "z"), ("b", DAY + datetime.timedelta(days=1), None, 2.0, "z")]
+    df = spark.createDataFrame(rows, "k string, ds date, y double, u double, inverse_ string")
+    found = outliers.joint_residual(df, PLAIN, ["y", "u"], 2.0, 4)
+    top, scores = 4, []
+    for k in range(1, top + 1):
+        x = np.column_stack([np.ones(n - top), *[v[top - j : n - j] for j in range(1, k + 1)]])
+        b = np.linalg.lstsq(x, v[top:], rcond=None)[0]
+        e = v[top:] - x @ b
+        scores.append((np.linalg.slogdet(e.T @ e / len(e))[1] + 2 * 4 * k / len(e), k, e, b))
+    _, k, e, _ = min(scores, key=lambda s: s[0])
+    d = np.einsum("ni,ij,nj->n", e, np.linalg.inv(e.T @ e / len(e)), e)
+    want = {DAY + datetime.timedelta(days=int(i) + top) for i in np.flatnonzero(d >= d.mean() + 2 * d.std(ddof=1))}
+    assert {r["ds"] for r in found.collect() if r["inlier"] == -1} == want and DAY + datetime.timedelta(days=150) in want and k == 2
+    same(spark, found, outliers.joint_residual(df, BLOCKED, ["y", "u"], 2.0, 4))
