@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
 from chronoloom.operators import outliers
-from chronoloom.scans import matched, quantiles, small
+from chronoloom.scans import fits, matched, quantiles
 from chronoloom.series import Panel
 
 DUPLICATES = ("sum", "mean", "median", "mode")
@@ -84,7 +84,7 @@ def filled(df: DataFrame, panel: Panel, how: str = "mean") -> DataFrame:
     y = F.col(panel.target)
     if how == "zero":
         return df.withColumn(panel.target, F.coalesce(y, F.lit(0.0)))
-    if panel.block is None and small(df):
+    if fits(df, panel.block):
         return df.withColumn(panel.target, F.coalesce(y, (F.avg(y) if how == "mean" else F.median(y)).over(panel.by())))
     stats = df.groupBy(*panel.keys).agg(F.array(F.avg(y)).alias("_q")) if how == "mean" else quantiles(df, panel.keys, y, (0.5,), block=panel.block)
     return matched(df, stats, panel.keys).select(*panel.keys, panel.time, F.coalesce(y, F.get("_q", F.lit(0))).alias(panel.target))
@@ -128,6 +128,7 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
     ``on_all_null="drop"``. Times are ordered, so the result does not depend on
     the order of the input.
     """
+    panel = panel.sized(df)
     rows = panel.checked(df).withColumn("_known", F.col(panel.target).isNotNull().cast("int"))
     if outlier:
         marked = outliers.marked(rows, panel, outlier, **(outlier_options or {}))
@@ -135,7 +136,7 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
         rows = marked.withColumn(panel.target, F.when(worst == -1, None).otherwise(F.col(panel.target)))
     # rows of a bin meet first, with partial sums; windows then hold one row a bin
     merged = deduplicated(rows, panel, duplicates, F.sum("_known").alias("_known"))
-    if panel.block is None and small(merged):
+    if fits(merged, panel.block):
         merged = merged.withColumn("_values", F.sum("_known").over(panel.by()))
     else:
         merged = matched(merged, merged.groupBy(*panel.keys).agg(F.sum("_known").alias("_values")), panel.keys)

@@ -34,7 +34,7 @@ def iqr(df: DataFrame, panel: Panel, factor: float = 2.2) -> DataFrame:
 
 def modified_zscore(df: DataFrame, panel: Panel, threshold: float = 5.0) -> DataFrame:
     """Inliers have |0.6745 (y - median) / MAD| under ``threshold``; with MAD 0 the plain z-score counts, and a score of 0/0 passes."""
-    y = F.col(panel.target)
+    y, panel = F.col(panel.target), panel.sized(df)
     a = _with(df, df.groupBy(*panel.keys).agg(F.avg(y).alias("_avg"), F.stddev_pop(y).alias("_sd")), panel)
     a = _with(a, quantiles(df, panel.keys, y, (0.5,), "_m", panel.block), panel).withColumn("_m", F.get("_m", F.lit(0)))
     b = _with(a, quantiles(a, panel.keys, F.abs(y - F.col("_m")), (0.5,), "_mad", panel.block), panel).withColumn("_mad", F.get("_mad", F.lit(0)))
@@ -49,7 +49,7 @@ def rolling_window(df: DataFrame, panel: Panel, quantile: float = 0.9) -> DataFr
     those one width before; rows without a full window take the series' mean. Of
     a long series the sums start anew in each block, and a scan carries them on.
     """
-    y = F.col(panel.target)
+    y, panel = F.col(panel.target), panel.sized(df)
     known = df.where(y.isNotNull())
     blocks = panel.blocks(known)
     order = blocks.local(panel.time, panel.target)
@@ -187,7 +187,7 @@ def capped(df: DataFrame, panel: Panel, window: int = 14, quantile: float = 0.95
     A column ``amount`` that goes with the target (such as its value in money) is
     scaled by what is left of the target, and is 0 where the target is.
     """
-    y = F.coalesce(F.col(panel.target), F.lit(0.0))
+    y, panel = F.coalesce(F.col(panel.target), F.lit(0.0)), panel.sized(df)
     blocks = panel.blocks(df.withColumn(panel.target, y))
     order = blocks.local(panel.time).rowsBetween(-(window - 1), 0)
     full = F.count(panel.target).over(order) == window
@@ -207,6 +207,7 @@ def corrected(df: DataFrame, panel: Panel, eps: float = 2.0, threshold: float =
     """
     extra = [c for c in df.columns if c not in (*panel.keys, panel.time, panel.target)]
     panel.checked(df)
+    panel = panel.sized(df)
     rows = df.select(*panel.keys, panel.time, F.col(panel.target).cast("double").alias(panel.target), *extra)
     # each detector adds a flag to the rows themselves, so no copies of the rows are joined
     flags = modified_zscore(isolation_forest(dbscan(rows, panel, eps).drop("cluster").withColumnRenamed("inlier", "_d"), panel).withColumnRenamed("inlier", "_i"), panel, threshold).withColumnRenamed("inlier", "_z")

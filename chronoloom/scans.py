@@ -32,6 +32,11 @@ def small(df: DataFrame) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL
 
 
+def fits(df: DataFrame, block: int | None) -> bool:
+    """Whether plain windows will do: as ``block`` says (0: yes, a number of rows: no), else by size."""
+    return small(df) if block is None else block == 0
+
+
 def seconds(time: Column, kind: T.DataType) -> Column:
     """A time as a double that keeps its order: seconds, or days of a date. Texts all count as 0, as only their own order is known."""
     if isinstance(kind, T.DateType):
@@ -90,12 +95,12 @@ class Blocks:
     """``rows`` of series in order, in blocks where they are many; ``split`` says whether.
 
     ``rows`` must not hold null values of ``value``. ``block`` asks for blocks of
-    so many rows; without it the size of the plan decides.
+    so many rows (0: for none); without it the size of the plan decides.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], value: Column, block: int | None = None):
         self.keys = list(keys)
-        self.split = block is not None or not small(df)
+        self.split = not fits(df, block)
         self.rows = dealt(settled(df.withColumn("__value", value.cast("double"))), self.keys, "__value", block or ROWS).drop("__value") if self.split else df
 
     @property
@@ -145,7 +150,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequenc
     Where rows are many, they are counted by blocks of values; cumulative counts
     find the blocks that hold the wanted ranks, and only these are ordered.
     """
-    if block is None and small(df):
+    if fits(df, block):
         return df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(q)) for q in shares])).alias(name))
     rows = settled(df.select(*keys, value.cast("double").alias("_v")).where("_v is not null"))
     deal = dealt(rows, keys, "_v", block or ROWS)

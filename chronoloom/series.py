@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoloom.errors import ColumnNamesError, ColumnTypeError, OptionError
-from chronoloom.scans import Blocks, seconds
+from chronoloom.scans import ROWS, Blocks, seconds, small
 
 #: Frequency aliases and their seconds.
 ALIASES = {"D": 86400, "W": 604800, "H": 3600, "h": 3600, "T": 60, "min": 60, "S": 1, "s": 1}
@@ -23,7 +23,7 @@ class Panel:
     ``keys`` may be one name or several. ``freq`` is a number and an alias, such
     as D, 7D, H or 0.5H. Times are dates where the frequency is whole days, else
     timestamps without zone. Series that may not fit a task are dealt into blocks;
-    ``block`` asks for that, in blocks of about so many rows, else sizes decide.
+    ``block`` asks for that, in blocks of about so many rows (0: never), else sizes decide.
     """
 
     keys: tuple[str, ...]
@@ -74,6 +74,10 @@ class Panel:
     def ordered(self) -> WindowSpec:
         return self.by().orderBy(self.time)
 
+    def sized(self, df: DataFrame) -> Panel:
+        """The panel with its choice of blocks made, by the size of ``df``: what is joined to it later counts as no more rows."""
+        return replace(self, block=(0 if small(df) else ROWS) if self.block is None else self.block)
+
     def blocks(self, df: DataFrame) -> Blocks:
         """``df`` in blocks along time, where series may be long."""
         return Blocks(df, self.keys, seconds(F.col(self.time), df.schema[self.time].dataType), self.block)
