@@ -6,7 +6,8 @@ document (the one with the larger doc_id). Runs of lines just long enough to be
 deleted find the pairs. These are stars at first: a shared run pairs each later
 holder with its first holder, so a run held by n documents makes n - 1 pairs. A
 document with a run that such pairs leave meets the run's other earlier holders,
-so that the result is that of all pairs.
+one of each outline: documents whose shared lines follow each other alike delete
+the same lines, so the result is that of all pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SLICE = 128
 SPANS = "spans array<struct<start:int,end:int,other:long>>"
 #: Runs of lines of fewer characters neither pair documents nor are deleted on their own.
 MIN_CHARS = 20
+#: Lines held more often make the coarse outlines, which only order what is tried.
+COMMON = 64
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,14 +195,34 @@ def aligned(pairs: DataFrame, one: DataFrame, least: int) -> DataFrame:
     return common.written(gathered(out), "spans")
 
 
+def outlines(some: DataFrame, one: DataFrame) -> DataFrame:
+    """row, full, coarse of the rows in ``some``: digests of the order of their shared lines.
+
+    ``full`` covers each line that another of the rows holds, and where other lines
+    stand between, before or behind them. What a row's alignment with a document of
+    ``some`` deletes depends on nothing else. ``coarse`` covers the order of common lines.
+    """
+    held = one.join(some.select("row").distinct(), "row").select("row", F.size("hashes").alias("size"), F.posexplode("hashes").alias("at", "hash"))
+    held = common.written(held, "held")
+    counts = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high"))
+    shared = common.written(counts.where("low < high").select("hash", (F.col("n") > COMMON).alias("common")), "shared")
+    lists = held.join(shared, "hash").groupBy("row").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "hash", "common"))).alias("s"))
+    gap = lambda x, i: x["at"] - F.coalesce(F.get("s", i - 1)["at"], F.lit(-1)) > 1
+    full = F.transform("s", lambda x, i: F.concat(F.when(gap(x, i), "+").otherwise(","), x["hash"].cast("string")))
+    behind = F.when(F.element_at("s", -1)["at"] < F.col("size") - 1, "+").otherwise(",")
+    coarse = F.transform(F.filter("s", lambda x: x["common"]), lambda x: x["hash"].cast("string"))
+    return lists.select("row", F.md5(F.concat(F.concat_ws("", full), behind)).alias("full"), F.md5(F.concat_ws(",", coarse)).alias("coarse"))
+
+
 def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, digest, spans: the lines (first, end, other) to delete of each document that loses any; other: the earlier document.
 
     A document is a doc_id and a text (``digest``: the text's hash). First each run
     of lines pairs its later holders with its first. Where a line of a run is left,
-    because it stands in a crossing place of that pair, its document meets the
-    other earlier holders, four times as many each round, until the line is
-    covered or none is left.
+    because it stands in a crossing place of that pair, its document meets other
+    earlier holders, the first of each outline (see ``outlines``), four times as
+    many each round, until the line is covered or none is left. The first of each
+    coarse outline come first, as a document mostly has the outline of an earlier one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     # per document: hashes and lengths of its lines
@@ -219,9 +242,17 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
     bare = left(pairs, holders.where("n > 2").select("key", "n"))
     if not bare.isEmpty():
-        known = common.written(bare.groupBy("key").agg(F.max("n").alias("size")), "known")
-        ranks = common.ranked(seeds.join(known, "key").select("key", "size", "doc_id", F.col("row").alias("first")), ["key"], ["doc_id", "first"], "size")
+        known = common.written(bare.select("key").distinct(), "known")
+        having = common.written(seeds.join(known, "key"), "having")
+        marks = common.written(outlines(having, one), "outlines")
+        firsts = having.join(marks, "row").groupBy("key", "coarse", "full").agg(F.min(F.struct("doc_id", F.col("row").alias("first"))).alias("m"))
+        firsts = common.written(firsts.select("key", "coarse", "m"), "firsts")
+        leads = firsts.groupBy("key", "coarse").agg(F.min("m").alias("lead"))
+        sizes = common.written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
+        ordered = firsts.join(leads, ["key", "coarse"]).join(sizes, "key").select("key", "size", (F.col("m") != F.col("lead")).alias("later"), "m.doc_id", "m.first")
+        ranks = common.ranked(ordered, ["key"], ["later", "doc_id", "first"], "size")
         ranks = common.written(ranks.select("key", "first", F.col("doc_id").alias("least"), "rank"), "ranks")
+        bare = common.written(bare.drop("n").join(sizes.withColumnRenamed("size", "n"), "key"), "bare")
         tried, low, high = pairs, 0, 1
         while not bare.isEmpty():
             others = common.written(ranks.where((F.col("rank") >= low) & (F.col("rank") < high)), "others")

@@ -632,6 +632,21 @@ def test_lines_against_all_pairs(spark):
     assert {k: t for k, t in out.items() if k in full} == full
 
 
+@pytest.mark.parametrize(("m", "friends"), [(120, False), (400, False), (120, True)])
+def test_lines_that_change_places(spark, monkeypatch, m, friends):
+    """Header and footer change places halfway: few pairs a document, and the result of all pairs."""
+    head, foot = prose(91, 8), prose(92, 8)
+    rows = []
+    for k in range(m):
+        own = [prose(5000 + 2 * k, 7), prose(6000 + k // 2, 7) if friends else prose(5001 + 2 * k, 7)]  # a friend shares a line
+        a, b = (head, foot) if k < m // 2 else (foot, head)
+        rows.append((k, "\n".join([own[0], a, own[1], b])))
+    met, plain = [], lines.aligned
+    monkeypatch.setattr(lines, "aligned", lambda pairs, one, least: (met.append(pairs.count()), plain(pairs, one, least))[1])
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out == lines_of_all_pairs(rows) and sum(met) <= 4 * m
+
+
 def test_op10_against_all_pairs(spark, documents):
     out = {r["doc_id"]: r["text"] for r in queries.QUERIES["op10_line_dedup"](spark, DATA).collect()}
     full = lines_of_all_pairs([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
