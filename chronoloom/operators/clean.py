@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
 from chronoloom.operators import outliers
-from chronoloom.scans import fits, matched, quantiles
+from chronoloom.scans import Blocks, fits, matched, quantiles
 from chronoloom.series import Panel
 
 DUPLICATES = ("sum", "mean", "median", "mode")
 FILLS = ("zero", "mean", "median")
 #: Further methods' names, which stand for linear here.
-OTHERS = ("index", "values", "backfill", "zero", "slinear", "quadratic", "cubic", "spline", "barycentric", "polynomial", "krogh", "piecewise_polynomial", "pchip", "akima", "cubicspline", "from_derivatives")
-INTERPOLATIONS = ("linear", "time", "pad", "ffill", "bfill", "nearest")
+OTHERS = ("index", "values", "backfill", "zero", "slinear", "quadratic", "spline", "barycentric", "polynomial", "krogh", "piecewise_polynomial", "pchip", "akima", "cubicspline", "from_derivatives")
+INTERPOLATIONS = ("linear", "time", "pad", "ffill", "bfill", "nearest", "cubic")
+DIRECTIONS, AREAS = ("forward", "backward", "both"), ("inside", "outside")
 
 
 def deduplicated(df: DataFrame, panel: Panel, how: str = "mode", *more: Column) -> DataFrame:
@@ -43,16 +46,29 @@ def completed(df: DataFrame, panel: Panel) -> DataFrame:
     return spread.select(*panel.keys, F.col("_time").alias(panel.time), F.when(F.col("_at") == 0, F.col("_y")).alias(panel.target))
 
 
-def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int | None = None) -> DataFrame:
-    """Fills inner nulls between equally spaced rows; trailing nulls repeat the last value, leading ones stay.
+def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int | None = None, limit_direction: str | None = None, limit_area: str | None = None) -> DataFrame:
+    """Fills nulls between equally spaced rows, and nulls outside the values by the nearest value where the options allow it.
 
-    ``limit`` bounds how many nulls of a run are filled. The methods: linear (and
-    time, which is the same on a regular grid), pad or ffill, bfill, nearest.
+    The methods: linear (and time, which is the same on a regular grid), pad or
+    ffill, bfill, nearest and cubic (a spline, see ``spline``; series of fewer than
+    four values get lines); the last two fill nothing outside the values.
+    ``limit`` bounds how many nulls of a run are filled, from the end that
+    ``limit_direction`` names: forward (the default; leading nulls stay), backward
+    (trailing nulls stay) or both; pad only goes forward and bfill backward.
+    ``limit_area`` keeps to nulls between values (inside) or beside them (outside).
     """
     if method not in INTERPOLATIONS:
         if method not in OTHERS:
             raise OptionError(f"interpolation: one of {(*INTERPOLATIONS, *OTHERS)}, not {method!r}")
         method = "linear"  # as for methods that fail
+    only = {"pad": "forward", "ffill": "forward", "bfill": "backward"}.get(method)
+    direction = limit_direction or only or "forward"
+    if direction not in DIRECTIONS or only not in (None, direction):
+        raise OptionError(f"limit_direction of {method}: one of {(only,) if only else DIRECTIONS}, not {limit_direction!r}")
+    if limit_area not in (None, *AREAS):
+        raise OptionError(f"limit_area: one of {AREAS}, not {limit_area!r}")
+    if limit is not None and limit < 1:
+        raise OptionError("limit must be at least 1")
     y, blocks = F.col(panel.target), panel.blocks(df)
     w = blocks.local(panel.time)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -64,17 +80,77 @@ def interpolated(df: DataFrame, panel: Panel, method: str = "linear", limit: int
     at = at.select("*", F.coalesce(F.last("_known", True).over(past), F.col("_p0").cast(kind)).alias("_p"), F.coalesce(F.last("_known", True).over(blocks.back(panel.time)), F.col("_n0").cast(kind)).alias("_n"))
     at = at.select("*", F.col("_p.y").alias("_pv"), F.col("_p.i").alias("_pi"), F.col("_n.y").alias("_nv"), F.col("_n.i").alias("_ni"))
     since, until = F.col("_i") - F.col("_pi"), F.col("_ni") - F.col("_i")
-    inside = F.lit(True) if limit is None else since <= limit
+    near = lambda steps: F.coalesce(steps.isNotNull() if limit is None else steps <= limit, F.lit(False))
+    reached = {"forward": near(since), "backward": near(until), "both": near(since) | near(until)}[direction]
+    inside = F.col("_pv").isNotNull() & F.col("_nv").isNotNull()
+    if limit_area:
+        reached = reached & (inside if limit_area == "inside" else ~inside)
+    line = F.col("_pv") + F.try_divide((F.col("_nv") - F.col("_pv")) * since, F.col("_ni") - F.col("_pi"))
     if method in ("pad", "ffill"):
-        filled = F.when(inside, F.col("_pv"))
+        value = F.col("_pv")
     elif method == "bfill":
-        filled = F.when(F.lit(True) if limit is None else until <= limit, F.col("_nv"))
+        value = F.col("_nv")
     elif method == "nearest":
-        filled = F.when(inside & F.col("_pv").isNotNull() & F.col("_nv").isNotNull(), F.when(since <= until, F.col("_pv")).otherwise(F.col("_nv")))
+        value = F.when(inside, F.when(since <= until, F.col("_pv")).otherwise(F.col("_nv")))
+    elif method == "cubic":
+        at = matched(at, spline(at.where(y.isNotNull()).select(*panel.keys, "_i", y.alias("_y")), panel).withColumnRenamed("_i", "_pi"), [*panel.keys, "_pi"])
+        width = F.col("_ni") - F.col("_pi")
+        bend = lambda part, m: (part * part * part / width - part * width) * F.col(m) / 6
+        value = F.when(inside, line + F.coalesce(bend(until, "_m") + bend(since, "_m1"), F.lit(0.0)))
     else:
-        slope = F.try_divide((F.col("_nv") - F.col("_pv")) * since, F.col("_ni") - F.col("_pi"))
-        filled = F.when(inside, F.when(F.col("_nv").isNull(), F.col("_pv")).otherwise(F.col("_pv") + slope))
-    return at.select(*panel.keys, panel.time, F.coalesce(y, filled).alias(panel.target))
+        value = F.when(inside, line).otherwise(F.coalesce("_pv", "_nv"))
+    return at.select(*panel.keys, panel.time, F.coalesce(y, F.when(reached, value)).alias(panel.target))
+
+
+#: Values of the neighbouring blocks that a block's spline sees: what lies farther bends a curve less than 2 ** -64 as much.
+BEND = 64
+
+
+def spline(knots: DataFrame, panel: Panel) -> DataFrame:
+    """keys, _i, _m, _m1: second derivatives, at each value and the next one, of the cubic spline through ``knots`` (keys, _i: places that rise, _y).
+
+    The third derivative does not change at the second value and the last but one
+    (no knots there). Its tridiagonal system is solved by a forward and a backward
+    sweep over a series' values, or a block's with a halo of BEND values on either
+    side, as every sweep at least halves what it carries on. Derivatives are null
+    in a series of fewer than four values.
+    """
+    blocks = Blocks(knots, panel.keys, F.col("_i"), panel.block)
+    rows = blocks.haloed(["_i"], BEND, BEND)
+    lists = rows.groupBy(*blocks.by).agg(F.array_sort(F.collect_list(F.struct(F.col("_i"), F.col("_y"), F.col("_halo")))).alias("_s"))
+
+    @F.pandas_udf("array<double>")
+    def solved(places: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([bends(np.asarray(x, float), np.asarray(v, float)) for x, v in zip(places, values, strict=True)])
+
+    made = lists.select(*panel.keys, "_s", solved(F.col("_s._i"), F.col("_s._y")).alias("_ms"))
+    pairs = F.transform("_s", lambda s, k: F.struct(s["_i"].alias("_i"), s["_halo"].alias("_halo"), F.get("_ms", k).alias("_m"), F.get("_ms", k + 1).alias("_m1")))
+    return made.select(*panel.keys, F.explode(pairs).alias("_e")).where("not _e._halo").select(*panel.keys, "_e._i", "_e._m", "_e._m1")
+
+
+def bends(x: np.ndarray, y: np.ndarray) -> list[float | None]:
+    """The spline's second derivatives at each of ``x``, or nulls for fewer than four."""
+    if len(x) < 4:
+        return [None] * len(x)
+    h = np.diff(x)
+    right = 6 * np.diff(np.diff(y) / h)
+    low, middle, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    # the outer derivatives are on a line with the two inside of them
+    middle[0] += h[0] * (1 + h[0] / h[1])
+    high[0] -= h[0] * h[0] / h[1]
+    middle[-1] += h[-1] * (1 + h[-1] / h[-2])
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    for k in range(1, len(right)):
+        share = low[k] / middle[k - 1]
+        middle[k] -= share * high[k - 1]
+        right[k] -= share * right[k - 1]
+    m = np.empty(len(x))
+    m[-2] = right[-1] / middle[-1]
+    for k in range(len(right) - 2, -1, -1):
+        m[k + 1] = (right[k] - high[k] * m[k + 2]) / middle[k]
+    m[0] = m[1] + (m[1] - m[2]) * h[0] / h[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * h[-1] / h[-2]
+    return m.tolist()
 
 
 def filled(df: DataFrame, panel: Panel, how: str = "mean") -> DataFrame:
@@ -148,9 +224,9 @@ def cleansed(df: DataFrame, panel: Panel, duplicates: str = "mode", fill: str =
         merged = merged.withColumn(panel.target, F.when(some, F.col(panel.target)).otherwise(F.raise_error(message).cast("double")))
     out = completed(merged, panel)
     if interpolation is not None:
-        if unknown := set(interpolation) - {"method", "limit", "axis", "inplace"}:
+        if unknown := set(interpolation) - {"method", "limit", "limit_direction", "limit_area", "axis", "inplace"}:
             raise OptionError(f"unknown interpolation options {sorted(unknown)}")
-        out = interpolated(out, panel, interpolation.get("method", "linear"), interpolation.get("limit"))
+        out = interpolated(out, panel, **{k: v for k, v in interpolation.items() if k not in ("axis", "inplace")})
     return padded(filled(out, panel, fill), panel, repeat_forward_to, zero_back_to, repeat_back_to)
 
 

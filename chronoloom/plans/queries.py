@@ -113,6 +113,21 @@ def interpolate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(clean.interpolated(clean.completed(clean.deduplicated(_rows(spark, sf_dir), P, "sum"), P), P, limit=1))
 
 
+#: Where a line may fill, by direction and area, of runs of at most two nulls.
+for _name, _inside, _options in (
+    ("backward", "ni - i <= 2", {"limit_direction": "backward"}),
+    ("both", "(i - pi <= 2 OR ni - i <= 2)", {"limit_direction": "both"}),
+    ("inside", "(i - pi <= 2 AND nv IS NOT NULL)", {"limit_area": "inside"}),
+):
+    query(f"interpolate_{_name}", _chain(f"d AS ({MERGED['mean']})", CALENDAR, _line().replace("WHEN true", f"WHEN {_inside}").replace("WHEN nv IS NULL THEN pv", "WHEN nv IS NULL OR pv IS NULL THEN coalesce(pv, nv)"), source="users", last="l"))(lambda s, d, o=_options: _out(clean.interpolated(clean.completed(clean.deduplicated(_rows(s, d, "users"), P, "mean"), P), P, limit=2, **o)))
+
+
+@query("interpolate_cubic")
+def interpolate_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spline through the days of each user's values."""
+    return _out(clean.interpolated(clean.completed(clean.deduplicated(_rows(spark, sf_dir, "users"), P, "mean"), P), P, "cubic"))
+
+
 _ZERO = "f AS (SELECT k, ds, coalesce(y, 0) AS y FROM c)"
 
 

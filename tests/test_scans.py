@@ -53,7 +53,7 @@ def test_lags_in_blocks(spark, series):
     same(spark, lags.lagged(series, PLAIN, 3, rolling), lags.lagged(series, BLOCKED, 3, rolling))
 
 
-@pytest.mark.parametrize(("method", "limit"), [("linear", None), ("nearest", 2)])
+@pytest.mark.parametrize(("method", "limit"), [("linear", None), ("nearest", 2), ("cubic", None)])
 def test_interpolation_in_blocks(spark, series, method, limit):
     same(spark, clean.interpolated(clean.completed(series, PLAIN), PLAIN, method, limit), clean.interpolated(clean.completed(series, BLOCKED), BLOCKED, method, limit))
 
