@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.errors import OptionError
+from chronoloom.functions.smoothing import smoothed
 from chronoloom.series import Panel
 
 NAMES = ("lumpiness", "acf1", "level_shift", "variance_change", "crossing_median", "flat_spots", "linearity", "curvature", "trend", "spikiness")
+SMOOTHERS = ("mean", "spline")
 
 
 def polynomials(df: DataFrame, panel: Panel, degree: int) -> DataFrame:
@@ -63,19 +65,27 @@ def strengths(df: DataFrame, panel: Panel, period: int) -> DataFrame:
     return rows.withColumn("_out", one_out).groupBy(*panel.keys).agg(share(y - F.col("seasonal")).alias("trend"), share(y - F.col("trend")).alias("seasonality"), F.var_pop("_out").alias("spikiness"))
 
 
-def featurized(df: DataFrame, panel: Panel, width: int = 10) -> DataFrame:
+def featurized(df: DataFrame, panel: Panel, width: int = 10, smoother: str = "mean") -> DataFrame:
     """One row a series with the features of NAMES, from windows over the ordered series.
 
-    The trend is a centred moving mean of ``width`` rows; trend strength and
+    The trend is a centred moving mean of ``width`` rows, or a penalised smoother
+    with ``smoother="spline"`` (see ``smoothing.smoothed``); trend strength and
     spikiness come from what it leaves; linearity and curvature are the trend's
     coefficients on the first two orthogonal polynomials of its place.
     """
     if width <= 1:
         raise OptionError("width must be over 1")
+    if smoother not in SMOOTHERS:
+        raise OptionError(f"smoother: one of {SMOOTHERS}, not {smoother!r}")
     y, by, w = F.col(panel.target), panel.by(), panel.ordered()
     frame = w.rowsBetween(-(width - 1), 0)
     n = F.count(F.lit(1)).over(by)
-    a = panel.checked(df).select("*", (F.row_number().over(w) - 1).alias("_i"), n.alias("_n"), F.lag(y, 1).over(w).alias("_y1"), F.min(y).over(by).alias("_low"), F.max(y).over(by).alias("_high"), F.when(F.count(y).over(frame) == width, F.avg(y).over(frame)).alias("_mean"), F.when(F.count(y).over(frame) == width, F.var_samp(y).over(frame)).alias("_var"), F.avg(y).over(w.rowsBetween(-(width // 2), (width - 1) // 2)).alias("_trend"))
+    rows = panel.checked(df)
+    if smoother == "spline":
+        rows, trend = smoothed(rows, panel).withColumnRenamed("trend", "_fit"), F.col("_fit")
+    else:
+        trend = F.avg(y).over(w.rowsBetween(-(width // 2), (width - 1) // 2))
+    a = rows.select("*", (F.row_number().over(w) - 1).alias("_i"), n.alias("_n"), F.lag(y, 1).over(w).alias("_y1"), F.min(y).over(by).alias("_low"), F.max(y).over(by).alias("_high"), F.when(F.count(y).over(frame) == width, F.avg(y).over(frame)).alias("_mean"), F.when(F.count(y).over(frame) == width, F.var_samp(y).over(frame)).alias("_var"), trend.alias("_trend"))
     bin_ = F.when(F.col("_high") == F.col("_low"), 1).otherwise(F.greatest(F.ceil(F.try_divide((y - F.col("_low")) * 10, F.col("_high") - F.col("_low"))), F.lit(1)))
     b = a.select("*", bin_.alias("_bin"), F.floor(F.col("_i") / width).alias("_seg"), F.abs(F.col("_mean") - F.lag("_mean", width).over(w)).alias("_dm"), F.abs(F.col("_var") - F.lag("_var", width).over(w)).alias("_dv"), (y - F.col("_trend")).alias("_rest"))
     # places as orthogonal polynomials: x is centred, x*x - mean(x*x) is orthogonal to it

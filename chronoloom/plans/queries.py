@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.functions import dates, features, lags, metrics
+from chronoloom.functions import dates, features, lags, metrics, smoothing
 from chronoloom.models import forecast as models
 from chronoloom.models.intervals import bootstrap_interval
 from chronoloom.operators import clean, demand, hierarchy, outliers, rollup
@@ -591,6 +591,18 @@ def ts_trend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("k", F.round("linearity", 2).alias("linearity"), F.round("curvature", 2).alias("curvature"), F.round("trend", 6).alias("trend"), F.round(F.col("spikiness") / 1e12, 2).alias("spikiness"))
 
 
+@query("trend_smoothed")
+def trend_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each priority's days on a penalised smoother."""
+    return _out(smoothing.smoothed(_daily(spark, sf_dir), P))
+
+
+@query("features_smoothed")
+def features_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of each priority's days, with the smoother's trend."""
+    return _out(features.featurized(_daily(spark, sf_dir), P, smoother="spline"))
+
+
 _DECOMPOSED = f"""{', '.join([_sql(), *_DAILY])}, t AS (SELECT k, ds, y, (row_number() OVER w - 1) % 7 AS p, CASE WHEN count(*) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 THEN avg(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS tr FROM f {_W}),
   a AS (SELECT k, p, avg(y - tr) AS s FROM t GROUP BY k, p), b AS (SELECT k, p, s - avg(s) OVER (PARTITION BY k) AS seasonal FROM a)"""
 
