@@ -447,6 +447,7 @@ def _past_errors(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
 
 
 QUERIES["hier_reconcile_var"] = lambda spark, sf_dir: _past_errors(spark, sf_dir, "wls_var")
+QUERIES["hier_reconcile_shrink"] = lambda spark, sf_dir: _past_errors(spark, sf_dir, "mint_shrink")
 QUERIES["hier_reconcile_cov"] = lambda spark, sf_dir: _past_errors(spark, sf_dir, "mint_cov")
 
 
