@@ -236,22 +236,26 @@ class Hierarchy:
         """
         local, time, target = self.local, self.time, self.target
         at, node = [local, time], [local, "code"]
+        # every table is read several times, so each is made once and plans stay short
+        tree = Hierarchy(settled(self.master.select(*self.parents).distinct()), self.parents, self.item, local, time, target)
+        forecasts = settled(forecasts.select(*at, "code", target))
         known = settled(self._known(forecasts))
         errors = residuals.where(F.col(target).isNotNull()).join(known, node).groupBy(*at, "code").agg(F.avg(F.col(target).cast("double")).alias("y"))
+        errors = settled(errors)
         whole = errors.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(known.groupBy(local).agg(F.count(F.lit(1)).alias("_all")), local).where("_n = _all")
         whole = whole.select(*at, F.row_number().over(Window.partitionBy(local).orderBy(time)).alias("t"))
         held = errors.join(whole, at).groupBy(*node).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda s: s["y"]).alias("e"), F.avg("y").alias("m"))
         held = held.select(*node, F.transform("e", lambda v: v - F.col("m")).alias("x"))
         held = settled(held.withColumn("w", F.greatest(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v) / F.size("x"), F.lit(1e-12))))
-        weights = held.select(*node, "w")
+        weights = settled(held.select(*node, "w"))
 
         def spread(df: DataFrame, order: str, values: str) -> DataFrame:
             return df.groupBy(*node).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v")))).alias("_l"))
 
         past = held.select(local, F.posexplode("x").alias(time, target), "code").select(local, time, "code", target)
-        past = spread(self._by_tree(past, chain, weights), time, target).select(*node, F.transform("_l", lambda s: s["v"]).alias("px"))
+        past = spread(settled(tree._by_tree(past, chain, weights)), time, target).select(*node, F.transform("_l", lambda s: s["v"]).alias("px"))
         now = forecasts.join(weights, node).select(*at, "code", F.col(target).cast("double").alias("y"))
-        now = now.join(self._by_tree(forecasts, chain, weights).withColumnRenamed(target, "p"), [*at, "code"])
+        now = now.join(settled(tree._by_tree(forecasts, chain, weights)).withColumnRenamed(target, "p"), [*at, "code"])
         now = spread(now.select(*node, time, F.struct("y", "p").alias("v")), time, "v")
         nodes = settled(held.join(past, node).join(now, node))
         left = F.transform("x", lambda v: v / F.col("w"))
