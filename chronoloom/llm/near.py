@@ -9,9 +9,9 @@ in a register with the probability Jaccard similarity of the weighted sets.
 Equal texts are one node. Nodes that share a band meet in a bucket. First each
 node is compared with the pivot (the bucket member that meets most others) that
 it shares most bands with; pairs of 0.8 and more by the exact similarity become
-links. Buckets whose members are then still in several components are looked at
-again, in blocks: there, members of different components whose signatures do not
-rule out the threshold are compared exactly, each pair in its first common band.
+links. Members of buckets that are then still in several components are looked at
+again: those that share one of their rare elements, are in different components
+and whose signatures do not rule out the threshold are compared exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,10 +33,10 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Signatures that agree in a smaller share rule a pair out: six standard deviations under the threshold.
 FLOOR = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Members of a bucket that are compared with as many others in one step.
+#: Members of a group whose signatures are compared with as many others in one step.
 BLOCK = 256
-#: Bytes of compressed texts in such a step, about.
-BLOCK_BYTES = 4_000_000
+#: Pairs of two components that are compared exactly in the first round.
+FIRST = 16
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,69 +173,108 @@ def _linked(threshold: float):
     return run
 
 
-def _compared(threshold: float, floor: float):
-    """Links between the members of blocks (band, left and right: lists of node, root, sig, z; no right: the left with itself).
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, element, share of the text's weights) of compressed texts (node, z)."""
+    for batch in common.sub_batches(batches, "z", 500_000):
+        sets = _sets(batch.column("z").to_pylist())
+        sizes = [len(keys) for keys, _ in sets]
+        cells = (
+            np.repeat(batch.column("node").to_numpy(), sizes),
+            np.concatenate([keys for keys, _ in sets]).view(np.int64),
+            np.concatenate([w / max(w.sum(), 1.0) for _, w in sets]),
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["node", "element", "share"])
 
-    Pairs of one component are skipped, also where a link just found made it one.
+
+def _agreeing(floor: float):
+    """Pairs (a < b) of different roots (ra, rb) whose signatures agree in a share of at least ``floor``.
+
+    Of blocks (left and right: lists of node, root, sig; no right: the left with itself).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            rows: list[np.ndarray] = [np.zeros((0, 5), np.int64)]
             for r in range(batch.num_rows):
-                band, left, right = (batch.column(c)[r].as_py() for c in ("band", "left", "right"))
+                left, right = (batch.column(c)[r].as_py() for c in ("left", "right"))
                 alone, right = right is None, right or left
-                roots = [np.array([x["root"] for x in side], np.int64) for side in (left, right)]
-                apart = roots[0][:, None] != roots[1][None, :]
-                if alone:
-                    apart = np.triu(apart, 1)
-                if not apart.any():
-                    continue
-                sigs = [np.frombuffer(b"".join(x["sig"] for x in side), "<u2").reshape(len(side), REGISTERS) for side in (left, right)]
-                pairs: list[np.ndarray] = []
-                for low in range(0, len(left), 32):
-                    equal = sigs[0][low : low + 32, None, :] == sigs[1][None, :, :]
-                    met = equal.reshape(*equal.shape[:2], BANDS, ROWS).all(3)
-                    ok = apart[low : low + 32] & (met.argmax(2) == band) & (equal.mean(2) >= floor)
-                    found = np.argwhere(ok)
-                    pairs.append(np.column_stack((found[:, 0] + low, found[:, 1], equal.sum(2)[ok])))
-                todo = np.concatenate(pairs)
-                if not len(todo):
-                    continue
-                used = [np.unique(todo[:, side]) for side in (0, 1)]
-                sets = [dict(zip(u.tolist(), _sets([rows[k]["z"] for k in u.tolist()]), strict=True)) for u, rows in zip(used, (left, right), strict=True)]
-                root: dict[int, int] = {}
-
-                def top(x: int, root: dict[int, int] = root) -> int:
-                    while (up := root.get(x, x)) != x:
-                        x = root[x] = root.get(up, up)
-                    return x
-
-                for i, j, _ in todo[np.argsort(-todo[:, 2], kind="stable")].tolist():  # the likeliest first
-                    x, y = top(left[i]["root"]), top(right[j]["root"])
-                    a, b = sets[0][i], sets[1][j]
-                    if x != y and similarity(a, b) >= threshold - 1e-12:
-                        root[max(x, y)] = min(x, y)
-                        out.append((left[i]["node"], right[j]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+                (na, ra, sa), (nb, rb, sb) = ((np.array([x["node"] for x in side]), np.array([x["root"] for x in side]), np.frombuffer(b"".join(x["sig"] for x in side), "<u2").reshape(len(side), REGISTERS)) for side in (left, right))
+                apart = ra[:, None] != rb[None, :]
+                met = np.argwhere(np.triu(apart, 1) if alone else apart)
+                for low in range(0, len(met), BLOCK * 32):
+                    i, j = met[low : low + BLOCK * 32].T
+                    equal = (sa[i] == sb[j]).sum(1)
+                    ok = equal >= floor * REGISTERS
+                    i, j = i[ok], j[ok]
+                    turned = (na[i] > nb[j])[:, None]
+                    ends = np.where(turned, np.column_stack((nb[j], na[i])), np.column_stack((na[i], nb[j])))
+                    rows.append(np.column_stack((ends, np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j]), equal[ok])))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows).T], names=["a", "b", "ra", "rb", "equal"])
 
     return run
 
 
-def between(mixed: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links between members (bucket, band, node, root) of different components that share a bucket."""
-    weighed = mixed.join(texts.select("node", F.octet_length("z").alias("bytes")), "node")
-    sizes = weighed.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("g"))
-    dealt = mixed.join(common.written(sizes, "sizes"), "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    full = dealt.join(texts, "node")
-    blocks = full.groupBy("bucket", "band", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig", "z")).alias("left"))
+def prefixes(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(element, node, root) of the rare elements of ``members`` (node, root, z) that any similar pair has one of in common.
+
+    A pair's similarity is at most the share of either's weights that lies on
+    common elements. So with all elements in one order, the first common one of a
+    pair at the threshold is followed by that share in both texts (itself
+    included). In the order of frequency among members, a template that many texts
+    hold comes last and brings no pairs, until it makes up the threshold's share.
+    """
+    elements = common.written(members.select("node", "z").mapInArrow(_elements, "node long, element long, share double"), "elements")
+    counts = common.written(elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    shared = common.looked_up(elements, "element", counts).where("n is not null")
+    onward = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0)
+    early = shared.withColumn("onward", F.sum("share").over(onward)).where(F.col("onward") >= threshold - 1e-9)
+    return early.select("node", "element").join(members.select("node", "root"), "node")
+
+
+def candidates(members: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """Pairs (a, b, ra, rb, equal) of ``members`` (node, root, sig, z) of different roots that share an element of their prefixes.
+
+    ``equal`` is the number of registers that agree; pairs under ``floor`` are left out.
+    """
+    early = common.written(prefixes(members, threshold), "prefixes")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    groups = early.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *marks).where("low < high")
+    # of elements that the same nodes hold one is enough
+    groups = groups.groupBy("n", "x0", "x1").agg(F.min("element").alias("element")).select("element", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
+    met = common.looked_up(early, "element", common.written(groups, "groups")).where("g is not null")
+    dealt = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).join(members.select("node", "sig"), "node")
+    blocks = dealt.groupBy("element", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig")).alias("left"))
     blocks = common.written(blocks, "blocks")
-    alone = blocks.select("band", "left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
+    alone = blocks.select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
     large = blocks.where("g > 1")
-    others = large.select("bucket", F.col("part").alias("other"), F.col("left").alias("right"))
-    pairs = large.join(others, "bucket").where("part < other").select("band", "left", "right")
-    found = alone.union(pairs).mapInArrow(_compared(threshold, FLOOR), "a long, b long")
-    return common.written(found, "links")
+    others = large.select("element", F.col("part").alias("other"), F.col("left").alias("right"))
+    pairs = large.join(others, "element").where("part < other").select("left", "right")
+    return alone.union(pairs).mapInArrow(_agreeing(floor), "a long, b long, ra long, rb long, equal long").distinct()
+
+
+def between(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
+    """Links between members (node, root) of different components: enough of them to join what is to be joined.
+
+    Candidates are compared exactly in rounds: for each two components the
+    likeliest pairs first, four times as many in each round; pairs that a link has
+    brought into one component are done.
+    """
+    members = common.written(members.join(texts, "node"), "members")
+    left = common.written(candidates(members, threshold, floor), "candidates")
+    found, most = left.select("a", "b").limit(0), FIRST
+    while not left.isEmpty():
+        order = Window.partitionBy("ra", "rb").orderBy(F.desc("equal"), "a", "b")
+        tried = common.written(left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k"), "tried")
+        new = links(tried.select("a", "b"), texts, threshold)
+        rest = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if not new.isEmpty():
+            found = found.union(new)
+            labels = components(tried.join(new, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            for end in ("ra", "rb"):
+                rest = rest.join(labels.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            rest = rest.where("ra <> rb").select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "equal")
+        left, most = common.written(rest, "candidates"), 4 * most
+    return found
 
 
 def links(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,7 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
         common.forget(large)
 
 
-def _classed(docs: DataFrame, threshold: float) -> DataFrame:
+def _classed(docs: DataFrame, threshold: float, floor: float = FLOOR) -> DataFrame:
     """doc_id, t (a hash of the text), class_id and root (a number of the class) of each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     signed = common.written(rows.mapInArrow(_sign, "doc_id long, t long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
@@ -294,8 +333,8 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     labels = components(links(common.written(best, "pairs"), texts, threshold))
     rooted = met.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    mixed = common.written(rooted.join(common.written(split, "split"), "bucket"), "mixed")
-    more = between(mixed, texts, threshold)
+    mixed = rooted.join(common.written(split, "split"), "bucket").select("node", "root").distinct()
+    more = between(mixed, texts, threshold, floor)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # the least doc_id of each class of several nodes
@@ -307,7 +346,7 @@ def _classed(docs: DataFrame, threshold: float) -> DataFrame:
     return found.select("doc_id", "t", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("class_id", "root")))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
     """One row a document: doc_id and class_id, the least doc_id of its class.
 
     Classes are the components of the graph whose links join equal texts (word by
@@ -316,9 +355,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     has no words; texts without words are one class. Rows with one doc_id get one
     row each, by their own text; rows with a null doc_id have a null class. Texts
     of any length are compared whole, in memory that grows with the longest. No
-    rows give no rows; columns beyond doc_id and text are not read.
+    rows give no rows; columns beyond doc_id and text are not read. Of pairs that
+    meet again after the first links, those whose signatures agree in a share
+    under ``floor`` are not compared; 0 compares all.
     """
-    return _classed(docs, threshold).select("doc_id", "class_id")
+    return _classed(docs, threshold, floor).select("doc_id", "class_id")
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

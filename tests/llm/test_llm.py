@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -207,6 +208,61 @@ def test_classes(spark, documents, odd, empty):
     assert near.classes(empty).count() == 0 and near.keep(empty).count() == 0
 
 
+def near_members(spark, texts):
+    """Texts as nodes of their own components."""
+    doc, key, count, _ = near.shingles(pa.array(texts, pa.large_string()))
+    sig = near.signatures(doc, key, near.weights(count), len(texts))
+    press = zstandard.ZstdCompressor()
+    rows = [(k, k, sig[k].astype("<u2").tobytes(), press.compress(t.encode())) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "node long, root long, sig binary, z binary").repartition(4)
+
+
+def tops(n, pairs):
+    """The least member of each one's component."""
+    top = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((top[a], top[b]))
+        top = [x if t == y else t for t in top]
+    return top
+
+
+@pytest.mark.parametrize("m", [200, 800])
+def test_templates_bring_no_pairs(spark, m):
+    """Pages of one template with other words each: no two meet, however many there are."""
+    random = np.random.default_rng(5)
+    template = " ".join(f"t{k}" for k in range(100))
+    texts = [f"{template} " + " ".join(f"w{x}" for x in random.integers(0, 10**9, 60)) for _ in range(m)]
+    members = near_members(spark, texts)
+    early = near.prefixes(members)
+    assert early.groupBy("element").count().where("count > 1").count() == 0
+    assert near.candidates(members, floor=0.0).count() == 0
+
+
+@pytest.mark.parametrize("first", [1, 16])
+def test_links_between_components(spark, monkeypatch, first):
+    """All links that join components are found: chains of edits, repeated parts, templates, blocks of a group."""
+    monkeypatch.setattr(near, "FIRST", first)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    random = np.random.default_rng(6)
+    texts = []
+    for family in range(4):
+        words = [f"f{family}w{k}" for k in range(80)]
+        for step in range(15):
+            words = list(words)
+            for at in random.integers(0, 80, 1 + step % 3):
+                words[at] = f"x{random.integers(0, 50)}"
+            texts.append(" ".join([f"t{k}" for k in range(60)] + words + words[: 10 * (step % 4)]))
+    texts += ["a b c", "a b c d", " ".join(["a b c d e"] * 9), " ".join(["a b c d e"] * 10)]
+    members = near_members(spark, texts)
+    sets = [(np.sort(k), w) for k, w in near._sets([r["z"] for r in members.orderBy("node").collect()])]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if near.similarity(sets[i], sets[j]) >= near.THRESHOLD]
+    found = near.between(members.select("node", "root"), members.select("node", "sig", "z"), floor=0.0).collect()
+    pairs = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in found}
+    assert pairs <= set(want)
+    assert tops(len(texts), pairs) == tops(len(texts), want)
+    assert 4 < len(set(tops(len(texts), want))) < len(texts)
+
+
 def test_signatures_estimate():
     r = np.random.default_rng(0)
     keys = np.sort(r.integers(0, 1 << 62, 400).astype(np.uint64))
