@@ -256,7 +256,7 @@ def between(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
     """Links between members (node, root) of different components: enough of them to join what is to be joined.
 
     Candidates are compared exactly in rounds: for each two components the
-    likeliest pairs first, four times as many in each round; pairs that a link has
+    likeliest pairs first, sixteen times as many in each round; pairs that a link has
     brought into one component are done.
     """
     members = common.written(members.join(texts, "node"), "members")
@@ -273,7 +273,7 @@ def between(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD,
             for end in ("ra", "rb"):
                 rest = rest.join(labels.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
             rest = rest.where("ra <> rb").select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), "equal")
-        left, most = common.written(rest, "candidates"), 4 * most
+        left, most = common.written(rest, "candidates"), 16 * most
     return found
 
 

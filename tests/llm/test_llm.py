@@ -229,9 +229,9 @@ def tops(n, pairs):
 @pytest.mark.parametrize("m", [200, 800])
 def test_templates_bring_no_pairs(spark, m):
     """Pages of one template with other words each: no two meet, however many there are."""
-    random = np.random.default_rng(5)
+    rng = np.random.default_rng(5)
     template = " ".join(f"t{k}" for k in range(100))
-    texts = [f"{template} " + " ".join(f"w{x}" for x in random.integers(0, 10**9, 60)) for _ in range(m)]
+    texts = [f"{template} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(m)]
     members = near_members(spark, texts)
     early = near.prefixes(members)
     assert early.groupBy("element").count().where("count > 1").count() == 0
@@ -243,14 +243,14 @@ def test_links_between_components(spark, monkeypatch, first):
     """All links that join components are found: chains of edits, repeated parts, templates, blocks of a group."""
     monkeypatch.setattr(near, "FIRST", first)
     monkeypatch.setattr(near, "BLOCK", 8)
-    random = np.random.default_rng(6)
+    rng = np.random.default_rng(6)
     texts = []
     for family in range(4):
         words = [f"f{family}w{k}" for k in range(80)]
         for step in range(15):
             words = list(words)
-            for at in random.integers(0, 80, 1 + step % 3):
-                words[at] = f"x{random.integers(0, 50)}"
+            for at in rng.integers(0, 80, 1 + step % 3):
+                words[at] = f"x{rng.integers(0, 50)}"
             texts.append(" ".join([f"t{k}" for k in range(60)] + words + words[: 10 * (step % 4)]))
     texts += ["a b c", "a b c d", " ".join(["a b c d e"] * 9), " ".join(["a b c d e"] * 10)]
     members = near_members(spark, texts)
