@@ -43,10 +43,16 @@ def _sql(source: str = "orders", exact: bool = False) -> str:
     return f"s AS (SELECT CAST({key} AS VARCHAR) AS k, CAST({time} AS {kind}) AS ds, CAST({value} AS DOUBLE) AS y FROM {TABLES[source]})"
 
 
+def _rounded(column: str, digits: int) -> Column:
+    """A double rounded as SQL does it: scaled first, so that what prints as a tie (46.56625) goes to the side that its product is on."""
+    scaled = F.round(F.col(column) * 10.0**digits, 0) / 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(F.col(column))
+
+
 def _out(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     """Doubles rounded, as sums depend on the order of their terms."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(f"`{c}`", digits).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in names or df.columns])
+    return df.select(*[_rounded(f"`{c}`", digits).alias(c) if kinds[c] == "double" else F.col(f"`{c}`") for c in names or df.columns])
 
 
 def query(name: str, oracle: str | None = None):
