@@ -17,7 +17,7 @@ def test_rounded_as_in_sql(spark):
     assert mine == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 4)", [x]).fetchone()[0] for x in values]
 
 
-@pytest.mark.parametrize("name", ["interpolate_backward", "interpolate_both"])
+@pytest.mark.parametrize("name", ["interpolate_backward", "interpolate_both", "interpolate_inside"])
 def test_means_that_are_ties(spark, name):
     """Three means of this table print as ties."""
     duck = duckdb.connect()
