@@ -191,6 +191,15 @@ def ranked(df: DataFrame, group: list[str], order: list[str], size: str, name: s
     return salted.withColumn("_place", place).join(starts, keys).withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_salt", "_place", "_before")
 
 
+def met_with(rows: DataFrame, key: str, values: DataFrame, size: str) -> DataFrame:
+    """``rows`` inner-joined by ``key`` with ``values`` (a written table of one row a key), whose column ``size`` counts a key's rows; hot keys as in ``looked_up``."""
+    hot = [r[0] for r in values.where(F.col(size) * HOT >= F.lit(rows.count())).select(key).collect()]
+    if not hot:
+        return rows.join(values, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(values.where(is_hot)), key).unionByName(rows.where(~is_hot).join(values, key))
+
+
 def crc32_of(column: Column) -> Column:
     """Unsigned CRC-32 of a text's UTF-8 bytes, as a long; of a null: of no bytes."""
     return F.crc32(F.coalesce(column, F.lit("")).cast("binary"))

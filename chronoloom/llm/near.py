@@ -11,7 +11,7 @@ node is compared with the pivot (the bucket member that meets most others) that
 it shares most bands with; pairs of 0.8 and more by the exact similarity become
 links. Members of buckets that are then still in several components are looked at
 again: those that share one of their rare elements, are in different components
-and whose signatures do not rule out the threshold are compared exactly.
+and whose finer signatures do not rule out the threshold are compared exactly.
 """
 
 from __future__ import annotations
@@ -31,10 +31,14 @@ WORDS, THRESHOLD = 5, 0.8
 #: 0.8 ** 5 of the bands of a pair at the threshold agree: none of 25 in one pair of 20,000.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Signatures that agree in a smaller share rule a pair out: six standard deviations under the threshold.
-FLOOR = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Registers (a byte each) of the fine signatures, which members that meet again have.
+FINE = 1024
+#: Fine signatures that agree in a smaller share rule a pair out: six standard deviations under the threshold.
+FLOOR = THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / FINE) ** 0.5
 #: Members of a group whose signatures are compared with as many others in one step.
 BLOCK = 256
+#: A pair meets at its first common element if the second is among so many behind the first; else again at such a one.
+EARLIER = 64
 #: Pairs of two components that are compared exactly in the first round.
 FIRST = 16
 
@@ -126,7 +130,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, key, count, whole = shingles(batch.column("text"))
         n = batch.num_rows
         first = signatures(doc, key, weights(count), n)
-        short = pa.array([row.tobytes() for row in first.astype("<u2")], pa.binary())
         first = first.reshape(n, BANDS, ROWS)
         band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * common.MIX1, (n, BANDS))
         for r in range(ROWS):
@@ -137,7 +140,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.searchsorted(doc, np.arange(n + 1))
         again = sums[ends[1:]] - sums[ends[:-1]]
         offsets = np.concatenate(([0], np.cumsum(np.where(filled, BANDS, 0))))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64()), short], names=["doc_id", "t", "k1", "k2", "bands", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(whole.view(np.int64)), pa.array(again.view(np.int64)), common.packed(band[filled].ravel().view(np.int64), offsets, pa.int64())], names=["doc_id", "t", "k1", "k2", "bands"])
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,22 +177,46 @@ def _linked(threshold: float):
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, element, share of the text's weights) of compressed texts (node, z)."""
+    """(node, root, element, share of the text's weights) of compressed texts (node, root, z)."""
     for batch in common.sub_batches(batches, "z", 500_000):
         sets = _sets(batch.column("z").to_pylist())
         sizes = [len(keys) for keys, _ in sets]
         cells = (
             np.repeat(batch.column("node").to_numpy(), sizes),
+            np.repeat(batch.column("root").to_numpy(), sizes),
             np.concatenate([keys for keys, _ in sets]).view(np.int64),
             np.concatenate([w / max(w.sum(), 1.0) for _, w in sets]),
         )
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["node", "element", "share"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["node", "root", "element", "share"])
 
 
-def _agreeing(floor: float):
-    """Pairs (a < b) of different roots (ra, rb) whose signatures agree in a share of at least ``floor``.
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sig: a byte a register) of compressed texts (node, z)."""
+    for batch in common.sub_batches(batches, "z", 500_000):
+        sets = _sets(batch.column("z").to_pylist())
+        doc = np.repeat(np.arange(len(sets)), [len(keys) for keys, _ in sets])
+        first = signatures(doc, np.concatenate([keys for keys, _ in sets]), np.concatenate([w for _, w in sets]), len(sets), FINE)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([row.tobytes() for row in first.astype(np.uint8)], pa.binary())], names=["node", "sig"])
+
+
+def _common(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
+    """Whether each list of ``left`` has an item in common with each of ``right``."""
+    flat = [np.array([x for items in side for x in items], np.int64) for side in (left, right)]
+    both = np.intersect1d(*flat)
+    has = [np.zeros((len(side), len(both)), np.float32) for side in (left, right)]
+    for side, items, marks in zip((left, right), flat, has, strict=True):
+        owner = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        held = np.isin(items, both)
+        marks[owner[held], np.searchsorted(both, items[held])] = 1
+    return has[0] @ has[1].T > 0
 
-    Of blocks (left and right: lists of node, root, sig; no right: the left with itself).
+
+def _agreeing(floor: float, threshold: float):
+    """Pairs (a < b) of different roots (ra, rb) whose fine signatures agree in a share of at least ``floor``.
+
+    Of blocks (left and right: lists of node, root, sig, onward, earlier; no right:
+    the left with itself). A pair whose ``onward`` rule it out is left out, and one
+    that has an element in common among ``earlier`` is another block's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +225,14 @@ def _agreeing(floor: float):
             for r in range(batch.num_rows):
                 left, right = (batch.column(c)[r].as_py() for c in ("left", "right"))
                 alone, right = right is None, right or left
-                (na, ra, sa), (nb, rb, sb) = ((np.array([x["node"] for x in side]), np.array([x["root"] for x in side]), np.frombuffer(b"".join(x["sig"] for x in side), "<u2").reshape(len(side), REGISTERS)) for side in (left, right))
-                apart = ra[:, None] != rb[None, :]
+                (na, ra, sa, oa), (nb, rb, sb, ob) = ((np.array([x["node"] for x in side]), np.array([x["root"] for x in side]), np.frombuffer(b"".join(x["sig"] for x in side), np.uint8).reshape(len(side), FINE), np.array([x["onward"] for x in side])) for side in (left, right))
+                apart = (ra[:, None] != rb[None, :]) & (1 / oa[:, None] + 1 / ob[None, :] <= 1 + 1 / threshold + 1e-9)
+                apart &= ~_common([x["earlier"] for x in left], [x["earlier"] for x in right])
                 met = np.argwhere(np.triu(apart, 1) if alone else apart)
                 for low in range(0, len(met), BLOCK * 32):
                     i, j = met[low : low + BLOCK * 32].T
                     equal = (sa[i] == sb[j]).sum(1)
-                    ok = equal >= floor * REGISTERS
+                    ok = equal >= floor * FINE
                     i, j = i[ok], j[ok]
                     turned = (na[i] > nb[j])[:, None]
                     ends = np.where(turned, np.column_stack((nb[j], na[i])), np.column_stack((na[i], nb[j])))
@@ -215,41 +243,55 @@ def _agreeing(floor: float):
 
 
 def prefixes(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(element, node, root) of the rare elements of ``members`` (node, root, z) that any similar pair has one of in common.
-
-    A pair's similarity is at most the share of either's weights that lies on
-    common elements. So with all elements in one order, the first common one of a
-    pair at the threshold is followed by that share in both texts (itself
-    included). In the order of frequency among members, a template that many texts
-    hold comes last and brings no pairs, until it makes up the threshold's share.
+    """(element, n, node, root, onward) of the rare elements of ``members`` (node, root, z) that any similar pair of different roots has one of in common.
+
+    Elements are in one order, by their frequency ``n`` among members. ``onward``
+    is the share of a text's weights that lies on an element and those behind it,
+    as far as other members hold them. A pair's similarity is at most
+    1 / (1 / p + 1 / q - 1), p and q being the shares of either's weights that lie on
+    common elements (see ``candidates``), so at the first common element of a pair at
+    the threshold both ``onward`` are at least the threshold. A template that many
+    texts hold comes last and brings no pairs, until it makes up that share.
+    Elements of one root alone bring no pairs either.
     """
-    elements = common.written(members.select("node", "z").mapInArrow(_elements, "node long, element long, share double"), "elements")
-    counts = common.written(elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    shared = common.looked_up(elements, "element", counts).where("n is not null")
+    elements = common.written(members.select("node", "root", "z").mapInArrow(_elements, "node long, root long, element long, share double"), "elements")
+    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed")).where("n > 1")
+    shared = common.met_with(elements, "element", common.written(counts, "counts"), "n")
     onward = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0)
-    early = shared.withColumn("onward", F.sum("share").over(onward)).where(F.col("onward") >= threshold - 1e-9)
-    return early.select("node", "element").join(members.select("node", "root"), "node")
+    early = shared.withColumn("onward", F.sum("share").over(onward)).where(F.col("mixed") & (F.col("onward") >= threshold - 1e-9))
+    return early.select("element", "n", "node", "root", "onward")
 
 
 def candidates(members: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
-    """Pairs (a, b, ra, rb, equal) of ``members`` (node, root, sig, z) of different roots that share an element of their prefixes.
-
-    ``equal`` is the number of registers that agree; pairs under ``floor`` are left out.
+    """Pairs (a, b, ra, rb, equal) of ``members`` (node, root, z) of different roots that may be at the threshold by their first common element.
+
+    With p and q of the weights on common elements, an element that has the shares
+    x and y of these adds 1 / (1 / x + (1 - q) / y) to the similarity at most; that is
+    concave, so all add 1 / (1 / p + 1 / q - 1) at most. ``onward`` of the first common
+    element bounds p and q: one of them must be 0.89 where 0.8 is the threshold, so
+    a template that makes up less of all texts brings no pairs. ``equal`` is the
+    number of registers that agree; pairs under ``floor`` are left out.
     """
     early = common.written(prefixes(members, threshold), "prefixes")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    groups = early.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *marks).where("low < high")
-    # of elements that the same nodes hold one is enough
-    groups = groups.groupBy("n", "x0", "x1").agg(F.min("element").alias("element")).select("element", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    met = common.looked_up(early, "element", common.written(groups, "groups")).where("g is not null")
-    dealt = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).join(members.select("node", "sig"), "node")
-    blocks = dealt.groupBy("element", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig")).alias("left"))
+    most = 1 + 1 / threshold + 1e-9
+    groups = early.groupBy("element").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("onward").alias("top"), *marks)
+    groups = groups.where((F.col("low") < F.col("high")) & (2 / F.col("top") <= most))
+    # of elements that the same nodes hold the first is enough: onward is largest there
+    groups = groups.groupBy("size", "x0", "x1").agg(F.min(F.struct("n", "element", "top")).alias("first"))
+    groups = groups.select("first.element", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("g"), "first.top")
+    met = common.met_with(early, "element", common.written(groups, "groups"), "size").where(1 / F.col("onward") + 1 / F.col("top") <= most)
+    before = Window.partitionBy("node").orderBy("n", "element").rowsBetween(-EARLIER, -1)
+    met = common.written(met.select("*", F.collect_list("element").over(before).alias("earlier")), "met")
+    fine = members.join(met.select("node").distinct(), "node", "left_semi").select("node", "z").mapInArrow(_fine, "node long, sig binary")
+    dealt = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).join(common.written(fine, "fine"), "node")
+    blocks = dealt.groupBy("element", "part", "g").agg(F.collect_list(F.struct("node", "root", "sig", "onward", "earlier")).alias("left"))
     blocks = common.written(blocks, "blocks")
     alone = blocks.select("left", F.lit(None).cast(blocks.schema["left"].dataType).alias("right"))
     large = blocks.where("g > 1")
     others = large.select("element", F.col("part").alias("other"), F.col("left").alias("right"))
     pairs = large.join(others, "element").where("part < other").select("left", "right")
-    return alone.union(pairs).mapInArrow(_agreeing(floor), "a long, b long, ra long, rb long, equal long").distinct()
+    return alone.union(pairs).mapInArrow(_agreeing(floor, threshold), "a long, b long, ra long, rb long, equal long").distinct()
 
 
 def between(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, floor: float = FLOOR) -> DataFrame:
@@ -311,7 +353,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _classed(docs: DataFrame, threshold: float, floor: float = FLOOR) -> DataFrame:
     """doc_id, t (a hash of the text), class_id and root (a number of the class) of each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    signed = common.written(rows.mapInArrow(_sign, "doc_id long, t long, k1 long, k2 long, bands array<long>, sig binary"), "signed")
+    signed = common.written(rows.mapInArrow(_sign, "doc_id long, t long, k1 long, k2 long, bands array<long>"), "signed")
     known = signed.where("doc_id is not null")
     # a node is a text (as a list of words), numbered when it is written
     copies = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
@@ -322,9 +364,9 @@ def _classed(docs: DataFrame, threshold: float, floor: float = FLOOR) -> DataFra
     met = common.written(met.join(buckets, "bucket"), "met")  # bucket, node, band, n
     heavy = common.written(met.groupBy("node").agg(F.sum("n").alias("w")), "heavy")
     met = common.written(met.drop("n").join(heavy, "node"), "weighed")
-    # texts of the nodes that meet others, compressed, and their signatures, once
-    wanted = nodes.select("node", "sig", "doc_id", "t").join(heavy.select("node"), "node")
-    texts = rows.mapInArrow(_press, "doc_id long, t long, z binary").join(wanted, ["doc_id", "t"]).dropDuplicates(["node"]).select("node", "sig", "z")
+    # texts of the nodes that meet others, compressed, once
+    wanted = nodes.select("node", "doc_id", "t").join(heavy.select("node"), "node")
+    texts = rows.mapInArrow(_press, "doc_id long, t long, z binary").join(wanted, ["doc_id", "t"]).dropDuplicates(["node"]).select("node", "z")
     texts = common.written(texts, "texts")
 
     pivots = met.groupBy("bucket").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("pivot"))

@@ -238,6 +238,34 @@ def test_templates_bring_no_pairs(spark, m):
     assert near.candidates(members, floor=0.0).count() == 0
 
 
+def test_templates_of_most_of_a_text_bring_no_pairs(spark):
+    """A template of 85 % of each text: two such texts are 0.74 alike, which the shares alone rule out."""
+    rng = np.random.default_rng(5)
+    template = " ".join(f"t{k}" for k in range(200))
+    members = near_members(spark, [f"{template} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 34)) for _ in range(100)])
+    assert near.prefixes(members).count() > 0
+    assert near.candidates(members, floor=0.0).count() == 0
+
+
+def test_families_under_the_threshold_bring_few_pairs(spark):
+    """Copies of one text with edits of their own: nearly all are 0.65 to 0.75 alike, and each at the threshold is met."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(120):
+        words = [f"b{k}" for k in range(150)]
+        for at in rng.integers(0, 150, rng.integers(3, 6)):
+            words[at] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    members = near_members(spark, texts)
+    sets = [(np.sort(k), w) for k, w in near._sets([r["z"] for r in members.orderBy("node").collect()])]
+    sims = {(i, j): near.similarity(sets[i], sets[j]) for j in range(len(texts)) for i in range(j)}
+    found = {(r["a"], r["b"]) for r in near.candidates(members).collect()}
+    assert {p for p, s in sims.items() if s >= near.THRESHOLD} <= found
+    assert len(found) < 0.4 * len(sims) < sum(s > 0.6 for s in sims.values())
+    links = {(min(r), max(r)) for r in near.between(members.select("node", "root"), members.select("node", "z")).collect()}
+    assert tops(len(texts), links) == tops(len(texts), [p for p, s in sims.items() if s >= near.THRESHOLD])
+
+
 @pytest.mark.parametrize("first", [1, 16])
 def test_links_between_components(spark, monkeypatch, first):
     """All links that join components are found: chains of edits, repeated parts, templates, blocks of a group."""
