@@ -29,6 +29,8 @@ SLICE = 128
 SPANS = "spans array<struct<start:int,end:int,other:long>>"
 #: Runs of lines of fewer characters neither pair documents nor are deleted on their own.
 MIN_CHARS = 20
+#: A round may try so large a share of the pairs tried so far, as rounds cost the same jobs however few runs are left.
+ROUND = 0.25
 #: Lines held more often make the coarse outlines, which only order what is tried.
 COMMON = 64
 
@@ -183,16 +185,18 @@ def gathered(spans: DataFrame) -> DataFrame:
 
 
 def aligned(pairs: DataFrame, one: DataFrame, least: int) -> DataFrame:
-    """row, spans: what the ``pairs`` (first, row), a written table, delete of each document that loses any."""
+    """row, spans: what each of the ``pairs`` (first, row), a written table, deletes, if anything."""
     later = one.select("row", F.col("hashes").alias("b"), "sizes")
+    if pairs.count() <= SLICE:
+        earlier = one.select(F.col("row").alias("first"), F.col("doc_id").alias("other"), F.col("hashes").alias("a"))
+        return pairs.join(later, "row").join(earlier, "first").select("row", "other", "a", "b", "sizes").mapInArrow(_align(least), f"row long, {SPANS}")
     # an earlier document of many pairs is repeated for each SLICE of them
     busy = pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("g")).where("g > 1")
     busy = common.written(busy, "busy")
     dealt = pairs.join(busy, "first", "left").select("first", "row", F.pmod(F.xxhash64("row"), F.coalesce("g", F.lit(1))).cast("int").alias("part"))
     earlier = one.select(F.col("row").alias("first"), F.col("doc_id").alias("other"), F.col("hashes").alias("a")).join(busy, "first", "left")
     earlier = earlier.select("first", "other", "a", F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1)).alias("part"))
-    out = dealt.join(later, "row").join(earlier, ["first", "part"]).select("row", "other", "a", "b", "sizes").mapInArrow(_align(least), f"row long, {SPANS}")
-    return common.written(gathered(out), "spans")
+    return dealt.join(later, "row").join(earlier, ["first", "part"]).select("row", "other", "a", "b", "sizes").mapInArrow(_align(least), f"row long, {SPANS}")
 
 
 def outlines(some: DataFrame, one: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     of lines pairs its later holders with its first. Where a line of a run is left,
     because it stands in a crossing place of that pair, its document meets other
     earlier holders, the first of each outline (see ``outlines``), four times as
-    many each round, until the line is covered or none is left. The first of each
+    many each round (more where few runs are left), until the line is covered or none is left. The first of each
     coarse outline come first, as a document mostly has the outline of an earlier one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
@@ -232,7 +236,7 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     holders = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("first")).where("n > 1")
     holders = common.written(holders, "holders")  # so that Spark can split a line that many documents hold
     pairs = common.written(seeds.join(holders, "key").where("least < doc_id").select("first", "row").distinct(), "pairs")
-    spans = aligned(pairs, one, least)
+    spans = common.written(gathered(aligned(pairs, one, least)), "spans")
 
     def left(met: DataFrame, among: DataFrame) -> DataFrame:
         """The runs in ``among`` of the later documents of ``met`` that ``spans`` do not cover."""
@@ -242,8 +246,7 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
     bare = left(pairs, holders.where("n > 2").select("key", "n"))
     if not bare.isEmpty():
-        known = common.written(bare.select("key").distinct(), "known")
-        having = common.written(seeds.join(known, "key"), "having")
+        having = common.written(seeds.join(bare.select("key"), "key", "left_semi"), "having")
         marks = common.written(outlines(having, one), "outlines")
         firsts = having.join(marks, "row").groupBy("key", "coarse", "full").agg(F.min(F.struct("doc_id", F.col("row").alias("first"))).alias("m"))
         firsts = common.written(firsts.select("key", "coarse", "m"), "firsts")
@@ -254,17 +257,21 @@ def removals(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
         ranks = common.written(ranks.select("key", "first", F.col("doc_id").alias("least"), "rank"), "ranks")
         bare = common.written(bare.drop("n").join(sizes.withColumnRenamed("size", "n"), "key"), "bare")
         tried, low, high = pairs, 0, 1
-        while not bare.isEmpty():
-            others = common.written(ranks.where((F.col("rank") >= low) & (F.col("rank") < high)), "others")
+        while (n := bare.count()) > 0:
+            high = max(high, low + int(ROUND * tried.count()) // n)
+            others = ranks.where((F.col("rank") >= low) & (F.col("rank") < high))
             more = bare.join(others, "key").where("least < doc_id").select("first", "row").distinct().join(tried, ["first", "row"], "left_anti")
             more = common.written(more, "pairs")
-            common.forget(others)
-            if not more.isEmpty():
-                tried = common.written(tried.union(more), "tried")  # one table again, so that plans do not grow by rounds
+            some = not more.isEmpty()
+            if some:
                 spans = common.written(gathered(spans.union(aligned(more, one, least))), "spans")
-                bare = left(bare, bare)
             low, high = high, 4 * high
-            bare = bare.where(F.col("n") > low)
+            rest = bare.where(F.col("n") > low)
+            if not some or rest.isEmpty():
+                bare = rest
+                continue
+            tried = common.written(tried.union(more), "tried")  # one table again, so that plans do not grow by rounds
+            bare = left(rest, rest)
     return spans.join(one.select("row", "doc_id", "digest"), "row").select("doc_id", "digest", "spans")
 
 

@@ -731,6 +731,17 @@ def test_lines_that_change_places(spark, monkeypatch, m, friends):
     assert out == lines_of_all_pairs(rows) and sum(met) <= 4 * m
 
 
+def test_few_lines_that_are_left_take_few_rounds(spark, monkeypatch):
+    """A line that stands in a crossing place of all earlier outlines is tried against them in few rounds."""
+    line, block = "this one line stands before or behind", "\n".join(f"line {k} of a block that all documents hold" for k in range(4))
+    rows = [(k, f"{line}\n{block}\nthe line number {k // 2} of two friends, {k // 2}") for k in range(400)]
+    rows.append((400, f"{block}\n{line}"))
+    met, plain = [], lines.aligned
+    monkeypatch.setattr(lines, "aligned", lambda pairs, one, least: (met.append(pairs.count()), plain(pairs, one, least))[1])
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert out[400] == line and len(met) <= 3 and sum(met) <= 1100
+
+
 def test_op10_against_all_pairs(spark, documents):
     out = {r["doc_id"]: r["text"] for r in queries.QUERIES["op10_line_dedup"](spark, DATA).collect()}
     full = lines_of_all_pairs([(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()])
