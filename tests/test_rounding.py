@@ -24,3 +24,21 @@ def test_means_that_are_ties(spark, name):
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{EVENTS}'")
     mine = {(r.k, r.ds): r.y for r in plans.QUERIES[name](spark, EVENTS.rsplit("/", 1)[0]).collect()}
     assert mine == {(k, ds): y for k, ds, y in duck.execute(plans.ORACLES[name]).fetchall()}
+
+
+@pytest.fixture(scope="module")
+def ties(tmp_path_factory) -> str:
+    """Series whose filled values print as ties, between two values and beside them. A day has one row, so no sum depends on an order."""
+    folder = tmp_path_factory.mktemp("ties")
+    values = "(0, NULL), (2, k * 1.13e0 + k % 2 * 0.00125e0), (10, k * 0.72e0 + 0.01e0 + k % 2 * 0.00125e0), (12, NULL)"
+    duckdb.execute(f"COPY (SELECT k AS user_id, TIMESTAMP '2024-01-01' + to_days(d) AS ts, y AS value FROM range(400) r(k), LATERAL (VALUES {values}) v(d, y)) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["interpolate_both"])
+def test_filled_values_that_are_ties(spark, ties, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{ties}/events.parquet'")
+    mine = {(r.k, r.ds): r.y for r in plans.QUERIES[name](spark, ties).collect()}
+    theirs = {(k, ds): y for k, ds, y in duck.execute(plans.ORACLES[name]).fetchall()}
+    assert mine.keys() == theirs.keys() and {at: (y, theirs[at]) for at, y in mine.items() if y != theirs[at]} == {}
