@@ -35,7 +35,7 @@ def ties(tmp_path_factory) -> str:
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["interpolate_both"])
+@pytest.mark.parametrize("name", ["interpolate_both", "interpolate_inside"])
 def test_filled_values_that_are_ties(spark, ties, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW events AS SELECT * FROM '{ties}/events.parquet'")
