@@ -301,10 +301,10 @@ def isolation_scores(pool: np.ndarray, trees: int, sample: int, seed: int) -> tu
     Each tree grows on its own draw of ``sample`` values of the pool, all with
     one generator, one after another.
     """
-    random = np.random.default_rng(seed)
     size = min(sample, len(pool))
     if size < 2:
         return np.zeros(0), np.zeros(1)
+    random = np.random.default_rng(seed)
     made = [grown(np.sort(random.choice(pool, size, replace=False)), int(np.ceil(np.log2(size))), random) for _ in range(trees)]
     cuts = np.unique(np.concatenate([c for c, _ in made]))
     total = np.zeros(len(cuts) + 1)
@@ -313,6 +313,155 @@ def isolation_scores(pool: np.ndarray, trees: int, sample: int, seed: int) -> tu
     return cuts, 2.0 ** (-total / trees / max(float(_usual(np.array(size))), 1e-9))
 
 
+def isolation_spans(pool: np.ndarray, trees: int, sample: int, seed: int, threshold: float) -> list[tuple[float, float]]:
+    """The intervals (above low, up to high) whose score is at least ``threshold``, of one pool; open ends are infinite."""
+    cuts, scores = isolation_scores(pool, trees, sample, seed)
+    ends = [-np.inf, *cuts.tolist(), np.inf]
+    found: list[tuple[float, float]] = []
+    for k in np.flatnonzero(scores >= threshold).tolist():
+        low = found.pop()[0] if found and found[-1][1] == ends[k] else ends[k]
+        found.append((low, ends[k + 1]))
+    return found
+
+
+def grown_together(values: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``grown`` for many trees in step: a row of sorted ``values`` each, of which the first ``sizes`` count, and a column of ``draws`` of the unit interval.
+
+    Rows are a power of two wide, filled up with infinity. For each row: the cut
+    to the left of each value (infinite: none; the first is open), the path length
+    of the interval that begins there, and how many draws were used.
+    """
+    count, width = values.shape
+    usual, depths = _usual(np.arange(width + 1)), np.ceil(np.log2(sizes)).astype(np.int64)
+    cuts, lengths, used = np.full(values.shape, np.inf), np.zeros(values.shape), np.zeros(count, np.int64)
+    cuts[:, 0], lengths[:, 0] = -np.inf, usual[sizes]
+    v, below, c, l = values.ravel(), np.nextafter(values, -np.inf).ravel(), cuts.ravel(), lengths.ravel()
+    stack = np.zeros((int(depths.max()) + 2) * count, np.int64)  # nodes that wait, as numbers: steps down, end, begin
+    row = np.flatnonzero(values[:, 0] != v[np.arange(count) * width + sizes - 1])
+    base, depth, place, k = row * width, depths[row], row, 0  # place: the row's next one in the stack
+    node, low28, one = base + sizes[row] << 28 | base, (1 << 28) - 1, 1 << 56
+    while len(row):
+        low, high, down = node & low28, node >> 28 & low28, (node >> 56) + 1
+        least, most = v[low], v[high - 1]
+        cut = np.minimum(np.maximum(least + (most - least) * draws[k][row], least), below[high - 1])
+        at, step = base.copy(), width >> 1
+        while step:  # the number of the row's values up to the cut
+            at += (v[at + (step - 1)] <= cut) * step
+            step >>= 1
+        # a child that is cut again writes its first interval anew
+        c[at], l[low], l[at] = cut, down + usual[at - low], down + usual[high - at]
+        deep = down < depth
+        node += one
+        stack[place] = node - low + at
+        place = place + (deep & (v[at] != most)) * count
+        stack[place] = node - (high - at << 28)  # the left one comes next
+        place += (deep & (least != v[at - 1])) * count
+        k += 1
+        done = place < count
+        if done.any():
+            used[row[done]] = k
+            row, place, base, depth = (x[~done] for x in (row, place, base, depth))
+        place -= count
+        node = stack[place]
+    return cuts, lengths, used
+
+
+#: Fixed value: so many cuts of all trees at once, at most (two arrays of them, and some to order them).
+CUTS = 1 << 23
+
+
+def forests_spans(pools: Sequence[np.ndarray], trees: int, sample: int, seed: int, threshold: float) -> list[list[tuple[float, float]]]:
+    """``isolation_spans`` of each pool, the same to the bit, with pools of like sizes in step."""
+    out: list[list[tuple[float, float]]] = [[] for _ in pools]
+    drawn, alike = [], {}
+    for i, pool in enumerate(pools):
+        size = min(sample, len(pool))
+        if size < 2 or not np.isfinite(pool.max() - pool.min()):
+            out[i] = isolation_spans(pool, trees, sample, seed, threshold)
+        elif len(pool) > sample:
+            drawn.append(i)
+        else:
+            alike.setdefault((size - 1).bit_length(), []).append(i)
+    for own in (drawn, *(sorted(a, key=lambda i: len(pools[i])) for a in alike.values())):
+        each = max(1, CUTS // (trees * min(sample, len(pools[own[-1]])))) if own else 1
+        for k in range(0, len(own), each):
+            some = own[k : k + each]
+            for i, spans in zip(some, _spans([pools[i] for i in some], trees, sample, seed, threshold), strict=True):
+                out[i] = isolation_spans(pools[i], trees, sample, seed, threshold) if spans is None else spans
+    return out
+
+
+def _spans(pools: Sequence[np.ndarray], trees: int, sample: int, seed: int, threshold: float) -> list[list[tuple[float, float]] | None]:
+    """The spans of pools that are all drawn from, or all sampled whole; None where only ``isolation_spans`` tells."""
+    count, lens = len(pools), np.array([len(p) for p in pools])
+    sizes = np.minimum(lens, sample)
+    most = int(sizes.max())
+    values = np.full((count, 1 << (most - 1).bit_length()), np.inf)
+    unsure = np.zeros(count, bool)
+    whole = lens[0] <= sample
+    if whole:
+        values[np.arange(values.shape[1]) < lens[:, None]] = np.concatenate(pools)
+        values.sort(axis=1)
+        # All series start with one stream of random numbers. A choice of all n values changes nothing but its place: it takes
+        # n - 1 numbers, halves of which are bounded by 2 .. n and then by n .. 2, unless one is refused (about one of 2^28).
+        stream = np.random.default_rng(seed).bit_generator.random_raw(2 * trees * most)
+        halves, units, place = stream.astype("<u8").view("<u4"), (stream >> 11) * 2.0**-53, np.zeros(count, np.int64)
+        refusals = np.zeros(len(halves), bool)
+        for n in range(2, most + 1):
+            refusals |= halves * np.uint32(n) < (1 << 32) % n
+        refusals = np.append(0, refusals.reshape(-1, 2).any(axis=1).cumsum())
+    else:
+        generators = [np.random.default_rng(seed) for _ in pools]
+    cuts, steps = np.full((count, trees, most), np.inf), np.zeros((count, trees, most))
+    for t in range(trees):
+        if whole:
+            for i in np.flatnonzero(refusals[place + sizes - 1] > refusals[place]).tolist():
+                bounds = np.append(np.arange(2, sizes[i] + 1), np.arange(sizes[i], 1, -1))
+                unsure[i] |= (halves[2 * place[i] :][: len(bounds)] * bounds.astype(np.uint32) < (1 << 32) % bounds).any()
+            place += sizes - 1
+            draws = units[place + np.arange(most - 1)[:, None]]
+        else:
+            draws = np.empty((most - 1, count))
+            for i, (pool, random) in enumerate(zip(pools, generators, strict=True)):
+                values[i, :most] = random.choice(pool, most, replace=False)
+                state = random.bit_generator.state
+                draws[:, i] = random.random(most - 1)
+                random.bit_generator.state = state
+            values.sort(axis=1)
+        c, l, used = grown_together(values, sizes, draws)
+        if whole:
+            place += used
+        else:
+            for random, n in zip(generators, used.tolist(), strict=True):
+                random.bit_generator.random_raw(n, False)
+        cuts[:, t] = c[:, :most]
+        held = cuts[:, t] < np.inf
+        own = l[:, :most][held]
+        change = np.diff(own, prepend=0.0)
+        first = np.append(0, np.cumsum(held.sum(axis=1))[:-1])
+        change[first] = own[first]
+        steps[:, t][held] = change
+    bounds = (-np.log2(threshold) if threshold > 0 else np.inf) * trees * np.maximum(_usual(sizes), 1e-9)
+    return [s for k in range(0, count, 64) for s in _runs(cuts[k : k + 64].reshape(-1, trees * most), steps[k : k + 64].reshape(-1, trees * most), bounds[k : k + 64], unsure[k : k + 64])]
+
+
+def _runs(cuts: np.ndarray, steps: np.ndarray, bounds: np.ndarray, unsure: np.ndarray) -> list[list[tuple[float, float]] | None]:
+    """The spans where the sums of a row's ``steps`` at its ``cuts`` are at most its bound; None where sums could be the bound but for rounding, or ``unsure``."""
+    order = np.argsort(cuts, axis=1)
+    low = np.take_along_axis(cuts, order, 1)
+    total = np.take_along_axis(steps, order, 1).cumsum(axis=1)
+    high = np.append(low[:, 1:], np.full((len(low), 1), np.inf), axis=1)
+    some = low < high
+    unsure = unsure | (some & (np.abs(total - bounds[:, None]) < 1e-7)).any(axis=1)
+    inside = (total <= bounds[:, None])[some]
+    row = np.repeat(np.arange(len(cuts)), some.sum(axis=1))
+    joined = inside[1:] & inside[:-1] & (row[1:] == row[:-1])
+    begins, ends = inside & ~np.append(False, joined), inside & ~np.append(joined, False)
+    found = list(zip(low[some][begins].tolist(), high[some][ends].tolist(), strict=True))
+    upto = np.append(0, np.bincount(row[begins], minlength=len(cuts)).cumsum()).tolist()
+    return [None if u else found[upto[i] : upto[i + 1]] for i, u in enumerate(unsure.tolist())]
+
+
 def isolation_ranges(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1, pool: int = 4096) -> DataFrame:
     """One row a series: ``ranges``, the intervals (above low, up to high) of values whose score is at least ``threshold``; null ends are open.
 
@@ -331,18 +480,8 @@ def isolation_ranges(df: DataFrame, panel: Panel, trees: int = 50, sample: int =
 
     @F.pandas_udf("array<struct<low:double,high:double>>")
     def ranges(pools: pd.Series) -> pd.Series:
-        out = []
-        for values in pools:
-            cuts, scores = isolation_scores(np.asarray(values, float), trees, sample, seed)
-            ends = [None, *cuts.tolist(), None]
-            found: list[dict] = []
-            for k in np.flatnonzero(scores >= threshold).tolist():
-                if found and found[-1]["high"] == ends[k] and k:
-                    found[-1]["high"] = ends[k + 1]
-                else:
-                    found.append({"low": ends[k], "high": ends[k + 1]})
-            out.append(found)
-        return pd.Series(out)
+        found = forests_spans([np.asarray(p, float) for p in pools], trees, sample, seed, threshold)
+        return pd.Series([[{"low": low if low > -np.inf else None, "high": high if high < np.inf else None} for low, high in spans] for spans in found])
 
     return pools.select(*keys, ranges("_pool").alias("ranges"))
 
