@@ -462,6 +462,10 @@ def _runs(cuts: np.ndarray, steps: np.ndarray, bounds: np.ndarray, unsure: np.nd
     return [None if u else found[upto[i] : upto[i + 1]] for i, u in enumerate(unsure.tolist())]
 
 
+#: Fixed value: so many equal values of a series are numbered at once.
+TIES = 4096
+
+
 def isolation_ranges(df: DataFrame, panel: Panel, trees: int = 50, sample: int = 256, threshold: float = 0.6, seed: int = 1, pool: int = 4096) -> DataFrame:
     """One row a series: ``ranges``, the intervals (above low, up to high) of values whose score is at least ``threshold``; null ends are open.
 
@@ -470,13 +474,19 @@ def isolation_ranges(df: DataFrame, panel: Panel, trees: int = 50, sample: int =
     rows alone. Along one axis the score is a step function, so that the whole
     forest becomes a few intervals.
     """
-    keys = list(panel.keys)
-    counts = df.where(F.col(panel.target).isNotNull()).groupBy(*keys, F.col(panel.target).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    each = matched(counts, sizes, keys).withColumn("_j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    keys, bound = list(panel.keys), min(sample, pool)
+    known = df.where(F.col(panel.target).isNotNull()).select(*keys, F.col(panel.target).cast("double").alias("_v"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    # a series that is sampled whole is its own pool, in any order; only values of longer ones are counted
+    short = matched(known, sizes.where(F.col("_all") <= bound), keys, "inner").groupBy(*keys).agg(F.collect_list("_v").alias("_pool"))
+    counts = matched(known, sizes.where(F.col("_all") > bound), keys, "inner").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all"))
+    # few counts may stand for many rows, so they are dealt out anew, in runs of TIES
+    runs = counts.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(TIES).cast("long"))))
+    runs = runs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_v", "_i")
+    each = runs.withColumn("_j", F.explode(F.sequence("_i", F.least("_n", F.col("_i") + (TIES - 1)))))
     place = F.pmod(F.xxhash64("_v", "_j", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)  # one of all values is under pool / all, about
     held = each.withColumn("_h", place).where(F.col("_h") * F.col("_all") < pool)
-    pools = held.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_v"))), lambda x: x["_v"]).alias("_pool"))
+    pools = short.unionByName(held.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_v"))), lambda x: x["_v"]).alias("_pool")))
 
     @F.pandas_udf("array<struct<low:double,high:double>>")
     def ranges(pools: pd.Series) -> pd.Series:

@@ -1,4 +1,4 @@
-"""Isolation forests of many series in step against the plain forest of one series."""
+"""Isolation forests of many series in step, and their pools, against the plain forest of one series."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from chronoloom.operators import outliers
 from chronoloom.series import Panel
@@ -55,3 +57,21 @@ def test_series_of_any_size_in_spark(spark):
     spans = {k: outliers.isolation_spans(p, 50, 256, 1, 0.6) for k, p in series.items()}
     assert len(found) == len(rows) and {-1, 1} == {r["inlier"] for r in found}
     assert all((r["inlier"] == -1) == any(low < r["y"] <= high for low, high in spans[r["k"]]) for r in found)
+
+
+def test_pools_of_long_series(spark, monkeypatch):
+    """Equal values of a long series are told apart by number, in runs of any length; what fits a sample is a pool as it is."""
+    day, random_ = datetime.date(2024, 1, 1), np.random.default_rng(5)
+    series = {"a": random_.integers(0, 30, 700).astype(float), "b": np.append(np.full(500, 1.0), [50.0, -40.0, 1.5]), "c": random_.normal(size=40), None: random_.normal(size=300).round(1)}
+    rows = [(k, day + datetime.timedelta(days=j), float(v)) for k, p in series.items() for j, v in enumerate(p)] + [("a", day, None)]
+    df = spark.createDataFrame(rows, "k string, ds date, y double")
+    monkeypatch.setattr(outliers, "TIES", 7)
+    found = {r["k"]: [(-np.inf if s["low"] is None else s["low"], np.inf if s["high"] is None else s["high"]) for s in r["ranges"]] for r in outliers.isolation_ranges(df, Panel("k"), 20, 64, 0.6, 1, 400).collect()}
+    assert set(found) == set(series)
+    numbered = df.where("y is not null").select("k", "y", F.row_number().over(Window.partitionBy("k", "y").orderBy("ds")).cast("long").alias("j"))
+    hashed = numbered.select("k", "y", (F.pmod(F.xxhash64("y", "j", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)).alias("h")).toPandas()
+    for k, values in series.items():
+        own = hashed[hashed["k"].isna() if k is None else hashed["k"] == k].sort_values(["h", "y"])
+        pool = own[own["h"] * len(values) < 400]["y"].to_numpy()
+        assert found[k] == outliers.isolation_spans(pool, 20, 64, 1, 0.6)
+    assert all(found[k] for k in ("c", None))
